@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .mixing import OP10_SQL, op10_mix
+from .urlfilter import OP9_SQL, op9_url_rules
 
 QUERIES = {
+    "op9_url_rules": op9_url_rules,
     "op10_mix": op10_mix,
 }
 
 SQL = {
+    "op9_url_rules": OP9_SQL,
     "op10_mix": OP10_SQL,
 }
