@@ -71,8 +71,8 @@ def token_counts(urls: DataFrame, rules: Iterable[Rule]) -> dict[str, int]:
     labels = F.transform(F.split("host", r"\."), lambda x: F.concat(F.lit("."), x))
     parts = F.split("path", "/")
     segments = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.concat(F.lit("/"), x))
-    held = urls.select(F.explode(F.array_distinct(F.concat(labels, segments))).alias("token"))
-    rows = held.join(spark.createDataFrame([(t,) for t in wanted], "token string"), "token").groupBy("token").count().collect()
+    held = urls.select(F.explode(F.array_distinct(F.concat(labels, segments))).alias("token")).groupBy("token").count()
+    rows = held.join(spark.createDataFrame([(t,) for t in wanted], "token string"), "token").collect()
     return {r["token"]: r["count"] for r in rows}
 
 
