@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,22 +83,31 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 LINE_END = r"[.!?]+(?:\s|$)|[\r\n]+"
 #: The same for sentences that run over several lines.
 TEXT_END = r"[.!?]+(?:\s|$)|\n\s*\n"
-OTHER = r"[^a-z0-9|]+"
+OTHER = r"[^a-z0-9]+"
+
+#: Words of which every known sentence holds one, so that other sentences need no normalising.
+KEYWORDS = ("licens", "permission", "distribut", "copyright", "software", "warrant", "rights")
 
 
 def known_pieces(sentences: dict[str, tuple[str, ...]]) -> dict[str, str]:
     """Normalised sentence -> identifier. A form with an end inside it (`v. 2.0`) is known by what stands before."""
-    normal = lambda s: re.sub(r"[^a-z0-9]+", " ", re.split(LINE_END, s.lower())[0]).strip()
+    normal = lambda s: re.sub(OTHER, " ", re.split(LINE_END, s.lower())[0]).strip()
     return {normal(form): name for name, forms in sentences.items() for form in forms}
 
 
+def keywords_of(known: dict[str, str]) -> list[str]:
+    """KEYWORDS, and the longest word of each known sentence that holds none of them."""
+    others = {max(s.split(), key=len) for s in known if not any(k in s for k in KEYWORDS)}
+    return [*KEYWORDS, *sorted(others)]
+
+
 def _sequence(text: Column, ends: str, known: dict[str, str]) -> Column:
     """The identifiers of a text's known sentences in order, as `<a><b>`."""
-    marked = F.regexp_replace(F.lower(F.translate(text, "|", " ")), ends, "|")
-    pieces = F.split(F.regexp_replace(marked, OTHER, " "), r" ?\| ?")
-    stated = F.filter(F.transform(pieces, F.trim), lambda s: s.isin(list(known)))
+    held = lambda s: reduce(Column.__or__, [F.contains(s, F.lit(k)) for k in keywords_of(known)])
+    kept = F.filter(F.split(F.lower(text), ends), held)
+    stated = F.transform(kept, lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.array_join(F.transform(stated, lambda s: F.concat(F.lit("<"), F.element_at(ids, s), F.lit(">"))), "")
+    return F.array_join(F.transform(F.filter(stated, lambda s: s.isin(list(known))), lambda s: F.concat(F.lit("<"), F.element_at(ids, s), F.lit(">"))), "")
 
 
 def _apply(sequence: Column, rules: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
@@ -141,9 +151,8 @@ def _sql() -> str:
     ids = "MAP {" + ", ".join(f"'{s}': '<{x}>'" for s, x in known.items()) + "}"
 
     def sequence(ends: str) -> str:
-        marked = f"regexp_replace(lower(replace(coalesce(text, ''), '|', ' ')), '{ends}', '|', 'g')"
-        pieces = f"string_split_regex(regexp_replace({marked}, '{OTHER}', ' ', 'g'), ' ?\\| ?')"
-        return f"array_to_string(list_transform(list_filter(list_transform({pieces}, lambda s: trim(s)), lambda s: map_contains(ids, s)), lambda s: ids[s]), '')"
+        pieces = f"list_transform(string_split_regex(lower(coalesce(text, '')), '{ends}'), lambda s: trim(regexp_replace(s, '{OTHER}', ' ', 'g')))"
+        return f"array_to_string(list_transform(list_filter({pieces}, lambda s: map_contains(ids, s)), lambda s: ids[s]), '')"
 
     steps = [f"""s0 AS (SELECT doc_id, {sequence(LINE_END)} AS a, {sequence(TEXT_END)} AS b FROM documents, (SELECT {ids} AS ids)),
 r0 AS (SELECT doc_id, a, b, a AS x, b AS y, []::VARCHAR[] AS f FROM s0)"""]

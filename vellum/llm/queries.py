@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from .licences import OP7_SQL, op7_licences
 from .mixing import OP10_SQL, op10_mix
 from .urlfilter import OP9_SQL, op9_url_rules
 
 QUERIES = {
+    "op7_licences": op7_licences,
     "op9_url_rules": op9_url_rules,
     "op10_mix": op10_mix,
 }
 
 SQL = {
+    "op7_licences": OP7_SQL,
     "op9_url_rules": OP9_SQL,
     "op10_mix": OP10_SQL,
 }
