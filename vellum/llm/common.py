@@ -75,3 +75,11 @@ def sample_rows(rows: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
     salted = F.xxhash64(F.lit(seed), F.col(id_col))
     cut = rows.select(salted.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
     return rows.filter(salted <= F.lit(cut)) if cut is not None else rows.limit(0)
+
+
+_SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Lower-case words (in any script), with ASCII punctuation as space."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split() if text else []
