@@ -83,3 +83,14 @@ _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 def plain_words(text: str | None) -> list[bytes]:
     """Lower-case words (in any script), with ASCII punctuation as space."""
     return text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split() if text else []
+
+
+def collect_sample(rows: DataFrame, id_col: str, columns: list[str], n: int, most_chars: int, seed: str) -> list:
+    """At most `n` rows, one for each of the ids with the smallest hashes, of texts no longer than `most_chars`, by id."""
+    short = rows.filter(F.col(id_col).isNotNull() & (F.length("text") <= most_chars))
+    salted = F.xxhash64(F.lit(seed), F.col(id_col))
+    cut = short.select(salted.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if cut is None:
+        return []
+    one = short.filter(salted <= F.lit(cut)).groupBy(id_col).agg(F.max(F.struct(*columns)).alias("row"))
+    return sorted(one.select(id_col, "row.*").collect(), key=lambda r: r[id_col])

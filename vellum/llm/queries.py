@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
+from .langid import op6_language
 from .licences import OP7_SQL, op7_licences
 from .mixing import OP10_SQL, op10_mix
 from .toxicity import op5_toxicity
 from .urlfilter import OP9_SQL, op9_url_rules
 
 QUERIES = {
+    "op6_language": op6_language,
     "op5_toxicity": op5_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op7_licences": op7_licences,
