@@ -8,8 +8,10 @@ from .licences import OP7_SQL, op7_licences
 from .mixing import OP10_SQL, op10_mix
 from .toxicity import op5_toxicity
 from .urlfilter import OP9_SQL, op9_url_rules
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op8_warc": op8_warc,
     "op6_language": op6_language,
     "op5_toxicity": op5_toxicity,
     "op4_decontaminate": op4_decontaminate,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_warc": OP8_SQL,
     "op7_licences": OP7_SQL,
     "op9_url_rules": OP9_SQL,
     "op10_mix": OP10_SQL,
