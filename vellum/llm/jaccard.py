@@ -10,8 +10,10 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,11 @@ from .graph import components
 
 BLOCK_TOKENS = 3_000_000
 #: N-grams of the sets that one search holds; groups of candidates with more are searched part by part.
-CELL = 4_000_000
+CELL = 200_000
 #: DivideSkip leaves about T / (MU log2(longest list) + 1) lists to be probed.
 MU = 0.0085
+#: Short lists with more entries than that are merged by counting.
+HEAPED = 1000
 
 
 def required(n: int, percent: int) -> int:
@@ -36,10 +40,6 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def required_of_pair(n: int, m: int, percent: int) -> int:
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -204,7 +204,7 @@ def _prefixes(percent: int):
     return post
 
 
-def merge_skip(lists: list[list[int]], least: int, first: int) -> Iterator[tuple[int, int]]:
+def merge_skip(lists: list[array], least: int, first: int) -> Iterator[tuple[int, int]]:
     """(record, occurrences) of records from `first` on that at least `least` of the sorted lists hold.
 
     A heap holds the head of each list. Where too few lists have the least head, so many lists leave the heap that no
@@ -231,6 +231,34 @@ def merge_skip(lists: list[list[int]], least: int, first: int) -> Iterator[tuple
                 heapq.heappush(heap, (lists[k][i], k, i))
 
 
+def merge_count(lists: list[array], least: int, first: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same records as merge_skip() for lists too long to go through a heap one by one: counted in one array."""
+    count = np.zeros(before - first, np.int32)
+    for x in lists:
+        x = np.frombuffer(x, np.int32)
+        count[x[np.searchsorted(x, first) :] - first] += 1
+    return np.flatnonzero(count >= least) + first, count
+
+
+def _reached(candidates: np.ndarray, count: np.ndarray, need: np.ndarray, long: list[array]) -> np.ndarray:
+    """Which candidates occur as often as they need, with binary search in the long lists, longest first.
+
+    A candidate that has enough, or can't get enough from the lists that are left, is searched for no longer.
+    """
+    reached = count >= need
+    open_ = np.flatnonzero(~reached & (count + len(long) >= need))
+    for k in range(len(long) - 1, -1, -1):
+        if not len(open_):
+            break
+        x = np.frombuffer(long[k], np.int32)
+        at = np.searchsorted(x, candidates[open_])
+        count[open_] += x[np.minimum(at, len(x) - 1)] == candidates[open_]
+        enough = count[open_] >= need[open_]
+        reached[open_[enough]] = True
+        open_ = open_[~enough & (count[open_] + k >= need[open_])]
+    return reached
+
+
 def search(nodes: list[int], sizes: list[int], sets: list[np.ndarray], percent: int, parts: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join all records which similarity connects; each links a record to a smaller or equal one.
 
@@ -238,43 +266,51 @@ def search(nodes: list[int], sizes: list[int], sets: list[np.ndarray], percent:
     a search ends when nothing is left to connect. With `parts`, only records of different parts are compared.
     """
     order = sorted(range(len(nodes)), key=lambda i: (sizes[i], nodes[i]))
-    size = [sizes[i] for i in order]
-    parent = list(range(len(order)))
-    index: dict[int, list[int]] = {}
+    size = np.array([sizes[i] for i in order], np.int64)
+    sized = size.tolist()
+    of_part = np.array([parts[i] for i in order]) if parts else None
+    root = np.arange(len(order))  # of each record, kept flat
+    members: dict[int, list[int]] = {}
+    index: dict[int, array] = {}
     links, apart = [], 0
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def connect(r: int, s: int) -> None:
+        a, b = root[r], root[s]
+        small, large = sorted((a, b), key=lambda x: len(members[x]))
+        root[members[small]] = large
+        members[large] += members.pop(small)
+        links.append((nodes[order[r]], nodes[order[s]]))
 
     for r, i in enumerate(order):
-        grams, t = sets[i].tolist(), required(size[r], percent)
-        first = bisect_left(size, t, 0, r)
+        grams, t = sets[i].tolist(), required(sized[r], percent)
+        first = bisect_left(sized, t, 0, r)
         lists = [x for g in grams if (x := index.get(g)) and x[-1] >= first]
+        members[r] = [r]
         apart += 1
         if len(lists) >= t and apart > 1:
             lists.sort(key=len)
             probed = min(t - 1, int(t / (MU * math.log2(len(lists[-1]) + 1) + 1)))
             short, long = lists[: len(lists) - probed], lists[len(lists) - probed :]
-            for s, count in merge_skip(short, t - probed, first):
-                if parts and parts[order[s]] == parts[i] or find(s) == find(r):
-                    continue
-                need = required_of_pair(size[r], size[s], percent)
-                for k, x in enumerate(long):
-                    if count >= need or count + len(long) - k < need:
-                        break
-                    at = bisect_left(x, s)
-                    count += at < len(x) and x[at] == s
-                if count >= need:
-                    parent[find(r)] = find(s)
-                    links.append((nodes[i], nodes[order[s]]))
-                    apart -= 1
-                    if apart == 1:
-                        break
+            if sum(map(len, short)) <= HEAPED:
+                found = merge_skip(short, t - probed, first)
+                batches: Iterator = iter(lambda: list(islice(found, 16)), [])
+            else:
+                many, total = merge_count(short, t - probed, first, r)
+                batches = iter([list(zip(many.tolist(), total[many - first].tolist(), strict=True))])
+            for batch in batches:
+                s, count = np.array(batch, np.int64).reshape(-1, 2).T.copy()
+                new = root[s] != root[r]
+                if of_part is not None:
+                    new &= of_part[s] != of_part[r]
+                s, count = s[new], count[new]
+                for x in s[_reached(s, count, -(-percent * (sized[r] + size[s]) // (100 + percent)), long)].tolist():
+                    if root[x] != root[r]:
+                        connect(r, x)
+                        apart -= 1
+                if apart == 1:
+                    break
         for g in grams:
-            index.setdefault(g, []).append(r)
+            index.setdefault(g, array("i")).append(r)
     return links
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .additive import op1_neighbours
 from .decontaminate import op4_decontaminate
 from .hmm import op2_hmm
+from .jaccard import op3_jaccard
 from .langid import op6_language
 from .licences import OP7_SQL, op7_licences
 from .mixing import OP10_SQL, op10_mix
@@ -13,6 +14,7 @@ from .urlfilter import OP9_SQL, op9_url_rules
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op3_jaccard": op3_jaccard,
     "op2_hmm": op2_hmm,
     "op1_neighbours": op1_neighbours,
     "op8_warc": op8_warc,
