@@ -1,17 +1,47 @@
-"""A corpus pipeline: language ID, toxicity, near duplicates, decontamination, mixing."""
+"""A corpus pipeline: language ID, toxicity, near duplicates, decontamination, mixing.
+
+Each stage takes what the one before kept, written as Parquet and read again, and is a function of its input alone. The
+first four return rows of `documents`, fewer of them; the last returns the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.llm.common import materialise
+from vellum.llm.decontaminate import remove_leaks
+from vellum.llm.jaccard import keep_one
+from vellum.llm.langid import keep_identified
 from vellum.llm.mixing import mix_documents
+from vellum.llm.toxicity import remove_toxic
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a letter, and those of which no language holds three words in ten."""
+    return keep_identified(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts that the classifier, fitted on the labelled ones among them, calls toxic."""
+    return remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group linked by a similarity of 0.8 or more of their sets of five words."""
+    return keep_one(docs, n=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold an item of the benchmark, exactly or with few edits."""
+    return remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document left the mix takes."""
     return mix_documents(docs)
 
 
-STAGES = [("mix", mix)]
+STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix)]
 
 #: The classifiers and the edit-distance search have no SQL.
 ORACLE_SQL = None
@@ -19,6 +49,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialise(docs, f"pipeline-{name}")
     return docs
