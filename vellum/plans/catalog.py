@@ -1,4 +1,8 @@
-"""Every query by name, with its SQL."""
+"""Every query by name, with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import analysis, scalar, structure
+
+QUERIES = scalar.QUERIES | structure.QUERIES | analysis.QUERIES
+SQL = scalar.SQL | structure.SQL | analysis.SQL
