@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, scalar, structure
+from . import analysis, documents, scalar, structure
 
-QUERIES = scalar.QUERIES | structure.QUERIES | analysis.QUERIES
-SQL = scalar.SQL | structure.SQL | analysis.SQL
+QUERIES = scalar.QUERIES | structure.QUERIES | analysis.QUERIES | documents.QUERIES
+SQL = scalar.SQL | structure.SQL | analysis.SQL | documents.SQL
