@@ -46,15 +46,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(words: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-grams of a sequence of word hashes; of a shorter one, of the whole."""
-    size = min(n, len(words))
-    if not size:
-        return np.empty(0, np.uint64)
-    h = np.full(len(words) - size + 1, size, np.uint64)
-    for i in range(size):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - size + 1 + i])
-    return np.unique(h)
+def shingles(words: np.ndarray, lengths: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """For each of the texts that make up a sequence of word hashes: the sorted distinct 64-bit hashes of its n-grams; of a
+    text of fewer words, of the whole."""
+    h = np.full(max(0, len(words) - n + 1), n, np.uint64)
+    for i in range(n):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i])
+    end = 0
+    for size in lengths.tolist():
+        begin, end = end, end + size
+        if size >= n:
+            yield np.unique(h[begin : end - n + 1])
+        else:
+            short = np.full(min(size, 1), size, np.uint64)
+            for i in range(size):
+                short = _mix(short * np.uint64(0x9E3779B97F4A7C15) + words[begin + i])
+            yield short
 
 
 def _signed(x: np.uint64) -> int:
@@ -73,15 +80,17 @@ def _block(rows: list[tuple[int | None, str | None]], n: int, block: int) -> dic
     number: dict[bytes, int] = {}
     coded = [np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64) for _, text in rows]
     keys = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
-    sets = [shingles(keys[c], n) for c in coded]
+    lengths = np.array([len(c) for c in coded], np.int32)
+    ids = np.concatenate(coded)
+    sets = list(shingles(keys[ids], lengths, n))
     return {
         "block": block,
         "doc_ids": [i for i, _ in rows],
         "sizes": [len(s) for s in sets],
         "h1": [_signed(s.sum(dtype=np.uint64)) for s in sets],
         "h2": [_signed(_mix(s).sum(dtype=np.uint64)) for s in sets],
-        "lengths": np.array([len(c) for c in coded], np.int32).tobytes(),
-        "ids": pack_ids(np.concatenate(coded)),
+        "lengths": lengths.tobytes(),
+        "ids": pack_ids(ids),
         "keys": keys.tobytes(),
         "n_keys": sum(len(s) for s in sets),
     }
@@ -106,11 +115,12 @@ def block_table(docs: DataFrame, n: int) -> DataFrame:
 def _sets(row: dict, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(position, set) of the first document of each distinct set of a block."""
     keys, lengths = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["lengths"], np.int32)
-    words, ends, seen = keys[unpack_ids(row["ids"])], np.cumsum(lengths), set()
-    for i, name in enumerate(zip(row["h1"], row["h2"], row["sizes"], strict=True)):
-        if row["sizes"][i] and name not in seen:
+    seen = set()
+    names = zip(row["h1"], row["h2"], row["sizes"], strict=True)
+    for i, (name, s) in enumerate(zip(names, shingles(keys[unpack_ids(row["ids"])], lengths, n), strict=True)):
+        if len(s) and name not in seen:
             seen.add(name)
-            yield i, shingles(words[ends[i] - lengths[i] : ends[i]], n)
+            yield i, s
 
 
 def _pack(sorted32: np.ndarray) -> bytes:
@@ -173,16 +183,17 @@ def _survivors(n: int, percent: int, buckets: int):
             held = list(_sets(row, n))
             if not held:
                 continue
-            distinct = np.unique(np.concatenate([s for _, s in held]))
+            distinct, number = np.unique(np.concatenate([s for _, s in held]), return_inverse=True)
             rarity = np.zeros(len(distinct), np.uint8)
             for b, at in _dealt(distinct, buckets):
                 rarity[at] = np.frombuffer(zlib.decompress(blobs[b]), np.uint8)
-            for i, s in held:
-                r = rarity[np.searchsorted(distinct, s)]
-                on = r > 0
-                if on.sum() >= required(len(s), percent):
-                    s, r = s[on], r[on]
-                    out.append(((row["block"] << 24) + i, row["sizes"][i], s[np.argsort(r, kind="stable")].tobytes()))
+            rarity = rarity[number]
+            begin = np.cumsum([0, *(len(s) for _, s in held)])
+            common = np.add.reduceat(rarity > 0, begin[:-1], dtype=np.int64)
+            for k in np.flatnonzero(common >= [required(len(s), percent) for _, s in held]).tolist():
+                (i, s), r = held[k], rarity[begin[k] : begin[k + 1]]
+                s = s[np.argsort(r, kind="stable")][len(s) - common[k] :]
+                out.append(((row["block"] << 24) + i, row["sizes"][i], s.tobytes()))
         columns = zip(*out, strict=True) if out else ((), (), ())
         return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
