@@ -155,3 +155,15 @@ def title_in_name(title: Column, name: Column, share: float = 0.6) -> Column:
 def utc_seconds(date: Column) -> Column:
     """`YYYY-MM-DD` at midnight UTC, and timestamps without their fraction; null if it is neither."""
     return F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(date, F.lit("T00:00:00Z"))).when(date.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"), F.regexp_replace(date, r"\.\d+Z$", "Z"))
+
+
+def admission_issue(name: Column, media_type: Column) -> Column:
+    """Why a file is not taken, by name and stated media type; null if it is."""
+    accepted = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+    return F.when(~F.coalesce(F.lower(name), F.lit("")).endswith(".docx"), "not-a-docx-name").when(~F.coalesce(media_type, F.lit("")).isin("", accepted), "not-a-docx-type")
+
+
+def publication_issues(title: Column, identifier: Column, language: Column) -> Column:
+    """Names of the fields that an EPUB requires and that are blank or not well formed, in that order."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return F.array_compact(F.array(F.when(blank(title), "title"), F.when(blank(identifier), "identifier"), F.when(~F.coalesce(language, F.lit("")).rlike(LANGUAGE_TAG), "language")))

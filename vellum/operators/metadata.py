@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import base_name, plain_text, slug
@@ -62,3 +62,12 @@ def overlay(resolved: DataFrame, edits: DataFrame) -> DataFrame:
     kept = both.filter(F.col("edit").isNull() | (F.col("edit") != ""))
     edited = F.col("edit").isNotNull()
     return kept.select("page_id", "field", F.coalesce("edit", "value").alias("value"), F.when(edited, "editor").otherwise(F.col("source")).alias("source"), F.when(edited, "certain").otherwise(F.col("confidence")).alias("confidence"), F.when(edited, "user").otherwise(F.col("method")).alias("method"))
+
+
+def edit_people(people: DataFrame, edits: DataFrame) -> DataFrame:
+    """Authors (page_id, ord, name) after edits (page_id, ord, name): a name replaces the author of that place or is added,
+    a blank one removes it; places close up."""
+    both = people.select("page_id", "ord", "name").join(edits.select("page_id", "ord", F.trim("name").alias("edit")), ["page_id", "ord"], "full")
+    kept = both.filter(F.coalesce("edit", "name") != "")
+    order = Window.partitionBy("page_id").orderBy("ord")
+    return kept.select("page_id", (F.row_number().over(order) - 1).alias("ord"), F.coalesce("edit", "name").alias("name"))

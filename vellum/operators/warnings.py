@@ -31,3 +31,16 @@ def rules(rows: DataFrame, doc: str, tests: list[tuple[str, str, str, Column]])
         for i, (path, code, message, test) in enumerate(tests, 1)
     ]))
     return rows.select(doc, F.explode(found).alias("issue")).select(doc, "issue.*")
+
+
+def with_style_names(warnings: DataFrame, styles: DataFrame, doc: str) -> DataFrame:
+    """Adds `style_name`: the name of the warning's style, or its id where there is no such style."""
+    named = styles.select(doc, "style_id", F.col("name").alias("_name"))
+    return warnings.join(named, [doc, "style_id"], "left").withColumn("style_name", F.coalesce("_name", "style_id")).drop("_name")
+
+
+def merged(model: DataFrame, writer: DataFrame, doc: str) -> DataFrame:
+    """Warnings of the reader before those of the writer: (doc, ord, code, message) with a new order."""
+    both = model.withColumn("_side", F.lit(0)).unionByName(writer.withColumn("_side", F.lit(1)))
+    order = Window.partitionBy(doc).orderBy("_side", "ord")
+    return both.withColumn("ord", F.row_number().over(order) - 1).drop("_side")

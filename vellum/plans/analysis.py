@@ -158,10 +158,34 @@ def validate_model(spark, sf_dir):
     return W.rules(_read(spark, sf_dir, "documents"), "doc_id", tests)
 
 
+def warning_style_names(spark, sf_dir):
+    sheet = spark.createDataFrame([("shout", "Loud Lines")], "style_id string, name string")
+    styles = _read(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id").join(sheet)
+    return W.with_style_names(_warned(spark, sf_dir), styles, "doc_id").select("doc_id", "ord", "style_name")
+
+
+def warnings_merged(spark, sf_dir):
+    rows = _warned(spark, sf_dir).select("doc_id", "ord", "code", "message")
+    found = W.merged(rows.filter("code = 'long-line'"), rows.filter("code <> 'long-line'"), "doc_id")
+    return found.select("doc_id", F.col("ord").cast("long").alias("ord"), "code", "message")
+
+
+def edited_authors(spark, sf_dir):
+    """Customers of a nation as its authors, one renamed, one removed and one added."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    people = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page_id"), (F.row_number().over(order) - 1).alias("ord"), F.col("c_name").alias("name"))
+    nations = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page_id"), "n_name")
+    edits = nations.select("page_id", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), n.alias("name")) for i, n in ((0, F.concat(F.lit(" Prof. "), "n_name")), (1, F.lit(" ")), (100000, F.lit("Anon")))])).alias("e"))
+    found = M.edit_people(people, edits.select("page_id", "e.*"))
+    return found.select("page_id", F.col("ord").cast("long").alias("ord"), "name")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        style_inheritance, style_usage, style_examples, used_styles, style_classify, preset_accept, apply_heading_levels, metadata_candidates, metadata_resolve,
+        warning_style_names, warnings_merged, edited_authors, style_inheritance, style_usage, style_examples, used_styles, style_classify, preset_accept, apply_heading_levels, metadata_candidates, metadata_resolve,
         metadata_titles, publication_date, metadata_edit_overlay, warnings_deduplicate, warning_route, validate_model,
     )
 }
@@ -220,6 +244,12 @@ SQL = {
     "warnings_deduplicate": f"""WITH {_WARN}, k AS (SELECT *, CASE code WHEN 'style-unknown' THEN 'style:' || style_id WHEN 'long-line' THEN code || ':' || message END AS key FROM warned)
       SELECT doc_id, ord::BIGINT AS ord, code, message FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) AS n FROM k) WHERE key IS NULL OR n = 1""",
     "warning_route": f"""WITH {_WARN} SELECT doc_id, CASE code WHEN 'style-unknown' THEN 'styles' WHEN 'long-line' THEN 'none' ELSE 'formula' END AS part, count(*) AS warnings FROM warned GROUP BY ALL""",
+    "warning_style_names": f"WITH {_WARN} SELECT doc_id, ord::BIGINT AS ord, CASE WHEN style_id = 'shout' AND doc_id % 2 = 0 THEN 'Loud Lines' ELSE style_id END AS style_name FROM warned",
+    "warnings_merged": f"WITH {_WARN} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY code <> 'long-line', ord) - 1 AS ord, code, message FROM warned",
+    "edited_authors": """WITH p AS (SELECT c_nationkey AS page_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ord, c_name AS name FROM customer),
+      e AS (SELECT n_nationkey AS page_id, 0 AS ord, 'Prof. ' || n_name AS edit FROM nation UNION ALL SELECT n_nationkey, 1, '' FROM nation UNION ALL SELECT n_nationkey, 100000, 'Anon' FROM nation),
+      b AS (SELECT coalesce(p.page_id, e.page_id) AS page_id, coalesce(p.ord, e.ord) AS ord, coalesce(edit, name) AS name FROM p FULL JOIN e ON p.page_id = e.page_id AND p.ord = e.ord)
+      SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS ord, name FROM b WHERE name <> ''""",
     "validate_model": """SELECT * FROM (
       SELECT doc_id, 1 AS rule, '$.text' AS path, 'missing' AS code, 'The text is missing.' AS message FROM documents WHERE text IS NULL
       UNION ALL SELECT doc_id, 2, '$.text', 'empty', 'The text has no letters.' FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[A-Za-z]')

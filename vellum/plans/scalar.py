@@ -93,10 +93,23 @@ def date_stamps(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_orderkey", T.utc_seconds(date).alias("stamp"))
 
 
+def file_admission(spark, sf_dir):
+    name = F.concat("p_name", F.element_at(F.array(F.lit(".docx"), F.lit(".DocX"), F.lit(".doc"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int")))
+    media = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "text/plain")
+    return _read(spark, sf_dir, "part").select("p_partkey", T.admission_issue(name, media).alias("issue"))
+
+
+def publication_issues(spark, sf_dir):
+    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
+    language = F.when(F.col("page_id") % 3 == 0, "not a tag").otherwise(F.regexp_extract("html", '<html lang="([^"]*)"', 1))
+    issues = T.publication_issues(F.when(F.col("page_id") % 4 > 0, title), F.when(F.col("page_id") % 5 > 0, F.col("url")).otherwise(" "), language)
+    return _read(spark, sf_dir, "pages").select("page_id", F.array_join(issues, ",").alias("issues"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        escape_markdown, escape_html, plain_text_html, normalise_text, data_url, tokens_and_labels, title_in_url, safe_hrefs, media_admission,
+        file_admission, publication_issues, escape_markdown, escape_html, plain_text_html, normalise_text, data_url, tokens_and_labels, title_in_url, safe_hrefs, media_admission,
         language_lcid, output_names, code_fence, math_tokens, json_get, date_stamps,
     )
 }
@@ -109,6 +122,9 @@ _NAMED = "len({w}) >= 2 AND len(list_filter({w}, lambda x: contains(lower({n}),
 _TITLE = "regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"
 
 SQL = {
+    "file_admission": "SELECT p_partkey, CASE WHEN p_partkey % 4 > 1 THEN 'not-a-docx-name' WHEN p_size % 3 = 1 THEN 'not-a-docx-type' END AS issue FROM part",
+    "publication_issues": f"""SELECT page_id, concat_ws(',', CASE WHEN page_id % 4 = 0 OR trim({_TITLE}) = '' THEN 'title' END, CASE WHEN page_id % 5 = 0 THEN 'identifier' END,
+      CASE WHEN page_id % 3 = 0 OR NOT regexp_matches(regexp_extract(html, '<html lang="([^"]*)"', 1), '{T.LANGUAGE_TAG}') THEN 'language' END) AS issues FROM pages""",
     "escape_markdown": r"SELECT doc_id, regexp_replace(text, '([\\`*_\[\]<>#])', '\\\1', 'g') AS escaped FROM documents",
     "escape_html": """SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text,
       replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS attribute,
