@@ -37,7 +37,7 @@ def effective_formats(styles: DataFrame, most: int = 64) -> DataFrame:
     styles.createOrReplaceTempView(name)
     own = ", ".join(f"s.{c}" for c in FORMATS)
     merged = ", ".join(f"coalesce(c.{c}, s.{c})" for c in FORMATS)
-    return spark.sql(f"""
+    found = spark.sql(f"""
         WITH RECURSIVE chain(doc_id, style_id, up, depth, seen, {", ".join(FORMATS)}) AS (
           SELECT doc_id, style_id, based_on, 0, array(style_id), {own} FROM {name} s
           UNION ALL
@@ -46,6 +46,8 @@ def effective_formats(styles: DataFrame, most: int = 64) -> DataFrame:
           WHERE NOT array_contains(c.seen, s.style_id) AND c.depth < {most})
         SELECT doc_id, style_id, max(depth) AS depth, {", ".join(f"max_by({c}, depth) AS {c}" for c in FORMATS)}
         FROM chain GROUP BY doc_id, style_id""")
+    spark.catalog.dropTempView(name)
+    return found
 
 
 def usage_statistics(usages: DataFrame, by: list[str]) -> DataFrame:
