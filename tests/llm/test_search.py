@@ -197,9 +197,9 @@ def test_leaks_are_what_brute_force_finds(spark):
     told = []
     for d, text, *_ in docs:
         for i, item, _ in items:
-            x = decontaminate.normal_words(item)
+            x = decontaminate.plain_words(item)
             if len(x) >= decontaminate.MIN_WORDS:
-                distance = edit_distance_to_part(x, decontaminate.normal_words(text))
+                distance = edit_distance_to_part(x, decontaminate.plain_words(text))
                 if distance <= decontaminate.allowed(len(x), 0.8):
                     told.append((d if d is not None else -1, i if i is not None else -1, distance))
     assert set(got) <= set(told)

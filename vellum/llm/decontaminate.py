@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_chunks
+from .common import bounded_chunks, plain_words, tidy
 
 SIMILARITY = 0.8
 #: Items with fewer words are no evidence of leakage.
@@ -28,14 +28,6 @@ CHARS_AT_ONCE = 4_000_000
 TABLES, MOST_TABLES = 8, 64  # samples of a walk; walks are added until the recall is reached
 MATCHES = "doc_id long, item_id long, distance int, item_words int, start_word int"
 
-_SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-
-
-def normal_words(text: str | None) -> list[bytes]:
-    """Lower-case words, with ASCII punctuation as space."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split() if text else []
-
-
 def allowed(n: int, similarity: float) -> int:
     """The most word edits that leave an item of n words at that similarity."""
     return int((1 - similarity) * n + 1e-9)
@@ -168,12 +160,12 @@ def build_index(rows: list[tuple[int, str]], similarity: float, recall: float) -
     vocabulary: dict[bytes, int] = {}
     by_length: dict[int, list[tuple[int, list[int]]]] = {}
     for item, text in rows:
-        words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in normal_words(text)]
+        words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in plain_words(text)]
         if len(words) >= MIN_WORDS:
             by_length.setdefault(len(words), []).append((item, words))
     hashes = _mix(np.arange(len(vocabulary) + 1, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     counts = np.bincount([w for held in by_length.values() for _, words in held for w in words], minlength=len(vocabulary) + 1)
-    weights = np.maximum(0, np.log2(counts.sum() / np.maximum(counts, 1)) - 8).astype(np.float32)
+    weights = np.maximum(0, np.log2(np.maximum(counts.sum(), 1) / np.maximum(counts, 1)) - 8).astype(np.float32)
     weights[0] = 0
     most_held = np.zeros(len(counts), np.int64)
     for held in by_length.values():
@@ -260,7 +252,7 @@ def _search(texts: list[str | None], vocabulary: dict[bytes, int], known: Words,
     begin = []
     for text in texts:
         begin.append(len(numbers))
-        numbers += [get(w, 0) for w in normal_words(text)]
+        numbers += [get(w, 0) for w in plain_words(text)]
         numbers += gap  # a window may reach past the end of its text, where nothing matches
     held, begin = np.array(numbers, np.int32), np.array(begin)
     values = known.hashes[held]
@@ -299,7 +291,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     """
     out = None
     for index in _indexes(benchmark, similarity, recall):
-        part = docs.select("doc_id", "text").mapInArrow(_searcher(*index), MATCHES)
+        part = docs.select("doc_id", "text").mapInArrow(tidy(_searcher(*index)), MATCHES)
         out = part if out is None else out.unionByName(part)
     return out.withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
 
@@ -348,7 +340,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return kept
 
     for index in _indexes(benchmark, similarity, recall):
-        docs = docs.mapInArrow(keep(index), docs.schema)
+        docs = docs.mapInArrow(tidy(keep(index)), docs.schema)
     return docs
 
 

@@ -22,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of
+from .common import materialise, tidy, tidy_groups, words_of
 from .exchange import bucket_count, buckets_of, pack_ids, unpack_ids
 from .graph import components
 
-BLOCK_TOKENS = 3_000_000
+#: Documents of a block have about so many words together.
+BLOCK_TOKENS = 1_500_000
 #: N-grams of the sets that one search holds; groups of candidates with more are searched part by part.
 CELL = 200_000
 #: DivideSkip leaves about T / (MU log2(longest list) + 1) lists to be probed.
@@ -109,7 +110,7 @@ def block_table(docs: DataFrame, n: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist([_block(rows, n, base + made)], schema=BLOCKS)
 
-    return docs.select("doc_id", "text").mapInArrow(blocks, BLOCKS_SQL)
+    return docs.select("doc_id", "text").mapInArrow(tidy(blocks), BLOCKS_SQL)
 
 
 def _sets(row: dict, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -359,10 +360,10 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.min("node").alias("node"))
     classes = materialise(classes, "jaccard-classes")
 
-    asked = table.select(*BLOCKS.names).mapInArrow(_ask(n, buckets), "bucket int, block long, low binary, sets binary")
+    asked = table.select(*BLOCKS.names).mapInArrow(tidy(_ask(n, buckets)), "bucket int, block long, low binary, sets binary")
     answers = asked.groupBy("bucket").applyInArrow(_rarity, "block long, bucket int, rarity binary")
     left = table.select("block", "sizes", "h1", "h2", "lengths", "ids", "keys")
-    kept = left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(n, percent, buckets), "node long, n int, shared binary")
+    kept = left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_groups(_survivors(n, percent, buckets)), "node long, n int, shared binary")
     kept = materialise(kept.join(classes.select("node"), "node", "left_semi"), "jaccard-kept")
 
     postings = kept.mapInArrow(_prefixes(percent), "gram long, node long")
