@@ -128,3 +128,47 @@ def test_presets_with_unknown_meanings_are_refused(spark):
 def test_preview_has_nothing_active(spark):
     html = '<p onclick="x()" style="a">Hi<script>alert(1)</script><a href="javascript:x">l</a><iframe src="y"></iframe></p>'
     assert one(spark, P.sanitise(F.lit(html))) == "<p>Hi<a>l</a></p>"
+
+
+def test_operations_report_results_and_errors_and_can_be_cancelled(spark):
+    import time
+
+    import pytest
+
+    from vellum.plans.jobs import Operation
+
+    assert Operation(spark, "count", lambda: spark.range(10).count()).start().result() == 10
+    with pytest.raises(ZeroDivisionError):
+        Operation(spark, "fail", lambda: 1 / 0).start().result()
+    slow = Operation(spark, "slow", lambda: spark.range(10**12).selectExpr("sum(sqrt(id))").collect()).start()
+    for _ in range(100):
+        if slow.progress()[1]:
+            break
+        time.sleep(0.1)
+    slow.cancel()
+    with pytest.raises(Exception, match="(?i)cancel"):
+        slow.result()
+
+
+def test_people_are_replaced_removed_and_added(spark):
+    people = spark.createDataFrame([(1, 0, "A"), (1, 1, "B"), (2, 0, "C")], "page_id long, ord int, name string")
+    edits = spark.createDataFrame([(1, 0, " "), (1, 5, "Z"), (2, 0, " D ")], "page_id long, ord int, name string")
+    assert sorted(tuple(r) for r in M.edit_people(people, edits).collect()) == [(1, 0, "B"), (1, 1, "Z"), (2, 0, "D")]
+
+
+def test_reader_warnings_come_before_writer_warnings(spark):
+    a = spark.createDataFrame([("d", 3, "r")], "doc_id string, ord int, code string")
+    b = spark.createDataFrame([("d", 0, "w"), ("e", 1, "w")], "doc_id string, ord int, code string")
+    assert sorted(tuple(r) for r in W.merged(a, b, "doc_id").select("doc_id", "ord", "code").collect()) == [("d", 0, "r"), ("d", 1, "w"), ("e", 0, "w")]
+
+
+def test_first_violation_is_by_row_then_by_rule(spark):
+    rows = spark.createDataFrame([("d", 0, 1), ("d", 1, 9), ("d", 2, 99), ("e", 0, 1)], "doc_id string, ord int, size int")
+    found = {r["doc_id"]: r["code"] for r in S.first_violation(rows, "doc_id", "ord", [("huge", F.col("size") > 50), ("large", F.col("size") > 5)]).collect()}
+    assert found == {"d": "large", "e": None}
+
+
+def test_admission_and_publication_issues(spark):
+    assert one(spark, T.admission_issue(F.lit("A.DOCX"), F.lit(""))) is None
+    assert one(spark, T.admission_issue(F.lit("a.doc"), F.lit(None))) == "not-a-docx-name"
+    assert one(spark, T.publication_issues(F.lit(" "), F.lit("urn:x"), F.lit("english!"))) == ["title", "language"]
