@@ -39,6 +39,12 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, in a session whose Arrow batches hold at most 8 MB: texts may be long, and a batch is held several times over."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def id_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text (null: empty text) modulo `modulus`."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

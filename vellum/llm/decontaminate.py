@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_chunks, plain_words, tidy
+from .common import bounded_chunks, plain_words, small_batches, tidy
 
 SIMILARITY = 0.8
 #: Items with fewer words are no evidence of leakage.
@@ -291,7 +291,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     """
     out = None
     for index in _indexes(benchmark, similarity, recall):
-        part = docs.select("doc_id", "text").mapInArrow(tidy(_searcher(*index)), MATCHES)
+        part = small_batches(docs).select("doc_id", "text").mapInArrow(tidy(_searcher(*index)), MATCHES)
         out = part if out is None else out.unionByName(part)
     return out.withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
 
@@ -340,7 +340,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return kept
 
     for index in _indexes(benchmark, similarity, recall):
-        docs = docs.mapInArrow(tidy(keep(index)), docs.schema)
+        docs = small_batches(docs).mapInArrow(tidy(keep(index)), docs.schema)
     return docs
 
 

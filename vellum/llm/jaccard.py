@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, tidy, tidy_groups, words_of
+from .common import materialise, small_batches, tidy, tidy_groups, words_of
 from .exchange import bucket_count, buckets_of, pack_ids, unpack_ids
 from .graph import components
 
@@ -110,7 +110,7 @@ def block_table(docs: DataFrame, n: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist([_block(rows, n, base + made)], schema=BLOCKS)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(blocks), BLOCKS_SQL)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tidy(blocks), BLOCKS_SQL)
 
 
 def _sets(row: dict, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -398,3 +398,18 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(list_zip(w[1:-3], w[2:-2], w[3:]), lambda t: t[1] || ' ' || t[2] || ' ' || t[3])) END AS s FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT y, root FROM reach JOIN links ON x = doc_id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.component_id FROM sets s JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id
+"""

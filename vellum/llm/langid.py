@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_chunks, collect_sample, id_bucket, plain_words, tidy
+from .common import bounded_chunks, collect_sample, id_bucket, plain_words, small_batches, tidy
 
 #: The field is fitted on so many labelled documents at most, none longer than that.
 TRAIN_ROWS, TRAIN_CHARS = 2000, 20_000
@@ -274,7 +274,7 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
             names, scores = labeller.all_texts(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], schema=schema)
 
-    return docs.select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "text").mapInArrow(tidy(label), FIELDS)
+    return small_batches(docs).select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "text").mapInArrow(tidy(label), FIELDS)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
@@ -287,7 +287,7 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
             names, scores = labeller.all_texts(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(tidy(keep), docs.schema)
+    return small_batches(docs).mapInArrow(tidy(keep), docs.schema)
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

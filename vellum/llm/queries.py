@@ -5,7 +5,7 @@ from __future__ import annotations
 from .additive import op1_neighbours
 from .decontaminate import op4_decontaminate
 from .hmm import op2_hmm
-from .jaccard import op3_jaccard
+from .jaccard import OP3_SQL, op3_jaccard
 from .langid import op6_language
 from .licences import OP7_SQL, op7_licences
 from .mixing import OP10_SQL, op10_mix
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_jaccard": OP3_SQL,
     "op8_warc": OP8_SQL,
     "op7_licences": OP7_SQL,
     "op9_url_rules": OP9_SQL,
