@@ -43,4 +43,7 @@ def as_packages(docs: DataFrame) -> DataFrame:
                 body = "".join(paragraph(line) for line in clean.split("\n"))
                 yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "path": f"{doc_id}.docx", "content": package(body)}], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(make, "doc_id string, path string, content binary")
+    rows, cores = docs.select(F.col("doc_id").cast("string"), "text"), docs.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a table in few files, which would keep few cores busy with all that follows
+        rows = rows.repartition(cores)
+    return rows.mapInArrow(make, "doc_id string, path string, content binary")
