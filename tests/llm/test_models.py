@@ -100,6 +100,28 @@ def test_blocks_do_not_change_the_counts(spark, monkeypatch):
     assert {r["doc_id"]: r["base_score"] for r in scored(spark, rows)} == pytest.approx(one)
 
 
+def held_gain(found):
+    held = [r for r in found if r["held_out"]]
+    return sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+
+
+def test_states_are_learned_from_all_documents_and_not_the_start(spark, monkeypatch):
+    rows = [r[:5] for r in texts(300)]
+    steps, maximise = [], hmm.maximise
+    monkeypatch.setattr(hmm, "maximise", lambda *a: steps.append(1) or maximise(*a))
+    whole = held_gain(scored(spark, rows))
+    assert len(steps) >= 3
+    monkeypatch.setattr(hmm, "START_ROWS", 12)
+    assert held_gain(scored(spark, rows)) == pytest.approx(whole, abs=0.02)
+
+
+def test_long_or_few_documents_start_the_states_too(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "START_CHARS", 60)
+    assert held_gain(scored(spark, [r[:5] for r in texts(200, 6)])) > 0.1
+    one = " ".join(t for _, t, *_ in sorted(texts(100, 7), key=lambda r: r[2]))
+    assert [r["score"] > r["base_score"] for r in scored(spark, [(0, one, "", "", "")])] == [True]
+
+
 # toxicity
 
 

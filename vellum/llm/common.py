@@ -7,6 +7,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,10 +34,30 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here, and Catalyst knows its true size."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return write_table(df, new_path(df.sparkSession, name), **options)
+
+
+def write_table(df: DataFrame, path: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in here drop their shuffle files when they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -105,6 +126,23 @@ def collect_sample(rows: DataFrame, id_col: str, columns: list[str], n: int, mos
     return sorted(one.select(id_col, "row.*").collect(), key=lambda r: r[id_col])
 
 
+def collect_segments(rows: DataFrame, id_col: str, n: int, chars: int, seed: str) -> list[str]:
+    """At most `n` segments of texts, those with the smallest hashes of id and number, by these: a text is cut every `chars`
+    characters, so long texts take part with every segment. Rows of one id count once, with the last of their texts."""
+    numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / chars).cast("int"))
+    salted = lambda k: F.xxhash64(F.lit(seed), F.col(id_col), k)
+    known = rows.filter(F.col(id_col).isNotNull() & F.col("text").isNotNull())
+    listed = known.select(id_col, numbers.alias("numbers")).select(id_col, F.explode("numbers").alias("k"))
+    cut = listed.select(salted(F.col("k")).alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if cut is None:
+        return []
+    mine = F.filter(numbers, lambda k: salted(k) <= F.lit(cut))
+    parts = F.transform(mine, lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * chars + 1, F.lit(chars)).alias("part")))
+    picked = known.select(id_col, parts.alias("parts")).filter(F.size("parts") > 0).select(id_col, F.inline("parts"))
+    one = picked.groupBy(id_col, "k").agg(F.max("part").alias("part"))
+    return [r["part"] for r in sorted(one.collect(), key=lambda r: (r[id_col], r["k"]))]
+
+
 def _release() -> None:
     pa.default_memory_pool().release_unused()
     try:

@@ -1,7 +1,8 @@
 """A hidden Markov language model over words.
 
-Latent states are trained by Baum-Welch: each block of documents counts what its words and transitions expect, the counts
-are put together over all blocks, and the scaled forward recursion then gives each text's exact likelihood.
+Latent states are trained by Baum-Welch steps over all documents: in each, every block of documents counts what its words
+and transitions expect, and the counts are put together over all blocks. The scaled forward recursion then gives each text's
+exact likelihood.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_sample, id_bucket, materialise, small_batches, tidy, tidy_groups, words_of
+from .common import collect_segments, drop_table, dropped_shuffles, id_bucket, new_path, small_batches, tidy, tidy_groups, words_of, write_table
 from .exchange import aligned, answer, bucket_count, pack_ids, requests, unpack_ids
 
 STATES = 4
-#: The states are first fitted on so many training documents at most, none longer than that; all training documents then
-#: give the counts of the model. Starting there, one pass over the corpus is one step of Baum-Welch.
+#: Where Baum-Welch over the corpus starts is found on so many segments of training documents at most, of so many characters.
 START_ROWS, START_CHARS, START_STEPS = 2000, 20_000, 15
+#: Steps over all training documents end when one gains less than this in the log likelihood of a word (in nats).
+TOLERANCE = 0.01
 #: Documents of a block have about so many words together.
 BLOCK_TOKENS = 3_000_000
 #: Each state's emissions are smoothed with the unigram model, as if it had dealt so many words for each distinct word.
@@ -144,10 +146,13 @@ def fit_start(texts: list[str], states: int = STATES, seed: int = 2) -> Start:
     """States fitted on a sample: documents are first told apart by a mixture of unigrams, then Baum-Welch steps follow."""
     rng = np.random.default_rng(seed)
     docs = [[*words_of(t), END] for t in texts]
+    if 0 < len(docs) < states:  # too few to tell states apart by
+        size = max(1, sum(map(len, docs)) // (4 * states))
+        docs = [d[i : i + size] for d in docs for i in range(0, len(d), size)]
     seen = Counter(w for d in docs for w in d)
-    known = [w for w, c in sorted(seen.items()) if c >= 3]
+    known = [w for w, c in sorted(seen.items()) if c >= 3] or sorted(seen)
     uniform = np.full(states, 1 / states)
-    if len(docs) < states or not known:
+    if not docs:
         return Start(uniform, np.full((states, states), 1 / states), {})
     number = {w: i + 1 for i, w in enumerate(known)}  # 0: any other word
     coded = [np.array([number.get(w, 0) for w in d]) for d in docs]
@@ -185,37 +190,53 @@ def _block(rows: list[tuple[int | None, bool, str | None]], start: Start, block:
     for _, _, text in rows:
         coded.append(np.array([number.setdefault(w, len(number)) for w in words_of(text)] + [0], np.int64))
     lengths = np.array([len(c) for c in coded])
-    trained = np.array([not held for _, held, _ in rows])
-    k = len(start.start)
-    emission = np.ones((len(number), k))
+    emission = np.ones((len(number), len(start.start)))
     for i, w in enumerate(number):
         if (r := start.relative.get(w)) is not None:
             emission[i] = r
-    totals, pairs, starts = np.zeros((len(number), k)), np.zeros((k, k)), np.zeros(k)
-    counts = np.zeros(len(number), np.uint32)
-    for lo in range(0, len(rows), 1000):
-        use = [c for c, t in zip(coded[lo : lo + 1000], trained[lo : lo + 1000], strict=True) if t]
-        if use:
-            ids = np.concatenate(use)
-            _, c = recursion(ids, np.array([len(x) for x in use]), emission, start.start, start.transition, count=True)
+    held, ids = [h for _, h, _ in rows], np.concatenate(coded)
+    return {
+        "block": block,
+        "doc_ids": [i for i, _, _ in rows],
+        "held": held,
+        "lengths": lengths.astype(np.int32).tobytes(),
+        "ids": pack_ids(ids),
+        "n_keys": len(number),
+        "keys": np.array([_hash(w) for w in number], np.uint64).tobytes(),
+    } | _expected(ids, lengths, held, emission, start.start, start.transition)
+
+
+def _parts(ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first, end, words) of every thousand documents."""
+    ends = np.cumsum(lengths)
+    for lo in range(0, len(lengths), 1000):
+        hi = min(lo + 1000, len(lengths))
+        yield lo, hi, ids[ends[lo] - lengths[lo] : ends[hi - 1]]
+
+
+def _expected(ids: np.ndarray, lengths: np.ndarray, held: list[bool], emission: np.ndarray, start: np.ndarray, transition: np.ndarray) -> dict:
+    """The counts that the training part of a block expects, and its log likelihood."""
+    k, trained = len(start), ~np.array(held, bool)
+    totals, pairs, starts, likelihood = np.zeros((len(emission), k)), np.zeros((k, k)), np.zeros(k), 0.0
+    counts = np.zeros(len(emission), np.uint32)
+    for lo, hi, part in _parts(ids, lengths):
+        size, use = lengths[lo:hi], trained[lo:hi]
+        if use.any():
+            part = part[np.repeat(use, size)]
+            logs, c = recursion(part, size[use], emission, start, transition, count=True)
+            likelihood += logs.sum()
             totals += c.words
             pairs += c.pairs
             starts += c.starts
-            counts += np.bincount(ids, minlength=len(number)).astype(np.uint32)
+            counts += np.bincount(part, minlength=len(emission)).astype(np.uint32)
     shares = (totals[:, :-1] / np.maximum(counts, 1)[:, None]).astype(np.float16)
     kept = shares.astype(np.float64) * counts[:, None]  # the counts as they are sent
     by_state = np.append(kept.sum(axis=0), counts.sum() - kept.sum())
     return {
-        "block": block,
-        "doc_ids": [i for i, _, _ in rows],
-        "held": [h for _, h, _ in rows],
-        "lengths": lengths.astype(np.int32).tobytes(),
-        "ids": pack_ids(np.concatenate(coded)),
-        "n_keys": len(number),
-        "keys": np.array([_hash(w) for w in number], np.uint64).tobytes(),
         "counts": counts.tobytes(),
         "shares": shares.tobytes(),
         "tokens": int(counts.sum()),
+        "likelihood": float(likelihood),
         "by_state": by_state.tolist(),
         "pairs": pairs.ravel().tolist(),
         "starts": starts.tolist(),
@@ -224,12 +245,12 @@ def _block(rows: list[tuple[int | None, bool, str | None]], start: Start, block:
 
 BLOCKS = pa.schema([
     ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("ids", pa.binary()),
-    ("n_keys", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("shares", pa.binary()), ("tokens", pa.int64()),
+    ("n_keys", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("shares", pa.binary()), ("tokens", pa.int64()), ("likelihood", pa.float64()),
     ("by_state", pa.list_(pa.float64())), ("pairs", pa.list_(pa.float64())), ("starts", pa.list_(pa.float64())),
 ])
 BLOCKS_SQL = (
     "block long, doc_ids array<long>, held array<boolean>, lengths binary, ids binary, n_keys long, keys binary, counts binary, "
-    "shares binary, tokens long, by_state array<double>, pairs array<double>, starts array<double>"
+    "shares binary, tokens long, likelihood double, by_state array<double>, pairs array<double>, starts array<double>"
 )
 
 
@@ -288,38 +309,102 @@ def count_types(blocks: DataFrame, buckets: int) -> int:
     return asked.groupBy("bucket").applyInArrow(distinct, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def _emission(row: dict, answers: pa.Table, model: Model, buckets: int, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """The corpus's counts of a block's words, and their emissions."""
+    keys = np.frombuffer(row["keys"], np.uint64)
+    counts = aligned(answers, keys, buckets, "answer_0", np.uint32).astype(np.float64)
+    in_state = aligned(answers, keys, buckets, "answer_1", np.float32, states - 1).astype(np.float64).reshape(len(keys), -1)
+    in_state = np.concatenate((in_state, np.maximum(0, counts - in_state.sum(axis=1))[:, None]), axis=1)
+    return counts, model.emission(counts, in_state)
+
+
+def _coded(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return unpack_ids(row["ids"]), np.frombuffer(row["lengths"], np.int32).astype(np.int64)
+
+
+def _stepper(model: Model, buckets: int, states: int):
+    """A step of Baum-Welch in a block: its row, with what its documents expect of the model."""
+
+    def step(block: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        for row in block.to_pylist():
+            _, emission = _emission(row, answers, model, buckets, states)
+            rows.append(row | _expected(*_coded(row), row["held"], emission, model.start, model.transition))
+        return pa.Table.from_pylist(rows, schema=BLOCKS)
+
+    return step
+
+
 def _scorer(model: Model, buckets: int, states: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known_mass", pa.float64()), ("score_mass", pa.float64())])
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in block.to_pylist():
-            keys = np.frombuffer(row["keys"], np.uint64)
-            counts = aligned(answers, keys, buckets, "answer_0", np.uint32).astype(np.float64)
-            in_state = aligned(answers, keys, buckets, "answer_1", np.float32, states - 1).astype(np.float64).reshape(len(keys), -1)
-            in_state = np.concatenate((in_state, np.maximum(0, counts - in_state.sum(axis=1))[:, None]), axis=1)
-            emission, unigram = model.emission(counts, in_state), np.log10((counts + 1) / (model.tokens + model.types + 1))
-            ids, lengths = unpack_ids(row["ids"]), np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-            ends = np.cumsum(lengths)
-            for lo in range(0, len(lengths), 1000):
-                size = lengths[lo : lo + 1000]
-                part = ids[ends[lo] - lengths[lo] : ends[lo + len(size) - 1]]
+            counts, emission = _emission(row, answers, model, buckets, states)
+            unigram = np.log10((counts + 1) / (model.tokens + model.types + 1))
+            ids, lengths = _coded(row)
+            for lo, hi, part in _parts(ids, lengths):
+                size = lengths[lo:hi]
                 of = np.repeat(np.arange(len(size)), size)
                 log, _ = recursion(part, size, emission, model.start, model.transition)
                 base = np.bincount(of, unigram[part], minlength=len(size))
                 known = np.bincount(of, counts[part] > 0, minlength=len(size))
-                out.append(pa.table([pa.array(row["doc_ids"][lo : lo + len(size)], pa.int64()), pa.array(row["held"][lo : lo + len(size)]), pa.array(size), pa.array(known.astype(np.int64)), pa.array(base), pa.array(base + log / np.log(10))], schema=schema))
+                out.append(pa.table([pa.array(row["doc_ids"][lo:hi], pa.int64()), pa.array(row["held"][lo:hi]), pa.array(size), pa.array(known.astype(np.int64)), pa.array(base), pa.array(base + log / np.log(10))], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return score
 
 
+def _answers(blocks: DataFrame, buckets: int) -> DataFrame:
+    """What all blocks together count of each block's words: times, and times in each state but the last."""
+
+    def counted(row: dict) -> tuple[int, np.ndarray, list[np.ndarray]]:
+        n = row["n_keys"]
+        return row["block"], np.frombuffer(row["keys"], np.uint64), [np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["shares"], np.float16).reshape(n, -1)]
+
+    def total(distinct: np.ndarray, number: np.ndarray, sent: list[list[bytes]]) -> list[np.ndarray]:
+        c = np.frombuffer(b"".join(sent[0]), np.uint32).astype(np.float64)
+        share = np.frombuffer(b"".join(sent[1]), np.float16).reshape(len(c), -1).astype(np.float64)
+        in_state = np.stack([np.bincount(number, c * s, minlength=len(distinct)) for s in share.T], axis=1) if share.shape[1] else share
+        return [np.bincount(number, c, minlength=len(distinct)).astype(np.uint32), in_state.astype(np.float32)]
+
+    return answer(requests(blocks, buckets, counted, ["block", "n_keys", "keys", "counts", "shares"], 2), total, 2, 2)
+
+
+def train(rows: DataFrame, start: Start, states: int = STATES) -> tuple[DataFrame, Model, int]:
+    """Baum-Welch over all training documents: the table of blocks with the last step's counts, their model, the buckets.
+
+    Steps follow each other until one gains less than TOLERANCE. Each writes the table anew; the table before it and the
+    shuffle files of the step are dropped then.
+    """
+    spark, options = rows.sparkSession, {"parquet.block.size": "8388608"}
+    with dropped_shuffles(spark):
+        path = new_path(spark, "hmm-blocks")
+        blocks = write_table(expect(rows, start), path, **options)
+        buckets = bucket_count(blocks)
+        types = count_types(blocks, buckets)
+        model, before = maximise(blocks, types, states), -np.inf
+        while model.tokens:
+            left = blocks.select("block", "doc_ids", "held", "lengths", "ids", "n_keys", "keys")
+            stepped = left.groupBy("block").cogroup(_answers(blocks, buckets).groupBy("block")).applyInArrow(tidy_groups(_stepper(model, buckets, states)), BLOCKS_SQL)
+            old, path = path, new_path(spark, "hmm-blocks")
+            blocks = write_table(stepped, path, **options)
+            drop_table(spark, old)
+            now = blocks.agg(F.sum("likelihood")).first()[0] / model.tokens  # of the model that the step started with
+            model = maximise(blocks, types, states)
+            if now - before < TOLERANCE:
+                break
+            before = now
+    return blocks, model, buckets
+
+
 def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
     """Score every text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Words are lower-cased in A-Z and parted by ASCII white space; each text ends with an end token. Training documents are
-    those whose crc32(doc_id as text) modulo 7 is not 2. All of them are counted: words, and Baum-Welch's expected counts of
-    words in states, transitions and first states. base_score is the unigram model with one added to each count; score is
+    those whose crc32(doc_id as text) modulo 7 is not 2. All of them are counted in every step of Baum-Welch: words, and the
+    expected counts of words in states, transitions and first states; steps end when they gain less than TOLERANCE. base_score is the unigram model with one added to each count; score is
     log10 of the text's probability in the hidden Markov model, whose states' emissions are smoothed with the unigram's.
     Null and empty texts are the end token alone; without training documents both scores are of the empty model; repeated
     rows count as often as they are there; other columns are not read. Words are known by 64-bit hashes.
@@ -328,26 +413,10 @@ def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
     corpus's back.
     """
     rows = docs.select("doc_id", (id_bucket("doc_id", 7) == 2).alias("held_out"), "text")
-    sample = collect_sample(rows.filter(~F.col("held_out")), "doc_id", ["text"], START_ROWS, START_CHARS, "hmm")
-    start = fit_start([r["text"] for r in sample], states)
-    blocks = materialise(expect(rows, start), "hmm-blocks", **{"parquet.block.size": "8388608"})
-    buckets = bucket_count(blocks)
-    model = maximise(blocks, count_types(blocks, buckets), states)
-
-    def counted(row: dict) -> tuple[int, np.ndarray, list[np.ndarray]]:
-        n = row["n_keys"]
-        return row["block"], np.frombuffer(row["keys"], np.uint64), [np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["shares"], np.float16).reshape(n, -1)]
-
-    def total(distinct: np.ndarray, number: np.ndarray, sent: list[list[bytes]]) -> list[np.ndarray]:
-        c = np.frombuffer(b"".join(sent[0]), np.uint32).astype(np.float64)
-        share = np.frombuffer(b"".join(sent[1]), np.float16).reshape(len(c), -1).astype(np.float64)
-        in_state = np.stack([np.bincount(number, c * s, minlength=len(distinct)) for s in share.T], axis=1) if share.shape[1] else share
-        return [np.bincount(number, c, minlength=len(distinct)).astype(np.uint32), in_state.astype(np.float32)]
-
-    asked = requests(blocks, buckets, counted, ["block", "n_keys", "keys", "counts", "shares"], 2)
-    answers = answer(asked, total, 2, 2)
+    start = fit_start(collect_segments(rows.filter(~F.col("held_out")), "doc_id", START_ROWS, START_CHARS, "hmm"), states)
+    blocks, model, buckets = train(rows, start, states)
     left = blocks.select("block", "doc_ids", "held", "lengths", "ids", "keys")
-    scored = left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_groups(_scorer(model, buckets, states)), SCORES)
+    scored = left.groupBy("block").cogroup(_answers(blocks, buckets).groupBy("block")).applyInArrow(tidy_groups(_scorer(model, buckets, states)), SCORES)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         F.col("known_mass").alias("base_score"), F.col("score_mass").alias("score"), F.pow(F.lit(10.0), -F.col("score_mass") / F.col("n_tokens")).alias("perplexity"),
