@@ -217,6 +217,23 @@ def test_removal_keeps_clean_rows_as_they_are(spark):
     assert decontaminate.find_leaks(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_long_items_are_found_with_the_recall_too(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 3000) % 5000)) for i in range(5)]
+    _, known, (items,) = decontaminate.build_index(rows, 0.8, 0.97)
+    pick = rng.integers(5, size=200)
+    copies = np.stack([decontaminate._edited(items.words[i], items.most, rng, 0) for i in pick])
+    hit = np.zeros(len(pick), bool)
+    for walk, (places, *_) in enumerate(items.walks):
+        a, b = (decontaminate.cgk_samples(known.hashes[w].ravel(), np.arange(len(w)) * items.n, items.n, walk, places) for w in (items.words[pick], copies))
+        hit |= (a == b).any(axis=1)
+    assert hit.mean() >= 0.94
+    monkeypatch.setattr(decontaminate, "STALLED", 3)
+    monkeypatch.setattr(decontaminate, "cgk_samples", lambda hashes, start, n, walk, places: rng.random((len(start), len(places))))
+    with pytest.raises(RuntimeError, match="out of reach"):
+        decontaminate.build_index(rows, 0.8, 0.97)
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, " ".join(words(rng, 12)), "") for i in range(8)]

@@ -25,7 +25,9 @@ RECALL = 0.97
 ITEMS_CHARS = 8_000_000
 #: Characters of text that a task works on at once.
 CHARS_AT_ONCE = 4_000_000
-TABLES, MOST_TABLES = 8, 64  # samples of a walk; walks are added until the recall is reached
+TABLES = 8  # samples of a walk; walks are added until the recall is reached
+#: So many walks in a row that find no further copy mean that the recall is out of reach.
+STALLED = 1000
 MATCHES = "doc_id long, item_id long, distance int, item_words int, start_word int"
 
 def allowed(n: int, similarity: float) -> int:
@@ -134,20 +136,23 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator, fresh: int)
 def repetitions(words: np.ndarray, hashes: np.ndarray, most: int, z: int, recall: float) -> int:
     """Walks (of TABLES samples each) after which items with `most` random edits are found with this recall.
 
-    Measured on edited copies of the items themselves, 200 of them; ends at MOST_TABLES.
+    Measured on edited copies of the items themselves, 200 of them; an error where the recall is out of reach.
     """
     n = words.shape[1]
     rng = np.random.default_rng((104729, n))
     pick = rng.integers(len(words), size=200)
     copies = np.stack([_edited(words[i], most, rng, 0) for i in pick])
     flat = lambda w: (hashes[w].ravel(), np.arange(len(w)) * n)
-    hit, walks = np.zeros(len(pick), bool), 0
-    while walks * TABLES < MOST_TABLES:
+    hit, walks, last = np.zeros(len(pick), bool), 0, 0  # last: walks after which a copy was found last
+    while not walks or hit.mean() < recall:
+        if walks - last >= STALLED:
+            raise RuntimeError(f"recall {recall} of items of {n} words with {most} edits is out of reach: {hit.mean():.3f} after {walks} walks")
         places = sample_places(n, walks, TABLES, z)
-        hit |= (cgk_samples(*flat(words[pick]), n, walks, places) == cgk_samples(*flat(copies), n, walks, places)).any(axis=1)
+        left = np.flatnonzero(~hit)
+        found = (cgk_samples(*flat(words[pick[left]]), n, walks, places) == cgk_samples(*flat(copies[left]), n, walks, places)).any(axis=1)
+        hit[left[found]] = True
         walks += 1
-        if hit.mean() >= recall:
-            break
+        last = walks if found.any() else last
     return walks
 
 
