@@ -217,6 +217,16 @@ def test_removal_keeps_clean_rows_as_they_are(spark):
     assert decontaminate.find_leaks(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_short_items_are_found_word_for_word(spark):
+    items = [(i, x, "") for i, x in enumerate(["Yes!", "forty two", "a b c d", "...", "no", "two two two"])]
+    docs = spark.createDataFrame([(1, "he said: yes, forty-two", "", 0), (2, "forty a b c d", "", 0), (3, "a b x d two two", "", 0), (4, "no", "", 0)], DOCS)
+    bench = spark.createDataFrame(items, ITEMS)
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["start_word"]) for r in found) == [(1, 0, 0, 2), (1, 1, 0, 3), (2, 2, 0, 1), (4, 4, 0, 0)]
+    assert decontaminate.remove_leaks(docs, bench).count() == 4
+    assert decontaminate.remove_leaks(docs, bench, fewest=2).count() == 2
+
+
 def test_long_items_are_found_with_the_recall_too(monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 3000) % 5000)) for i in range(5)]

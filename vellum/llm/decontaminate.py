@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import bounded_chunks, plain_words, small_batches, tidy
 
 SIMILARITY = 0.8
-#: Items with fewer words are no evidence of leakage.
+#: Items with fewer words are no evidence of leakage: they are reported, but by default no document is removed for them.
 MIN_WORDS = 5
 RECALL = 0.97
 #: Items are searched for in blocks of about so many characters, each block in a pass of its own.
@@ -156,8 +156,8 @@ def repetitions(words: np.ndarray, hashes: np.ndarray, most: int, z: int, recall
     return walks
 
 
-def build_index(rows: list[tuple[int, str]], similarity: float, recall: float) -> tuple[dict[bytes, int], Words, list[Items]]:
-    """Vocabulary of the items, what is known of each word number, and the items by length.
+def build_index(rows: list[tuple[int, str]], similarity: float, recall: float, fewest: int = 1) -> tuple[dict[bytes, int], Words, list[Items]]:
+    """Vocabulary of the items, what is known of each word number, and the items of `fewest` words or more by length.
 
     A word weighs more the fewer of the items' words it is; a word of no item weighs nothing. A match leaves out or changes
     `most` words of its item, so it holds the item's weight but for its `most` heaviest words.
@@ -166,7 +166,7 @@ def build_index(rows: list[tuple[int, str]], similarity: float, recall: float) -
     by_length: dict[int, list[tuple[int, list[int]]]] = {}
     for item, text in rows:
         words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in plain_words(text)]
-        if len(words) >= MIN_WORDS:
+        if len(words) >= max(1, fewest):
             by_length.setdefault(len(words), []).append((item, words))
     hashes = _mix(np.arange(len(vocabulary) + 1, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     counts = np.bincount([w for held in by_length.values() for _, words in held for w in words], minlength=len(vocabulary) + 1)
@@ -290,8 +290,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     and samples of the embeddings looked up in the items' tables; walks are added until edited copies of the items are
     found with `recall`; every candidate is verified exactly. Windows are skipped only where they cannot match: where more
     words than the allowed edits occur in no item. The benchmark is read in blocks of ITEMS_CHARS characters, each of which
-    makes a pass over the documents; documents never move between tasks. Null and empty texts hold nothing; null, empty
-    and shorter items than MIN_WORDS words are never reported; equal items and repeated rows are each reported; a null
+    makes a pass over the documents; documents never move between tasks. Null and empty texts hold nothing; null items
+    and those without a word are never reported, and the shortest are reported where they occur word for word, as they allow
+    no edit; equal items and repeated rows are each reported; a null
     doc_id or item_id is carried; other columns are ignored.
     """
     out = None
@@ -301,17 +302,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     return out.withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
 
 
-def _indexes(benchmark: DataFrame, similarity: float, recall: float) -> Iterator[tuple]:
+def _indexes(benchmark: DataFrame, similarity: float, recall: float, fewest: int = 1) -> Iterator[tuple]:
     """An index for each block of the benchmark, one at least."""
     block: list[tuple[int, str]] = []
     size = 0
     for row in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
         if size > ITEMS_CHARS:
-            yield build_index(block, similarity, recall)
+            yield build_index(block, similarity, recall, fewest)
             block, size = [], 0
         block.append((row["item_id"], row["text"]))
         size += len(row["text"])
-    yield build_index(block, similarity, recall)
+    yield build_index(block, similarity, recall, fewest)
 
 
 def _searcher(vocabulary: dict[bytes, int], known: Words, found: list[Items]):
@@ -330,8 +331,9 @@ def _searcher(vocabulary: dict[bytes, int], known: Words, found: list[Items]):
     return search
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of `docs` in which find_leaks() finds no item, with all their columns: each is judged alone, nothing shuffles."""
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, fewest: int = MIN_WORDS) -> DataFrame:
+    """The rows of `docs` in which find_leaks() finds no item of `fewest` words or more, with all their columns: each is judged
+    alone, nothing shuffles."""
     text_at = docs.columns.index("text")
 
     def keep(index: tuple):
@@ -344,7 +346,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
         return kept
 
-    for index in _indexes(benchmark, similarity, recall):
+    for index in _indexes(benchmark, similarity, recall, fewest):
         docs = small_batches(docs).mapInArrow(tidy(keep(index)), docs.schema)
     return docs
 
