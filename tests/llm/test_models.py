@@ -210,3 +210,15 @@ def test_words_longer_than_any_width():
     labeller = langid.Labeller(langid.fit([r[1] for r in rows], [r[2] for r in rows]))
     names, scores = labeller.all_texts(["the" * 50_000, "x", "é" * 100])
     assert all(n in ("de", "en", "fr") for n in names) and all(0 < s <= 1 for s in scores)
+
+
+def test_rare_and_long_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 30)
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 300)
+    rng = random.Random(8)
+    rows = [r[:5] for r in texts(400, 8) if r[2] != "de"]
+    rows += [(1000 + i, " ".join(rng.choice(TONGUES["de"]) for _ in range(200)), "de", "", "") for i in range(4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.fit_on(docs)).collect()}
+    assert [found[1000 + i] for i in range(4)] == ["de"] * 4
+    assert np.mean([found[i] == lang for i, _, lang, *_ in rows]) >= 0.95

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these; as Java and as DuckDB (RE2) regular expression.
@@ -115,32 +115,32 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split() if text else []
 
 
-def collect_sample(rows: DataFrame, id_col: str, columns: list[str], n: int, most_chars: int, seed: str) -> list:
-    """At most `n` rows, one for each of the ids with the smallest hashes, of texts no longer than `most_chars`, by id."""
-    short = rows.filter(F.col(id_col).isNotNull() & (F.length("text") <= most_chars))
-    salted = F.xxhash64(F.lit(seed), F.col(id_col))
-    cut = short.select(salted.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    if cut is None:
-        return []
-    one = short.filter(salted <= F.lit(cut)).groupBy(id_col).agg(F.max(F.struct(*columns)).alias("row"))
-    return sorted(one.select(id_col, "row.*").collect(), key=lambda r: r[id_col])
-
-
 def collect_segments(rows: DataFrame, id_col: str, n: int, chars: int, seed: str) -> list[str]:
     """At most `n` segments of texts, those with the smallest hashes of id and number, by these: a text is cut every `chars`
     characters, so long texts take part with every segment. Rows of one id count once, with the last of their texts."""
+    return [part for part, _ in collect_labelled(rows.withColumn("label", F.lit("")), id_col, "label", n, 0, chars, seed)]
+
+
+def collect_labelled(rows: DataFrame, id_col: str, label: str, n: int, least: int, chars: int, seed: str) -> list[tuple[str, str]]:
+    """The same with their labels, and of each label the `least` segments with the smallest hashes besides."""
     numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / chars).cast("int"))
     salted = lambda k: F.xxhash64(F.lit(seed), F.col(id_col), k)
-    known = rows.filter(F.col(id_col).isNotNull() & F.col("text").isNotNull())
-    listed = known.select(id_col, numbers.alias("numbers")).select(id_col, F.explode("numbers").alias("k"))
-    cut = listed.select(salted(F.col("k")).alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    known = rows.filter(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(id_col, "text", F.col(label).alias("label"))
+    listed = known.select(id_col, "label", numbers.alias("numbers")).select(id_col, "label", F.explode("numbers").alias("k")).select("label", salted(F.col("k")).alias("h"))
+    cut = listed.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
     if cut is None:
         return []
-    mine = F.filter(numbers, lambda k: salted(k) <= F.lit(cut))
+    most = F.lit(cut)
+    if least:
+        ranked = listed.distinct().withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("n") <= least)
+        own = [(r["label"], max(cut, r["h"])) for r in ranked.groupBy("label").agg(F.max("h").alias("h")).collect()]
+        known = known.join(F.broadcast(rows.sparkSession.createDataFrame(own, "label string, most long")), "label")
+        most = F.col("most")
+    mine = F.filter(numbers, lambda k: salted(k) <= most)
     parts = F.transform(mine, lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * chars + 1, F.lit(chars)).alias("part")))
-    picked = known.select(id_col, parts.alias("parts")).filter(F.size("parts") > 0).select(id_col, F.inline("parts"))
-    one = picked.groupBy(id_col, "k").agg(F.max("part").alias("part"))
-    return [r["part"] for r in sorted(one.collect(), key=lambda r: (r[id_col], r["k"]))]
+    picked = known.select(id_col, "label", parts.alias("parts")).filter(F.size("parts") > 0).select(id_col, "label", F.inline("parts"))
+    one = picked.groupBy(id_col, "k").agg(F.max(F.struct("part", "label")).alias("row"))
+    return [(r["part"], r["label"]) for r in sorted(one.select(id_col, "k", "row.*").collect(), key=lambda r: (r[id_col], r["k"]))]
 
 
 def _release() -> None:

@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_chunks, collect_sample, id_bucket, plain_words, small_batches, tidy
+from .common import bounded_chunks, collect_labelled, id_bucket, plain_words, small_batches, tidy
 
-#: The field is fitted on so many labelled documents at most, none longer than that.
-TRAIN_ROWS, TRAIN_CHARS = 2000, 20_000
+#: The field is fitted on so many segments of labelled documents at most, of so many characters, and on so many of each
+#: language at least, where it has them.
+TRAIN_ROWS, TRAIN_CHARS, LEAST_ROWS = 2000, 20_000, 25
 HASHED = 2**17
 AFFIXES = (2, 3, 4)
 #: Words whose scores a task keeps; then it starts anew.
@@ -253,10 +254,11 @@ class Labeller:
 
 
 def fit_on(docs: DataFrame) -> Field:
-    """A field fitted on at most TRAIN_ROWS documents with a known language that are not held out."""
+    """A field fitted on segments of documents with a known language that are not held out: TRAIN_ROWS over all languages, and
+    LEAST_ROWS of each, so that rare languages are learned too."""
     known = docs.filter(F.col("lang").isNotNull() & (id_bucket("doc_id", 3) != 1)).select("doc_id", "text", "lang")
-    rows = collect_sample(known, "doc_id", ["text", "lang"], TRAIN_ROWS, TRAIN_CHARS, "language")
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = collect_labelled(known, "doc_id", "lang", TRAIN_ROWS, LEAST_ROWS, TRAIN_CHARS, "language")
+    return fit([text for text, _ in rows], [lang for _, lang in rows])
 
 
 def identify(docs: DataFrame, field: Field) -> DataFrame:
