@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vellum.llm import hmm, langid, toxicity
+from vellum.llm import chain, hmm, langid, toxicity
 from vellum.llm.common import words_of
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
@@ -36,7 +36,7 @@ def texts(n, seed=0, insult=0.0):
 
 
 def test_recursion_is_the_plain_one_over_cuts(monkeypatch):
-    monkeypatch.setattr(hmm, "SEGMENT", 7)
+    monkeypatch.setattr(chain, "SEGMENT", 7)
     rng = np.random.default_rng(0)
     k, v = 3, 12
     emission, start, move = rng.random((v, k)), rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k)
@@ -81,6 +81,42 @@ def test_base_scores_are_exact_and_the_model_is_better(spark):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_are_those_of_the_plain_recursion_on_the_assembled_model(spark):
+    """Every count, emission and score again, from the step's found tables alone, word by word in plain loops."""
+    rows = [r[:5] for r in texts(60, 9)] + [(500, None, "", "", "")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("held_out", hmm.id_bucket("doc_id", 7) == 2).select("doc_id", "held_out", "text")
+    start = hmm.fit_start([r[1] for r in rows if r[1]])
+    _, found, model, _ = hmm.train(docs, start)
+    counts, in_state = Counter(), {}
+    for row in found.collect():
+        n = row["n_keys"]
+        share = np.frombuffer(row["shares"], np.float32).reshape(n, -1).astype(float)
+        for key, c, s in zip(np.frombuffer(row["keys"], np.uint64).tolist(), np.frombuffer(row["counts"], np.uint32).tolist(), share, strict=True):
+            counts[key] += c
+            in_state[key] = in_state.get(key, 0) + c * np.append(s, 1 - s.sum())
+    mass = sum(in_state.values())
+    total, types = counts.total(), sum(c > 0 for c in counts.values())
+    told = {}
+    for i, t, *_ in rows:
+        log, a = 0.0, model.start
+        for w in [*words_of(t), b""]:
+            key = hmm._hash(w)
+            unigram = (counts[key] + 1) / (total + types + 1)
+            dealt = hmm.SMOOTHING * types * mass / total + 1
+            b = a * (in_state.get(key, np.zeros(4)) + dealt * unigram) / (mass + dealt)
+            log, a = log + math.log10(b.sum()), b / b.sum() @ model.transition
+        told[i] = log
+    again = {r["doc_id"]: r["score"] for r in hmm.score_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert again == pytest.approx(told, rel=1e-4)
+
+
+def test_counts_do_not_wrap_round():
+    n = 3
+    answers = hmm.pa.table({"bucket": hmm.pa.array([0], hmm.pa.int32()), "answer_0": [np.full(n, 2**40, np.uint64).tobytes()], "answer_1": [np.zeros((n, 3), np.float32).tobytes()]})
+    counts, _ = hmm._emission({"keys": np.arange(n, dtype=np.uint64).tobytes()}, answers, hmm.Model(np.ones(4) / 4, np.ones((4, 4)) / 4, np.full(4, 2.0**40), 2**42, n), 1, 4)
+    assert counts.tolist() == [2.0**40] * n
+
+
 def test_probabilities_of_all_one_word_texts_sum_to_less_than_one(spark):
     rows = [r[:5] for r in texts(200, 3)] + [(5000 + i, w, "", "", "") for i, w in enumerate(sorted({w for t in TONGUES.values() for w in t}))]
     total = sum(10 ** r["score"] for r in scored(spark, rows) if r["doc_id"] >= 5000)

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chain import forward_backward
 from .common import collect_segments, drop_table, dropped_shuffles, id_bucket, new_path, small_batches, tidy, tidy_groups, words_of, write_table
 from .exchange import aligned, answer, bucket_count, pack_ids, requests, unpack_ids
 
@@ -30,21 +31,12 @@ TOLERANCE = 0.01
 BLOCK_TOKENS = 3_000_000
 #: Each state's emissions are smoothed with the unigram model, as if it had dealt so many words for each distinct word.
 SMOOTHING = 2.0
-SEGMENT = 256
+#: A pass of forward-backward takes documents of about so many words together.
+PASS_TOKENS = 400_000
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, known_mass double, score_mass double"
 END = b""
 
 
-def segments(lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sequences cut into parts of SEGMENT: begin, length, sequence and number of each, and where each sequence's start."""
-    parts = -(-lengths // SEGMENT)
-    first = np.cumsum(parts) - parts
-    of = np.repeat(np.arange(len(lengths)), parts)
-    number = np.arange(parts.sum()) - first[of]
-    begin = (np.cumsum(lengths) - lengths)[of] + number * SEGMENT
-    return begin, np.minimum(lengths[of] - number * SEGMENT, SEGMENT), of, number, first
-
-
 def _scaled(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
@@ -61,76 +53,16 @@ class Counts:
 def recursion(ids: np.ndarray, lengths: np.ndarray, emission: np.ndarray, start: np.ndarray, transition: np.ndarray, count: bool = False) -> tuple[np.ndarray, Counts | None]:
     """Log likelihood of each sequence by the scaled forward recursion, and the expected counts by forward-backward.
 
-    `emission` [word, state] may be scaled by any factor of a word. Long sequences are cut into segments; products of each
-    segment's matrices carry the state distribution over the cuts, and then all segments of all sequences take their steps
-    together. This is the recursion over the whole sequences, in another order of the same products.
+    `emission` [word, state] may be scaled by any factor of a word.
     """
-    k = len(start)
-    likelihood = np.zeros(len(lengths))
-    counts = Counts(np.zeros_like(emission, dtype=np.float64), np.zeros((k, k)), np.zeros(k)) if count else None
-    if not len(lengths):
-        return likelihood, counts
-    begin, size, of, number, first = segments(lengths)
-    order = np.argsort(-size, kind="stable")
-    begin, size, of, number = begin[order], size[order], of[order], number[order]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    parts = -(-lengths // SEGMENT)
-    steps = int(size[0])
-    active = np.searchsorted(-size, -np.arange(steps), "left")
-    before, after = np.tile(start, (len(order), 1)), np.ones((len(order), k))
-    many = np.flatnonzero(parts[of] > 1)  # still longest first
-    if len(many):
-        product = np.tile(np.eye(k), (len(many), 1, 1))
-        live = np.searchsorted(-size[many], -np.arange(steps), "left")
-        for s in range(steps):
-            n = live[s]
-            x = (product[:n] * emission[ids[begin[many[:n]] + s]][:, None, :]) @ transition
-            product[:n] = x / x.max(axis=(1, 2), keepdims=True)
-        at = np.empty(len(order), np.int64)
-        at[many] = np.arange(len(many))
-        docs = np.flatnonzero(parts > 1)
-        for j in range(int(parts.max()) - 1):
-            docs = docs[parts[docs] > j + 1]
-            here, there = place[first[docs] + j], place[first[docs] + j + 1]
-            before[there] = _scaled(np.einsum("ni,nij->nj", before[here], product[at[here]]))
-        if count:
-            docs = np.flatnonzero(parts > 1)
-            for j in range(int(parts.max()) - 2, -1, -1):
-                on = docs[parts[docs] > j + 1]
-                here, there = place[first[on] + j], place[first[on] + j + 1]
-                after[here] = _scaled(np.einsum("nij,nj->ni", product[at[there]], after[there]))
-    forward = np.empty((len(ids), k)) if count else None
-    logs = np.zeros(len(order))
-    prior = before
-    for s in range(steps):
-        at = begin[: active[s]] + s
-        a = prior[: active[s]] * emission[ids[at]]
-        scale = a.sum(axis=1)
-        a /= scale[:, None]
-        logs[: active[s]] += np.log(scale)
-        if count:
-            forward[at] = a
-        prior = a @ transition
-    np.add.at(likelihood, of, logs)
-    if count:
-        last = number + 1 == parts[of]
-        state = np.empty((len(ids), k))
-        b = after
-        for s in range(steps - 1, -1, -1):
-            n = active[s]
-            at = begin[:n] + s
-            beta = b[:n] @ transition.T
-            a = forward[at]
-            mass = (a * beta).sum(axis=1, keepdims=True)
-            state[at] = a * beta / mass
-            inner = ~(last[:n] & (size[:n] == s + 1))
-            counts.pairs += transition * ((a / mass)[inner].T @ b[:n][inner])
-            b[:n] = _scaled(emission[ids[at]] * beta)
-        for i in range(k):
-            counts.words[:, i] = np.bincount(ids, state[:, i], minlength=len(emission))
-        counts.starts += state[np.cumsum(lengths) - lengths].sum(axis=0)
-    return likelihood, counts
+    found = forward_backward(np.ascontiguousarray(emission.T), ids, lengths, start, transition, count)
+    if not count:
+        return found.likelihood, None
+    told = ids[found.source]
+    words = np.stack([np.bincount(told, x, minlength=len(emission)) for x in found.states], axis=1)
+    first = np.zeros(len(ids), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    return found.likelihood, Counts(words, found.pairs, found.states[:, first[found.source]].sum(axis=1))
 
 
 @dataclass
@@ -201,17 +133,18 @@ def _block(rows: list[tuple[int | None, bool, str | None]], start: Start, block:
         "held": held,
         "lengths": lengths.astype(np.int32).tobytes(),
         "ids": pack_ids(ids),
-        "n_keys": len(number),
         "keys": np.array([_hash(w) for w in number], np.uint64).tobytes(),
     } | _expected(ids, lengths, held, emission, start.start, start.transition)
 
 
 def _parts(ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first, end, words) of every thousand documents."""
-    ends = np.cumsum(lengths)
-    for lo in range(0, len(lengths), 1000):
-        hi = min(lo + 1000, len(lengths))
-        yield lo, hi, ids[ends[lo] - lengths[lo] : ends[hi - 1]]
+    """(first, end, words) of documents that have about PASS_TOKENS words together."""
+    ends, lo = np.cumsum(lengths), 0
+    while lo < len(lengths):
+        begin = ends[lo] - lengths[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + PASS_TOKENS, "right")))
+        yield lo, hi, ids[begin : ends[hi - 1]]
+        lo = hi
 
 
 def _expected(ids: np.ndarray, lengths: np.ndarray, held: list[bool], emission: np.ndarray, start: np.ndarray, transition: np.ndarray) -> dict:
@@ -229,10 +162,10 @@ def _expected(ids: np.ndarray, lengths: np.ndarray, held: list[bool], emission:
             pairs += c.pairs
             starts += c.starts
             counts += np.bincount(part, minlength=len(emission)).astype(np.uint32)
-    shares = (totals[:, :-1] / np.maximum(counts, 1)[:, None]).astype(np.float16)
-    kept = shares.astype(np.float64) * counts[:, None]  # the counts as they are sent
-    by_state = np.append(kept.sum(axis=0), counts.sum() - kept.sum())
+    shares = (totals[:, :-1] / np.maximum(counts, 1)[:, None]).astype(np.float32)
+    by_state = np.append(totals[:, :-1].sum(axis=0), counts.sum() - totals[:, :-1].sum())
     return {
+        "n_keys": len(emission),
         "counts": counts.tobytes(),
         "shares": shares.tobytes(),
         "tokens": int(counts.sum()),
@@ -243,15 +176,22 @@ def _expected(ids: np.ndarray, lengths: np.ndarray, held: list[bool], emission:
     }
 
 
-BLOCKS = pa.schema([
-    ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("ids", pa.binary()),
-    ("n_keys", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("shares", pa.binary()), ("tokens", pa.int64()), ("likelihood", pa.float64()),
-    ("by_state", pa.list_(pa.float64())), ("pairs", pa.list_(pa.float64())), ("starts", pa.list_(pa.float64())),
-])
-BLOCKS_SQL = (
-    "block long, doc_ids array<long>, held array<boolean>, lengths binary, ids binary, n_keys long, keys binary, counts binary, "
-    "shares binary, tokens long, likelihood double, by_state array<double>, pairs array<double>, starts array<double>"
-)
+#: What stays of a block: documents as numbers of words, and the words' keys.
+TEXTS = {"block": "long", "doc_ids": "array<long>", "held": "array<boolean>", "lengths": "binary", "ids": "binary", "keys": "binary"}
+#: What a step finds of a block, with the keys that it is about.
+FOUND = {
+    "block": "long", "n_keys": "long", "keys": "binary", "counts": "binary", "shares": "binary", "tokens": "long", "likelihood": "double",
+    "by_state": "array<double>", "pairs": "array<double>", "starts": "array<double>",
+}
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
+
+
+def _schemas(columns: dict[str, str]) -> tuple[pa.Schema, str]:
+    return pa.schema([(c, _ARROW[t]) for c, t in columns.items()]), ", ".join(f"{c} {t}" for c, t in columns.items())
+
+
+BLOCKS, BLOCKS_SQL = _schemas(TEXTS | FOUND)
+STEP, STEP_SQL = _schemas(FOUND)
 
 
 def expect(docs: DataFrame, start: Start) -> DataFrame:
@@ -312,7 +252,7 @@ def count_types(blocks: DataFrame, buckets: int) -> int:
 def _emission(row: dict, answers: pa.Table, model: Model, buckets: int, states: int) -> tuple[np.ndarray, np.ndarray]:
     """The corpus's counts of a block's words, and their emissions."""
     keys = np.frombuffer(row["keys"], np.uint64)
-    counts = aligned(answers, keys, buckets, "answer_0", np.uint32).astype(np.float64)
+    counts = aligned(answers, keys, buckets, "answer_0", np.uint64).astype(np.float64)
     in_state = aligned(answers, keys, buckets, "answer_1", np.float32, states - 1).astype(np.float64).reshape(len(keys), -1)
     in_state = np.concatenate((in_state, np.maximum(0, counts - in_state.sum(axis=1))[:, None]), axis=1)
     return counts, model.emission(counts, in_state)
@@ -323,14 +263,14 @@ def _coded(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stepper(model: Model, buckets: int, states: int):
-    """A step of Baum-Welch in a block: its row, with what its documents expect of the model."""
+    """A step of Baum-Welch in a block: what its documents expect of the model."""
 
     def step(block: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         for row in block.to_pylist():
             _, emission = _emission(row, answers, model, buckets, states)
-            rows.append(row | _expected(*_coded(row), row["held"], emission, model.start, model.transition))
-        return pa.Table.from_pylist(rows, schema=BLOCKS)
+            rows.append({"block": row["block"], "keys": row["keys"]} | _expected(*_coded(row), row["held"], emission, model.start, model.transition))
+        return pa.Table.from_pylist(rows, schema=STEP)
 
     return step
 
@@ -361,42 +301,46 @@ def _answers(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def counted(row: dict) -> tuple[int, np.ndarray, list[np.ndarray]]:
         n = row["n_keys"]
-        return row["block"], np.frombuffer(row["keys"], np.uint64), [np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["shares"], np.float16).reshape(n, -1)]
+        return row["block"], np.frombuffer(row["keys"], np.uint64), [np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["shares"], np.float32).reshape(n, -1)]
 
     def total(distinct: np.ndarray, number: np.ndarray, sent: list[list[bytes]]) -> list[np.ndarray]:
         c = np.frombuffer(b"".join(sent[0]), np.uint32).astype(np.float64)
-        share = np.frombuffer(b"".join(sent[1]), np.float16).reshape(len(c), -1).astype(np.float64)
+        share = np.frombuffer(b"".join(sent[1]), np.float32).reshape(len(c), -1).astype(np.float64)
         in_state = np.stack([np.bincount(number, c * s, minlength=len(distinct)) for s in share.T], axis=1) if share.shape[1] else share
-        return [np.bincount(number, c, minlength=len(distinct)).astype(np.uint32), in_state.astype(np.float32)]
+        return [np.bincount(number, c, minlength=len(distinct)).astype(np.uint64), in_state.astype(np.float32)]
 
     return answer(requests(blocks, buckets, counted, ["block", "n_keys", "keys", "counts", "shares"], 2), total, 2, 2)
 
 
-def train(rows: DataFrame, start: Start, states: int = STATES) -> tuple[DataFrame, Model, int]:
-    """Baum-Welch over all training documents: the table of blocks with the last step's counts, their model, the buckets.
+def _meet(texts: DataFrame, found: DataFrame, buckets: int, task, schema: str) -> DataFrame:
+    """`task` of each block's texts and what all blocks together found of its words."""
+    return texts.groupBy("block").cogroup(_answers(found, buckets).groupBy("block")).applyInArrow(tidy_groups(task), schema)
+
+
+def train(rows: DataFrame, start: Start, states: int = STATES) -> tuple[DataFrame, DataFrame, Model, int]:
+    """Baum-Welch over all training documents: the blocks' texts, what the last step found, its model, the buckets.
 
-    Steps follow each other until one gains less than TOLERANCE. Each writes the table anew; the table before it and the
-    shuffle files of the step are dropped then.
+    Steps follow each other until one gains less than TOLERANCE. Texts are coded and written once; a step writes what it
+    found of the blocks' words, and drops what the step before it wrote, and its own shuffle files.
     """
     spark, options = rows.sparkSession, {"parquet.block.size": "8388608"}
     with dropped_shuffles(spark):
-        path = new_path(spark, "hmm-blocks")
-        blocks = write_table(expect(rows, start), path, **options)
-        buckets = bucket_count(blocks)
-        types = count_types(blocks, buckets)
-        model, before = maximise(blocks, types, states), -np.inf
+        found = write_table(expect(rows, start), new_path(spark, "hmm-blocks"), **options)
+        texts, path = found.select(*TEXTS), None
+        buckets = bucket_count(found)
+        types = count_types(found, buckets)
+        model, before = maximise(found, types, states), -np.inf
         while model.tokens:
-            left = blocks.select("block", "doc_ids", "held", "lengths", "ids", "n_keys", "keys")
-            stepped = left.groupBy("block").cogroup(_answers(blocks, buckets).groupBy("block")).applyInArrow(tidy_groups(_stepper(model, buckets, states)), BLOCKS_SQL)
-            old, path = path, new_path(spark, "hmm-blocks")
-            blocks = write_table(stepped, path, **options)
-            drop_table(spark, old)
-            now = blocks.agg(F.sum("likelihood")).first()[0] / model.tokens  # of the model that the step started with
-            model = maximise(blocks, types, states)
+            old, path = path, new_path(spark, "hmm-step")
+            found = write_table(_meet(texts, found, buckets, _stepper(model, buckets, states), STEP_SQL), path, **options)
+            if old:
+                drop_table(spark, old)
+            now = found.agg(F.sum("likelihood")).first()[0] / model.tokens  # of the model that the step started with
+            model = maximise(found, types, states)
             if now - before < TOLERANCE:
                 break
             before = now
-    return blocks, model, buckets
+    return texts, found, model, buckets
 
 
 def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
@@ -404,8 +348,9 @@ def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
 
     Words are lower-cased in A-Z and parted by ASCII white space; each text ends with an end token. Training documents are
     those whose crc32(doc_id as text) modulo 7 is not 2. All of them are counted in every step of Baum-Welch: words, and the
-    expected counts of words in states, transitions and first states; steps end when they gain less than TOLERANCE. base_score is the unigram model with one added to each count; score is
-    log10 of the text's probability in the hidden Markov model, whose states' emissions are smoothed with the unigram's.
+    expected counts of words in states, transitions and first states; steps end when they gain less than TOLERANCE.
+    base_score is the unigram model with one added to each count; score is log10 of the text's probability in the hidden
+    Markov model, whose states' emissions are smoothed with the unigram's.
     Null and empty texts are the end token alone; without training documents both scores are of the empty model; repeated
     rows count as often as they are there; other columns are not read. Words are known by 64-bit hashes.
 
@@ -414,9 +359,8 @@ def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
     """
     rows = docs.select("doc_id", (id_bucket("doc_id", 7) == 2).alias("held_out"), "text")
     start = fit_start(collect_segments(rows.filter(~F.col("held_out")), "doc_id", START_ROWS, START_CHARS, "hmm"), states)
-    blocks, model, buckets = train(rows, start, states)
-    left = blocks.select("block", "doc_ids", "held", "lengths", "ids", "keys")
-    scored = left.groupBy("block").cogroup(_answers(blocks, buckets).groupBy("block")).applyInArrow(tidy_groups(_scorer(model, buckets, states)), SCORES)
+    texts, found, model, buckets = train(rows, start, states)
+    scored = _meet(texts, found, buckets, _scorer(model, buckets, states), SCORES)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         F.col("known_mass").alias("base_score"), F.col("score_mass").alias("score"), F.pow(F.lit(10.0), -F.col("score_mass") / F.col("n_tokens")).alias("perplexity"),
