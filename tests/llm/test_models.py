@@ -203,14 +203,14 @@ def test_languages_are_told_and_odd_texts_are_unknown(spark):
     held = [r for r in rows[:400] if found[r[0]]["held_out"]]
     assert np.mean([found[r[0]]["lang_pred"] == r[2] for r in held]) >= 0.98
     kept = langid.keep_identified(docs)
-    assert kept.columns == docs.columns and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(i if i is not None else -1 for i, r in found.items() if r["lang_pred"] != "und" and r["score"] >= 0.3)
+    assert kept.columns == docs.columns and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(i if i is not None else -1 for i, r in found.items() if r["lang_pred"] != "und" )
 
 
 def test_words_of_mixed_texts_get_their_own_language():
     rows = texts(500, 6)
     labeller = langid.Labeller(langid.fit([r[1] for r in rows], [r[2] for r in rows]))
     text = "the of and house river stone der die nicht haus fluss le les dans maison rivière"
-    _, g = labeller.words([text])
+    _, g, _ = labeller.words([text])
     names = [labeller.field.languages[k] for k in g.argmax(axis=1)]
     told = ["en"] * 6 + ["de"] * 5 + ["fr"] * 5
     assert np.mean([a == b for a, b in zip(names, told, strict=True)]) >= 0.85
@@ -227,11 +227,71 @@ def test_forward_backward_is_the_sum_over_all_labellings():
         p = np.exp(sum(scores[t, y] for t, y in enumerate(labels)) + sum(move[a, b] for a, b in zip(labels, labels[1:], strict=False)))
         for t, y in enumerate(labels):
             told[t, y] += p
-    pairs = np.zeros((3, 3))
-    g = langid.forward_backward(scores, np.array([0]), np.array([4]), move, pairs)
+    g, pairs = langid.marginals(scores, np.arange(4), np.array([4]), move)
     assert np.allclose(g, told / told.sum(axis=1, keepdims=True)) and pairs.sum() == pytest.approx(3)
 
 
+def test_lines_are_never_cut(monkeypatch):
+    rng = np.random.default_rng(2)
+    scores, move, ids, lengths = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), rng.integers(9, size=1200), np.array([700, 1, 499])
+    whole, pairs = langid.marginals(scores, ids, lengths, move)
+    monkeypatch.setattr(chain, "SEGMENT", 10**6)
+    same, again = langid.marginals(scores, ids, lengths, move)
+    assert np.allclose(whole, same) and np.allclose(pairs, again) and np.allclose(whole.sum(axis=1), 1)
+
+
+def plain_features(word):
+    """Feature strings of a word, letter by letter."""
+    marked = b"^" + word + b"$"
+    out = [(k, marked[i : i + k]) for k in (2, 3) for i in range(len(marked) - k + 1)]
+    for k in langid.AFFIXES:
+        if len(word) >= k:
+            out += [(10 + k, word[:k]), (20 + k, word[-k:])]
+    return out
+
+
+def test_features_and_text_scores_are_those_of_plain_loops(monkeypatch):
+    rows = texts(80, 10)
+    field = langid.fit([r[1] for r in rows], [r[2] for r in rows])
+    held = [b"a", b"", "maison".encode(), "fluss".encode(), "rivi\u00e8re".encode(), b"zq" * 40]
+    row = lambda tag, part: int(langid._hash(tag, (np.array([c], np.uint64) for c in part))[0])
+    told = np.array([sum((field.weights[row(*f)] for f in plain_features(w)), np.zeros(3)) + (field.lexical[field.lexicon[w]] if w in field.lexicon else 0) for w in held])
+    assert np.allclose(field.scores(held)[0], told)
+    monkeypatch.setattr(langid, "BYTES_AT_ONCE", 5)
+    assert np.allclose(field.scores(held)[0], told)
+    text = "house der river\n12 les petit"
+    mass = np.zeros(3)
+    from itertools import product
+
+    for line in (["house", "der", "river"], ["les", "petit"]):
+        s = field.scores([w.encode() for w in line])[0]
+        weigh = {y: np.exp(sum(s[t, k] for t, k in enumerate(y)) + sum(field.transition[a, b] for a, b in zip(y, y[1:], strict=False))) for y in product(range(3), repeat=len(line))}
+        for y, p in weigh.items():
+            for k in y:
+                mass[k] += p / sum(weigh.values())
+    (name,), (score,), _ = langid.Labeller(field).all_texts([text])
+    assert name == field.languages[mass.argmax()] and score == pytest.approx(mass.max() / mass.sum(), rel=1e-4)
+
+
+def test_junk_in_no_known_language_is_rejected(spark):
+    rng = random.Random(3)
+    rows = [r[:5] for r in texts(300, 11)] + [(1000 + i, " ".join("".join(rng.choice("qxzvkjw") for _ in range(9)) for _ in range(30)), None, "", "") for i in range(5)]
+    kept = {r["doc_id"] for r in langid.keep_identified(spark.createDataFrame(rows, DOCS)).select("doc_id").collect()}
+    assert kept == set(range(300))
+    unlabelled = spark.createDataFrame([(1, "x", None, "", "")], DOCS)
+    assert langid.keep_identified(unlabelled).count() == 1
+
+
+def test_long_words_take_what_their_bytes_take():
+    import time
+
+    rows = texts(60, 7)
+    field = langid.fit([r[1] for r in rows], [r[2] for r in rows])
+    began = time.perf_counter()
+    scores, _ = field.scores([b"ab" * 2_000_000, b"the"])
+    assert time.perf_counter() - began < 20 and np.isfinite(scores).all()
+
+
 def test_one_language_and_none(spark):
     docs = spark.createDataFrame([(i, "the of", "en", "", "") for i in range(9)], DOCS)
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit_on(docs)).collect()} == {"en"}
@@ -244,7 +304,7 @@ def test_one_language_and_none(spark):
 def test_words_longer_than_any_width():
     rows = texts(60, 7)
     labeller = langid.Labeller(langid.fit([r[1] for r in rows], [r[2] for r in rows]))
-    names, scores = labeller.all_texts(["the" * 50_000, "x", "é" * 100])
+    names, scores, _ = labeller.all_texts(["the" * 50_000, "x", "é" * 100])
     assert all(n in ("de", "en", "fr") for n in names) and all(0 < s <= 1 for s in scores)
 
 

@@ -20,16 +20,29 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves if all run on one
+    machine; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the application's part of the shared folder, which goes with all it holds when the driver ends."""
+    top = f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}"
+    store, at = _hadoop(spark, top)
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -44,8 +57,8 @@ def write_table(df: DataFrame, path: str, **options: str) -> DataFrame:
 
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    store, at = _hadoop(spark, path)
+    store.delete(at, True)
 
 
 @contextmanager

@@ -7,7 +7,7 @@ forward-backward gives each word's distribution; a text's language is the one th
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chain import forward_backward
 from .common import bounded_chunks, collect_labelled, id_bucket, plain_words, small_batches, tidy
 
 #: The field is fitted on so many segments of labelled documents at most, of so many characters, and on so many of each
@@ -25,8 +26,10 @@ HASHED = 2**17
 AFFIXES = (2, 3, 4)
 #: Words whose scores a task keeps; then it starts anew.
 CACHED = 200_000
-#: A sequence is a line of a text, or a part of so many words of it.
-LONGEST = 256
+#: Bytes of words whose n-grams are hashed at once.
+BYTES_AT_ONCE = 1_000_000
+#: A word is known if it is in a lexicon or so large a part of its n-grams and affixes has been learned.
+KNOWN = 0.6
 UNKNOWN = "und"
 FIELDS = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -35,93 +38,67 @@ def has_letter(word: bytes) -> bool:
     return any(c.isalpha() for c in word.decode("utf-8", "replace"))
 
 
-def _hash(tag: int, *letters: np.ndarray) -> np.ndarray:
-    h = np.full(len(letters[0]), tag, np.uint64)
+def _hash(tag: int, letters: Iterable[np.ndarray]) -> np.ndarray:
+    h = np.uint64(tag)
     for x in letters:
         h = (h ^ x) * np.uint64(0x100000001B3)
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % HASHED
 
 
-def feature_rows(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Weight rows of each word's bigrams, trigrams, prefixes and suffixes (HASHED: none), for groups of like length."""
-    lengths = np.array([len(w) for w in words])
-    width = np.maximum(16, 2 ** np.ceil(np.log2(np.maximum(lengths, 1)))).astype(np.int64)
-    for w in np.unique(width):
-        group = np.flatnonzero(width == w)
-        for lo in range(0, len(group), max(1, 2_000_000 // int(w))):
-            at = group[lo : lo + max(1, 2_000_000 // int(w))]
-            n, size = len(at), lengths[at]
-            letters = np.zeros((n, w + 4), np.uint64)
-            letters[:, 0] = ord("^")
-            letters[:, 1 : w + 1] = np.array([words[i] for i in at], f"S{w}").view(np.uint8).reshape(n, w)
-            letters[np.arange(n), size + 1] = ord("$")
-            columns = []
-            for k in (2, 3):
-                for i in range(w + 3 - k):
-                    columns.append(np.where(i + k <= size + 2, _hash(k, *(letters[:, i + j] for j in range(k))), HASHED))
-            for k in AFFIXES:
-                columns.append(np.where(size >= k, _hash(10 + k, *(letters[:, 1 + j] for j in range(k))), HASHED))
-                ends = (letters[np.arange(n), np.maximum(size + 1 - k + j, 0)] for j in range(k))
-                columns.append(np.where(size >= k, _hash(20 + k, *ends), HASHED))
-            yield at, np.stack(columns, axis=1)
-
-
-def forward_backward(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, transition: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
-    """Each word's distribution over labels. Sequences are scores[begin : begin + length], longest first.
-
-    All sequences take each step together, scaled so that no product under- or overflows. `pairs` gets the expected
-    transitions added.
+def features(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the word, weight row) of each word's bigrams and trigrams, with its ends marked, and its affixes.
+
+    Words stand one after the other in one run of bytes, which is hashed in pieces: what it takes grows with the bytes alone.
     """
-    e = np.exp(scores - scores.max(axis=1, keepdims=True, initial=0)).astype(np.float64)
-    t = np.exp(transition)
-    forward = np.empty_like(e)
-    if not len(begin):
-        return forward
-    steps = int(length[0])
-    active = np.searchsorted(-length, -np.arange(steps), "left")  # sequences longer than each step
-    a = e[begin]
-    a /= a.sum(axis=1, keepdims=True)
-    forward[begin] = a
-    for s in range(1, steps):
-        at = begin[: active[s]] + s
-        a = (a[: active[s]] @ t) * e[at]
-        a /= a.sum(axis=1, keepdims=True)
-        forward[at] = a
-    out = np.empty_like(e)
-    b = np.ones((len(begin), e.shape[1]))
-    for s in range(steps - 1, -1, -1):
-        at = begin[: active[s]] + s
-        if s + 1 < steps:
-            n = active[s + 1]
-            after = e[at[:n] + 1] * b[:n]
-            if pairs is not None:
-                joint = forward[at[:n]][:, :, None] * t * after[:, None, :]
-                pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            b[:n] = after @ t.T
-            b[:n] /= b[:n].sum(axis=1, keepdims=True)
-        g = forward[at] * b[: len(at)]
-        out[at] = g / g.sum(axis=1, keepdims=True)
-    return out
+    size = np.array([len(w) for w in words], np.int64)
+    letters = np.frombuffer(b"".join(b"^" + w + b"$" for w in words), np.uint8)
+    ends = np.cumsum(size + 2)
+    for lo in range(0, len(letters), BYTES_AT_ONCE):
+        at = np.arange(lo, min(lo + BYTES_AT_ONCE, len(letters)))
+        of = np.searchsorted(ends, at, "right")
+        part = letters[lo : at[-1] + 4].astype(np.uint64)
+        for k in (2, 3):
+            inside = np.flatnonzero(at + k <= ends[of])
+            yield of[inside], _hash(k, (part[inside + j] for j in range(k)))
+    begin = ends - size - 1
+    for k in AFFIXES:
+        long = np.flatnonzero(size >= k)
+        for tag, first in ((10, begin[long]), (20, begin[long] + size[long] - k)):
+            yield long, _hash(tag + k, (letters[first + j].astype(np.uint64) for j in range(k)))
+
+
+def marginals(scores: np.ndarray, ids: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place's distribution over labels [place, label], and the expected transitions, of sequences of words with those
+    scores [word, label] that follow each other in `ids`. Sequences are never cut: a line's words all bear on each other."""
+    if not len(ids):
+        return np.zeros((0, scores.shape[1])), np.zeros_like(transition)
+    e = np.exp((scores - scores.max(axis=1, keepdims=True)).astype(np.float64))
+    found = forward_backward(np.ascontiguousarray(e.T), ids, lengths, np.ones(len(transition)), np.exp(transition), True)
+    out = np.empty((len(ids), len(transition)))
+    out[found.source] = found.states.T
+    return out, found.pairs
 
 
 @dataclass
 class Field:
     languages: list[str]
-    weights: np.ndarray  # [HASHED + 1, language]; the last row stays 0
+    weights: np.ndarray  # [HASHED, language]
     lexicon: dict[bytes, int]  # word -> language
     lexical: np.ndarray  # [language of the lexicon, language]
     transition: np.ndarray
 
-    def scores(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.languages)))
-        for at, rows in feature_rows(words):
-            for column in rows.T:
-                out[at] += self.weights[column]
-        told = [(i, k) for i, w in enumerate(words) if (k := self.lexicon.get(w)) is not None]
-        if told:
-            i, k = np.array(told).T
-            out[i] += self.lexical[k]
-        return out
+    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores [word, language], and whether each word is known."""
+        out, n, seen = np.zeros((len(words), len(self.languages))), np.zeros(len(words)), np.zeros(len(words))
+        learned = self.weights.any(axis=1)
+        for of, rows in features(words):
+            for k in range(out.shape[1]):
+                out[:, k] += np.bincount(of, self.weights[rows, k], minlength=len(words))
+            n += np.bincount(of, minlength=len(words))
+            seen += np.bincount(of, learned[rows], minlength=len(words))
+        told = np.array([self.lexicon.get(w, -1) for w in words], np.int64)
+        out[told >= 0] += self.lexical[told[told >= 0]]
+        return out, (told >= 0) | (seen >= KNOWN * n)
 
 
 def fit(texts: list[str], languages: list[str], epochs: int = 10, seed: int = 6) -> Field:
@@ -140,16 +117,15 @@ def fit(texts: list[str], languages: list[str], epochs: int = 10, seed: int = 6)
         for w in set(words):
             seen[w][k] += 1
     lexicon = {w: next(iter(c)) for w, c in seen.items() if len(c) == 1 and c.total() >= 2}
-    field = Field(names, np.zeros((HASHED + 1, n)), lexicon, np.zeros((n, n)), np.zeros((n, n)))
+    field = Field(names, np.zeros((HASHED, n)), lexicon, np.zeros((n, n)), np.zeros((n, n)))
     if n < 2 or not docs:
         return field
     number = {w: i for i, w in enumerate(seen)}
-    rows: list[np.ndarray] = [np.empty(0)] * len(number)
-    for at, found in feature_rows(list(number)):
-        for i, r in zip(at, found, strict=True):
-            rows[i] = r[r < HASHED]
+    of, hashed = (np.concatenate(x) for x in zip(*features(list(number)), strict=True))
+    by_word = np.argsort(of, kind="stable")
+    rows = np.split(hashed[by_word], np.cumsum(np.bincount(of, minlength=len(number)))[:-1])
     in_lexicon = np.array([lexicon.get(w, -1) for w in number])
-    total = {"w": np.full((HASHED + 1, n), 1e-3), "l": np.full((n, n), 1e-3), "t": np.full((n, n), 1e-3)}
+    total = {"w": np.full((HASHED, n), 1e-3), "l": np.full((n, n), 1e-3), "t": np.full((n, n), 1e-3)}
     for epoch in range(epochs):
         rate = 0.3 / (1 + 0.5 * epoch)
         for lo in range(0, len(docs), 16):
@@ -163,17 +139,15 @@ def fit(texts: list[str], languages: list[str], epochs: int = 10, seed: int = 6)
                     own += [k] * len(words[s : s + size])
                 sequences.append([number[w] for w in part])
                 labels.append(own)
-            order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-            ids = np.array([w for i in order for w in sequences[i]])
-            y = np.array([k for i in order for k in labels[i]])
-            length = np.array([len(sequences[i]) for i in order])
+            ids = np.array([w for x in sequences for w in x])
+            y = np.array([k for x in labels for k in x])
+            length = np.array([len(x) for x in sequences])
             begin = np.cumsum(length) - length
             distinct, inverse = np.unique(ids, return_inverse=True)
             lex = in_lexicon[distinct]
             score = np.stack([field.weights[rows[w]].sum(axis=0) for w in distinct])
             score[lex >= 0] += field.lexical[lex[lex >= 0]]
-            pairs = np.zeros((n, n))
-            g = forward_backward(score[inverse], begin, length, field.transition, pairs)
+            g, pairs = marginals(score, inverse, length, field.transition)
             g[np.arange(len(y)), y] -= 1
             by_word = np.zeros_like(score)
             np.add.at(by_word, inverse, g)
@@ -181,7 +155,7 @@ def fit(texts: list[str], languages: list[str], epochs: int = 10, seed: int = 6)
             inner[begin] = False
             np.add.at(pairs, (y[:-1][inner[1:]], y[1:][inner[1:]]), -1)
             touched = np.concatenate([rows[w] for w in distinct])
-            change = np.zeros((HASHED + 1, n))
+            change = np.zeros((HASHED, n))
             np.add.at(change, touched, np.repeat(by_word, [len(rows[w]) for w in distinct], axis=0))
             lexical = np.zeros((n, n))
             np.add.at(lexical, lex[lex >= 0], by_word[lex >= 0])
@@ -204,16 +178,19 @@ class Labeller:
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.scores = np.zeros((0, len(self.field.languages)), np.float32)
+        self.known = np.zeros(0, bool)
         self.letters = np.zeros(0, bool)
 
     def _learn(self) -> None:
         words = list(islice(self.number, len(self.scores), None))
         if words:
-            self.scores = np.concatenate((self.scores, self.field.scores(words).astype(np.float32)))
+            scores, known = self.field.scores(words)
+            self.scores = np.concatenate((self.scores, scores.astype(np.float32)))
+            self.known = np.concatenate((self.known, known))
             self.letters = np.concatenate((self.letters, [w.isalpha() or has_letter(w) for w in words]))
 
-    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, distribution over languages) of each word that has a letter, in sequences of at most LONGEST words."""
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, distribution over languages, whether known) of each word that has a letter. A sequence is a whole line."""
         if len(self.number) > CACHED:
             self.clear()
         number, ids, ends, owner = self.number, [], [], []
@@ -227,30 +204,28 @@ class Labeller:
         line = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         lettered = self.letters[held]
         held, line = held[lettered], line[lettered]
-        head = np.flatnonzero(np.concatenate((line[:1] == line[:1], line[1:] != line[:-1])))
-        size = np.diff(np.append(head, len(line)))
-        parts = -(-size // LONGEST)
-        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = np.repeat(head, parts) + step * LONGEST
-        length = np.minimum(np.repeat(size, parts) - step * LONGEST, LONGEST)
-        order = np.argsort(-length, kind="stable")
-        g = forward_backward(self.scores[held], begin[order], length[order], self.field.transition)
-        return np.array(owner, np.int64)[line], g
-
-    def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score (its share of the words) of each text; UNKNOWN and 0 where no word has a letter."""
+        lengths = np.bincount(line, minlength=1)
+        used, inverse = np.unique(held, return_inverse=True)
+        g, _ = marginals(self.scores[used], inverse, lengths[lengths > 0], self.field.transition)
+        return np.array(owner, np.int64)[line], g, self.known[held]
+
+    def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score (its share of the words) and share of known words of each text; UNKNOWN, 0 and 0 where no word has
+        a letter."""
         if not self.field.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        owner, g = self.words(texts)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        owner, g, known = self.words(texts)
         mass = np.stack([np.bincount(owner, column, minlength=len(texts)) for column in g.T], axis=1)
-        total = mass.sum(axis=1)
+        total, count = mass.sum(axis=1), np.bincount(owner, minlength=len(texts))
         best = mass.argmax(axis=1)
         share = mass[np.arange(len(texts)), best] / np.maximum(total, 1e-300)
-        return [self.field.languages[k] if t > 0 else UNKNOWN for k, t in zip(best, total, strict=True)], np.minimum(np.where(total > 0, share, 0.0), 1.0)
+        names = [self.field.languages[k] if n else UNKNOWN for k, n in zip(best, count, strict=True)]
+        return names, np.minimum(np.where(count > 0, share, 0.0), 1.0), np.bincount(owner, known, minlength=len(texts)) / np.maximum(count, 1)
 
-    def all_texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def all_texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         found = [self.texts(texts[lo:hi]) for lo, hi in bounded_chunks(texts, 1_000_000)]
-        return [x for names, _ in found for x in names], np.concatenate([s for _, s in found] or [np.zeros(0)])
+        parts = lambda i: np.concatenate([x[i] for x in found] or [np.zeros(0)])
+        return [x for names, *_ in found for x in names], parts(1), parts(2)
 
 
 def fit_on(docs: DataFrame) -> Field:
@@ -273,21 +248,29 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(field)
         for batch in batches:
-            names, scores = labeller.all_texts(batch.column(2).to_pylist())
+            names, scores, _ = labeller.all_texts(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], schema=schema)
 
     return small_batches(docs).select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "text").mapInArrow(tidy(label), FIELDS)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of `docs` whose text has a language that holds at least `least` of its words, with all their columns."""
+    """The rows of `docs` whose text is in a language that the field knows, with all their columns.
+
+    A text is rejected if it is null or without a letter, or if fewer than `least` of its words are known: in a lexicon, or
+    made of n-grams and affixes that were learned. That doesn't depend on how many languages there are. Repeated rows are
+    judged alike; a null doc_id only keeps a row out of no sample; an empty table stays empty; without any labelled text
+    nothing is known of languages, and all rows stay.
+    """
     field, at = fit_on(docs), docs.columns.index("text")
+    if not field.languages:
+        return docs
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(field)
         for batch in batches:
-            names, scores = labeller.all_texts(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, scores, strict=True)], pa.bool_()))
+            names, _, known = labeller.all_texts(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, known, strict=True)], pa.bool_()))
 
     return small_batches(docs).mapInArrow(tidy(keep), docs.schema)
 
