@@ -176,6 +176,54 @@ def test_toxicity_is_learned_and_held_out_texts_are_judged(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 for r in found.values() if not r["predicted"])
 
 
+def plain_logit(m, text):
+    """The classifier in plain loops: sums of embeddings, filters at each place, their maximum, and the last unit."""
+    words = [*toxicity.plain_words(text), None]
+    zero = np.zeros(toxicity.DIM)
+    x = [zero if w is None else sum(m.embedding[r] for r in toxicity._buckets([w])[0]) for w in words]
+    z, unit = float(m.out_bias), 0
+    for width in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(x[i + o] @ m.filters[width, o][:, f]) for o in range(width) if i + o < len(x)) for i in range(len(x)))
+            z += max(0.0, best + m.bias[unit]) * m.out[unit]
+            unit += 1
+    return z
+
+
+def test_logits_are_those_of_plain_loops():
+    rows = texts(120, 12, 0.4)
+    m = toxicity.fit([r[1] for r in rows], [int(r[5]) for r in rows])
+    odd = [rows[0][1], "one", "", None, "the scumbag", "der " * 30]
+    assert toxicity.Model.logits(m, toxicity.Batch(odd)) == pytest.approx([plain_logit(m, t) for t in odd], rel=1e-4, abs=1e-4)
+
+
+def test_gradients_are_finite_differences(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = toxicity.Model(
+        rng.normal(0, 0.3, (toxicity.BUCKETS, toxicity.DIM)), {(w, o): rng.normal(0, 0.3, (toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS for o in range(w)},
+        rng.normal(0, 0.1, toxicity.FILTERS * 3), rng.normal(0, 0.3, toxicity.FILTERS * 3), 0.1,
+    )
+    held = ["the of scumbag river", "der die haus", "les petit connard maison"]
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([2.0, 1.0, 2.0])
+
+    def loss():
+        p = 1 / (1 + np.exp(-m.logits(toxicity.Batch(held))))
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
+
+    told = {}
+    for key, at in [("out", 3), ("out", 40), ("bias", 5), ((1, 0), (2, 3)), ((2, 1), (5, 7)), ((3, 2), (1, 9))]:
+        values = m.filters[key] if key in m.filters else getattr(m, key)
+        values[at] += 1e-5
+        up = loss()
+        values[at] -= 2e-5
+        told[key, at] = (up - loss()) / 2e-5
+        values[at] += 1e-5
+    moments = {}
+    toxicity._step(m, moments, toxicity.Batch(held), y, weight, 0.0)
+    for (key, at), slope in told.items():
+        assert 10 * moments[key][0][at] == pytest.approx(slope, rel=1e-3, abs=1e-6)
+
+
 def test_without_both_classes_scores_are_one_share(spark):
     docs = spark.createDataFrame([(i, "a b c", "", "", "") for i in range(5)], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -44,7 +44,8 @@ def _buckets(words: list[bytes]) -> np.ndarray:
 
 
 class Batch:
-    """Texts as numbers of their distinct words; number 0 is the padding, two after each text."""
+    """Texts as numbers of their distinct words; number 0 is the padding, as long as the widest filter, after each text. Filters
+    start at a text's words and the first place after them, so that none reaches into the next text."""
 
     def __init__(self, texts: list[str | None]):
         number: dict[bytes, int] = {}
@@ -53,8 +54,10 @@ class Batch:
         for i, text in enumerate(texts):
             self.begin[i] = len(ids)
             ids += [number.setdefault(w, len(number) + 1) for w in plain_words(text)]
-            ids += [0] * (max(WIDTHS) - 1)
+            ids += [0] * max(WIDTHS)
         self.ids = np.array(ids, np.int32)
+        ends = np.append(self.begin[1:], len(ids)) if texts else self.begin
+        self.no_start = (ends[:, None] - 1 - np.arange(max(WIDTHS) - 1)).ravel()
         words = list(number)
         self.rows = np.concatenate((np.zeros((1, 1 + len(PREFIXES)), np.int32), _buckets(words)))
         speaks = np.zeros((len(words) + 1, len(_SPEAKS)), np.float32)[:, : len(FUNCTION_WORDS)]
@@ -86,6 +89,7 @@ class Model:
             conv = p[b.ids]
             for o in range(1, w):
                 conv[:-o] += (x @ self.filters[w, o])[b.ids[o:]]
+            conv[b.no_start] = -np.inf
             found.append(np.maximum.reduceat(conv, b.begin, axis=0))
             if where:
                 at.append(np.stack([s + conv[s:e].argmax(axis=0) for s, e in zip(b.begin, ends, strict=True)]))
@@ -152,9 +156,10 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
-    """Train on four fifths of the rows and set each language's threshold on all of them, by best F1.
+    """Train on four fifths of the rows and set each language's threshold on the fifth held back, by best F1.
 
-    A language with fewer than 20 toxic rows takes the threshold of all rows. Without rows of both classes no text is more
+    A language with fewer than 20 toxic or other rows in that fifth takes the threshold of all of it; if that holds fewer than
+    20 of a class in all (small samples), thresholds are set on all rows. Without rows of both classes no text is more
     toxic than another, and every score is the share of toxic rows, with one row of either class added.
     """
     rng = np.random.default_rng(seed)
@@ -173,7 +178,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
         return m
     balance = np.where(y > 0, min(8.0, (1 - y.mean()) / y.mean()), 1).astype(np.float32)
     part = rng.permutation(len(y))
-    train = part[: max(1, len(part) * 4 // 5)] if len(part) >= 50 else part
+    train = part[: max(1, len(part) * 4 // 5)].copy() if len(part) >= 50 else part.copy()
     moments: dict = {}
     for epoch in range(EPOCHS):
         rng.shuffle(train)
@@ -183,9 +188,12 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
             loss += len(rows) * _step(m, moments, Batch([texts[i] for i in rows]), y[rows], balance[rows], 0.01 / (1 + 0.3 * epoch))
         if loss / len(train) < 0.003:
             break
-    z, language = np.zeros(len(y)), np.zeros(len(y), int)
-    for lo in range(0, len(y), 200):
-        b = Batch(texts[lo : lo + 200])
+    apart = part[len(train) :]
+    if min(y[apart].sum(), (1 - y[apart]).sum()) < 20:
+        apart = part
+    z, language, y = np.zeros(len(apart)), np.zeros(len(apart), int), y[apart]
+    for lo in range(0, len(apart), 200):
+        b = Batch([texts[i] for i in apart[lo : lo + 200]])
         z[lo : lo + 200], language[lo : lo + 200] = m.logits(b), b.language
     overall = _threshold(z, y)
     m.thresholds = np.full(len(LANGUAGES), overall)
@@ -234,7 +242,12 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that score under DECIDE, with all their columns, by a model fitted on `labels`."""
+    """The rows of `docs` that score under DECIDE, with all their columns, by a model fitted on `labels`.
+
+    Each row is judged by its text alone: repeated rows share their fate, null and empty texts score as padding does, null ids
+    only take no part in the fit. Without labels of both classes every text scores the share of toxic ones, a half without
+    any label: all rows stay unless that share reaches DECIDE. An empty table stays empty.
+    """
     model, at = fit(*training_rows(docs, labels)), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
