@@ -112,6 +112,26 @@ def test_members_of_other_writers_are_read(spark, tmp_path):
     assert read.filter("page_id = 5").count() == 0
 
 
+def test_files_that_are_not_packed_are_read(spark, tmp_path):
+    made = [warc.record({"record_type": "response", "record_id": f"<urn:{i}>", "page_id": i, "payload": b"x" * i, "payload_bytes": i, "payload_digest": None}) for i in (0, 5, 70_000)]
+    about = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\nfoo: bar\n\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(about + b"".join(made))
+    read = spark.read.format("warc").load(str(tmp_path))
+    assert [(r["page_id"], r["record_type"], len(r["payload"])) for r in read.collect()] == [(None, "warcinfo", 9), (0, "response", 0), (5, "response", 5), (70_000, "response", 70_000)]
+    assert [r["payload_bytes"] for r in spark.read.format("warc").option("payload", "false").load(str(tmp_path)).filter("page_id >= 5").collect()] == [5, 70_000]
+
+
+def test_headers_are_read_and_no_payload_behind_them():
+    import io
+    import os
+
+    payload = os.urandom(3_000_000)  # of a record that is no HTTP message, and without a blank line to stop at
+    block = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Type: image/png\r\nContent-Length: 3000000\r\n\r\n" + payload.replace(b"\r", b".") + b"\r\n\r\n"
+    head = warc.Unpacked(warc.Buffered(io.BytesIO(warc.gzip_member(block)), 0, 0))
+    row, _, http = warc.WarcReader("", True, 1)._head(head)
+    assert row["record_type"] == "resource" and http == {} and head.used < 10_000
+
+
 def test_archive_of_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_pages(spark.createDataFrame([], PAGES), path)

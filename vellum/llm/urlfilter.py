@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from collections.abc import Iterable
@@ -34,10 +35,16 @@ class Rule(NamedTuple):
         return re.compile(rf"(?:[^\0]*\.)?{wild(self.host)}\0{wild(self.path)}", re.DOTALL)
 
     def tokens(self) -> set[str]:
-        """Literal pieces that a fitting URL holds as a whole label of its host or a whole segment of its path."""
+        """Literal pieces that a fitting URL holds too: whole labels of its host, and whole runs of letters and digits of its
+        path, which something else ends on either side."""
         labels = {f".{x}" for x in self.host.split(".") if x and "*" not in x}
-        segments = self.path.split("/")[1:-1]  # the last one may go on in the URL
-        return labels | {f"/{x}" for x in segments if x and "*" not in x}
+        return labels | {f"/{x}" for part in self.path.split("*") for x in re.findall(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])", part)}
+
+
+@functools.lru_cache(maxsize=100_000)
+def _compiled(rule: Rule) -> re.Pattern:
+    """A rule's expression, compiled when a URL first fetches the rule and kept as long as the worker lives."""
+    return rule.regex()
 
 
 #: Where none of the caller's rules fits, these decide; what fits none of them is allowed.
@@ -59,7 +66,7 @@ def url_path(url: Column) -> Column:
 
 
 def _tokens(host: str, path: str) -> set[str]:
-    return {f".{x}" for x in host.split(".")} | {f"/{x}" for x in path.split("/")[1:-1]}
+    return {f".{x}" for x in host.split(".")} | {f"/{x}" for x in re.findall("[A-Za-z0-9]+", path)}
 
 
 def token_counts(urls: DataFrame, rules: Iterable[Rule]) -> dict[str, int]:
@@ -69,9 +76,8 @@ def token_counts(urls: DataFrame, rules: Iterable[Rule]) -> dict[str, int]:
     if not wanted:
         return {}
     labels = F.transform(F.split("host", r"\."), lambda x: F.concat(F.lit("."), x))
-    parts = F.split("path", "/")
-    segments = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.concat(F.lit("/"), x))
-    held = urls.select(F.explode(F.array_distinct(F.concat(labels, segments))).alias("token")).groupBy("token").count()
+    runs = F.transform(F.split("path", "[^A-Za-z0-9]+"), lambda x: F.concat(F.lit("/"), x))
+    held = urls.select(F.explode(F.array_distinct(F.concat(labels, runs))).alias("token")).groupBy("token").count()
     rows = held.join(spark.createDataFrame([(t,) for t in wanted], "token string"), "token").collect()
     return {r["token"]: r["count"] for r in rows}
 
@@ -82,18 +88,16 @@ def _matcher(rules: list[Rule], counts: dict[str, int]):
         index[min(r.tokens(), key=lambda t: (counts.get(t, 0), t), default="")].append(r)
 
     def match(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        compiled = {r: r.regex() for rs in index.values() for r in rs}
         known: dict[tuple[str, str], tuple] = {}
         out = []
         for host, path in zip(hosts, paths, strict=True):
-            # only whole segments and the rules' own prefixes matter, but a URL is judged on its full path
             if (key := (host, path)) not in known:
                 best = None
                 if host:
                     for token in ("", *_tokens(host, path)):
                         for r in index.get(token, ()):
                             x = (len(r.name), r.action == "block", r.name)
-                            if (best is None or x > best) and compiled[r].match(f"{host}\0{path}"):
+                            if (best is None or x > best) and _compiled(r).match(f"{host}\0{path}"):
                                 best = x
                 if len(known) > 100_000:
                     known.clear()
@@ -118,7 +122,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], fallback: Iterable[Rule] =
     are tried on every URL). Of `rules` that fit, the longest gives `rule` and `verdict`; where none fits, `rule` is null and
     `fallback` decides in the same way, else the URL is allowed. Null URLs and those without `://` have an empty host and
     path, fit no rule and are allowed. Repeated rows are judged alike; columns of other names are ignored; rows never move
-    between tasks. Rule lists of any length are split into indexes of RULES_PER_INDEX.
+    between tasks. Rule lists of any length are split into indexes of RULES_PER_INDEX. Very long URLs
+    are read whole; of rules of one length a block wins, then the greater name; an empty table gives no rows.
     """
     url = F.col("url")
     rows = pages.select("page_id", "url", url_host(url).alias("host"), url_path(url).alias("path"))

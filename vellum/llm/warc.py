@@ -3,7 +3,7 @@
 Reading plans partitions of files and of byte ranges of large files, parses the headers of a record first, and leaves the
 payload alone where a pushed predicate fails on them or the reader doesn't want payloads. Each record is a gzip member that
 states its own length in the `sl` extra field, so that what isn't wanted is jumped over, not inflated; members of other
-writers, without that field, are inflated to find their end but not parsed further.
+writers, without that field, are inflated to find their end but not parsed further. Files that aren't packed are read too.
 """
 
 from __future__ import annotations
@@ -62,6 +62,8 @@ SCHEMA = (
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 ARROW = pa.schema([(c, pa.int64() if c in LONGS else pa.binary() if c == "payload" else pa.string()) for c in COLUMNS])
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Keys that rows of one payload are spread over.
+SALTS = 16
 FILE_BYTES, SPLIT_BYTES, BATCH_BYTES = 1 << 30, 64 << 20, 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 
@@ -225,6 +227,45 @@ def _inflate(b: Buffered, wanted: bool) -> bytes:
     return b"".join(out)
 
 
+class Unpacked:
+    """What stands at a place of a file, unpacked as far as it is asked for; the place stays where it is."""
+
+    def __init__(self, b: Buffered, packed: bool = True):
+        self.b, self.used, self.data, self.at = b, 0, bytearray(), 0
+        self.unpack = zlib.decompressobj(31) if packed else None
+
+    def _more(self) -> bool:
+        if self.unpack and self.unpack.eof or self.used == len(self.b.data) and not self.b.fill(self.used + 1):
+            return False
+        part = self.b.data[self.used : self.used + 4096]
+        self.used += len(part)
+        self.data += self.unpack.decompress(part) if self.unpack else part
+        return True
+
+    def upto_blank(self) -> bytes:
+        """What comes up to the next blank line, or to the end."""
+        scanned = self.at
+        while (end := self.data.find(b"\r\n\r\n", scanned)) < 0:
+            scanned = max(self.at, len(self.data) - 3)
+            if not self._more():
+                end = len(self.data)
+                break
+        part, self.at = bytes(self.data[self.at : end]), end + 4
+        return part
+
+
+def _fill_payload(row: dict, block: bytes) -> None:
+    row["payload"] = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else bytes(block)
+    row["payload_bytes"] = len(row["payload"])
+
+
+def _sized(row: dict, http: dict[str, str]) -> dict:
+    """A row without payload has its length from the HTTP headers."""
+    if row["payload_bytes"] is None and http.get("content-length", "").isdigit():
+        row["payload_bytes"] = int(http["content-length"])
+    return row
+
+
 def parse_headers(data: bytes) -> dict[str, str]:
     """Headers by lower-case name; continued lines are joined."""
     found: dict[str, str] = {}
@@ -301,7 +342,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Ranges]:
-        """Large files in ranges, small ones together, each partition of about split_bytes."""
+        """Large files in ranges, small ones together, each partition of about split_bytes. Files that aren't packed stay whole:
+        where a record starts, only the lengths of those before it tell; payloads that aren't wanted are jumped over."""
         from pyarrow import fs
 
         store, top = filesystem(self.path)
@@ -310,9 +352,10 @@ class WarcReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(top, recursive=True))
         found, held, size = [], [], 0
-        for f in sorted((f for f in files if f.type == fs.FileType.File and f.path.endswith(".warc.gz") and "/_temporary/" not in f.path), key=lambda f: f.path):
-            for lo in range(0, f.size, self.split_bytes):
-                hi = min(f.size, lo + self.split_bytes)
+        for f in sorted((f for f in files if f.type == fs.FileType.File and f.path.endswith((".warc.gz", ".warc")) and "/_temporary/" not in f.path), key=lambda f: f.path):
+            step = self.split_bytes if f.path.endswith(".gz") else max(1, f.size)
+            for lo in range(0, f.size, step):
+                hi = min(f.size, lo + step)
                 if held and size + hi - lo > self.split_bytes:
                     found.append(Ranges(held))
                     held, size = [], 0
@@ -325,7 +368,7 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for path, lo, hi in partition.ranges:
             with store.open_input_file(path) as file:
-                for row in self._records(file, lo, hi):
+                for row in self._records(file, lo, hi) if path.endswith(".gz") else self._plain_records(file, hi):
                     rows.append(row)
                     size += 500 + len(row["payload"] or b"")
                     if size > BATCH_BYTES:
@@ -340,7 +383,7 @@ class WarcReader(DataSourceReader):
             return
         while b.at < hi and b.fill(20):
             length = _stated_length(b.data)
-            row, http = self._head(b)
+            row, _, http = self._head(Unpacked(b))
             wanted = row is not None and self.payload and row["record_type"] != "revisit"
             if length and not wanted:
                 b.skip(length)
@@ -348,28 +391,37 @@ class WarcReader(DataSourceReader):
                 data = _inflate(b, wanted)
                 if wanted:
                     start = data.index(b"\r\n\r\n") + 4
-                    block = data[start : start + (row["content_length"] or 0)]
-                    row["payload"] = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
-                    row["payload_bytes"] = len(row["payload"])
+                    _fill_payload(row, data[start : start + (row["content_length"] or 0)])
             if row is not None:
-                if row["payload_bytes"] is None and http.get("content-length", "").isdigit():
-                    row["payload_bytes"] = int(http["content-length"])
-                yield row
-
-    def _head(self, b: Buffered) -> tuple[dict | None, dict[str, str]]:
-        """The columns from the headers of the record at hand, or None where a filter fails on them, and its HTTP headers."""
-        unpack, head, used = zlib.decompressobj(31), b"", 0
-        while head.count(b"\r\n\r\n") < 2 and not unpack.eof:
-            if used == len(b.data) and not b.fill(used + 1):
-                break
-            part = b.data[used : used + 4096]
-            used += len(part)
-            head += unpack.decompress(part)
-        first, _, rest = head.partition(b"\r\n\r\n")
-        row = header_row(parse_headers(first))
+                yield _sized(row, http)
+
+    def _plain_records(self, file, end: int) -> Iterator[dict]:
+        b = Buffered(file, 0, end)
+        while b.at < end and b.fill(20):
+            head = Unpacked(b, packed=False)
+            row, headers, http = self._head(head)
+            if not head.data.startswith(b"WARC/") or not headers.get("content-length", "").isdigit():
+                raise ValueError("this is no WARC record")
+            length = head.data.index(b"\r\n\r\n") + 4 + int(headers["content-length"])
+            if row is not None:
+                if self.payload and row["record_type"] != "revisit":
+                    b.fill(length)
+                    _fill_payload(row, b.data[length - row["content_length"] : length])
+                yield _sized(row, http)
+            b.skip(length + 4)
+
+    def _head(self, head: Unpacked) -> tuple[dict | None, dict[str, str], dict[str, str]]:
+        """The columns from the headers of a record, or None where a filter fails on them; its headers, and its HTTP headers.
+
+        No more is unpacked than the headers take: up to the first blank line, and only of records that pass and hold an HTTP
+        message up to the next one.
+        """
+        headers = parse_headers(head.upto_blank())
+        row = header_row(headers)
         if not all(passes(f, row) for f in self.filters):
-            return None, {}
-        return row, parse_headers(rest.partition(b"\r\n\r\n")[0]) if rest.startswith(b"HTTP/") else {}
+            return None, headers, {}
+        http = headers.get("content-type", "").lower().startswith("application/http")
+        return row, headers, parse_headers(head.upto_blank()) if http else {}
 
 
 class WarcSource(DataSource):
@@ -401,13 +453,17 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     The payload is the html in UTF-8 (null: empty). Of equal payloads of `least_bytes` bytes or more, the largest page_id is
     the response and the others revisit it; smaller ones are all responses. Repeated rows of the largest page_id are all
     responses, and a null page_id revisits whatever page has the same payload, or responds if there is none. Largest
-    page_ids are found for digests alone; only those of more than one row are joined back.
+    page_ids are found for digests alone; only those of more than one row are joined back, spread over SALTS keys each, so
+    that a payload of very many pages is no hot key where they are too many to broadcast. Other columns are ignored; an empty
+    table makes no record.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     large = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     shared = materialise(large.filter("n > 1 AND first IS NOT NULL").select(F.col("payload_digest").alias("d"), "first"), "warc-shared")
-    rows = rows.join(shared, (rows["payload_digest"] == shared["d"]) & (rows["payload_bytes"] >= least_bytes), "left")
+    shared = shared.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    rows = rows.join(shared, (rows["payload_digest"] == shared["d"]) & (salt == shared["s"]) & (rows["payload_bytes"] >= least_bytes), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.when(c.isNotNull(), F.format_string("<urn:page:%d>", c))
     return rows.select(
