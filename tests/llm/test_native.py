@@ -50,6 +50,14 @@ def test_texts_without_a_statement_have_no_licence(spark):
     assert found(spark, None, "", "The MIT License is short", "a license", "Released under the MIT", " \n|.") == [""] * 6
 
 
+def test_texts_in_one_line_are_met(spark):
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+    one = lambda t: " ".join(t.split())
+    numbered = CLAUSES.replace("1. ", "(1) ").replace("2. ", "(2) ")
+    bullets = CLAUSES.replace(":\n\n1. ", ":\n* ").replace("2. ", "* ")
+    assert found(spark, one(PERMISSION.replace("Somebody", "Somebody.")), one(CLAUSES + THIRD), apache, numbered, bullets) == ["MIT", "BSD-3-Clause", "Apache-2.0", "BSD-2-Clause", "BSD-2-Clause"]
+
+
 def test_order_of_sentences_counts(spark):
     first, second = CLAUSES.split("1. ")[0], "1. " + CLAUSES.split("1. ")[1]
     assert found(spark, second + "\n" + first) == [""]
@@ -167,6 +175,12 @@ def test_odd_urls_and_wildcards(spark):
     ]
 
 
+def test_rules_are_filed_under_whole_pieces_of_any_segment():
+    assert urlfilter.Rule("block", "*", "*/wp-login.php").tokens() == {"/wp", "/login"}
+    assert urlfilter.Rule("block", "example.org", "/en/1").tokens() == {".example", ".org", "/en"}
+    assert urlfilter.Rule("block", "a.*", "/x*y/z/").tokens() == {".a", "/z"}
+
+
 def test_many_rules_in_several_indexes(spark, monkeypatch):
     urls = ["http://example.org/es/a", "http://u.bad.com/q/x1y/", "http://x.org/"]
     one = judged(spark, urls)

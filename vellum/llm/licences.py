@@ -83,7 +83,12 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 LINE_END = r"[.!?]+(?:\s|$)|[\r\n]+"
 #: The same for sentences that run over several lines.
 TEXT_END = r"[.!?]+(?:\s|$)|\n\s*\n"
+#: The same with clauses apart, for texts whose line ends are lost.
+CLAUSE_END = r"[.!?:;]+(?:\s|$)|\n\s*\n"
+ENDS = {"by_line": LINE_END, "by_text": TEXT_END, "by_clause": CLAUSE_END}
 OTHER = r"[^a-z0-9]+"
+#: The number of a list item before a sentence.
+NUMBER = "^[0-9]+ "
 
 #: Words of which every known sentence holds one, so that other sentences need no normalising.
 KEYWORDS = ("licens", "permission", "distribut", "copyright", "software", "warrant", "rights")
@@ -105,7 +110,7 @@ def _sequence(text: Column, ends: str, known: dict[str, str]) -> Column:
     """The identifiers of a text's known sentences in order, as `<a><b>`."""
     held = lambda s: reduce(Column.__or__, [F.contains(s, F.lit(k)) for k in keywords_of(known)])
     kept = F.filter(F.split(F.lower(text), ends), held)
-    stated = F.transform(kept, lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
+    stated = F.transform(kept, lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, OTHER, " ")), NUMBER, ""))
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.array_join(F.transform(F.filter(stated, lambda s: s.isin(list(known))), lambda s: F.concat(F.lit("<"), F.element_at(ids, s), F.lit(">"))), "")
 
@@ -128,17 +133,18 @@ def _apply(sequence: Column, rules: tuple[tuple[str, tuple[str, ...]], ...]) ->
 def scan_licences(docs: DataFrame, sentences: dict[str, tuple[str, ...]] | None = None, rules=RULES) -> DataFrame:
     """Licences that documents state: doc_id, sentences (identifiers in order), licences (sorted, `,` between; empty: none).
 
-    The whole text is cut into sentences twice, with and without line ends as ends, so that both one-line statements and
-    texts wrapped over lines are met. A known sentence becomes its identifier, others drop out, and the ordered rules read
-    both sequences. Each document is judged from its own row: nothing shuffles. Null and empty texts state nothing;
-    repeated rows are judged alike; other columns of `docs` are ignored.
+    The whole text is cut into sentences three times: at line ends, over line ends, and at colons and semicolons too, so that
+    one-line statements, texts wrapped over lines and texts in one line are met. A known sentence becomes its identifier,
+    others drop out, and the ordered rules read each sequence; the longest one is returned. Each document is judged from its
+    own row: nothing shuffles. Null and empty texts state nothing; repeated rows are judged alike; other columns of `docs` are
+    ignored.
     """
     known = known_pieces(SENTENCES if sentences is None else sentences)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", _sequence(text, LINE_END, known).alias("by_line"), _sequence(text, TEXT_END, known).alias("by_text"))
-    rows = rows.withColumn("found", F.array_sort(F.array_union(_apply(F.col("by_line"), rules), _apply(F.col("by_text"), rules))))
-    sequence = F.when(F.length("by_line") >= F.length("by_text"), F.col("by_line")).otherwise(F.col("by_text"))
-    return rows.select("doc_id", sequence.alias("sentences"), F.array_join("found", ",").alias("licences"))
+    rows = docs.select("doc_id", *[_sequence(text, ends, known).alias(name) for name, ends in ENDS.items()])
+    found = reduce(F.array_union, [_apply(F.col(name), rules) for name in ENDS])
+    sequence = reduce(lambda a, b: F.when(F.length(a) >= F.length(b), a).otherwise(b), map(F.col, ENDS))
+    return rows.select("doc_id", sequence.alias("sentences"), F.array_join(F.array_sort(found), ",").alias("licences"))
 
 
 def op7_licences(spark, sf_dir: str) -> DataFrame:
@@ -151,15 +157,18 @@ def _sql() -> str:
     ids = "MAP {" + ", ".join(f"'{s}': '<{x}>'" for s, x in known.items()) + "}"
 
     def sequence(ends: str) -> str:
-        pieces = f"list_transform(string_split_regex(lower(coalesce(text, '')), '{ends}'), lambda s: trim(regexp_replace(s, '{OTHER}', ' ', 'g')))"
+        pieces = f"list_transform(string_split_regex(lower(coalesce(text, '')), '{ends}'), lambda s: regexp_replace(trim(regexp_replace(s, '{OTHER}', ' ', 'g')), '{NUMBER}', ''))"
         return f"array_to_string(list_transform(list_filter({pieces}, lambda s: map_contains(ids, s)), lambda s: ids[s]), '')"
 
-    steps = [f"""s0 AS (SELECT doc_id, {sequence(LINE_END)} AS a, {sequence(TEXT_END)} AS b FROM documents, (SELECT {ids} AS ids)),
-r0 AS (SELECT doc_id, a, b, a AS x, b AS y, []::VARCHAR[] AS f FROM s0)"""]
+    steps = [f"""s0 AS (SELECT doc_id, {sequence(LINE_END)} AS a, {sequence(TEXT_END)} AS b, {sequence(CLAUSE_END)} AS c FROM documents, (SELECT {ids} AS ids)),
+r0 AS (SELECT doc_id, a, b, c, a AS x, b AS y, c AS z, []::VARCHAR[] AS f FROM s0)"""]
     for k, (name, rule) in enumerate(RULES, 1):
         r = "".join(f"<{x}>" for x in rule)
-        steps.append(f"r{k} AS (SELECT doc_id, a, b, replace(x, '{r}', '|') AS x, replace(y, '{r}', '|') AS y, CASE WHEN contains(x, '{r}') OR contains(y, '{r}') THEN list_append(f, '{name}') ELSE f END AS f FROM r{k - 1})")
-    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS sentences, array_to_string(list_sort(list_distinct(f)), ',') AS licences FROM r{len(RULES)}"
+        left = ", ".join(f"replace({x}, '{r}', '|') AS {x}" for x in "xyz")
+        fits = " OR ".join(f"contains({x}, '{r}')" for x in "xyz")
+        steps.append(f"r{k} AS (SELECT doc_id, a, b, c, {left}, CASE WHEN {fits} THEN list_append(f, '{name}') ELSE f END AS f FROM r{k - 1})")
+    longest = "CASE WHEN length(CASE WHEN length(a) >= length(b) THEN a ELSE b END) >= length(c) THEN CASE WHEN length(a) >= length(b) THEN a ELSE b END ELSE c END"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, {longest} AS sentences, array_to_string(list_sort(list_distinct(f)), ',') AS licences FROM r{len(RULES)}"
 
 
 OP7_SQL = _sql()
