@@ -70,7 +70,7 @@ def brute_link(rows, n, percent):
         w = words_of(text)
         k = min(n, len(w))
         sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if k else frozenset())
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while parent[x] != x:
@@ -81,16 +81,19 @@ def brute_link(rows, n, percent):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least: dict = {}
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
-    return sorted(((r[0] if r[0] is not None else -1, len(sets[i]), least.get(find(i), -1) if sets[i] else r[0] if r[0] is not None else -1) for i, r in enumerate(rows)))
+    own = lambda i: rows[i][0] if rows[i][0] is not None else -1
+    return sorted((own(i), len(sets[i]), least.get(find(i), -1) if sets[i] else own(i), links[i]) for i in range(len(rows)))
 
 
 def linked(spark, rows, n=3, percent=90):
     none = lambda x: -1 if x is None else x
-    return sorted((none(r["doc_id"]), r["n_shingles"], none(r["component_id"])) for r in jaccard.link(spark.createDataFrame(rows, DOCS), n, percent).collect())
+    return sorted((none(r["doc_id"]), r["n_shingles"], none(r["component_id"]), r["n_links"]) for r in jaccard.link(spark.createDataFrame(rows, DOCS), n, percent).collect())
 
 
 def corpus(seed, docs=150):
@@ -116,41 +119,39 @@ def test_join_is_what_brute_force_finds(spark, seed, n, percent):
 def test_groups_in_parts_give_the_same(spark, monkeypatch):
     rows = corpus(4)
     monkeypatch.setattr(jaccard, "CELL", 500)
+    monkeypatch.setattr(jaccard, "CELL_SETS", 5)
     assert linked(spark, rows) == brute_link(rows, 3, 90)
+    assert linked(spark, rows, 3, 75) == brute_link(rows, 3, 75)
 
 
 def test_join_of_nothing(spark):
     assert linked(spark, []) == []
-    assert linked(spark, [(1, None, "", 0)]) == [(1, 0, 1)]
+    assert linked(spark, [(1, None, "", 0)]) == [(1, 0, 1, 0)]
 
 
-def test_heap_and_counting_find_the_same_links(monkeypatch):
+def test_the_heap_finds_what_counting_does():
     rng = np.random.default_rng(3)
-    base = rng.integers(1, 2**40, 60)
-    sets = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(1, 2**40, 60), base)) for _ in range(80)]
-    sizes = [len(s) for s in sets]
-
-    def groups():
-        parent = list(range(80))
+    for least in (1, 2, 5, 9):
+        lists = [jaccard.array("i", np.flatnonzero(rng.random(300) < p).tolist()) for p in rng.random(12)]
+        count = np.zeros(300, int)
+        for x in lists:
+            count[list(x)] += 1
+        records, counts = jaccard.merge_skip(lists, least, 40)
+        assert records == [r for r in range(40, 300) if count[r] >= least] and counts == [count[r] for r in records]
 
-        def find(x):
-            return x if parent[x] == x else find(parent[x])
 
-        for a, b in jaccard.search(list(range(80)), sizes, sets, 75):
-            parent[find(a)] = find(b)
-        return [min(j for j in range(80) if find(j) == find(i)) for i in range(80)]
-
-    heap = groups()
-    monkeypatch.setattr(jaccard, "HEAPED", 0)
-    assert groups() == heap
-    direct = list(range(80))
-    for i in range(80):
-        for j in range(i):
-            common = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * common >= 75 * (sizes[i] + sizes[j] - common):
-                a, b = direct[i], direct[j]
-                direct = [min(a, b) if x in (a, b) else x for x in direct]
-    assert heap == direct
+def test_every_link_is_found_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 2**40, 60)
+    sets = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(1, 2**40, 60), base)) for _ in range(80)]
+    sizes, sides = [len(s) for s in sets], [i % 2 for i in range(80)]
+    told = {(j, i) for i in range(80) for j in range(i) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (sizes[i] + sizes[j] - c)}
+    for probed in (3, 64):
+        monkeypatch.setattr(jaccard, "PROBED", probed)
+        found = [tuple(sorted((i, s))) for i, others in jaccard.search(sizes, sets, 75) for s in others.tolist()]
+        assert len(found) == len(set(found)) and set(found) == told
+        across = [tuple(sorted((i, s))) for i, others in jaccard.search(sizes, sets, 75, sides) for s in others.tolist()]
+        assert sorted(across) == sorted(x for x in told if sides[x[0]] != sides[x[1]])
 
 
 def test_one_document_of_each_group_stays(spark):
@@ -161,6 +162,14 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 2, 4]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b = words(random.Random(6), 60), words(random.Random(7), 60)
+    rows = [(4, " ".join(a), "p", 1), (4, " ".join(b), "q", 1), (2, " ".join([*b[:-1], "end"]), "r", 1), (9, " ".join(a), "s", 1), (None, " ".join(a), "t", 1), (5, "", "u", 1), (5, "", "v", 1), (6, " ".join(a[:30]), "y", 2), (6, " ".join(a[:30]), "x", 2)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r["component_id"] for r in kept) == ["p", "r", "u", "v", "x"]
+    assert jaccard.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
 # decontamination
 
 ITEMS = "item_id long, text string, doc_id string"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_table, new_path, write_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,15 +28,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root): the least node of the component of each node that an edge (a, b) of longs names; a != b.
 
     A round takes each path about half as long, and rounds end when the edges are stars. Minima are put together before
-    they shuffle, so a node with very many edges is a skewed join key at most.
+    they shuffle, so a node with very many edges is a skewed join key at most, which Spark's skew joins part. A round's
+    table is dropped when the next one is written.
     """
+    spark = edges.sparkSession
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges, before = materialise(edges.distinct(), f"{name}-edges"), None
-    while True:
-        now = state(edges)
-        if now == before or not now[0]:
-            break
-        before = now
-        edges = materialise(_small_star(_large_star(edges)), f"{name}-stars")
+    path, before = new_path(spark, f"{name}-edges"), None
+    edges = write_table(edges.distinct(), path)
+    while (now := state(edges)) != before and now[0]:
+        old, path, before = path, new_path(spark, f"{name}-stars"), now
+        edges = write_table(_small_star(_large_star(edges)), path)
+        drop_table(spark, old)
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

@@ -13,7 +13,6 @@ import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, tidy, tidy_groups, words_of
+from .common import drop_table, materialise, new_path, small_batches, tidy, tidy_groups, words_of, write_table
 from .exchange import bucket_count, buckets_of, pack_ids, unpack_ids
 from .graph import components
 
 #: Documents of a block have about so many words together.
 BLOCK_TOKENS = 1_500_000
-#: N-grams of the sets that one search holds; groups of candidates with more are searched part by part.
-CELL = 200_000
+#: N-grams and sets that one part of a group holds; groups of candidates with more are searched part by part.
+CELL, CELL_SETS = 200_000, 400
 #: DivideSkip leaves about T / (MU log2(longest list) + 1) lists to be probed.
 MU = 0.0085
-#: Short lists with more entries than that are merged by counting.
-HEAPED = 1000
+#: Long lists are probed so many at once, with binary search in one array.
+PROBED = 64
 
 
 def required(n: int, percent: int) -> int:
@@ -70,23 +69,24 @@ def _signed(x: np.uint64) -> int:
 
 
 BLOCKS = pa.schema([
-    ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())),
+    ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())),
     ("lengths", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("n_keys", pa.int64()),
 ])
-BLOCKS_SQL = "block long, doc_ids array<long>, sizes array<int>, h1 array<long>, h2 array<long>, lengths binary, ids binary, keys binary, n_keys long"
+BLOCKS_SQL = "block long, doc_ids array<long>, hashes array<long>, sizes array<int>, h1 array<long>, h2 array<long>, lengths binary, ids binary, keys binary, n_keys long"
 
 
-def _block(rows: list[tuple[int | None, str | None]], n: int, block: int) -> dict:
+def _block(rows: list[tuple[int | None, str | None, int]], n: int, block: int) -> dict:
     """A row of the table of blocks: documents as numbers of words, with the hashes of the words and of the sets."""
     number: dict[bytes, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64) for _, text in rows]
+    coded = [np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64) for _, text, _ in rows]
     keys = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
     lengths = np.array([len(c) for c in coded], np.int32)
     ids = np.concatenate(coded)
     sets = list(shingles(keys[ids], lengths, n))
     return {
         "block": block,
-        "doc_ids": [i for i, _ in rows],
+        "doc_ids": [i for i, _, _ in rows],
+        "hashes": [h for _, _, h in rows],
         "sizes": [len(s) for s in sets],
         "h1": [_signed(s.sum(dtype=np.uint64)) for s in sets],
         "h2": [_signed(_mix(s).sum(dtype=np.uint64)) for s in sets],
@@ -98,6 +98,8 @@ def _block(rows: list[tuple[int | None, str | None]], n: int, block: int) -> dic
 
 
 def block_table(docs: DataFrame, n: int) -> DataFrame:
+    """The table of blocks of `docs` (doc_id, text, text_hash)."""
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made, rows, size = TaskContext.get().partitionId() << 12, 0, [], 0
         for batch in batches:
@@ -110,7 +112,7 @@ def block_table(docs: DataFrame, n: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist([_block(rows, n, base + made)], schema=BLOCKS)
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(tidy(blocks), BLOCKS_SQL)
+    return small_batches(docs).select("doc_id", "text", "text_hash").mapInArrow(tidy(blocks), BLOCKS_SQL)
 
 
 def _sets(row: dict, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -216,184 +218,232 @@ def _prefixes(percent: int):
     return post
 
 
-def merge_skip(lists: list[array], least: int, first: int) -> Iterator[tuple[int, int]]:
-    """(record, occurrences) of records from `first` on that at least `least` of the sorted lists hold.
+def merge_skip(lists: list[array], least: int, first: int) -> tuple[list[int], list[int]]:
+    """Records from `first` on that at least `least` of the sorted lists hold, and how many do.
 
-    A heap holds the head of each list. Where too few lists have the least head, so many lists leave the heap that no
-    record before the next head can occur often enough, and they come back at that record or after it.
+    A heap holds the head of each list, record and list in one number. Where too few lists have the least head, as many lists
+    leave the heap as no record before the next head can occur often enough without, and come back at that head or after it.
     """
-    heap = [(x[i], k, i) for k, x in enumerate(lists) if (i := bisect_left(x, first)) < len(x)]
+    bits = len(lists).bit_length()
+    own = (1 << bits) - 1
+    at = [bisect_left(x, first) for x in lists]
+    heap = [x[i] << bits | k for k, (x, i) in enumerate(zip(lists, at, strict=True)) if i < len(x)]
     heapq.heapify(heap)
+    records, counts = [], []
     while len(heap) >= least:
-        top, taken = heap[0][0], []
-        while heap and heap[0][0] == top:
-            taken.append(heapq.heappop(heap))
-        if len(taken) >= least:
-            yield top, len(taken)
-            after = top + 1
-        else:
-            while heap and len(taken) < least - 1:
-                taken.append(heapq.heappop(heap))
-            if not heap:
-                return
-            after = heap[0][0]
-        for _, k, i in taken:
-            i = bisect_left(lists[k], after, i)
+        top, taken = heap[0] >> bits, 0
+        while heap and heap[0] >> bits == top:
+            k = heap[0] & own
+            i = at[k] = at[k] + 1
+            taken += 1
             if i < len(lists[k]):
-                heapq.heappush(heap, (lists[k][i], k, i))
-
-
-def merge_count(lists: list[array], least: int, first: int, before: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same records as merge_skip() for lists too long to go through a heap one by one: counted in one array."""
-    count = np.zeros(before - first, np.int32)
-    for x in lists:
-        x = np.frombuffer(x, np.int32)
-        count[x[np.searchsorted(x, first) :] - first] += 1
-    return np.flatnonzero(count >= least) + first, count
+                heapq.heapreplace(heap, lists[k][i] << bits | k)
+            else:
+                heapq.heappop(heap)
+        if taken >= least:
+            records.append(top)
+            counts.append(taken)
+        elif len(heap) >= least:
+            behind = [heapq.heappop(heap) & own for _ in range(least - 1)]
+            after = heap[0] >> bits
+            for k in behind:
+                i = at[k] = bisect_left(lists[k], after, at[k])
+                if i < len(lists[k]):
+                    heapq.heappush(heap, lists[k][i] << bits | k)
+        else:
+            break
+    return records, counts
 
 
-def _reached(candidates: np.ndarray, count: np.ndarray, need: np.ndarray, long: list[array]) -> np.ndarray:
+def _reached(candidates: np.ndarray, count: np.ndarray, need: np.ndarray, long: list[array], records: int) -> np.ndarray:
     """Which candidates occur as often as they need, with binary search in the long lists, longest first.
 
-    A candidate that has enough, or can't get enough from the lists that are left, is searched for no longer.
+    PROBED lists are one sorted array to search in. A candidate that has enough, or can't get enough from the lists that are
+    left, is searched for no longer.
     """
     reached = count >= need
     open_ = np.flatnonzero(~reached & (count + len(long) >= need))
-    for k in range(len(long) - 1, -1, -1):
+    for hi in range(len(long), 0, -PROBED):
         if not len(open_):
             break
-        x = np.frombuffer(long[k], np.int32)
-        at = np.searchsorted(x, candidates[open_])
-        count[open_] += x[np.minimum(at, len(x) - 1)] == candidates[open_]
+        part = long[max(0, hi - PROBED) : hi]
+        base = np.arange(len(part), dtype=np.int64) * records
+        held = np.concatenate([np.frombuffer(x, np.int32) for x in part]) + np.repeat(base, [len(x) for x in part])
+        asked = (base[:, None] + candidates[open_]).ravel()
+        found = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked
+        count[open_] += found.reshape(len(part), -1).sum(axis=0)
         enough = count[open_] >= need[open_]
         reached[open_[enough]] = True
-        open_ = open_[~enough & (count[open_] + k >= need[open_])]
+        open_ = open_[~enough & (count[open_] + max(0, hi - PROBED) >= need[open_])]
     return reached
 
 
-def search(nodes: list[int], sizes: list[int], sets: list[np.ndarray], percent: int, parts: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that join all records which similarity connects; each links a record to a smaller or equal one.
+def search(sizes: list[int], sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(record, those among the records before it that it links to), for every record that links to any.
 
-    Every record is searched for among those before it, by size. A candidate that is connected already needs no check, and
-    a search ends when nothing is left to connect. With `parts`, only records of different parts are compared.
+    Records go by size, and each is searched for among those before it. With `sides`, only records of different sides are
+    compared. Every link is found once.
     """
-    order = sorted(range(len(nodes)), key=lambda i: (sizes[i], nodes[i]))
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i])
     size = np.array([sizes[i] for i in order], np.int64)
-    sized = size.tolist()
-    of_part = np.array([parts[i] for i in order]) if parts else None
-    root = np.arange(len(order))  # of each record, kept flat
-    members: dict[int, list[int]] = {}
+    sized, place = size.tolist(), np.array(order)
+    side = np.array([sides[i] for i in order]) if sides else None
     index: dict[int, array] = {}
-    links, apart = [], 0
-
-    def connect(r: int, s: int) -> None:
-        a, b = root[r], root[s]
-        small, large = sorted((a, b), key=lambda x: len(members[x]))
-        root[members[small]] = large
-        members[large] += members.pop(small)
-        links.append((nodes[order[r]], nodes[order[s]]))
-
     for r, i in enumerate(order):
         grams, t = sets[i].tolist(), required(sized[r], percent)
         first = bisect_left(sized, t, 0, r)
         lists = [x for g in grams if (x := index.get(g)) and x[-1] >= first]
-        members[r] = [r]
-        apart += 1
-        if len(lists) >= t and apart > 1:
+        if len(lists) >= t:
             lists.sort(key=len)
             probed = min(t - 1, int(t / (MU * math.log2(len(lists[-1]) + 1) + 1)))
-            short, long = lists[: len(lists) - probed], lists[len(lists) - probed :]
-            if sum(map(len, short)) <= HEAPED:
-                found = merge_skip(short, t - probed, first)
-                batches: Iterator = iter(lambda: list(islice(found, 16)), [])
-            else:
-                many, total = merge_count(short, t - probed, first, r)
-                batches = iter([list(zip(many.tolist(), total[many - first].tolist(), strict=True))])
-            for batch in batches:
-                s, count = np.array(batch, np.int64).reshape(-1, 2).T.copy()
-                new = root[s] != root[r]
-                if of_part is not None:
-                    new &= of_part[s] != of_part[r]
-                s, count = s[new], count[new]
-                for x in s[_reached(s, count, -(-percent * (sized[r] + size[s]) // (100 + percent)), long)].tolist():
-                    if root[x] != root[r]:
-                        connect(r, x)
-                        apart -= 1
-                if apart == 1:
-                    break
+            s, count = (np.array(x, np.int64) for x in merge_skip(lists[: len(lists) - probed], t - probed, first))
+            if side is not None:
+                s, count = s[(apart := side[s] != side[r])], count[apart]
+            if len(s):
+                linked = s[_reached(s, count, -(-percent * (sized[r] + size[s]) // (100 + percent)), lists[len(lists) - probed :], r)]
+                if len(linked):
+                    yield i, place[linked]
         for g in grams:
             index.setdefault(g, array("i")).append(r)
-    return links
+
+
+CELL_KEY = ("root", "low_band", "low_part", "high_band", "high_part")
 
 
 def _cell(percent: int):
+    """Links of a cell: (a, b, null) for as many as connect what links connect, and (a, null, links) for how many documents
+    each set links to."""
+
     def join(table: pa.Table) -> pa.Table:
-        parts = table.column("part").to_pylist()
+        nodes, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
         sets = [np.frombuffer(x, np.int64) for x in table.column("shared").to_pylist()]
-        cross = len(set(parts)) > 1
-        found = search(table.column("node").to_pylist(), table.column("n").to_pylist(), sets, percent, parts if cross else None)
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        sides = table.column("side").to_pylist()
+        root, links, edges = list(range(len(nodes))), np.zeros(len(nodes), np.int64), []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for r, others in search(table.column("n").to_pylist(), sets, percent, sides if sides[0] else None):
+            links[r] += copies[others].sum()
+            links[others] += copies[r]
+            for s in others.tolist():
+                if (x := find(r)) != (y := find(s)):
+                    root[x] = y
+                    edges.append((int(nodes[r]), int(nodes[s]), None))
+        counted = np.flatnonzero(links)
+        edges += [(a, None, n) for a, n in zip(nodes[counted].tolist(), links[counted].tolist(), strict=True)]
+        columns = zip(*edges, strict=True) if edges else ((), (), ())
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("a", "b", "links"), columns, strict=True)})
 
     return join
 
 
-def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """Join documents by the Jaccard similarity of their sets of word n-grams: doc_id, n_shingles, component_id.
+def _cells(grouped: DataFrame, percent: int) -> DataFrame:
+    """The rows of `grouped` (root, node, n, ..) in the cells that compare them, with CELL_KEY and `side` (0: with each other, else
+    those of side 1 with those of side 2).
 
-    Words are lower-cased in A-Z and parted by ASCII white space; a text with fewer than n words is one n-gram, and a null
-    text or one without words has no n-gram and no link. Two documents link when 100 * common >= percent * all n-grams.
-    component_id is the least doc_id that links reach, the row's own included (null ids count last: null only if all are).
-    Repeated rows are each returned; other columns are not read; an empty table gives no rows. N-grams and words are known
-    by 64-bit hashes, sets by 128-bit ones.
-
-    1. Blocks of documents ask buckets of n-grams which of their n-grams other sets have too (32 bits for each n-gram, and
-       a few bits back). A set with fewer such n-grams than it needs has no partner, and drops out.
-    2. The rest post their rarest n-grams, as many as two similar sets have one in common of. Star edges between sets that
-       share one, linear in the postings, give groups outside of which no links are.
-    3. Each group is searched by DivideSkip; a group too large for one task in parts, every pair of parts in its own task.
+    A group is one cell, if it is small. A large one is parted by size, into bands so wide that sets of neighbouring bands
+    alone can link, and bands into parts by hash; every pair of parts that can link is a cell, and a link is in one of them.
     """
-    table = materialise(block_table(docs, n), "jaccard-blocks", **{"parquet.block.size": "8388608"})
+    wide = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    band = F.floor(F.log("n") / wide).cast("long")
+    parts = F.ceil(F.greatest(F.sum("n") / CELL, F.count("*") / CELL_SETS)).cast("int")
+    bands = grouped.groupBy("root", band.alias("band")).agg(parts.alias("parts"), F.sum("n").alias("n"), F.count("*").alias("sets"))
+    whole = bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("bands"), F.sum("n").alias("grams"), F.sum("sets").alias("sets"))
+    large = materialise(whole.filter((F.col("grams") > CELL) | (F.col("sets") > CELL_SETS)).select("root", "bands"), "jaccard-large")
+    rows = grouped.join(large, "root", "left").withColumn("band", band)
+    parts_of = lambda b: F.coalesce(F.try_element_at("bands", b), F.lit(0))
+    own = F.pmod(F.xxhash64("node"), parts_of(F.col("band"))).cast("int")
+    rows = rows.withColumn("part", F.when(F.col("bands").isNotNull(), own))
+    cell = lambda lb, lp, hb, hp, side: F.struct(lb.cast("long").alias("low_band"), lp.cast("int").alias("low_part"), hb.cast("long").alias("high_band"), hp.cast("int").alias("high_part"), side.cast("int").alias("side"))
+    b, p, zero = F.col("band"), F.col("part"), F.lit(0)
+    numbers = lambda c: F.filter(F.sequence(F.lit(0), F.greatest(c - 1, F.lit(0))), lambda k: k < c)
+    same = F.transform(numbers(parts_of(b)), lambda k: cell(b, F.least(p, k), b, F.greatest(p, k), F.when(p == k, 0).when(p < k, 1).otherwise(2)))
+    above = F.transform(numbers(parts_of(b + 1)), lambda k: cell(b, p, b + 1, k, F.lit(1)))
+    below = F.transform(numbers(parts_of(b - 1)), lambda k: cell(b - 1, k, b, p, F.lit(2)))
+    one = F.array(cell(zero, zero, zero, zero, zero))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("bands").isNull(), one).otherwise(F.concat(same, above, below))))
+    return rows.select("node", "n", "shared", "copies", "root", "cell.*")
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """What link() returns, with `text_hash`."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    path = new_path(docs.sparkSession, "jaccard-blocks")
+    table = write_table(block_table(docs, n), path, **{"parquet.block.size": "8388608"})
     buckets = bucket_count(table)
-    rows = table.select("block", F.posexplode(F.arrays_zip("doc_ids", "sizes", "h1", "h2")).alias("pos", "d"))
-    rows = rows.select(((F.col("block") * (1 << 24)) + F.col("pos")).alias("node"), F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n"), F.col("d.h1").alias("h1"), F.col("d.h2").alias("h2"))
-    classes = rows.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.min("node").alias("node"))
+    rows = table.select("block", F.posexplode(F.arrays_zip("doc_ids", "hashes", "sizes", "h1", "h2")).alias("pos", "d"))
+    rows = rows.select(((F.col("block") * (1 << 24)) + F.col("pos")).alias("node"), F.col("d.doc_ids").alias("doc_id"), F.col("d.hashes").alias("text_hash"), F.col("d.sizes").alias("n"), F.col("d.h1").alias("h1"), F.col("d.h2").alias("h2"))
+    rows = materialise(rows, "jaccard-rows")
+    classes = rows.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.min("node").alias("node"), F.count("*").alias("copies"))
     classes = materialise(classes, "jaccard-classes")
 
     asked = table.select(*BLOCKS.names).mapInArrow(tidy(_ask(n, buckets)), "bucket int, block long, low binary, sets binary")
     answers = asked.groupBy("bucket").applyInArrow(_rarity, "block long, bucket int, rarity binary")
     left = table.select("block", "sizes", "h1", "h2", "lengths", "ids", "keys")
     kept = left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_groups(_survivors(n, percent, buckets)), "node long, n int, shared binary")
-    kept = materialise(kept.join(classes.select("node"), "node", "left_semi"), "jaccard-kept")
+    kept = materialise(kept.join(classes.select("node", "copies"), "node"), "jaccard-kept")
+    drop_table(docs.sparkSession, path)
 
-    postings = kept.mapInArrow(_prefixes(percent), "gram long, node long")
+    postings = kept.select("node", "n", "shared").mapInArrow(_prefixes(percent), "gram long, node long")
     stars = postings.groupBy("gram").agg(F.min("node").alias("star"), F.count("*").alias("c")).filter("c > 1").select("gram", "star")
     edges = postings.join(stars, "gram").filter("node != star").select(F.col("node").alias("a"), F.col("star").alias("b"))
-    groups = components(edges, "jaccard-groups")
-    grouped = kept.join(groups, "node")
-    large = materialise(grouped.groupBy("root").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts")).filter("parts > 1"), "jaccard-large")
-    grouped = grouped.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cells = grouped.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("node", "n", "shared", "part", "root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    links = cells.groupBy("root", "low", "high").applyInArrow(_cell(percent), "a long, b long")
-    joined = components(links, "jaccard-links")
-
-    named = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cells = _cells(kept.join(components(edges, "jaccard-groups"), "node"), percent)
+    links = materialise(cells.groupBy(*CELL_KEY).applyInArrow(_cell(percent), "a long, b long, links long"), "jaccard-links")
+    joined = components(links.filter("b IS NOT NULL").select("a", "b"), "jaccard-joined")
+
+    counted = links.filter("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    named = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counted, "node", "left")
     several = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("c")).filter("c > 1").select("root", "component_id")
-    named = named.join(several, "root", "left").select("n", "h1", "h2", F.coalesce("component_id", "least").alias("component_id"))
+    named = named.join(several, "root", "left").select("n", "h1", "h2", "root", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     found = rows.join(named, ["n", "h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return found.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "root")
+
+
+def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """Join documents by the Jaccard similarity of their sets of word n-grams: doc_id, n_shingles, component_id, n_links.
+
+    Words are lower-cased in A-Z and parted by ASCII white space; a text with fewer than n words is one n-gram, and a null
+    text or one without words has no n-gram and no link. Two documents link when 100 * common >= percent * all n-grams.
+    component_id is the least doc_id that links reach, the row's own included (null ids count last: null only if all are);
+    n_links is the number of other rows that a row links to. Repeated rows are each returned; other columns are not read; an
+    empty table gives no rows. N-grams and words are known by 64-bit hashes, sets by 128-bit ones.
+
+    1. Blocks of documents ask buckets of n-grams which of their n-grams other sets have too (32 bits for each n-gram, and
+       a few bits back). A set with fewer such n-grams than it needs has no partner, and drops out.
+    2. The rest post their rarest n-grams, as many as two similar sets have one in common of. Star edges between sets that
+       share one, linear in the postings, give groups outside of which no links are.
+    3. Each group is searched by DivideSkip; a group too large for one task in parts by size and hash, every pair of parts
+       that can link in its own task. All links between different sets are found and counted; only those that connect
+       something leave the task.
+
+    Keys of joins that very many rows may have (copies of one text, a star's n-gram) are left to Spark's skew joins.
+    """
+    return _joined(docs, n, percent).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each group of near duplicates, that with the smallest doc_id; equal rows of it count as
-    one. Rows without a doc_id stay. Documents with no words are no duplicates of each other and stay."""
-    found = link(docs, n, percent)
-    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.filter("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rows.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """`docs` with one row of each group of near duplicates, with all its columns: that with the smallest doc_id (null last).
+
+    Of rows with that id the one with the smallest hash of its text stays; rows equal in both are one, the smallest by all
+    columns. Rows without words (null and empty texts) are no duplicates and all stay; an empty table stays empty.
+
+    What goes is found on ids and hashes. Texts meet the list of rows that stay in a join that Catalyst broadcasts by the
+    list's size, and only texts of repeated rows are grouped.
+    """
+    found = _joined(docs, n, percent)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rows = found.filter("n_shingles > 0").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("c")).groupBy("root").agg(F.min(F.struct(*[key[c].alias(c) for c in ("none", "doc_id", "text_hash")], "c")).alias("k"))
+    wordless = found.filter("n_shingles = 0").select("doc_id", "text_hash", F.lit(1).alias("c"))
+    stay = rows.select("k.doc_id", "k.text_hash", "k.c").unionByName(wordless).distinct()
+    stay = materialise(stay.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "c"), "jaccard-stay")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")))
+    once = kept.filter("c = 1").select(docs["*"])
+    again = kept.filter("c > 1").groupBy("_id", "_hash").agg(F.min(F.struct(docs["*"])).alias("row")).select("row.*")
+    return once.unionByName(again)
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -411,5 +461,7 @@ links AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT y, root FROM reach JOIN links ON x = doc_id)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.component_id FROM sets s JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.component_id, coalesce(k.n, 0) AS n_links
+FROM sets s JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) k ON k.x = s.doc_id
 """
