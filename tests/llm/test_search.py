@@ -42,12 +42,48 @@ def test_neighbours_reach_the_recall_and_odd_vectors_take_no_part(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=16).astype(np.float32).tolist(), "x") for i in range(600)]
     rows += [(1000, None, ""), (1050, [0.0] * 16, ""), (1100, [float("nan")] * 16, ""), (1150, [1.0, None] * 8, ""), (1200, [1.0, 2.0], ""), (None, [1.0] * 16, "")]
-    found, told = nearest(spark, rows), brute_neighbours([r for r in rows if r[0] != 1200])
+    found, told = nearest(spark, rows), brute_neighbours([r for r in rows if r[0] != 1200])  # alone in its length
     assert set(found) == set(told)
     hits = sum(len(set(found[q]) & set(told[q])) for q in told)
     assert hits >= 0.9 * sum(map(len, told.values()))
 
 
+@pytest.mark.parametrize("d", [16, 64, 256])
+def test_recall_holds_for_vectors_the_codebooks_have_not_seen(monkeypatch, d):
+    """Gaussian vectors have no structure to learn: the order by code is as bad as it gets, and the measured share makes up."""
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(6000, d)).astype(np.float32)
+    monkeypatch.setattr(additive, "BOOKS", 6)
+    books = additive.fit(additive.unit(x[:1500]))
+    share = additive.needed_share(books, x[1500:3500], 5, additive.RECALL)
+    block, own = x[3500:], np.arange(2500)
+    codes = books.encode(additive.unit(block))
+    rows = additive.pa.table({"row": own, "vec_id": own, "embedding": list(block), "codes": [c.tobytes() for c in codes], "norm": np.sqrt((books.decode(codes) ** 2).sum(axis=1)).astype(np.float32)})
+    queries = additive.pa.table({"query_row": own[:100], "query_id": own[:100], "query": list(block[:100])})
+    monkeypatch.setattr(additive, "RERANK", 5)
+    monkeypatch.setattr(additive, "MARGIN", 0.0)
+    found: dict = {}
+    for r in additive._scan(books, 5, share)(rows, queries).to_pylist():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = additive.unit(block).astype(float)
+    exact = unit[:100] @ unit.T
+    np.fill_diagonal(exact, -np.inf)
+    hits = sum(len(found[i] & set(np.argsort(-exact[i])[:5].tolist())) for i in range(100))
+    assert share < 0.9 and hits >= 0.9 * 500
+
+
+def test_doubles_lengths_and_repeated_ids(spark):
+    tiny = [[1e-250 * v for v in x] for x in ([1.0, 2.0], [2.0, 1.0], [1.0, 2.0000001], [-1.0, -2.0])]
+    rows = [(50, tiny[0], ""), (1, tiny[1], ""), (2, tiny[2], ""), (3, tiny[3], ""), (50, [3e200, 0.0], ""), (100, [1.0, 2.0, 3.0], ""), (7, [3.0, 2.0, 1.0], ""), (7, [1.0, 2.0, 3.5], "")]
+    found = additive.search(spark.createDataFrame(rows, VECTORS.replace("float", "double")), F.col("vec_id") % 50 == 0).collect()
+    by = lambda q: sorted(tuple(r)[1:] for r in found if r["query_id"] == q)
+    assert [x[1] for x in by(100)] == [7, 7] and by(100)[0][2] > by(100)[1][2]
+    lists = by(50)
+    assert [x[0] for x in lists] == [1, 1, 2, 2, 3, 3, 4, 4]  # two rows named 50, each with its four others
+    assert {x[1] for x in lists if x[0] == 1} == {2, 1} and max(x[2] for x in lists) == pytest.approx(1)
+    assert min(x[2] for x in lists) == pytest.approx(-1)
+
+
 def test_ties_go_to_the_smaller_id_and_copies_do_not_hide_each_other(spark):
     rows = [(i, [1.0, 2.0, 3.0, 4.0], "") for i in range(700, 100, -1)] + [(i, [float(i), 1.0, 0.0, 0.0], "") for i in range(50)]
     assert nearest(spark, rows)[500] == [101, 102, 103, 104, 105]
@@ -56,7 +92,7 @@ def test_ties_go_to_the_smaller_id_and_copies_do_not_hide_each_other(spark):
 def test_too_few_vectors(spark):
     assert nearest(spark, []) == {}
     assert nearest(spark, [(50, [1.0], "")]) == {}
-    assert nearest(spark, [(50, [1.0], ""), (3, [2.0], ""), (3, [2.0], "")]) == {50: [3]}
+    assert nearest(spark, [(50, [1.0], ""), (3, [2.0], ""), (3, [2.0], "")]) == {50: [3, 3]}
 
 
 # Jaccard join

@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: A row is scored exactly if its score by code is among the RERANK best of its group or less than MARGIN under them, so that
-#: near copies, whose codes hardly differ, are told apart by their vectors however many they are.
-RERANK, MARGIN = 256, 0.02
-#: The codebooks are fitted on so many vectors at most, those with the smallest hashes of their ids.
-SAMPLE = 12_000
+#: A row is scored exactly if its score by code is among the best of its group, as large a share of it as RECALL needs and
+#: RERANK rows at least, or less than MARGIN under them, so that near copies, whose codes hardly differ, are told apart by their
+#: vectors however many they are.
+RERANK, MARGIN, RECALL = 256, 0.02, 0.97
+#: The codebooks are fitted on so many vectors at most, those with the smallest hashes of their ids; the share to score exactly is
+#: measured with so many queries among so many others, which the codebooks have not seen.
+SAMPLE, TRIED, TRIED_QUERIES = 12_000, 8192, 200
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors and queries that one group scores against each other.
 BLOCK, QUERIES = 8192, 4096
-INDEX = "vec_id long, embedding array<float>, codes binary, norm float"
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
 @dataclass
@@ -92,24 +93,29 @@ def fit(x: np.ndarray, seed: int = 1) -> Codebooks:
     return books
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def levelled(x: np.ndarray) -> np.ndarray:
+    """Vectors in double precision, each times a power of two that brings its largest component near one: no square over- or
+    underflows, and no cosine changes by a bit."""
     x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = levelled(x)
     return (x / np.sqrt((x**2).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines of one vector with many, in double precision."""
-    q, x = q.astype(np.float64), x.astype(np.float64)
+    """Cosines of one levelled vector with many, in double precision."""
     return (x * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the vectors that take part, one for each id."""
+    """(vec_id, embedding) of the vectors that take part, row by row; floats stay floats, other numbers are doubles."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-    rows = rows.filter(finite & F.exists("embedding", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite & F.exists("embedding", lambda x: x != 0))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -117,50 +123,83 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def build_index(rows: DataFrame) -> DataFrame:
-    """Every row with its code and the norm of what its code stands for."""
-    salted = F.xxhash64("vec_id")
-    cut = rows.select(salted.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    sample = rows.filter(salted <= F.lit(cut)).orderBy("vec_id").select("embedding").toArrow()
-    books = fit(unit(_matrix(sample.column(0))))
+def code_scores(books: Codebooks, codes: np.ndarray, norm: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Score of each row by its code, for a query with that table [book, word] of products."""
+    score = table[0][codes[:, 0]]
+    for m in range(1, codes.shape[1]):
+        score = score + table[m][codes[:, m]]
+    return score / np.maximum(norm, 1e-12)
+
+
+def tables(books: Codebooks, q: np.ndarray) -> np.ndarray:
+    return np.einsum("qd,mkd->qmk", unit(q), books.words, optimize=True).astype(np.float32)
+
+
+def needed_share(books: Codebooks, x: np.ndarray, k: int, recall: float) -> float:
+    """The share of a block that must be scored exactly for this recall of the k nearest.
+
+    Measured in a block of vectors that the codebooks were not fitted on: for each query among them, how deep in the order by
+    code its true k nearest lie.
+    """
+    if len(x) < 2:
+        return 1.0
+    codes = books.encode(unit(x))
+    norm, whole = np.sqrt((books.decode(codes) ** 2).sum(axis=1)), levelled(x)
+    depth = []
+    for i, table in enumerate(tables(books, x[:TRIED_QUERIES])):
+        score, exact = code_scores(books, codes, norm, table), cosine(whole[i], whole)
+        score[i] = exact[i] = -np.inf
+        best = np.argsort(-exact, kind="stable")[: min(k, len(x) - 1)]
+        depth += [int((score > score[b]).sum()) + 1 for b in best]
+    return float(np.quantile(depth, recall, method="higher")) / len(x)
+
+
+def build_index(rows: DataFrame, k: int) -> tuple[DataFrame, Codebooks, float]:
+    """Every row with its code and the norm of what its code stands for; the codebooks; the share to score exactly."""
+    salted = F.xxhash64("vec_id", "embedding")
+    cut = rows.select(salted.alias("h")).orderBy("h").limit(SAMPLE + TRIED).agg(F.max("h")).first()[0]
+    sample = rows.filter(salted <= F.lit(cut)).select(salted.alias("h"), "embedding").orderBy("h").limit(SAMPLE + TRIED).toArrow()
+    x = _matrix(sample.column("embedding"))
+    fitted = min(SAMPLE, max(1, len(x) * 3 // 4))
+    books = fit(unit(x[:fitted]))
+    share = needed_share(books, x[fitted:], k, RECALL)
+    kind = rows.schema["embedding"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                codes = books.encode(unit(_matrix(part.column(1))))
+                codes = books.encode(unit(_matrix(part.column(2))))
                 norms = np.sqrt((books.decode(codes) ** 2).sum(axis=1)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "embedding", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["row", "vec_id", "embedding", "codes", "norm"])
 
-    return rows.mapInArrow(encode, INDEX), books
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    return numbered.mapInArrow(encode, f"row long, vec_id long, embedding {kind}, codes binary, norm float"), books, share
 
 
-def _scan(books: Codebooks, k: int):
+def _scan(books: Codebooks, k: int, share: float):
     """Best k of a block of rows for each of a block of queries."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def scan(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if rows.num_rows and queries.num_rows:
-            rows = rows.sort_by("vec_id")
-            ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding"))
+            rows = rows.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+            ids, own, x = rows.column("vec_id").to_numpy(), rows.column("row").to_numpy(), levelled(_matrix(rows.column("embedding")))
             norm = rows.column("norm").to_numpy()
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            query_ids, q = queries.column("query_id").to_numpy(), _matrix(queries.column("query"))
-            tables = np.einsum("qd,mkd->qmk", unit(q), books.words, optimize=True).astype(np.float32)
-            for i, own in enumerate(query_ids):
-                score = tables[i, 0][codes[:, 0]]
-                for m in range(1, codes.shape[1]):
-                    score = score + tables[i, m][codes[:, m]]
-                score /= np.maximum(norm, 1e-12)
-                score[ids == own] = -np.inf
-                least = np.partition(score, len(ids) - RERANK)[len(ids) - RERANK] - MARGIN if len(ids) > RERANK else -np.inf
+            q = _matrix(queries.column("query"))
+            exactly = max(RERANK, int(np.ceil(share * len(ids))))
+            for table, row, name, query in zip(tables(books, q), queries.column("query_row").to_pylist(), queries.column("query_id").to_pylist(), levelled(q), strict=True):
+                score = code_scores(books, codes, norm, table)
+                score[own == row] = -np.inf
+                least = np.partition(score, len(ids) - exactly)[len(ids) - exactly] - MARGIN if len(ids) > exactly else -np.inf
                 near = np.flatnonzero(score >= least)
-                near = near[ids[near] != own]
-                exact = cosine(q[i], x[near])
+                near = near[own[near] != row]
+                exact = cosine(query, x[near])
                 best = np.lexsort((ids[near], -exact))[:k]
-                out += [(int(own), int(ids[near[j]]), float(exact[j])) for j in best]
-        columns = zip(*out, strict=True) if out else ((), (), ())
+                out += [(row, name, int(ids[near[j]]), float(exact[j])) for j in best]
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return scan
@@ -170,29 +209,33 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """The k nearest rows by cosine of every row that `is_query` (a condition on vec_id) picks: query_id, rank, vec_id, score.
 
     Scores are cosines of the original vectors in double precision; nearest first, ties to the smaller vec_id; fewer than k
-    rows where there are fewer candidates. Vectors that are null, zero, or hold null or non-finite components take no part,
-    nor do rows without an id or of another length than most vectors; of rows with one vec_id the smallest vector stands;
-    other columns are ignored. Too few vectors to form a pair give no rows.
-
-    Every row is indexed. Rows are dealt to blocks by a hash of their id and queries likewise, and each block of queries
-    meets each block of rows in one group of bounded size, whatever the vectors are: copies of a vector spread like others.
+    rows where there are fewer candidates. Vectors that are null, zero, or hold null or non-finite components take no part, nor
+    do rows without an id. Each row is a candidate and each picked row a query of its own, rows with the same id or vector
+    included; vectors have a cosine with those of their own length only, so each length is searched apart. Other columns are
+    ignored. Too few vectors to form a pair give no rows.
+
+    Every row is indexed. Rows are dealt to blocks by a hash and queries likewise, and each block of queries meets each block
+    of rows in one group of bounded size, whatever the vectors are: copies of a vector spread like others. How many rows of a
+    block are scored exactly follows from the recall measured on vectors that the codebooks have not seen.
     """
     rows = usable(vectors)
-    lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not lengths:
-        return empty
-    d = lengths[0]["d"]
-    index, books = build_index(rows.filter(F.size("embedding") == d))
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in sorted(r["d"] for r in rows.select(F.size("embedding").alias("d")).distinct().collect()):
+        out = out.unionByName(_of_length(rows.filter(F.size("embedding") == d), is_query, k))
+    return out
+
+
+def _of_length(rows: DataFrame, is_query, k: int) -> DataFrame:
+    index, books, share = build_index(rows, k)
     index = materialise(index, "additive-index")
     n = index.count()
-    queries = index.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = index.filter(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     blocks, parts = math.ceil(n / BLOCK), max(1, math.ceil(queries.count() / QUERIES))
     deal = lambda c, m: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(m)).cast("int")
-    left = index.select("*", deal("vec_id", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    right = queries.select("*", deal("query_id", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_scan(books, k), FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    left = index.select("*", deal("row", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = queries.select("*", deal("query_row", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_scan(books, k, share), FOUND)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
