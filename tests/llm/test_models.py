@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from vellum.llm import chain, hmm, langid, toxicity
@@ -86,14 +87,16 @@ def test_scores_are_those_of_the_plain_recursion_on_the_assembled_model(spark):
     rows = [r[:5] for r in texts(60, 9)] + [(500, None, "", "", "")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("held_out", hmm.id_bucket("doc_id", 7) == 2).select("doc_id", "held_out", "text")
     start = hmm.fit_start([r[1] for r in rows if r[1]])
-    _, found, model, _ = hmm.train(docs, start)
+    found, answers, model, buckets = hmm.train(docs, start)
+    answers = answers.toArrow()
     counts, in_state = Counter(), {}
     for row in found.collect():
-        n = row["n_keys"]
-        share = np.frombuffer(row["shares"], np.float32).reshape(n, -1).astype(float)
-        for key, c, s in zip(np.frombuffer(row["keys"], np.uint64).tolist(), np.frombuffer(row["counts"], np.uint32).tolist(), share, strict=True):
-            counts[key] += c
-            in_state[key] = in_state.get(key, 0) + c * np.append(s, 1 - s.sum())
+        keys = np.frombuffer(row["keys"], np.uint64)
+        own = answers.filter(hmm.pa.compute.equal(answers.column("block"), row["block"]))
+        c = hmm.aligned(own, keys, buckets, "answer_0", np.uint64).tolist()
+        s = hmm.aligned(own, keys, buckets, "answer_1", np.float32, 3).astype(float)
+        counts |= dict(zip(keys.tolist(), c, strict=True))
+        in_state |= {k: np.append(x, n - x.sum()) for k, n, x in zip(keys.tolist(), c, s, strict=True)}
     mass = sum(in_state.values())
     total, types = counts.total(), sum(c > 0 for c in counts.values())
     told = {}

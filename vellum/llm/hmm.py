@@ -312,35 +312,44 @@ def _answers(blocks: DataFrame, buckets: int) -> DataFrame:
     return answer(requests(blocks, buckets, counted, ["block", "n_keys", "keys", "counts", "shares"], 2), total, 2, 2)
 
 
-def _meet(texts: DataFrame, found: DataFrame, buckets: int, task, schema: str) -> DataFrame:
+def _meet(texts: DataFrame, answers: DataFrame, task, schema: str) -> DataFrame:
     """`task` of each block's texts and what all blocks together found of its words."""
-    return texts.groupBy("block").cogroup(_answers(found, buckets).groupBy("block")).applyInArrow(tidy_groups(task), schema)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_groups(task), schema)
 
 
 def train(rows: DataFrame, start: Start, states: int = STATES) -> tuple[DataFrame, DataFrame, Model, int]:
-    """Baum-Welch over all training documents: the blocks' texts, what the last step found, its model, the buckets.
+    """Baum-Welch over all training documents: the blocks' texts, what all of them together found of each block's words in
+    the last step, its model, and the number of buckets.
 
-    Steps follow each other until one gains less than TOLERANCE. Texts are coded and written once; a step writes what it
-    found of the blocks' words, and drops what the step before it wrote, and its own shuffle files.
+    Steps follow each other until one gains less than TOLERANCE. Texts are coded and written once. A step writes what it found
+    of the blocks' words, and then the answers for each block; each table, and the shuffle files of each query, are dropped
+    when the next one is written.
     """
     spark, options = rows.sparkSession, {"parquet.block.size": "8388608"}
+
+    def written(df: DataFrame, old: str | None) -> tuple[DataFrame, str]:
+        path = new_path(spark, "hmm-step")
+        table = write_table(df, path, **options)
+        if old:
+            drop_table(spark, old)
+        return table, path
+
     with dropped_shuffles(spark):
-        found = write_table(expect(rows, start), new_path(spark, "hmm-blocks"), **options)
-        texts, path = found.select(*TEXTS), None
+        found = write_table(expect(rows, start), new_path(spark, "hmm-texts"), **options)
+        texts = found.select(*TEXTS)
         buckets = bucket_count(found)
         types = count_types(found, buckets)
         model, before = maximise(found, types, states), -np.inf
+        answers, path = written(_answers(found, buckets), None)
         while model.tokens:
-            old, path = path, new_path(spark, "hmm-step")
-            found = write_table(_meet(texts, found, buckets, _stepper(model, buckets, states), STEP_SQL), path, **options)
-            if old:
-                drop_table(spark, old)
+            found, path = written(_meet(texts, answers, _stepper(model, buckets, states), STEP_SQL), path)
             now = found.agg(F.sum("likelihood")).first()[0] / model.tokens  # of the model that the step started with
             model = maximise(found, types, states)
+            answers, path = written(_answers(found, buckets), path)
             if now - before < TOLERANCE:
                 break
             before = now
-    return texts, found, model, buckets
+    return texts, answers, model, buckets
 
 
 def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
@@ -359,8 +368,8 @@ def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
     """
     rows = docs.select("doc_id", (id_bucket("doc_id", 7) == 2).alias("held_out"), "text")
     start = fit_start(collect_segments(rows.filter(~F.col("held_out")), "doc_id", START_ROWS, START_CHARS, "hmm"), states)
-    texts, found, model, buckets = train(rows, start, states)
-    scored = _meet(texts, found, buckets, _scorer(model, buckets, states), SCORES)
+    texts, answers, model, buckets = train(rows, start, states)
+    scored = _meet(texts, answers, _scorer(model, buckets, states), SCORES)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         F.col("known_mass").alias("base_score"), F.col("score_mass").alias("score"), F.pow(F.lit(10.0), -F.col("score_mass") / F.col("n_tokens")).alias("perplexity"),
