@@ -249,3 +249,70 @@ def test_stages_keep_the_columns_and_fewer_rows(spark):
     last = corpus_pipeline.mix(spark, now, sf)
     assert last.count() == now.count()
     assert now.filter("doc_id IN (10000, 10001)").count() == 0
+
+
+def test_the_whole_pipeline_on_planted_rows(spark, tmp_path):
+    """Every stage's decision again by brute force on what the stage before it kept."""
+    import random
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).parent))
+    from test_models import TONGUES
+    from test_search import brute_link, edit_distance_to_part
+
+    rng = random.Random(31)
+    insults = {"en": "scumbag", "de": "mistkerl", "fr": "connard"}
+    pool = {g: w + [a + w[0] for a in w] for g, w in TONGUES.items()}
+    rows, toxic = [], set()
+    for i in range(900):
+        lang = rng.choice(sorted(TONGUES))
+        text = [rng.choice(pool[lang]) for _ in range(rng.randint(40, 60))]
+        if rng.random() < 0.25:
+            text[rng.randrange(len(text))] = insults[lang]
+            toxic.add(i)
+        rows.append([i, text, lang, f"s{i % 3}"])
+    items = [[rng.choice(pool["en"]) for _ in range(20)] for _ in range(4)]
+    clean = [r for r in rows if r[0] not in toxic]
+    for k in range(20):
+        copy = list(clean[k][1])
+        if k % 2:
+            copy[rng.randrange(len(copy))] = "changed"
+        rows.append([1000 + k, copy, clean[k][2], "s1"])
+    for k in range(8):
+        leak = list(items[k % 4])
+        if k > 3:
+            leak[7] = "changed"
+        rows.append([2000 + k, [*clean[40 + k][1][:20], *leak], "en", "s2"])
+    rows = [(i, " ".join(t), g, s, 0) for i, t, g, s in rows] + [(3000, None, None, None, None), (3001, "12 ?", "en", "s1", 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(900)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.materialise(stage(spark, now, str(tmp_path)), f"test-{name}")
+        kept[name] = [(r["doc_id"], r["text"]) for r in now.collect()]
+    ids = {name: {i for i, _ in held} for name, held in kept.items()}
+    assert ids["language"] == {r[0] for r in rows} - {3000, 3001}
+    gone = ids["language"] - ids["toxicity"]
+    assert len(gone & toxic) >= 0.97 * len(toxic) and len(gone - toxic) <= 3
+    told = {c for i, _, c, _ in brute_link(kept["toxicity"], 5, 80)}
+    assert ids["near_duplicates"] == told
+    leaks = {i for i, t in kept["near_duplicates"] if any(edit_distance_to_part(x, t.split()) <= 4 for x in items)}
+    assert ids["decontaminate"] == ids["near_duplicates"] - leaks and {i for i in range(2000, 2008)} & ids["near_duplicates"] <= leaks
+    mix = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in mix} == ids["decontaminate"]
+    sizes = {i: len(t.split()) for i, t in kept["decontaminate"]}
+    assert all(r["size"] == sizes[r["doc_id"]] and r["taken"] <= 3 * r["size"] for r in mix)
+
+
+def test_the_pipeline_on_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_of_very_long_texts_and_clashing_names(spark):
+    rows = mixed(spark, ["w " * 2_000_000, "w"], ["a", "b"])
+    assert {r["size"] for r in rows} == {2_000_000, 1}

@@ -222,6 +222,25 @@ def edit_distance_to_part(item, text):
     return min(row)
 
 
+def test_the_best_run_is_what_brute_force_finds():
+    rng = random.Random(12)
+    for _ in range(40):
+        item, text = [rng.randrange(4) for _ in range(rng.randint(1, 9))], [rng.randrange(4) for _ in range(rng.randint(0, 25))]
+        d, at = decontaminate.best_run(np.array(item), np.array(text))
+        told = [min(edit_distance(item, text[lo:hi]) for hi in range(lo, len(text) + 1)) for lo in range(len(text) + 1)]
+        assert (d, at) == (min(told), told.index(min(told)))
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
 def test_leaks_are_what_brute_force_finds(spark):
     rng = random.Random(11)
     items = [(i, " ".join(words(rng, rng.randint(10, 40))), "") for i in range(25)] + [(90, None, ""), (91, "", ""), (92, "too short", ""), (None, "Null, item! with: words enough here", "")]
@@ -262,6 +281,16 @@ def test_removal_keeps_clean_rows_as_they_are(spark):
     assert decontaminate.find_leaks(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_ids_of_other_types_and_very_long_texts(spark):
+    rng = random.Random(21)
+    item = words(rng, 30)
+    long = words(rng, 300_000) + item[:20] + ["zz"] + item[20:]
+    docs = spark.createDataFrame([("a", " ".join(long)), ("b", " ".join(words(rng, 50)))], "doc_id string, text string")
+    bench = spark.createDataFrame([("x", " ".join(item))], "item_id string, text string")
+    assert [tuple(r)[:4] for r in decontaminate.find_leaks(docs, bench).collect()] == [("a", "x", 1, 30)]
+    assert [r["doc_id"] for r in decontaminate.remove_leaks(docs, bench).collect()] == ["b"]
+
+
 def test_short_items_are_found_word_for_word(spark):
     items = [(i, x, "") for i, x in enumerate(["Yes!", "forty two", "a b c d", "...", "no", "two two two"])]
     docs = spark.createDataFrame([(1, "he said: yes, forty-two", "", 0), (2, "forty a b c d", "", 0), (3, "a b x d two two", "", 0), (4, "no", "", 0)], DOCS)

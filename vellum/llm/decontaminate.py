@@ -7,6 +7,9 @@ embeddings differ in few places. Samples of a few places are then locality-sensi
 
 from __future__ import annotations
 
+import functools
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_chunks, plain_words, small_batches, tidy
+from .common import bounded_chunks, filesystem, new_path, plain_words, small_batches, tidy
 
 SIMILARITY = 0.8
 #: Items with fewer words are no evidence of leakage: they are reported, but by default no document is removed for them.
@@ -28,7 +31,7 @@ CHARS_AT_ONCE = 4_000_000
 TABLES = 8  # samples of a walk; walks are added until the recall is reached
 #: So many walks in a row that find no further copy mean that the recall is out of reach.
 STALLED = 1000
-MATCHES = "doc_id long, item_id long, distance int, item_words int, start_word int"
+
 
 def allowed(n: int, similarity: float) -> int:
     """The most word edits that leave an item of n words at that similarity."""
@@ -99,6 +102,23 @@ def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return band.min(axis=1)
 
 
+def best_run(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
+    """(edits, first place) of the run of `region` with the fewest edits to the item, the first of them.
+
+    The table of edit distances is filled from the ends, with all places where a run may end at no cost, so that its last row
+    holds the least edits for each place where a run may start.
+    """
+    back = region[::-1]
+    step = np.arange(len(back) + 1)
+    row = np.zeros(len(back) + 1, np.int64)
+    for i, word in enumerate(item[::-1], 1):
+        new = np.minimum(row + 1, i)
+        new[1:] = np.minimum(new[1:], row[:-1] + (back != word))
+        row = np.minimum.accumulate(new - step) + step
+    starts = row[::-1]
+    return int(starts.min()), int(starts.argmin())
+
+
 @dataclass
 class Words:
     """By word number, 0 for words of no item: hash, weight, and the most times that an item holds the word."""
@@ -267,20 +287,24 @@ def _search(texts: list[str | None], vocabulary: dict[bytes, int], known: Words,
         if not len(start):
             continue
         at, of = _candidates(values, start, items)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        hits: dict[tuple[int, int], list[int]] = {}
         for lo in range(0, len(at), 50_000):
             s, i = at[lo : lo + 50_000], of[lo : lo + 50_000]
             b = held[s[:, None] + np.arange(items.n + items.most)]
-            d = edit_distances(items.words[i], b, items.most)
-            for k in np.flatnonzero(d <= items.most):
-                row = int(np.searchsorted(begin, s[k], "right")) - 1
-                now = (int(d[k]), int(s[k] - begin[row]))
-                key = (row, int(i[k]))
-                best[key] = min(best.get(key, now), now)
-        for (row, i), (d, s) in sorted(best.items()):
+            for k in np.flatnonzero(edit_distances(items.words[i], b, items.most) <= items.most).tolist():
+                hits.setdefault((int(np.searchsorted(begin, s[k], "right")) - 1, int(i[k])), []).append(int(s[k]))
+        for (row, i), starts in sorted(hits.items()):
+            d, s = min(_best_near(held, begin, row, items, i, part) for part in np.split(starts, np.flatnonzero(np.diff(starts) > items.n) + 1))
             yield row, items.ids[i], d, items.n, s
 
 
+def _best_near(held: np.ndarray, begin: np.ndarray, row: int, items: Items, i: int, starts: np.ndarray) -> tuple[int, int]:
+    """(distance, first word) of the best run around windows of a text that match an item, exactly."""
+    lo, end = max(int(begin[row]), int(starts[0]) - items.n), begin[row + 1] if row + 1 < len(begin) else len(held)
+    d, at = best_run(items.words[i], held[lo : min(int(starts[-1]) + 2 * items.n, end)])
+    return d, lo + at - int(begin[row])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Benchmark items found in documents: doc_id, item_id, distance, item_words, start_word, similarity.
 
@@ -289,65 +313,99 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     lower-cased, with ASCII punctuation as space. Windows of each item length over whole texts are embedded by CGK walks,
     and samples of the embeddings looked up in the items' tables; walks are added until edited copies of the items are
     found with `recall`; every candidate is verified exactly. Windows are skipped only where they cannot match: where more
-    words than the allowed edits occur in no item. The benchmark is read in blocks of ITEMS_CHARS characters, each of which
+    words than the allowed edits occur in no item. The benchmark is indexed in blocks of ITEMS_CHARS characters, each of which
     makes a pass over the documents; documents never move between tasks. Null and empty texts hold nothing; null items
     and those without a word are never reported, and the shortest are reported where they occur word for word, as they allow
-    no edit; equal items and repeated rows are each reported; a null
-    doc_id or item_id is carried; other columns are ignored.
+    no edit; equal items and repeated rows are each reported; ids of any type are carried, null ones too; other columns are
+    ignored.
     """
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    items = dict(benchmark.dtypes)["item_id"]
+    found = f"doc_id {kind}, item_id {items}, distance int, item_words int, start_word int"
     out = None
-    for index in _indexes(benchmark, similarity, recall):
-        part = small_batches(docs).select("doc_id", "text").mapInArrow(tidy(_searcher(*index)), MATCHES)
+    for path in write_indexes(benchmark, similarity, recall):
+        part = small_batches(docs).select("doc_id", "text").mapInArrow(tidy(_searcher(path)), found)
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], found)
     return out.withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
 
 
-def _indexes(benchmark: DataFrame, similarity: float, recall: float, fewest: int = 1) -> Iterator[tuple]:
-    """An index for each block of the benchmark, one at least."""
-    block: list[tuple[int, str]] = []
-    size = 0
-    for row in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
-        if size > ITEMS_CHARS:
-            yield build_index(block, similarity, recall, fewest)
-            block, size = [], 0
-        block.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-    yield build_index(block, similarity, recall, fewest)
-
-
-def _searcher(vocabulary: dict[bytes, int], known: Words, found: list[Items]):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int32())])
+def write_indexes(benchmark: DataFrame, similarity: float, recall: float, fewest: int = 1) -> list[str]:
+    """Indexes of blocks of the benchmark as files in the shared folder, made by the tasks that read the blocks.
 
+    The driver gets the files' names alone, one for each ITEMS_CHARS characters or task; a task that searches holds one index.
+    """
+    folder = new_path(benchmark.sparkSession, "benchmark")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple[int, str]] = []
+        size = 0
+
+        def written() -> pa.RecordBatch:
+            index = build_index(block, similarity, recall, fewest)
+            path = f"{folder}/{uuid.uuid4().hex}" if index[-1] else None
+            if path:
+                store, at = filesystem(path)
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at, compression=None) as out:
+                    pickle.dump(index, out)
+            return pa.RecordBatch.from_arrays([pa.array([path], pa.string())], names=["path"])
+
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block.append((item, text))
+                size += len(text)
+                if size > ITEMS_CHARS:
+                    yield written()
+                    block, size = [], 0
+        if block:
+            yield written()
+
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL").coalesce(8)
+    return sorted(r["path"] for r in small_batches(items).mapInArrow(tidy(make), "path string").collect() if r["path"])
+
+
+@functools.lru_cache(maxsize=1)
+def _index(path: str) -> tuple:
+    """The index of a file, kept as long as the worker searches for the same one."""
+    store, at = filesystem(path)
+    with store.open_input_file(at) as file:
+        return pickle.loads(file.read())
+
+
+def _searcher(path: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches if found else ():
+        for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in bounded_chunks(texts, CHARS_AT_ONCE):
-                rows = list(_search(texts[lo:hi], vocabulary, known, found))
+                rows = list(_search(texts[lo:hi], *_index(path)))
                 if rows:
-                    at, *rest = zip(*rows, strict=True)
-                    columns = [ids.take(pa.array([lo + i for i in at])), *[pa.array(x, t) for x, t in zip(rest, schema.types[1:], strict=True)]]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    at, items, *rest = zip(*rows, strict=True)
+                    columns = [ids.take(pa.array([lo + i for i in at])), pa.array(items), *[pa.array(x, pa.int32()) for x in rest]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "distance", "item_words", "start_word"])
 
     return search
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, fewest: int = MIN_WORDS) -> DataFrame:
     """The rows of `docs` in which find_leaks() finds no item of `fewest` words or more, with all their columns: each is judged
-    alone, nothing shuffles."""
+    alone, nothing shuffles. Null and empty texts and repeated rows of clean texts stay; an empty benchmark removes nothing, an
+    empty table stays empty; ids are not read."""
     text_at = docs.columns.index("text")
 
-    def keep(index: tuple):
+    def keep(path: str):
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, clean = batch.column(text_at).to_pylist(), np.ones(batch.num_rows, bool)
-                for lo, hi in bounded_chunks(texts, CHARS_AT_ONCE) if index[-1] else ():
-                    clean[[lo + r[0] for r in _search(texts[lo:hi], *index)]] = False
+                for lo, hi in bounded_chunks(texts, CHARS_AT_ONCE):
+                    clean[[lo + r[0] for r in _search(texts[lo:hi], *_index(path))]] = False
                 yield batch.filter(pa.array(clean))
 
         return kept
 
-    for index in _indexes(benchmark, similarity, recall, fewest):
-        docs = small_batches(docs).mapInArrow(tidy(keep(index)), docs.schema)
+    for path in write_indexes(benchmark, similarity, recall, fewest):
+        docs = small_batches(docs).mapInArrow(tidy(keep(path)), docs.schema)
     return docs
 
 

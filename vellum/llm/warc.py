@@ -40,7 +40,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import materialise, new_path
+from .common import filesystem, materialise, new_path
 
 #: Columns with the header that fills each.
 HEADERS = {
@@ -68,13 +68,6 @@ FILE_BYTES, SPLIT_BYTES, BATCH_BYTES = 1 << 30, 64 << 20, 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 
 
-def filesystem(path: str):
-    """(filesystem, path in it) of a path or URI."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def gzip_member(data: bytes, level: int = 3) -> bytes:
     """One gzip member with the lengths of its packed and plain data in an `sl` extra field."""
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
