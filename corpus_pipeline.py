@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm.common import materialise
+from vellum.llm.common import drop_table, new_path, write_table
 from vellum.llm.decontaminate import remove_leaks
 from vellum.llm.jaccard import keep_one
 from vellum.llm.langid import keep_identified
@@ -17,27 +17,32 @@ from vellum.llm.toxicity import remove_toxic
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter, and those of which no language holds three words in ten."""
+    """Drop texts that are null or without a letter, and those of which fewer than three words in ten are of a language that
+    the labelled rows teach. Rows are judged one by one, repeated ones alike; where no row is labelled all stay."""
     return keep_identified(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts that the classifier, fitted on the labelled ones among them, calls toxic."""
+    """Drop texts that the classifier, fitted on the labelled ones among them, calls toxic. Rows are judged one by one, repeated
+    ones alike, null and empty texts as padding; null ids and labels only take no part in the fit."""
     return remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by a similarity of 0.8 or more of their sets of five words."""
+    """Keep one row of each group linked by a similarity of 0.8 or more of their sets of five words: that with the smallest
+    doc_id (null last), then text hash, then other columns. Rows without words all stay."""
     return keep_one(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark, exactly or with few edits."""
+    """Drop documents that hold an item of the benchmark, exactly or with few edits. Null and empty texts stay, null and empty
+    items remove nothing, and neither do items under five words."""
     return remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document left the mix takes."""
+    """How many words of each document left the mix takes. Null sources are a source of their own, rows without words take
+    nothing, rows with one doc_id share a decision."""
     return mix_documents(docs)
 
 
@@ -48,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialise(docs, f"pipeline-{name}")
-    return docs
+    """All stages over the documents; what a stage read is dropped when what it kept is written."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"pipeline-{name}")
+        docs = write_table(stage(spark, docs, sf_dir), path)
+        if old:
+            drop_table(spark, old)
+        old = path
+    return STAGES[-1][1](spark, docs, sf_dir)
