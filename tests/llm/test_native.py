@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from vellum.llm import licences, mixing, urlfilter, warc
+from vellum.llm.common import materialise
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, target string, path string"
 PERMISSION = """Copyright (c) 2020 Somebody
@@ -244,7 +245,7 @@ def test_stages_keep_the_columns_and_fewer_rows(spark):
     now = rows.unionByName(odd)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "decontaminate", "mix"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, now = now.count(), corpus_pipeline.materialise(stage(spark, now, sf), f"test-{name}")
+        before, now = now.count(), materialise(stage(spark, now, sf), f"test-{name}")
         assert now.columns == rows.columns and 0 < now.count() <= before
     last = corpus_pipeline.mix(spark, now, sf)
     assert last.count() == now.count()
@@ -291,7 +292,7 @@ def test_the_whole_pipeline_on_planted_rows(spark, tmp_path):
     spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     now, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = corpus_pipeline.materialise(stage(spark, now, str(tmp_path)), f"test-{name}")
+        now = materialise(stage(spark, now, str(tmp_path)), f"test-{name}")
         kept[name] = [(r["doc_id"], r["text"]) for r in now.collect()]
     ids = {name: {i for i, _ in held} for name, held in kept.items()}
     assert ids["language"] == {r[0] for r in rows} - {3000, 3001}
