@@ -10,7 +10,7 @@ from vellum.operators import structure as S
 from vellum.operators import styles as Y
 from vellum.operators import warnings as W
 
-STYLE = "doc_id string, style_id string, name string, kind string, based_on string, font_size double, bold boolean, outline_level int, space_before double, numbered boolean"
+STYLE = "doc_id string, style_id string, name string, kind string, based_on string, font_size double, bold boolean, outline_level int, space_before double, numbering string"
 
 
 def one(spark, column):
@@ -40,29 +40,33 @@ def test_language_codes(spark):
     assert one(spark, T.html_language(F.lit("not a tag"))) == "en"
 
 
+def wide(styles):
+    return styles.select("*", *[F.lit(None).cast(t).alias(c) for c, t in Y.FORMATS.items() if c not in styles.columns])
+
+
 def test_style_inheritance_survives_cycles_and_missing_parents(spark):
     rows = [
         ("d", "A", "A", "paragraph", None, 10.0, True, None, None, None),
         ("d", "B", "B", "paragraph", "A", None, None, 1, None, None),
         ("d", "C", "C", "paragraph", "D", None, None, None, 3.0, None),
         ("d", "D", "D", "paragraph", "C", 9.0, None, None, None, None),
-        ("d", "E", "E", "paragraph", "gone", None, None, None, None, True),
+        ("d", "E", "E", "paragraph", "gone", None, None, None, None, "1:0"),
     ]
-    found = {r["style_id"]: r for r in Y.effective_formats(spark.createDataFrame(rows, STYLE)).collect()}
+    found = {r["style_id"]: r for r in Y.effective_formats(wide(spark.createDataFrame(rows, STYLE))).collect()}
     assert (found["B"]["font_size"], found["B"]["bold"], found["B"]["outline_level"]) == (10.0, True, 1)
     assert (found["C"]["font_size"], found["C"]["space_before"]) == (9.0, 3.0)
-    assert found["E"]["numbered"] and found["E"]["font_size"] is None
+    assert found["E"]["numbering"] == "1:0" and found["E"]["font_size"] is None
 
 
 def judged(spark, **given):
     usual = {
         "style_id": "S", "name": "Plain", "kind": "paragraph", "based_on": None, "usages": 3, "first_position": 5, "short": False, "bold_text": False,
-        "numbered_text": False, "near_figure": False, "caption_text": False, "most_size": 11.0, "document_size": 20.0, "bold": None, "numbered": None,
-        "space_before": None, "outline_level": None, "user_mapping": None, "preset_mapping": None,
+        "numbered_text": False, "near_figure": False, "caption_text": False, "most_size": 11.0, "document_size": 20.0, "bold": None, "spaced_text": False,
+        "space_before": None, "outline_level": None, "toc_level": None, "user_mapping": None, "preset_mapping": None,
     }
     schema = (
         "style_id string, name string, kind string, based_on string, usages long, first_position long, short boolean, bold_text boolean, numbered_text boolean, near_figure boolean, "
-        "caption_text boolean, most_size double, document_size double, bold boolean, numbered boolean, space_before double, outline_level int, user_mapping string, preset_mapping string"
+        "caption_text boolean, most_size double, document_size double, bold boolean, spaced_text boolean, space_before double, outline_level int, toc_level int, user_mapping string, preset_mapping string"
     )
     row = Y.classify(spark.createDataFrame([tuple((usual | given).values())], schema)).first()
     return row["mapping"], row["confidence"]
@@ -130,6 +134,55 @@ def test_preview_has_nothing_active(spark):
     assert one(spark, P.sanitise(F.lit(html))) == "<p>Hi<a>l</a></p>"
 
 
+def test_no_spelling_of_an_active_target_or_handler_stays(spark):
+    cases = {
+        "<a href='javascript:x'>l</a>": "<a>l</a>", "<a href=javascript:x>l</a>": "<a>l</a>", "<img/onerror=x src=/a.png>": '<img src="/a.png">', '<a href="&#106;ava&Tab;script:x">l</a>': "<a>l</a>",
+        '<a href=" java\nscript:x">l</a>': "<a>l</a>", '<img src="data:text/html;base64,eA">': "<img>", '<img src="data:image/png;base64,eA">': '<img src="data:image/png;base64,eA">', '<a href="ftp://x">l</a>': "<a>l</a>",
+        '<a href="https://x">l</a>': "<a>l</a>", '<a href="#a">l</a>': '<a href="#a">l</a>', "<scr<script>ipt>x</script>y": "ipt&gt;xy", "<svg><p>x</p></svg>z": "z", "<form><input name=a>b</form>": "b", "<p>a < b &amp; c</p>": "<p>a &lt; b &amp; c</p>",
+        "<title>t</title><P CLASS=a>q<br/>": '<p class="a">q<br>', "<!-- x --><?y?><!doctype html>z": "z", "<object><b>in</b></object>out": "out", "<link rel=x><meta a=b>t": "t", "<b style='x' srcset=y>k</b>": "<b>k</b>",
+        "<p title='a\"b'>": '<p title="a&quot;b">', "<script>if (a < b) x()": "", "": "",
+    }
+    rows = spark.createDataFrame(list(enumerate([*cases, None])), "k int, html string")
+    found = [r["safe"] for r in rows.select("k", P.sanitise(F.col("html")).alias("safe")).orderBy("k").collect()]
+    assert dict(zip(cases, found, strict=False)) == cases and found[-1] is None
+
+
+def test_models_are_judged_alike_in_both_forms(spark):
+    good = '{"schema":"vellum/document","version":1,"metadata":{},"assets":{"a":{"data":{"$binary":"uint8-array","bytes":[0,255]}}},"equations":{},"notes":{},"blocks":[],"styles":[],"warnings":[]}'
+    texts = [good, None, "", "[]", "{}", "no json", good.replace("[0,255]", "[256]"), good.replace('"$binary"', '"x"'), good.replace('"assets":{', '"assets":[').replace("}}},", "}}],", 1), good.replace('"blocks":[]', '"blocks":{}'), good.replace('"version":1', '"version":2')]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = [[tuple(i) for i in r["i"]] for r in rows.select("k", O.model_issues(F.col("t")).alias("i")).orderBy("k").collect()]
+
+    def told(text):
+        try:
+            return O.issues(O.from_json(text) if text is not None else None)
+        except ValueError as e:
+            return [("$.assets.a.data", "not-binary")] if "bytes" in str(e) else [("$", "not-object")]
+
+    assert found[:8] == [told(t) for t in texts[:8]] and found[9:] == [told(t) for t in texts[9:]]
+
+
+def test_slugs_and_names_are_those_of_decomposition(spark):
+    import re
+    import unicodedata
+
+    from vellum.operators import render as R
+
+    held = ["Résumé ½ ﬁn", "Ｆｕｌｌ", "x² + ÿ", "Ünï-Çödé", "", "---", "Ⅳ. Teil", "plain text", "\u0065\u0301a", "日本"]
+    rows = spark.createDataFrame(list(enumerate(held)), "k int, t string").orderBy("k")
+    assert [r["s"] for r in rows.select(T.slug(F.col("t")).alias("s")).collect()] == [R.slug(t) for t in held]
+    name = lambda t: re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFD", t) if not "\u0300" <= c <= "\u036f").lower()).strip()
+    assert [r["s"] for r in rows.select(Y.normal_name(F.col("t")).alias("s")).collect()] == [name(t) for t in held]
+
+
+def test_formula_tokens_are_of_one_kind_in_both_forms(spark):
+    from vellum.functions.formula import token_kind
+
+    held = ["12", "1,5", "1.2.3", "٣", "½", "+", "≤≥", "*", "(", "ab", "é", "Ⅳ", "a1", "", "x y", "−", "1,", ",5"]
+    rows = spark.createDataFrame(list(enumerate(held)), "k int, t string").orderBy("k")
+    assert [r["s"] for r in rows.select(T.math_kind(F.col("t")).alias("s")).collect()] == [token_kind(t) for t in held]
+
+
 def test_operations_report_results_and_errors_and_can_be_cancelled(spark):
     import time
 

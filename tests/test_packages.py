@@ -18,7 +18,7 @@ from vellum.sources.xml import XmlError, parse
 RELS = '<Relationships xmlns="x"><Relationship Id="r1" Type="t/hyperlink" Target="https://example.org/a" TargetMode="External"/><Relationship Id="r2" Type="t/image" Target="media/a.png"/></Relationships>'
 NUMBERS = '<w:numbering xmlns:w="w"><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
 SHEET = '<w:styles xmlns:w="w"><w:style w:type="paragraph" w:styleId="Heading1"><w:name w:val="heading 1"/><w:pPr><w:outlineLvl w:val="0"/></w:pPr></w:style><w:style w:type="paragraph" w:styleId="Normal" w:default="1"><w:name w:val="Normal"/></w:style></w:styles>'
-CORE = "<c:p xmlns:c='c' xmlns:d='d'><d:title>Fixture Corpus</d:title><d:creator>Ada Example; Bo</d:creator><d:language>2057</d:language></c:p>"
+CORE = "<c:p xmlns:c='c' xmlns:d='d'><d:title>Rivers of Clay</d:title><d:creator>Ilse Moor; Bo</d:creator><d:language>2057</d:language></c:p>"
 NOTES = '<w:footnotes xmlns:w="w"><w:footnote w:id="-1"><w:p/></w:footnote><w:footnote w:id="1">' + paragraph("A note.") + "</w:footnote></w:footnotes>"
 
 
@@ -65,7 +65,7 @@ def test_the_reader_says_what_it_left_out(read):
 
 def test_metadata_candidates(read):
     found = [(c["field"], c["value"]) for c in read["candidates"]]
-    assert found[:4] == [("title", "Fixture Corpus"), ("authors", "Ada Example"), ("authors", "Bo"), ("language", "en-GB")]
+    assert found[:4] == [("title", "Rivers of Clay"), ("authors", "Ilse Moor"), ("authors", "Bo"), ("language", "en-GB")]
     assert ("identifier", "urn:vellum:my-file") in found and ("title", "My File") in found
 
 
@@ -121,14 +121,14 @@ def test_xml_keeps_mixed_content_and_refuses_types():
 
 def doc(read, **metadata):
     model = json.loads(read["model"])
-    meta = {"title": "Fixture Corpus", "language": "en-GB", "identifier": "urn:x", "modified": "2026-01-02", "authors": ["Ada"]} | metadata
+    meta = {"title": "Rivers of Clay", "language": "en-GB", "identifier": "urn:x", "authors": ["Ilse"]} | metadata
     return R.Doc(R.map_styles(model["blocks"], {"Heading1": "heading1"}), model["notes"], model["equations"], meta, {a["asset_id"]: a for a in read["assets"]})
 
 
 def test_html_is_complete_and_the_same_each_time(read):
     html = R.write_html(doc(read)).decode()
     assert html == R.write_html(doc(read)).decode()
-    for part in ('<html lang="en-GB">', '<h1 class="document-title">Fixture Corpus</h1>', '<h2 id="chapter-more">Chapter &amp; more</h2>', "<strong>bold</strong>", '<a href="https://example.org/a">link</a>', "<ol><li><p>one</p><ul><li><p>deep</p></li></ul></li><li><p>two</p></li></ol>", '<td colspan="2"><p>a|b</p></td>', "<mfrac><mrow><mn>1</mn></mrow><mrow><mi>x</mi></mrow></mfrac>", 'alt="A dot"', "data:image/png;base64,cG5n", '<li id="note-footnote-1"><p>A note.</p>'):
+    for part in ('<html lang="en-GB">', '<h1 class="document-title">Rivers of Clay</h1>', '<h2 id="chapter-more">Chapter &amp; more</h2>', "<strong>bold</strong>", '<a href="https://example.org/a">link</a>', "<ol><li><p>one</p><ul><li><p>deep</p></li></ul></li><li><p>two</p></li></ol>", '<td colspan="2"><p>a|b</p></td>', "<mfrac><mn>1</mn><mi>x</mi></mfrac>", 'alt="A dot"', "data:image/png;base64,cG5n", '<li id="note-footnote-1"><p>A note.</p>'):
         assert part in html, part
 
 
@@ -141,13 +141,13 @@ def test_html_zip_holds_page_style_and_images(read):
 def test_markdown(read):
     data, warnings = R.write_markdown(doc(read), formula="source")
     text = data.decode()
-    for part in ("# Fixture Corpus\n\n## Chapter & more", "**bold**[link](https://example.org/a)[^footnote-1]", "1. one\n   - deep\n2. two", "| a\\|b |\n| --- |\n| c |", "$$\\frac{1}{x}$$", "[^footnote-1]: A note."):
+    for part in ("# Rivers of Clay\n\n## Chapter & more", "**bold**[link](https://example.org/a)[^footnote-1]", "1. one\n   - deep\n2. two", "| a\\|b |\n| --- |\n| c |", "$$\n\\frac{1}{x}\n$$", "[^footnote-1]: A note."):
         assert part in text, part
     assert [w["code"] for w in warnings] == ["markdown-table-span"]
 
 
 def test_epub_has_its_files_in_order(read):
-    z = zipfile.ZipFile(io.BytesIO(R.write_epub(doc(read), cover_svg=cover_svg("T"))))
+    z = zipfile.ZipFile(io.BytesIO(R.write_epub(doc(read), "2026-01-02", cover_svg=cover_svg("T"))))
     assert z.namelist()[:7] == ["mimetype", "META-INF/container.xml", "EPUB/package.opf", "EPUB/nav.xhtml", "EPUB/styles.css", "EPUB/cover.svg", "EPUB/cover.xhtml"]
     assert z.getinfo("mimetype").compress_type == zipfile.ZIP_STORED
     for name in z.namelist():
@@ -155,7 +155,9 @@ def test_epub_has_its_files_in_order(read):
             parse(z.read(name).replace(b"<!DOCTYPE html>", b""))
     assert b"https://example.org" not in b"".join(z.read(n) for n in z.namelist())
     with pytest.raises(R.EpubError):
-        R.write_epub(doc(read, identifier=" "))
+        R.write_epub(doc(read, identifier=" "), "2026-01-02")
+    with pytest.raises(R.EpubError):
+        R.write_epub(doc(read), "yesterday")
 
 
 def test_chapters_split_at_second_level_headings():
@@ -170,7 +172,7 @@ def test_formulas():
     wrap_ = lambda x: f'<m:oMath xmlns:m="m">{x}</m:oMath>'
     root = convert(wrap_(f"<m:rad><m:deg>{run(3)}</m:deg><m:e>{run('y')}</m:e></m:rad>"))
     assert root["tex"] == r"\sqrt[3]{y}" and root["complete"]
-    assert convert(wrap_(f"<m:m><m:mr><m:e>{run(1)}</m:e><m:e>{run(2)}</m:e></m:mr></m:m>"))["tex"] == r"\begin{matrix}1&2\end{matrix}"
+    assert convert(wrap_(f"<m:m><m:mr><m:e>{run(1)}</m:e><m:e>{run(2)}</m:e></m:mr></m:m>"))["tex"] == r"\begin{matrix}1 & 2\end{matrix}"
     odd = convert(wrap_(f"<m:nary>{run('&lt;')}</m:nary>"))
     assert odd["unsupported"] == ["nary"] and not odd["complete"] and "<" not in odd["fallback"]
     assert convert("<broken")["unsupported"] == ["malformed-omml"]
@@ -181,7 +183,7 @@ def test_cover_text_fits_its_lines():
     assert all(text_width(x, 100) <= 700 for x in lines) and len(lines) > 2
     assert "&lt;b&gt;" in cover_svg("<b>")
     with pytest.raises(ValueError, match="out of range"):
-        cover_svg("x", size=1)
+        cover_svg("x", margin=26)
 
 
 def test_corpus_from_files_to_outputs(spark, tmp_path):
@@ -194,9 +196,66 @@ def test_corpus_from_files_to_outputs(spark, tmp_path):
     styles = {r["style_id"]: r["mapping"] for r in corpus.analyse(packages).collect()}
     assert styles["Heading1"] == "heading1"
     made = corpus.convert(packages, "markdown", "zip", "2026-01-31").collect()
-    assert len(made) == 1 and made[0]["files"] == ["document.md", "images/image-001.png"]
-    assert made[0]["warnings"][0]["code"] == "active-content-disabled"
-    assert b"# Fixture Corpus" in zipfile.ZipFile(io.BytesIO(bytes(made[0]["data"]))).read("document.md")
+    made.sort(key=lambda r: r["error"] or "")
+    assert [r["error"] for r in made] == [None, "unsupported-format"] and made[0]["files"] == ["document.md", "images/image-001.png"]
+    assert [w["ord"] for w in made[0]["warnings"]] == list(range(len(made[0]["warnings"]))) and made[0]["warnings"][0]["code"] == "active-content-disabled"
+    assert b"# Rivers of Clay" in zipfile.ZipFile(io.BytesIO(bytes(made[0]["data"]))).read("document.md")
+
+
+def test_a_conversion_is_one_pass_without_a_shuffle(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(FULL)
+    plan = corpus.convert(read_docx(spark, str(tmp_path)), "epub", "single", "2026-01-31")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Exchange" not in plan and "Join" not in plan
+
+
+def test_styles_that_share_an_id_and_very_many_styles(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.operators import styles as Y
+
+    sheet = '<w:styles xmlns:w="w">' + "".join(f'<w:style w:type="{t}" w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for t, i, n in (("paragraph", "Twin", "Kop 2"), ("character", "Twin", "Twin"), ("paragraph", "Twin", "Kop 3"))) + "</w:styles>"
+    body = paragraph("x", "Twin") + '<w:p><w:r><w:rPr><w:rStyle w:val="Twin"/></w:rPr><w:t>y</w:t></w:r></w:p>'
+    rows = spark.createDataFrame([("a", "a.docx", package(body, {"word/styles.xml": sheet}))], "doc_id string, path string, content binary")
+    made = corpus.convert(parse_packages(rows), "html", "fragment", "2026-01-31").collect()
+    assert made[0]["error"] is None and b"<h4" in bytes(made[0]["data"])
+    many = spark.range(100).select(F.lit("d").alias("doc_id"), F.format_string("s%03d", "id").alias("style_id"), F.when(F.col("id") > 0, F.format_string("s%03d", F.col("id") - 1)).alias("based_on"), *[F.when(F.col("id") == 0, 7.0 if c == "font_size" else None).cast(t).alias(c) for c, t in Y.FORMATS.items()])
+    assert {r["font_size"] for r in Y.effective_formats(many).collect()} == {7.0}
+
+
+def test_edits_covers_and_publication_dates(spark):
+    rows = spark.createDataFrame([("a", "a.docx", FULL)], "doc_id string, path string, content binary")
+    packages = parse_packages(rows)
+    meta = json.loads(corpus.resolved_metadata(packages, "2026-01-31", edits={"title": "", "language": "nl"}, subjects=[" x "]).first()["metadata"])
+    assert "title" not in meta and meta["language"] == "nl" and meta["subjects"] == ["x"] and meta["publicationDate"] == "2026-01-31"
+    made = corpus.convert(packages, "epub", "single", "2026-01-31", cover={"layout": "typographic"}).first()
+    assert "EPUB/cover.svg" in made["files"] and "EPUB/cover.xhtml" in made["files"]
+    assert corpus.convert(packages, "epub", "single", "2026-01-31", edits={"title": " "}).first()["error"] == "invalid-model"
+
+
+def test_requests_report_phases_results_errors_and_cancellation(spark, tmp_path):
+    from vellum.plans.jobs import Runtime
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.docx").write_bytes(FULL)
+    (tmp_path / "in" / "b.docx").write_bytes(b"x")
+    said: list[dict] = []
+    runtime = Runtime(spark, said.append)
+    for request in (
+        {"type": "analyse", "operation": "one", "path": str(tmp_path / "in"), "table": str(tmp_path / "t")},
+        {"type": "convert", "operation": "two", "table": str(tmp_path / "t"), "output": str(tmp_path / "o"), "format": "epub", "date": "2026-01-31"},
+        {"type": "convert", "operation": "three", "table": str(tmp_path / "none"), "output": str(tmp_path / "p"), "format": "html", "date": "2026-01-31"},
+    ):
+        runtime.handle(request)
+        runtime.wait(request["operation"])
+    assert [(m["operation"], m["type"], m.get("phase")) for m in said] == [("one", "progress", "inspect"), ("one", "progress", "read"), ("one", "analysed", None), ("two", "progress", "write"), ("two", "output", None), ("three", "progress", "write"), ("three", "error", None)]
+    assert (said[2]["packages"], said[2]["refused"]) == (2, 1) and said[4]["media_type"] == "application/epub+zip" and said[6]["code"] == "conversion-failed"
+    assert spark.read.parquet(str(tmp_path / "o")).filter("error IS NULL").count() == 1
+    said.clear()
+    runtime.handle({"type": "cancel", "operation": "nobody"})
+    runtime.send = lambda m: said.append(m) or (m.get("phase") == "inspect" and runtime.handle({"type": "cancel", "operation": "four"}))
+    runtime.handle({"type": "analyse", "operation": "four", "path": str(tmp_path / "in"), "table": str(tmp_path / "u")})
+    runtime.wait("four")
+    assert [m.get("phase") or m["code"] for m in said] == ["inspect", "cancelled"] and runtime.active() == 0
 
 
 def test_stream_reads_what_arrives(spark, tmp_path):

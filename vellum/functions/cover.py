@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import re
 from xml.sax.saxutils import escape
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IMAGE_BYTES, IMAGE_PIXELS = 10 << 20, 40_000_000
-LAYOUTS = ("overlay", "title-panel", "typographic")
+LAYOUTS = ("image-only", "overlay", "title-panel", "typographic")
 # Widths of characters in parts of the font size.
 SPACE, NARROW, WIDE, USUAL = 0.34, 0.28, 0.9, 0.62
 NARROW_CHARS, WIDE_CHARS = "ilI.,:;'|!", "MWmw@%"
@@ -39,25 +40,87 @@ def wrap(text: str, size: float, width: float) -> list[str]:
     return [*lines, line] if line else lines
 
 
-def cover_svg(title: str, author: str = "", layout: str = "typographic", width: int = 1600, height: int = 2560, size: float = 140, background: str = "#23395b", color: str = "#ffffff", image: str | None = None, crop: bool = True) -> str:
-    """A cover of that size: an image with the text over it, with the text on a panel, or the text alone."""
-    if layout not in LAYOUTS or not (0 < width <= 10_000 and 0 < height <= 10_000 and 8 <= size <= height):
+def _xml(text: str) -> str:
+    return escape(text, {'"': "&quot;", "'": "&apos;"})
+
+
+def _number(x: float) -> str:
+    """A number as short as it can be written."""
+    return str(int(x)) if x == int(x) else repr(float(x))
+
+
+# Elements and targets that a cover's SVG may not hold.
+_ACTIVE = "script|style|foreignObject|iframe|object|embed|use"
+_TARGETS = r"https?:|javascript:|data:text/html"
+
+
+def clean_svg(svg: str) -> str:
+    """An SVG image without elements that run or load something, event handlers and outside targets."""
+    if not re.match(r"\s*<svg[\s>]", svg, re.IGNORECASE):
+        raise ValueError("the image is no SVG")
+    for pattern in (
+        rf"<(?:{_ACTIVE})\b[^>]*>.*?</(?:{_ACTIVE})\s*>",
+        rf"</?(?:{_ACTIVE})\b[^>]*>",
+        r"""\s+on[a-z]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""",
+        rf"""\s+(?:xlink:)?href\s*=\s*(?:"(?:{_TARGETS})[^"]*"|'(?:{_TARGETS})[^']*'|(?:{_TARGETS})[^\s>]*)""",
+    ):
+        svg = re.sub(pattern, "", svg, flags=re.IGNORECASE | re.DOTALL)
+    return svg
+
+
+def prepared_image(media_type: str, data: bytes, width: int | None = None, height: int | None = None) -> str:
+    """The data URL of an image that may be a cover; SVG is cleaned. An error if it is too large."""
+    if len(data) > IMAGE_BYTES or (width or 0) * (height or 0) > IMAGE_PIXELS:
+        raise ValueError("the image is too large")
+    if media_type == "image/svg+xml":
+        data = clean_svg(data.decode("utf-8", "replace")).encode()
+    return f"data:{media_type};base64,{base64.b64encode(data).decode()}"
+
+
+def cover_svg(
+    title: str, authors=(), subtitle: str | None = None, layout: str = "typographic", width: int = 1600, height: int = 2560, alignment: str = "center",
+    title_position: float = 18, author_position: float = 86, title_size: float = 112, author_size: float = 54, text_color: str = "light", panel: str = "dark",
+    panel_opacity: float = 0.56, image_opacity: float = 1, margin: float = 8, crop: str = "cover", image: str | None = None,
+) -> str:
+    """A cover: an image alone, with text over it, with the text on a panel, or the text alone. `image` is a data URL; positions
+    and the margin are parts of a hundred."""
+    ranges = ((title_position, 100), (author_position, 100), (panel_opacity, 1), (image_opacity, 1), (margin, 25))
+    if layout not in LAYOUTS or not (isinstance(width, int) and isinstance(height, int) and width > 0 and height > 0) or not all(0 <= x <= most for x, most in ranges):
         raise ValueError("the composition is out of range")
-    if not all(re.fullmatch(r"#[0-9a-fA-F]{6}", c) for c in (background, color)):
-        raise ValueError("a colour is not #rrggbb")
-    inner = width * 0.8
-    lines, top = wrap(title, size, inner), height * (0.62 if layout == "title-panel" else 0.3)
-    parts = [f'<rect width="{width}" height="{height}" fill="{background}"/>']
-    if image and layout != "typographic":
-        fit = "xMidYMid slice" if crop else "xMidYMid meet"
-        parts.append(f'<image href="{escape(image, {chr(34): "&quot;"})}" width="{width}" height="{height}" preserveAspectRatio="{fit}"/>')
-    if layout == "title-panel":
-        parts.append(f'<rect x="0" y="{height * 0.55:g}" width="{width}" height="{height * 0.45:g}" fill="{background}" fill-opacity="0.9"/>')
-    for k, line in enumerate(lines):
-        parts.append(f'<text x="{width / 2:g}" y="{top + k * size * 1.2:g}" font-size="{size:g}" fill="{color}" text-anchor="middle">{escape(line)}</text>')
-    for k, line in enumerate(wrap(author, size * 0.5, inner)):
-        parts.append(f'<text x="{width / 2:g}" y="{height * 0.92 + k * size * 0.6:g}" font-size="{size * 0.5:g}" fill="{color}" text-anchor="middle">{escape(line)}</text>')
-    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}" width="{width}" height="{height}">{"".join(parts)}</svg>'
+    edge = width * margin / 100
+    x, anchor = {"left": (edge, "start"), "right": (width - edge, "end")}.get(alignment, (width / 2, "middle"))
+    fill, ground = ("#fff", "#172033") if text_color == "light" else ("#111", "#f1ede4")
+    n = _number
+    parts = [f'<rect width="100%" height="100%" fill="{ground}"/>']
+    if image:
+        fit = {"cover": "xMidYMid slice", "contain": "xMidYMid meet"}.get(crop, "none")
+        parts.append(f'<image width="{width}" height="{height}" opacity="{n(image_opacity)}" preserveAspectRatio="{fit}" href="{image}"/>')
+    if layout != "image-only":
+        lines, step, top = wrap(title, title_size, max(80, width - edge * 2)), title_size * 0.95, height * title_position / 100
+        rows = max(1, len(lines))
+        if panel != "none":
+            tall = title_size * (0.95 + rows * 0.95 + (0.95 if subtitle else 0))
+            parts.append(f'<rect x="{n(edge / 2)}" y="{n(top - title_size * 1.15)}" width="{n(width - edge)}" height="{n(tall)}" rx="24" fill="{"#000" if panel == "dark" else "#fff"}" opacity="{n(panel_opacity)}"/>')
+        spans = "".join(f'<tspan x="{n(x)}" dy="{n(step) if k else 0}">{_xml(line)}</tspan>' for k, line in enumerate(lines or [""]))
+        parts.append(f'<text x="{n(x)}" y="{n(top)}" text-anchor="{anchor}" font-family="Georgia,serif" font-size="{n(title_size)}" font-weight="700" fill="{fill}">{spans}</text>')
+        for at, text in ((top + step * rows, subtitle or None), (height * author_position / 100, " · ".join(authors))):
+            if text is not None:
+                parts.append(f'<text x="{n(x)}" y="{n(at)}" text-anchor="{anchor}" font-family="Arial,sans-serif" font-size="{n(author_size)}" fill="{fill}">{_xml(text)}</text>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}">{"".join(parts)}</svg>'
+
+
+def cover_settings(source: str, image: str | None = None, aspect: str = "book", **chosen) -> dict | None:
+    """Settings for cover_svg() from what a user chose: none, generated, or an image that was uploaded or found."""
+    if source == "none" or source in ("upload", "extracted") and not image:
+        return None
+    layout = "typographic" if source == "generated" else chosen.pop("layout", "image-only")
+    return {**chosen, "layout": layout, "width": 1600, "height": 1600 if aspect == "square" else 2560} | ({"image": image} if image else {})
+
+
+def file_issue(media_type: Column, size: Column) -> Column:
+    """Why a file can't be a cover; null if it can."""
+    known = media_type.isin("image/jpeg", "image/png", "image/webp", "image/svg+xml")
+    return F.when(~F.coalesce(known, F.lit(False)), "unsupported-format").when(size > IMAGE_BYTES, "resource-limit")
 
 
 def image_issue(size: Column, pixels: Column) -> Column:
@@ -74,6 +137,16 @@ def cover_lines(title: Column, size: Column, width: Column) -> Column:
 
 def cover(title: Column, author: Column) -> Column:
     def drawn(title: pd.Series, author: pd.Series) -> pd.Series:
-        return pd.Series([cover_svg(t or "", a or "") for t, a in zip(title, author, strict=True)])
+        return pd.Series([cover_svg(t or "", [a] if a else []) for t, a in zip(title, author, strict=True)])
 
     return F.pandas_udf(drawn, "string")(title, author)
+
+
+def drawn_cover(title: Column, authors: Column, light: Column) -> Column:
+    """Covers with light text on a panel, or dark text without one."""
+
+    def drawn(title: pd.Series, authors: pd.Series, light: pd.Series) -> pd.Series:
+        settings = {True: {}, False: {"text_color": "dark", "panel": "none"}}
+        return pd.Series([cover_svg(t or "", list(a), **settings[bool(x)]) for t, a, x in zip(title, authors, light, strict=True)])
+
+    return F.pandas_udf(drawn, "string")(title, authors, light)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,7 +16,7 @@ ATTRIBUTE_ENTITIES = (*TEXT_ENTITIES, ('"', "&quot;"), ("'", "&#39;"))
 XML_ENTITIES = (*TEXT_ENTITIES, ('"', "&quot;"), ("'", "&apos;"))
 
 # Media types that may be embedded or packed, with the extension of each.
-IMAGE_TYPES = {"image/gif": "gif", "image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/webp": "webp"}
+IMAGE_TYPES = {"image/avif": "avif", "image/gif": "gif", "image/jpeg": "jpg", "image/png": "png", "image/webp": "webp"}
 FONT_TYPES = {"font/otf": "otf", "font/ttf": "ttf", "font/woff": "woff", "font/woff2": "woff2"}
 
 # Windows language codes.
@@ -23,9 +26,9 @@ LCIDS = {
     2057: "en-GB", 3082: "es-ES",
 }
 
-LANGUAGE_TAG = "^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*$"
+LANGUAGE_TAG = "^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$"
 HTML_HREF = "(?i)^(https?:|mailto:|#[A-Za-z0-9_.:-]+$)"
-MARKDOWN_HREF = "(?i)^(https?:|mailto:|#|[^:/?#]+([/?#]|$)|\\.{0,2}/)"
+MARKDOWN_HREF = r"^([Hh][Tt][Tt][Pp][Ss]?:|[Mm][Aa][Ii][Ll][Tt][Oo]:|#[A-Za-z0-9_.:-]+$|(\.\.?/|/)?[^\s\\:]+(/[^\s\\]*)?$)"
 EPUB_HREF = "^#[A-Za-z0-9_.:-]+$"
 
 
@@ -64,9 +67,19 @@ def token(text: Column) -> Column:
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("unknown"))
 
 
+@functools.cache
+def _decomposed() -> str:
+    """Characters whose compatibility decomposition holds an ASCII letter or digit, with that decomposition, as JSON."""
+    apart = {c: unicodedata.normalize("NFKD", c) for c in map(chr, (*range(0xA0, 0xD800), *range(0xF900, 0x1F252)))}
+    return json.dumps({c: x for c, x in apart.items() if x != c and any(y.isascii() and y.isalnum() for y in x)}, ensure_ascii=False)
+
+
 def slug(text: Column) -> Column:
-    """An anchor of ASCII letters and digits with `-` between; `section` if nothing is left."""
-    cleaned = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+    """An anchor of ASCII letters and digits of the compatibility decomposition with `-` between; `section` if none is left."""
+    parts = F.from_json(F.lit(_decomposed()), "map<string,string>")
+    letters = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(parts, c), c))
+    plain = F.when(text.rlike("[^\\x00-\\x9f]"), F.array_join(letters, "")).otherwise(text)
+    cleaned = F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-|-$", "")
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("section"))
 
 
@@ -106,7 +119,7 @@ def plain_text(html: Column) -> Column:
     """Text of markup: scripts, styles, comments and tags gone, the common entities decoded, white space collapsed."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->", " ")
     bare = F.regexp_replace(bare, "<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     return normal_space(bare)
 
@@ -136,11 +149,11 @@ def fence(text: Column) -> Column:
 
 
 def math_kind(text: Column) -> Column:
-    """What a formula token is: number, operator, identifier or text."""
+    """What a formula token is: number, operator, identifier or text; the same as formula.token_kind()."""
     return (
-        F.when(text.rlike(r"^[0-9]+([.,][0-9]+)?$"), "number")
-        .when(text.rlike(r"^[-+*/=<>(){}\[\]|,;:!±×÷∑∏∫√∞≤≥≠≈→←∈∉⊂⊃∪∩]+$"), "operator")
-        .when(text.rlike(r"^[A-Za-zÀ-ÖØ-öø-ÿ]$"), "identifier")
+        F.when(text.rlike(r"^\p{N}+([.,]\p{N}+)?$"), "number")
+        .when(text.rlike(r"^[+\-−=<>≤≥×÷±∓∞∫∑∏√∂∇≈≠∈∉∪∩]+$"), "operator")
+        .when(text.rlike(r"^[\p{L}\p{Nl}]+$"), "identifier")
         .otherwise("text")
     )
 

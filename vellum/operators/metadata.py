@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import base_name, plain_text, slug
@@ -10,30 +10,21 @@ from vellum.functions.text import base_name, plain_text, slug
 CANDIDATE = ("page_id", "field", "value", "source", "priority", "confidence", "method")
 
 
-def candidate(rows: DataFrame, field: str, value: Column, source: str, priority: int, confidence: str, method: str, ord: Column | None = None) -> DataFrame:
-    """Candidates of one source for one field, blank ones left out."""
-    return rows.select(
-        "page_id", F.lit(field).alias("field"), F.trim(value).alias("value"), F.lit(source).alias("source"), F.lit(priority).alias("priority"),
-        F.lit(confidence).alias("confidence"), F.lit(method).alias("method"), (F.lit(0) if ord is None else ord).cast("long").alias("ord"),
-    ).filter("value <> ''")
-
-
 def page_candidates(pages: DataFrame) -> DataFrame:
-    """Title candidates of pages: the title element, the first heading, the first paragraph, the file name of the URL."""
+    """Title, language and identifier candidates of pages, blank ones left out. One scan: all of a page's candidates are an
+    array in its row first."""
     first = lambda tag: plain_text(F.regexp_extract("html", rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}>|<p\b|<h|</article>)", 1))
     path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
-    parts = [
-        candidate(pages, "title", plain_text(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)), "title-element", 1, "certain", "extracted"),
-        candidate(pages, "title", first("h1"), "first-heading", 4, "high", "inferred"),
-        candidate(pages, "title", first("p"), "first-paragraph", 5, "medium", "inferred"),
-        candidate(pages, "title", base_name(F.regexp_replace(path, "/$", "")), "file-name", 7, "low", "inferred"),
-        candidate(pages, "language", F.regexp_extract("html", r'(?i)<html[^>]*\blang="([^"]*)"', 1), "html-element", 1, "certain", "extracted"),
-        candidate(pages, "identifier", F.concat(F.lit("urn:vellum:"), slug(F.coalesce("url", F.lit("")))), "file-name", 7, "low", "default"),
+    found = [
+        ("title", plain_text(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)), "title-element", 1, "certain", "extracted"),
+        ("title", first("h1"), "first-heading", 4, "high", "inferred"),
+        ("title", first("p"), "first-paragraph", 5, "medium", "inferred"),
+        ("title", base_name(F.regexp_replace(path, "/$", "")), "file-name", 7, "low", "inferred"),
+        ("language", F.regexp_extract("html", r'(?i)<html[^>]*\blang="([^"]*)"', 1), "html-element", 1, "certain", "extracted"),
+        ("identifier", F.concat(F.lit("urn:vellum:"), slug(F.coalesce("url", F.lit("")))), "file-name", 7, "low", "default"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    row = lambda field, value, *rest: F.struct(F.lit(field).alias("field"), F.trim(value).alias("value"), *[F.lit(x).alias(n) for n, x in zip(CANDIDATE[3:], rest, strict=True)], F.lit(0).cast("long").alias("ord"))
+    return pages.select("page_id", F.inline(F.array(*[row(*c) for c in found]))).filter("value <> ''")
 
 
 def resolve(candidates: DataFrame) -> DataFrame:

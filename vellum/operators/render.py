@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.cover import cover_svg as draw_cover
 from vellum.functions.formula import render as render_formula
 from vellum.functions.text import EPUB_HREF, FONT_TYPES, HTML_HREF, IMAGE_TYPES, LANGUAGE_TAG, MARKDOWN_HREF, escape_html
 
@@ -152,11 +153,11 @@ class Html:
         seen: dict[str, int] = {}
         found = []
         for h in headings(blocks):
-            label = plain(h["children"]).strip()
-            base = slug(label)
+            label = plain(h["children"])
+            base = slug(h.get("id") or label)
             seen[base] = seen.get(base, 0) + 1
             self.anchors[id(h)] = base if seen[base] == 1 else f"{base}-{seen[base]}"
-            found.append((h["level"], self.anchors[id(h)], label or "Untitled section"))
+            found.append((h["level"], self.anchors[id(h)], label))
         return found
 
     def blocks(self, blocks: list[dict]) -> str:
@@ -179,7 +180,7 @@ class Html:
         if kind == "blockquote":
             return f"<blockquote>{self.blocks(b['blocks'])}</blockquote>"
         if kind == "codeBlock":
-            language = f' class="language-{token(b["language"])}"' if b.get("language") else ""
+            language = f' class="language-{token(b["language"])}"' if b.get("language") and not self.xhtml else ""
             return f"<pre><code{language}>{esc(b['text'])}</code></pre>"
         if kind == "equationBlock":
             return f'<div class="equation" role="math">{render_formula(self.doc.equations.get(b["equationId"]), self.formula, True)}</div>'
@@ -204,7 +205,7 @@ class Html:
             text = esc(n["text"])
             for m in n.get("marks", ()):
                 if m["type"] == "style":
-                    text = f'<span class="style-{token(m["styleId"])}">{text}</span>'
+                    text = f'<span class="style-{(slug if self.xhtml else token)(m["styleId"])}">{text}</span>'
                 elif m["type"] == "underline" and self.xhtml:
                     text = f'<span class="underline">{text}</span>'
                 else:
@@ -221,7 +222,9 @@ class Html:
         if kind == "noteReference":
             if n["noteId"] not in self.referenced:
                 self.referenced.append(n["noteId"])
-            name = token(n["noteId"])
+            name = slug(n["noteId"])
+            if self.xhtml:
+                return f'<a id="note-ref-{name}" href="#note-{name}" epub:type="noteref">[{self.referenced.index(n["noteId"]) + 1}]</a>'
             return f'<sup id="note-ref-{name}"><a href="#note-{name}" role="doc-noteref">[{self.referenced.index(n["noteId"]) + 1}]</a></sup>'
         return f"<br{end}" if kind == "lineBreak" else "\n"
 
@@ -235,8 +238,11 @@ class Html:
         items = ""
         for k, name in enumerate(list(self.referenced), 1):
             if note := self.doc.notes.get(name):
-                safe = token(name)
-                items += f'<li id="note-{safe}">{self.blocks(note["blocks"])}<a href="#note-ref-{safe}" role="doc-backlink" aria-label="Back to reference {k}">↩</a></li>'
+                safe = slug(name)
+                kind, role = (' epub:type="footnote"', "") if self.xhtml else ("", f' role="doc-backlink" aria-label="Back to reference {k}"')
+                items += f'<li id="note-{safe}"{kind}>{self.blocks(note["blocks"])}<a href="#note-ref-{safe}"{role}>↩</a></li>'
+        if self.xhtml:
+            return f'<section epub:type="footnotes"><ol>{items}</ol></section>' if items else ""
         return f'<section class="notes" aria-label="Notes"><h2>Notes</h2><ol>{items}</ol></section>' if items else ""
 
 
@@ -244,8 +250,8 @@ def html_fragment(doc: Doc, url: Callable[[dict], str | None], formula: str) ->
     out = Html(doc, url, formula)
     contents = out.collect(doc.blocks)
     title = f'<h1 class="document-title">{esc(doc.title)}</h1>' if doc.title and not doc.titled() else ""
-    toc = "".join(f'<li class="toc-level-{level}"><a href="#{attr(anchor)}">{esc(label)}</a></li>' for level, anchor, label in contents)
-    toc = f'<nav class="toc" aria-label="Contents"><ol>{toc}</ol></nav>' if toc else ""
+    toc = "".join(f'<li><a href="#{attr(anchor)}">{esc(label)}</a></li>' for _, anchor, label in contents)
+    toc = f'<div class="table-of-contents"><h2>Contents</h2><ol>{toc}</ol></div>' if toc else ""
     body = out.blocks(doc.blocks)
     return f"<main>{title}{toc}{body}{out.notes()}</main>"
 
@@ -262,7 +268,7 @@ def _page(doc: Doc, fragment: str, style: str) -> str:
     about = f'<meta name="description" content="{attr(doc.metadata["description"])}">' if doc.metadata.get("description") else ""
     return (
         f'<!doctype html><html lang="{language}"><head><meta charset="utf-8"><meta name="viewport" content="width=device-width,initial-scale=1">'
-        f'<meta name="generator" content="{GENERATOR}">{authors}{about}<title>{esc(doc.title or "Untitled document")}</title>{style}</head><body>{fragment}</body></html>'
+        f'<meta name="generator" content="{GENERATOR}">{authors}{about}<title>{esc(doc.metadata.get("title") or "Untitled document")}</title>{style}</head><body>{fragment}</body></html>'
     )
 
 
@@ -270,7 +276,14 @@ def write_html(doc: Doc, mode: str = "standalone", formula: str = "mathml") -> b
     """A page with all it needs in it, a fragment, or a zip of page, style sheet and assets."""
     if mode != "zip":
         fragment = html_fragment(doc, embedded, formula)
-        return (fragment if mode == "fragment" else _page(doc, fragment, f"<style>{STYLES}</style>")).encode()
+        if mode == "fragment":
+            return fragment.encode()
+        held = [doc.assets[a] for a in sorted(doc.assets)]
+        fonts = "".join(
+            f'@font-face{{font-family:"{GENERATOR} {i}";src:url("data:{a["media_type"].lower()};base64,{base64.b64encode(a["data"]).decode()}")}}'
+            for i, a in enumerate(held, 1) if a["media_type"].lower() in FONT_TYPES
+        )
+        return _page(doc, fragment, f"<style>{fonts}{STYLES}</style>").encode()
     paths = asset_files(doc)
     page = _page(doc, html_fragment(doc, lambda a: paths.get(a["asset_id"]), formula), '<link rel="stylesheet" href="styles.css">')
     fonts = "".join(f'@font-face{{font-family:"{GENERATOR} {i}";src:url("{p}")}}' for i, p in enumerate((p for p in paths.values() if p.startswith("fonts/")), 1))
@@ -279,11 +292,11 @@ def write_html(doc: Doc, mode: str = "standalone", formula: str = "mathml") -> b
 
 
 class Markdown:
-    def __init__(self, doc: Doc, url: Callable[[dict], str | None], formula: str):
-        self.doc, self.url, self.formula, self.referenced, self.warnings = doc, url, formula, [], []
+    def __init__(self, doc: Doc, url: Callable[[dict], str | None], formula: str, explicit: tuple[str, ...] = ()):
+        self.doc, self.url, self.formula, self.explicit, self.referenced, self.warnings = doc, url, formula, explicit, [], []
 
-    def warn(self, code: str, message: str) -> None:
-        self.warnings.append({"code": code, "severity": "warning", "message": message, "ord": len(self.warnings)})
+    def warn(self, code: str, message: str, severity: str = "warning") -> None:
+        self.warnings.append({"code": code, "severity": severity, "message": message, "ord": len(self.warnings)})
 
     def blocks(self, blocks: list[dict]) -> str:
         return "\n\n".join(filter(None, map(self.block, blocks)))
@@ -360,7 +373,7 @@ class Markdown:
     def text(self, text: str, marks: list[dict]) -> str:
         if any(m["type"] == "code" for m in marks):
             ticks = "`" * (1 + max(map(len, re.findall("`+", text)), default=0))
-            pad = " " if text.startswith("`") or text.endswith("`") else ""
+            pad = " " if "`" in text or text.startswith(" ") or text.endswith(" ") else ""
             out = f"{ticks}{pad}{text}{pad}{ticks}"
         else:
             out = re.sub(r"([\\`*_\[\]<>#])", r"\\\1", text)
@@ -368,8 +381,8 @@ class Markdown:
             if m["type"] in MARKDOWN_MARKS:
                 before, after = MARKDOWN_MARKS[m["type"]]
                 out = before + out + after
-            elif m["type"] == "style":
-                self.warn("markdown-unsupported-style-mark", "A character style can't be kept.")
+            elif m["type"] == "style" and m["styleId"] not in self.explicit:
+                self.warn("markdown-unsupported-style-mark", "A character style can't be kept.", "info")
         return out
 
     def image(self, n: dict) -> str:
@@ -389,10 +402,10 @@ class Markdown:
         equation = self.doc.equations.get(name)
         if equation is None:
             self.warn("markdown-missing-equation", "An equation is missing.")
-            return ""
+            return "[Equation unavailable]"
         if self.formula == "source":
-            mark = "$$" if display else "$"
-            return f"{mark}{equation.get('tex') or equation.get('mathml') or equation['source']['value']}{mark}"
+            value = equation.get("tex") or equation.get("mathml") or equation["source"]["value"]
+            return f"$$\n{value}\n$$" if display else f"${value}$"
         return render_formula(equation, self.formula, display)
 
     def notes(self) -> str:
@@ -407,14 +420,15 @@ class Markdown:
         return "\n\n".join(out)
 
 
-def write_markdown(doc: Doc, mode: str = "single", formula: str = "mathml") -> tuple[bytes, list[dict]]:
-    """The text or a zip of it with its images, and the warnings in the order met."""
+def write_markdown(doc: Doc, mode: str = "single", formula: str = "mathml", explicit: tuple[str, ...] = ()) -> tuple[bytes, list[dict]]:
+    """The text or a zip of it with its images, and the warnings in the order met; styles in `explicit` are the user's choice."""
     paths = asset_files(doc, fonts=False) if mode == "zip" else {}
-    out = Markdown(doc, (lambda a: paths.get(a["asset_id"])) if mode == "zip" else embedded, formula)
+    out = Markdown(doc, (lambda a: paths.get(a["asset_id"])) if mode == "zip" else embedded, formula, explicit)
     escaped = re.sub(r"([\\`*_\[\]<>#])", r"\\\1", doc.title)
     title = f"# {escaped}" if doc.title and not doc.titled() else ""
     body = out.blocks(doc.blocks)
-    text = "\n\n".join(filter(None, (title, body, out.notes()))) + "\n"
+    notes = out.notes()
+    text = title + ("\n\n" if title and body else "") + body + (f"\n\n{notes}" if notes else "") + "\n"
     if mode != "zip":
         return text.encode(), out.warnings
     files = {"document.md": text.encode(), **{p: doc.assets[a]["data"] for a, p in paths.items()}}
@@ -425,20 +439,18 @@ class EpubError(ValueError):
     pass
 
 
-def epub_metadata(metadata: dict) -> dict:
+def epub_metadata(metadata: dict, modified: str) -> dict:
     """Title, identifier, language and time of change, which EPUB requires."""
-    found = {k: (metadata.get(k) or "").strip() for k in ("title", "identifier", "language", "modified")}
-    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", found["modified"]):
-        found["modified"] += "T00:00:00Z"
-    found["modified"] = re.sub(r"\.\d+Z$", "Z", found["modified"])
-    missing = [k for k in ("title", "identifier") if not found[k]]
+    found = {k: metadata.get(k) or "" for k in ("title", "identifier", "language")}
+    stamp = f"{modified}T00:00:00Z" if re.fullmatch(r"\d{4}-\d{2}-\d{2}", modified) else re.sub(r"\.\d+Z$", "Z", modified)
+    missing = [k for k in ("title", "identifier") if not found[k].strip()]
     if not re.match(LANGUAGE_TAG, found["language"]):
         missing.append("language")
-    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z", found["modified"]):
+    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z", stamp):
         missing.append("modified")
     if missing:
         raise EpubError(f"missing or invalid: {', '.join(missing)}")
-    return found
+    return {k: v.strip() for k, v in found.items()} | {"modified": stamp}
 
 
 def split_chapters(blocks: list[dict]) -> list[list[dict]]:
@@ -451,17 +463,17 @@ def split_chapters(blocks: list[dict]) -> list[list[dict]]:
     return out
 
 
-def write_epub(doc: Doc, formula: str = "mathml", cover_svg: str | None = None) -> bytes:
+def write_epub(doc: Doc, modified: str, formula: str = "mathml", cover_svg: str | None = None) -> bytes:
     """An EPUB 3 publication: the mimetype stored first, then container, package, contents, style, cover, title page, chapters
     and assets."""
-    meta = epub_metadata(doc.metadata)
+    meta = epub_metadata(doc.metadata, modified)
     language, title = meta["language"], meta["title"]
     x = lambda s: attr(s, "&apos;")
 
     def page(name: str, body: str, more: str = "") -> bytes:
         return (
-            f'<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml"{more} lang="{x(language)}" xml:lang="{x(language)}">'
-            f'<head><title>{x(name)}</title><link rel="stylesheet" type="text/css" href="styles.css"/></head><body>{body}</body></html>'
+            f'<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml"{more} xml:lang="{x(language)}" lang="{x(language)}">'
+            f'<head><meta charset="UTF-8"/><title>{esc(name)}</title><link rel="stylesheet" type="text/css" href="styles.css"/></head><body>{body}</body></html>'
         ).encode()
 
     ops = ' xmlns:epub="http://www.idpf.org/2007/ops"'
@@ -473,27 +485,28 @@ def write_epub(doc: Doc, formula: str = "mathml", cover_svg: str | None = None)
         out.referenced = []
         path = f"chapter-{i:03d}.xhtml"
         n = sum(1 for _ in headings(blocks))
-        contents += [(path, anchor, label) for _, anchor, label in anchors[k : k + n]]
+        own = [(path, anchor, label or "Untitled section") for _, anchor, label in anchors[k : k + n]]
+        contents += own
         k += n
         body = out.blocks(blocks)
-        chapters.append((path, page(title, f'<section epub:type="chapter">{body}{out.notes()}</section>', ops)))
-    items = "".join(f'<li><a href="{p}#{x(a)}">{x(label)}</a></li>' for p, a, label in contents) or '<li><a href="chapter-001.xhtml">Document</a></li>'
+        chapters.append((path, page(own[0][2] if own else title, f"{body}{out.notes()}", ops)))
+    items = "".join(f'<li><a href="{p}#{x(a)}">{esc(label)}</a></li>' for p, a, label in contents) or '<li><a href="chapter-001.xhtml">Document</a></li>'
     manifest = '<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="styles" href="styles.css" media-type="text/css"/>'
     if cover_svg:
         manifest += '<item id="cover-image" href="cover.svg" media-type="image/svg+xml" properties="cover-image"/><item id="cover-page" href="cover.xhtml" media-type="application/xhtml+xml"/>'
     manifest += '<item id="title-page" href="title.xhtml" media-type="application/xhtml+xml"/>'
     manifest += "".join(f'<item id="{p[:-6]}" href="{p}" media-type="application/xhtml+xml"/>' for p, _ in chapters)
-    manifest += "".join(f'<item id="asset-{i:03d}" href="{x(p)}" media-type="{doc.assets[a]["media_type"].lower()}"/>' for i, (a, p) in enumerate(paths.items(), 1))
+    manifest += "".join(f'<item id="{p.rpartition("/")[2].partition(".")[0]}" href="{x(p)}" media-type="{doc.assets[a]["media_type"].lower()}"/>' for a, p in paths.items())
     spine = ('<itemref idref="cover-page"/>' if cover_svg else "") + '<itemref idref="title-page"/>' + "".join(f'<itemref idref="{p[:-6]}"/>' for p, _ in chapters)
     authors = doc.metadata.get("authors", ())
     package = (
         f'<?xml version="1.0" encoding="UTF-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="pub-id" xml:lang="{x(language)}">'
-        f'<metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="pub-id">{x(meta["identifier"])}</dc:identifier><dc:title>{x(title)}</dc:title><dc:language>{x(language)}</dc:language>'
-        + "".join(f"<dc:creator>{x(a)}</dc:creator>" for a in authors)
+        f'<metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="pub-id">{esc(meta["identifier"])}</dc:identifier><dc:title>{esc(title)}</dc:title><dc:language>{esc(language)}</dc:language>'
+        + "".join(f"<dc:creator>{esc(a)}</dc:creator>" for a in authors)
         + f'<meta property="dcterms:modified">{meta["modified"]}</meta></metadata><manifest>{manifest}</manifest><spine>{spine}</spine></package>'
     )
     container = '<?xml version="1.0" encoding="UTF-8"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="EPUB/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
-    subtitle = f'<p class="subtitle">{x(doc.metadata["subtitle"])}</p>' if doc.metadata.get("subtitle") else ""
+    subtitle = f'<p class="subtitle">{esc(doc.metadata["subtitle"])}</p>' if doc.metadata.get("subtitle") else ""
     files = [
         ("mimetype", b"application/epub+zip"),
         ("META-INF/container.xml", container.encode()),
@@ -503,7 +516,7 @@ def write_epub(doc: Doc, formula: str = "mathml", cover_svg: str | None = None)
     ]
     if cover_svg:
         files += [("EPUB/cover.svg", cover_svg.encode()), ("EPUB/cover.xhtml", page(f"Cover for {title}", f'<section epub:type="cover"><img src="cover.svg" alt="Cover for {x(title)}"/></section>', ops))]
-    files.append(("EPUB/title.xhtml", page(title, f'<section epub:type="titlepage"><h1>{x(title)}</h1>{subtitle}' + "".join(f'<p class="author">{x(a)}</p>' for a in authors) + "</section>", ops)))
+    files.append(("EPUB/title.xhtml", page(title, f'<section epub:type="titlepage"><h1>{esc(title)}</h1>{subtitle}' + "".join(f'<p class="author">{esc(a)}</p>' for a in authors) + "</section>", ops)))
     files += [(f"EPUB/{p}", data) for p, data in chapters] + [(f"EPUB/{p}", doc.assets[a]["data"]) for a, p in paths.items()]
     return zipped(files, stored=("mimetype",))
 
@@ -511,11 +524,14 @@ def write_epub(doc: Doc, formula: str = "mathml", cover_svg: str | None = None)
 OUTPUT = "doc_id string, format string, mode string, data binary, error string, files array<string>, warnings array<struct<code:string,severity:string,message:string,ord:long>>"
 
 
-def convert(documents: DataFrame, format: str, mode: str = "single", formula: str = "mathml") -> DataFrame:
-    """Convert documents (doc_id, model, mapping, metadata, assets) to html, markdown or epub: one row of OUTPUT for each.
+def convert(documents: DataFrame, format: str, mode: str = "single", formula: str = "mathml", cover: dict | None = None, explicit: tuple[str, ...] = ()) -> DataFrame:
+    """Convert documents (doc_id, error, model, mapping, metadata, assets, warnings, modified) to html, markdown or epub: one row
+    of OUTPUT for each.
 
-    `model` is the JSON of blocks, notes and equations, `mapping` a map of style to meaning, `metadata` a JSON object. A
-    document that can't be converted has an error, and null data; a null model has the error `invalid-model`.
+    `model` is the JSON of blocks, notes and equations, `mapping` a map of style to meaning, `metadata` a JSON object,
+    `warnings` come before the writer's. A document with an error keeps it, one that can't be converted gets one, and null
+    data; a null model has the error `invalid-model`. `cover` holds settings of a cover for EPUB, `explicit` the styles that
+    the user has mapped.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -523,18 +539,20 @@ def convert(documents: DataFrame, format: str, mode: str = "single", formula: st
     schema = to_arrow_schema(_parse_datatype_string(OUTPUT))
 
     def one(row: dict) -> dict:
-        out = {"doc_id": row["doc_id"], "format": format, "mode": mode, "data": None, "error": None, "files": [], "warnings": []}
-        if row["model"] is None:
-            return out | {"error": "invalid-model"}
+        out = {"doc_id": row["doc_id"], "format": format, "mode": mode, "data": None, "error": row["error"], "files": [], "warnings": row["warnings"] or []}
+        if row["error"] or row["model"] is None:
+            return out | {"error": row["error"] or "invalid-model"}
         try:
             model, mapping = json.loads(row["model"]), dict(row["mapping"] or ())
             doc = Doc(map_styles(model["blocks"], mapping), model.get("notes", {}), model.get("equations", {}), json.loads(row["metadata"] or "{}"), {a["asset_id"]: a for a in row["assets"] or ()})
             if format == "html":
                 out["data"] = write_html(doc, mode, formula)
             elif format == "markdown":
-                out["data"], out["warnings"] = write_markdown(doc, mode, formula)
+                out["data"], more = write_markdown(doc, mode, formula, explicit)
+                out["warnings"] = [*out["warnings"], *[w | {"ord": len(out["warnings"]) + i} for i, w in enumerate(more)]]
             else:
-                out["data"] = write_epub(doc, formula)
+                svg = draw_cover(doc.metadata.get("title") or "", doc.metadata.get("authors") or (), subtitle=doc.metadata.get("subtitle"), **cover) if cover is not None else None
+                out["data"] = write_epub(doc, row["modified"] or "", formula, svg)
             if out["data"][:4] == b"PK\x03\x04":
                 out["files"] = sorted(zipfile.ZipFile(io.BytesIO(out["data"])).namelist())
         except EpubError:
@@ -548,7 +566,27 @@ def convert(documents: DataFrame, format: str, mode: str = "single", formula: st
             for i in range(batch.num_rows):
                 yield pa.RecordBatch.from_pylist([one(batch.slice(i, 1).to_pylist()[0])], schema=schema)
 
-    return documents.select("doc_id", "model", "mapping", "metadata", "assets").mapInArrow(run, OUTPUT)
+    return documents.select("doc_id", "error", "model", "mapping", "metadata", "assets", "warnings", "modified").mapInArrow(run, OUTPUT)
+
+
+ENTRY = "doc_id string, position int, name string, data binary"
+
+
+def entries(outputs: DataFrame) -> DataFrame:
+    """Entries of the archives among converted documents, in their order: (doc_id, position, name, data)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(ENTRY))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    rows = [{"doc_id": doc_id, "position": k, "name": i.filename, "data": z.read(i)} for k, i in enumerate(z.infolist())]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return outputs.filter(F.substring("data", 1, 4) == F.lit(b"PK\x03\x04")).select("doc_id", "data").mapInArrow(unpack, ENTRY)
 
 
 def ordered_html(blocks: DataFrame, doc: str, order: str, tag) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -13,18 +15,18 @@ from vellum.operators import warnings as W
 from .scalar import BASE, PATH, PLAIN, _read
 from .structure import BLOCKS_SQL, SLUG, _LINES
 
-#: A style sheet with a chain, a dangling parent and a cycle: style_id, name, kind, based_on, size, bold, outline, before, numbered.
+#: A style sheet with a chain, a dangling parent and a cycle: style_id, name, kind, based_on, size, bold, outline, before, numbering.
 STYLES = [
     ("Normal", "Normal", "paragraph", None, 11.0, None, None, None, None),
     ("Base", "Body Base", "paragraph", "Normal", None, True, None, 6.0, None),
     ("Heading1", "heading 1", "paragraph", "Base", 20.0, None, 0, None, None),
-    ("Sub", "Untertitel", "paragraph", "Heading1", None, False, None, None, True),
+    ("Sub", "Untertitel", "paragraph", "Heading1", None, False, None, None, "1:0"),
     ("Kop2", "Kop 2", "paragraph", "Missing", 16.0, None, None, None, None),
     ("LoopA", "Loop A", "paragraph", "LoopB", None, True, None, None, None),
     ("LoopB", "Loop B", "paragraph", "LoopA", 9.0, None, None, None, None),
     ("Bijschrift", "Bijschrift", "paragraph", "Normal", None, None, None, None, None),
 ]
-_STYLES_SCHEMA = "style_id string, name string, kind string, based_on string, font_size double, bold boolean, outline_level int, space_before double, numbered boolean"
+_STYLES_SCHEMA = "style_id string, name string, kind string, based_on string, font_size double, bold boolean, outline_level int, space_before double, numbering string"
 
 
 def _value(x) -> str:
@@ -32,24 +34,27 @@ def _value(x) -> str:
 
 
 _VALUES = ", ".join("(" + ", ".join(map(_value, s)) + ")" for s in STYLES)
-SHEET = f"""sheet AS (SELECT style_id, name, kind, based_on, font_size::DOUBLE AS font_size, bold::BOOLEAN AS bold, outline_level::INT AS outline_level, space_before::DOUBLE AS space_before, numbered::BOOLEAN AS numbered
-  FROM (VALUES {_VALUES}) AS v(style_id, name, kind, based_on, font_size, bold, outline_level, space_before, numbered))"""
+SHEET = f"""sheet AS (SELECT style_id, name, kind, based_on, font_size::DOUBLE AS font_size, bold::BOOLEAN AS bold, outline_level::INT AS outline_level, space_before::DOUBLE AS space_before, numbering::VARCHAR AS numbering
+  FROM (VALUES {_VALUES}) AS v(style_id, name, kind, based_on, font_size, bold, outline_level, space_before, numbering))"""
 EFFECTIVE = """chain AS (
-    SELECT style_id AS id, based_on AS up, 0 AS depth, [style_id] AS seen, font_size, bold, outline_level, space_before, numbered FROM sheet
+    SELECT style_id AS id, based_on AS up, 0 AS depth, [style_id] AS seen, font_size, bold, outline_level, space_before, numbering FROM sheet
     UNION ALL
-    SELECT c.id, s.based_on, c.depth + 1, list_append(c.seen, s.style_id), coalesce(c.font_size, s.font_size), coalesce(c.bold, s.bold), coalesce(c.outline_level, s.outline_level), coalesce(c.space_before, s.space_before), coalesce(c.numbered, s.numbered)
+    SELECT c.id, s.based_on, c.depth + 1, list_append(c.seen, s.style_id), coalesce(c.font_size, s.font_size), coalesce(c.bold, s.bold), coalesce(c.outline_level, s.outline_level), coalesce(c.space_before, s.space_before), coalesce(c.numbering, s.numbering)
     FROM chain c JOIN sheet s ON s.style_id = c.up WHERE NOT list_contains(c.seen, s.style_id)),
-  effective AS (SELECT id AS style_id, max(depth) AS depth, arg_max_null(font_size, depth) AS font_size, arg_max_null(bold, depth) AS bold, arg_max_null(outline_level, depth) AS outline_level, arg_max_null(space_before, depth) AS space_before, arg_max_null(numbered, depth) AS numbered FROM chain GROUP BY id)"""
+  effective AS (SELECT id AS style_id, arg_max_null(font_size, depth) AS font_size, arg_max_null(bold, depth) AS bold, arg_max_null(outline_level, depth) AS outline_level, arg_max_null(space_before, depth) AS space_before, arg_max_null(numbering, depth) AS numbering FROM chain GROUP BY id)"""
 
 
 def _sheets(spark, sf_dir):
     """The style sheet for each language of the corpus, as if each were a document."""
     langs = _read(spark, sf_dir, "documents").filter("lang IS NOT NULL").select(F.col("lang").alias("doc_id")).distinct()
-    return langs.join(spark.createDataFrame(STYLES, _STYLES_SCHEMA))
+    names = [c.split()[0] for c in _STYLES_SCHEMA.split(", ")]
+    sheet = F.from_json(F.lit(json.dumps([dict(zip(names, s, strict=True)) for s in STYLES])), f"array<struct<{_STYLES_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
+    rows = langs.select("doc_id", F.inline(sheet))
+    return rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in Y.FORMATS.items() if c not in names])
 
 
 def style_inheritance(spark, sf_dir):
-    return Y.effective_formats(_sheets(spark, sf_dir))
+    return Y.effective_formats(_sheets(spark, sf_dir)).select("doc_id", "style_id", "font_size", "bold", "outline_level", "space_before", "numbering")
 
 
 def _usages(spark, sf_dir):
@@ -72,19 +77,26 @@ def used_styles(spark, sf_dir):
     return sheet.join(used, ["doc_id", "initial"], "left_semi").select("doc_id", "style_id")
 
 
+#: Style names of line styles by document: aliases of every list, headings of several languages, names that are none of them.
+NAMES = ("Alaotsikko", "Cytat", "Ondertitel", "Überschrift 2", "Nadpis3", "Rubrik", "Felirat 1", "Legenda", "Subtítulo", "Block Quote", "Citace", "Virsraksts 9", "Standaard", "Titlu", "x Kop 4 y", "Baslık")
+
+
 def _classified(spark, sf_dir):
-    """Line styles of each document through the ladder, with mappings for some of them."""
+    """Line styles of each document through the ladder, with mappings, levels and parents for some of them."""
     stats = style_usage(spark, sf_dir)
     size = stats.groupBy("doc_id").agg(F.max("most_size").alias("document_size"))
     styles = stats.join(size, "doc_id")
-    name = F.when(F.col("style_id") == "item", F.concat(F.lit("Überschrift "), (F.col("doc_id") % 8).cast("string"))).when(F.col("style_id") == "text", F.lit("Citaat")).otherwise(F.initcap("style_id"))
+    at = lambda n: F.col("doc_id") % n
+    name = F.when(F.col("style_id").isin("item", "text"), F.element_at(F.array(*[F.lit(x) for x in NAMES]), (at(len(NAMES)) + 1).cast("int"))).otherwise(F.initcap("style_id"))
     return Y.classify(styles.select(
-        "doc_id", "style_id", "usages", "first_position", "short", "bold_text", "numbered_text", "near_figure", "caption_text", "most_size", "document_size",
-        name.alias("name"), F.lit("paragraph").alias("kind"), F.when(F.col("style_id") == "short", F.lit("Heading3")).alias("based_on"),
-        F.lit(None).cast("boolean").alias("bold"), F.lit(None).cast("boolean").alias("numbered"), F.when(F.col("style_id") == "shout", 6.0).alias("space_before"),
-        F.when((F.col("style_id") == "text") & (F.col("doc_id") % 10 == 0), 1).alias("outline_level"),
-        F.when((F.col("style_id") == "text") & (F.col("doc_id") % 11 == 0), F.lit("author")).alias("user_mapping"),
-        F.when((F.col("style_id") == "short") & (F.col("doc_id") % 13 == 0), F.lit("caption")).alias("preset_mapping"),
+        "doc_id", F.when((F.col("style_id") == "item") & (at(17) == 0), "HeadingChar5").otherwise(F.col("style_id")).alias("style_id"),
+        "usages", "first_position", "short", "bold_text", "spaced_text", "numbered_text", "near_figure", "caption_text", "most_size", "document_size",
+        name.alias("name"), F.lit("paragraph").alias("kind"), F.when(F.col("style_id") == "short", F.when(at(2) == 0, "Heading3").otherwise("headingchar2")).alias("based_on"),
+        F.lit(None).cast("boolean").alias("bold"), F.when(F.col("style_id") == "shout", 6.0).alias("space_before"),
+        F.when((F.col("style_id") == "text") & (at(10) == 0), 1).when((F.col("style_id") == "text") & (at(10) == 1), 7).alias("outline_level"),
+        F.when((F.col("style_id") == "item") & (at(9) == 0), 8).alias("toc_level"),
+        F.when((F.col("style_id") == "text") & (at(11) == 0), F.lit("author")).alias("user_mapping"),
+        F.when((F.col("style_id") == "short") & (at(13) == 0), F.lit("caption")).alias("preset_mapping"),
     ))
 
 
@@ -135,7 +147,7 @@ def _warned(spark, sf_dir):
     """Warnings of documents: three kinds by line, in order."""
     rows = Y.line_usages(S.line_blocks(_read(spark, sf_dir, "documents")))
     code = F.when(F.col("style_id") == "shout", "style-unknown").when(F.col("style_id") == "short", "formula-conversion-incomplete").otherwise("long-line")
-    return rows.select("doc_id", F.col("position").alias("ord"), code.alias("code"), F.when(F.col("style_id") == "shout", "shout").alias("style_id"), F.concat(F.lit("length "), F.least(F.length("text"), F.lit(200)).cast("string")).alias("message"))
+    return rows.select("doc_id", F.col("position").alias("ord"), code.alias("code"), F.when(F.col("style_id") == "shout", "shout").alias("style_id"), F.concat(F.lit("length "), F.length("text").cast("string")).alias("message"))
 
 
 def warnings_deduplicate(spark, sf_dir):
@@ -159,8 +171,7 @@ def validate_model(spark, sf_dir):
 
 
 def warning_style_names(spark, sf_dir):
-    sheet = spark.createDataFrame([("shout", "Loud Lines")], "style_id string, name string")
-    styles = _read(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id").join(sheet)
+    styles = _read(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", F.lit("shout").alias("style_id"), F.lit("Loud Lines").alias("name"))
     return W.with_style_names(_warned(spark, sf_dir), styles, "doc_id").select("doc_id", "ord", "style_name")
 
 
@@ -193,20 +204,27 @@ QUERIES = {
 _U = f"""{_LINES}, t AS (SELECT doc_id, ord AS position, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM lines),
   usages AS (SELECT doc_id, position, text, CASE WHEN upper(text) = text AND lower(text) <> text THEN 'shout' WHEN regexp_matches(text, '^([-*•]|[0-9]+[.)]) ') THEN 'item' WHEN length(text) <= 40 THEN 'short' ELSE 'text' END AS style_id FROM t),
   stats AS (SELECT doc_id, style_id, count(*) AS usages, min(position)::BIGINT AS first_position, bool_and(length(text) <= 100) AS short, bool_and(style_id = 'shout') AS bold_text, bool_or(style_id = 'item') AS numbered_text,
-    false AS near_figure, bool_or(regexp_matches(lower(text), '^(figure|fig|photo|image|table|figuur|afbeelding|foto|tabel)\\b')) AS caption_text,
+    false AS near_figure, bool_or(regexp_matches(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), '^(figure|fig|photo|image|table|figuur|afbeelding|foto|tabel)\\b')) AS caption_text, false AS spaced_text,
     max(CASE style_id WHEN 'shout' THEN 32.0 WHEN 'short' THEN 16.0 ELSE 11.0 END)::DOUBLE AS most_size FROM usages GROUP BY ALL)"""
-_CLASS = f"""{_U}, sized AS (SELECT *, max(most_size) OVER (PARTITION BY doc_id) AS document_size FROM stats),
-  classified AS (SELECT doc_id, style_id, CASE
+#: What the rules make of each name, stated one by one.
+_MEANT = {"Alaotsikko": "subtitle", "Cytat": "blockquote", "Überschrift 2": "heading2", "Nadpis3": "heading3", "Rubrik": "title", "Felirat 1": "caption", "Legenda": "caption", "Subtítulo": "subtitle", "Citace": "blockquote", "Titlu": "title", "x Kop 4 y": "heading4"}
+_BY_NAME = "CASE n " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _MEANT.items()) + " END"
+_CLASS = f"""{_U}, sized AS (SELECT *, max(most_size) OVER (PARTITION BY doc_id) AS document_size, CASE WHEN style_id IN ('item', 'text') THEN [{", ".join(f"'{n}'" for n in NAMES)}][doc_id % {len(NAMES)} + 1] END AS n FROM stats),
+  named AS (SELECT *, {_BY_NAME} AS m FROM sized),
+  classified AS (SELECT doc_id, CASE WHEN style_id = 'item' AND doc_id % 17 = 0 THEN 'HeadingChar5' ELSE style_id END AS style_id, CASE
     WHEN style_id = 'text' AND doc_id % 11 = 0 THEN ['author', 'certain', 'user-mappings']
     WHEN style_id = 'short' AND doc_id % 13 = 0 THEN ['caption', 'certain', 'mapping-preset']
     WHEN style_id = 'text' AND doc_id % 10 = 0 THEN ['heading2', 'certain', 'outline-level']
-    WHEN style_id = 'item' AND doc_id % 8 BETWEEN 1 AND 6 THEN ['heading' || (doc_id % 8), 'medium', 'localized-style-aliases']
+    WHEN style_id = 'item' AND doc_id % 17 = 0 THEN ['heading5', 'high', 'style-id']
+    WHEN style_id = 'item' AND doc_id % 9 = 0 THEN ['heading6', 'high', 'table-of-contents']
+    WHEN m LIKE 'heading%' THEN [m, 'medium', 'localized-style-aliases']
     WHEN usages = 1 AND first_position <= 2 AND short AND most_size >= 32 AND most_size = document_size THEN ['title', 'high', 'typographic-structural-analysis']
+    WHEN m = 'caption' THEN ['caption', 'high', 'caption-context-analysis']
     WHEN caption_text THEN ['caption', 'medium', 'caption-context-analysis']
-    WHEN style_id = 'text' THEN ['blockquote', 'medium', 'localized-style-aliases']
-    WHEN style_id = 'short' THEN ['heading3', 'medium', 'style-inheritance']
+    WHEN m IS NOT NULL THEN [m, 'medium', 'localized-style-aliases']
+    WHEN style_id = 'short' THEN [CASE WHEN doc_id % 2 = 0 THEN 'heading3' ELSE 'heading2' END, 'medium', 'style-inheritance']
     WHEN short AND bold_text AND style_id = 'shout' THEN ['heading1', 'low', 'typographic-structural-analysis']
-    ELSE ['body', 'medium', 'plain-paragraph-fallback'] END AS c FROM sized)"""
+    ELSE ['body', 'medium', 'plain-paragraph-fallback'] END AS c FROM named)"""
 _FIRST = PLAIN.replace("(html,", "(regexp_extract(html, '(?is)<{tag}\\b[^>]*>(.*?)(?:</{tag}>|<p\\b|<h|</article>)', 1),")
 _TITLE = PLAIN.replace("(html,", "(regexp_extract(html, '(?is)<title>(.*?)</title>', 1),")
 _CAND = f"""cand AS (SELECT page_id, field, trim(value) AS value, source, priority, confidence, method, 0::BIGINT AS ord FROM (
@@ -218,7 +236,7 @@ _CAND = f"""cand AS (SELECT page_id, field, trim(value) AS value, source, priori
     UNION ALL SELECT page_id, 'identifier', 'urn:vellum:' || {SLUG.format("coalesce(url, '')")}, 'file-name', 7, 'low', 'default' FROM pages) WHERE trim(value) <> ''),
   best AS (SELECT page_id, field, arg_min([value, source, confidence, method], priority) AS b FROM cand GROUP BY ALL)"""
 _WARN = f"""{_U}, warned AS (SELECT doc_id, position AS ord, CASE style_id WHEN 'shout' THEN 'style-unknown' WHEN 'short' THEN 'formula-conversion-incomplete' ELSE 'long-line' END AS code,
-    CASE WHEN style_id = 'shout' THEN 'shout' END AS style_id, 'length ' || least(length(text), 200) AS message FROM usages)"""
+    CASE WHEN style_id = 'shout' THEN 'shout' END AS style_id, 'length ' || length(text) AS message FROM usages)"""
 
 SQL = {
     "style_inheritance": f"WITH RECURSIVE {SHEET}, {EFFECTIVE} SELECT l.doc_id, e.* FROM effective e, (SELECT DISTINCT lang AS doc_id FROM documents WHERE lang IS NOT NULL) l",

@@ -1,51 +1,66 @@
-"""Packages from reading to output: one call for what a converter does with a document, over a corpus."""
+"""Packages from reading to output: one call for what a converter does with a document, over a corpus.
+
+Everything here is an expression over one row of read packages, so that a conversion is one pass: parsed once, analysed in its
+row, rendered, without a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators import metadata as M
 from vellum.operators import render as R
 from vellum.operators import styles as Y
-from vellum.sources.docx import relation
+
+SCALARS = ("title", "subtitle", "language", "publisher", "description", "version", "sourceCreatedAt", "sourceModifiedAt", "identifier", "rights")
+
+
+def analyse(packages: DataFrame, mappings: Mapping[str, str] | None = None, preset: Mapping[str, str] | None = None) -> DataFrame:
+    """Styles of each document with their use and meaning: (doc_id, style_id, .., mapping, confidence, evidence).
+
+    `mappings` and `preset` map style ids to meanings, the user's own and those of a preset. Only styles that are used are
+    judged.
+    """
+    found = packages.filter("error IS NULL").select("doc_id", Y.analysed(F.col("styles"), F.col("usages"), dict(mappings or {}), dict(preset or {})).alias("styles"))
+    return found.select("doc_id", F.inline("styles"))
+
+
+def resolved(candidates: Column, conversion_date: str, edits: Mapping[str, str] | None = None, authors: Sequence[str] | None = None, subjects: Sequence[str] | None = None) -> Column:
+    """The winning value of each field of an array of candidates, with all authors and subjects and the dates.
+
+    Lower priorities win, then the order. The publication date is the first of high or certain confidence, else the conversion
+    date. `edits` stand over what was found, a blank one deletes; so do lists of authors and subjects, without blanks.
+    """
+    ordered = lambda field: F.array_sort(F.transform(F.filter(candidates, lambda c: c["field"] == field), lambda c: F.struct(c["priority"], c["ord"], c["value"], c["confidence"])))
+    first = lambda rows: F.get(rows, 0)["value"]
+    sure = F.filter(ordered("publicationDate"), lambda c: c["confidence"].isin("high", "certain"))
+    fields = {f: first(ordered(f)) for f in SCALARS} | {"publicationDate": F.coalesce(first(sure), F.lit(conversion_date)), "conversionDate": F.lit(conversion_date)}
+    for field, value in (edits or {}).items():
+        if value.strip() or field != "conversionDate":
+            fields[field] = F.lit(value if value.strip() else None).cast("string")
+    given = lambda names: F.array(*[F.lit(x.strip()) for x in names if x.strip()]).cast("array<string>")
+    lists = {f: given(own) if own is not None else F.transform(ordered(f), lambda c: c["value"]) for f, own in (("authors", authors), ("subjects", subjects))}
+    return F.struct(*[c.alias(f) for f, c in (fields | lists).items()])
+
+
+def resolved_metadata(packages: DataFrame, conversion_date: str, **edits) -> DataFrame:
+    """(doc_id, metadata): the resolved fields as JSON; see resolved()."""
+    return packages.filter("error IS NULL").select("doc_id", F.to_json(resolved(F.col("candidates"), conversion_date, **edits)).alias("metadata"))
 
 
-def analyse(packages: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
-    """Styles of each document with their meaning: (doc_id, style_id, mapping, confidence, evidence).
+def convert(
+    packages: DataFrame, format: str, mode: str, conversion_date: str, formula: str = "mathml", mappings: Mapping[str, str] | None = None,
+    preset: Mapping[str, str] | None = None, cover: dict | None = None, **edits,
+) -> DataFrame:
+    """Outputs of all packages, with the reader's warnings before the writer's; one that could not be read has its error.
 
-    `mappings` (style_id, mapping) are the user's. Only styles that are used are judged.
+    `cover` holds the settings of a generated cover, `edits` what resolved() takes.
     """
-    styles, usages = relation(packages, "styles"), relation(packages, "usages")
-    formats = Y.effective_formats(styles).drop("depth")
-    sized = usages.join(formats.select("doc_id", "style_id", F.col("font_size").alias("_size")), ["doc_id", "style_id"], "left").withColumn("font_size", F.coalesce("font_size", "_size"))
-    stats = Y.usage_statistics(sized, ["doc_id", "style_id"])
-    whole = stats.groupBy("doc_id").agg(F.max("most_size").alias("document_size"))
-    judged = styles.select("doc_id", "style_id", "name", "kind", "based_on").join(stats, ["doc_id", "style_id"]).join(whole, "doc_id").join(formats, ["doc_id", "style_id"], "left")
-    if mappings is None:
-        judged = judged.withColumn("user_mapping", F.lit(None).cast("string"))
-    else:
-        judged = judged.join(mappings.select("style_id", F.col("mapping").alias("user_mapping")), "style_id", "left")
-    return Y.classify(judged.withColumn("preset_mapping", F.lit(None).cast("string"))).select("doc_id", "style_id", "mapping", "confidence", "evidence")
-
-
-def resolved_metadata(packages: DataFrame, conversion_date: str) -> DataFrame:
-    """(doc_id, metadata): the winning fields as JSON, with all authors and subjects and the conversion date."""
-    candidates = relation(packages, "candidates").withColumnRenamed("doc_id", "page_id")
-    best = M.resolve(candidates.filter("field NOT IN ('authors', 'subjects')"))
-    wide = best.groupBy("page_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("title", "subtitle", "language", "identifier", "description", "publisher", "modified")])
-    out = packages.filter("error IS NULL").select(F.col("doc_id").alias("page_id")).join(wide, "page_id", "left")
-    for field in ("authors", "subjects"):
-        out = out.join(M.all_values(candidates, field).withColumnRenamed("values", field), "page_id", "left")
-    fields = F.struct("title", "subtitle", "language", "identifier", "description", "publisher", F.coalesce("modified", F.lit(conversion_date)).alias("modified"), "authors", "subjects", F.lit(conversion_date).alias("conversionDate"))
-    return out.select(F.col("page_id").alias("doc_id"), F.to_json(fields).alias("metadata"))
-
-
-def convert(packages: DataFrame, format: str, mode: str, conversion_date: str, formula: str = "mathml", mappings: DataFrame | None = None) -> DataFrame:
-    """Outputs of all documents that could be read, with the reader's warnings before the writer's."""
-    meanings = analyse(packages, mappings).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("style_id", "mapping"))).alias("mapping"))
-    read = packages.filter("error IS NULL").select("doc_id", "model", "assets", "warnings")
-    ready = read.join(meanings, "doc_id", "left").join(resolved_metadata(packages, conversion_date), "doc_id", "left")
-    made = R.convert(ready, format, mode, formula)
-    said = read.select("doc_id", F.col("warnings").alias("_read"))
-    return made.join(said, "doc_id").withColumn("warnings", F.concat("_read", "warnings")).drop("_read")
+    styles = Y.analysed(F.col("styles"), F.col("usages"), dict(mappings or {}), dict(preset or {}))
+    ready = packages.select(
+        "doc_id", "error", "model", "assets", "warnings", Y.let(styles, Y.meanings).alias("mapping"),
+        F.to_json(resolved(F.col("candidates"), conversion_date, **edits)).alias("metadata"), F.lit(conversion_date).alias("modified"),
+    )
+    return R.convert(ready, format, mode, formula, cover, tuple(mappings or ()))

@@ -63,8 +63,8 @@ def docx_metadata(spark, sf_dir):
 
 
 def _converted(spark, sf_dir, format, mode="single"):
-    read = _packages(spark, sf_dir).select("doc_id", "model", "assets")
-    rows = read.withColumn("mapping", F.lit(None).cast("map<string,string>")).withColumn("metadata", F.to_json(F.struct(F.concat(F.lit("Document "), "doc_id").alias("title"), F.lit("en").alias("language"), F.concat(F.lit("urn:vellum:"), "doc_id").alias("identifier"), F.lit(DATE).alias("modified"))))
+    read = _packages(spark, sf_dir).select("doc_id", "error", "model", "assets", "warnings", F.lit(DATE).alias("modified"))
+    rows = read.withColumn("mapping", F.lit(None).cast("map<string,string>")).withColumn("metadata", F.to_json(F.struct(F.concat(F.lit("Document "), "doc_id").alias("title"), F.lit("en").alias("language"), F.concat(F.lit("urn:vellum:"), "doc_id").alias("identifier"))))
     return R.convert(rows, format, mode)
 
 
@@ -82,9 +82,10 @@ def docx_epub_files(spark, sf_dir):
 
 
 def docx_styles(spark, sf_dir):
-    """The whole way of a converter: packages of the corpus to Markdown zips, with styles analysed and metadata resolved."""
-    made = corpus.convert(_packages(spark, sf_dir), "markdown", "zip", DATE)
-    return made.select(F.col("doc_id").cast("long").alias("doc_id"), "error", F.array_join("files", ",").alias("files"))
+    """The whole way of a converter: packages of the corpus to Markdown zips, with styles analysed and metadata resolved, and
+    what is in them."""
+    rows = R.entries(corpus.convert(_packages(spark, sf_dir), "markdown", "zip", DATE))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "name", F.decode("data", "UTF-8").alias("markdown"))
 
 
 def omml_convert(spark, sf_dir):
@@ -119,9 +120,8 @@ QUERIES = {
 
 _ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _MD = r"regexp_replace({}, '([\\`*_\[\]<>#])', '\\\1', 'g')"
-_SAN = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<({P.DROPPED})\b.*?</({P.DROPPED})\s*>|<!--.*?-->', '', 'g'),
-  '(?i)</?(?:{P.DROPPED}|{P.UNWRAPPED})\b[^>]*>', '', 'g'), '(?i)\s(?:on[a-z]+|style|srcdoc|formaction)\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>]+)', '', 'g'),
-  '(?i)\s(?:href|src)\s*=\s*"\s*(?:javascript|vbscript|file|data:text)[^"]*"', '', 'g')"""
+#: Pages hold no attributes but these: targets within their own place, classes, languages and character sets.
+_SAN = r"""regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|title)\b.*?</(script|style|title)\s*>|</?(html|head|body|meta)\b[^>]*>', '', 'g')"""
 
 SQL = {
     "html_render": f"""WITH {_LINES} SELECT doc_id, string_agg(CASE WHEN ord = 0 THEN '<h1>' || {_ESC.format("text")} || '</h1>' ELSE '<p>' || {_ESC.format("text")} || '</p>' END, '' ORDER BY ord) AS html FROM lines GROUP BY doc_id""",
@@ -133,14 +133,14 @@ SQL = {
     "sanitise_preview": f"SELECT page_id, {_SAN} AS safe FROM pages",
     "preset_round_trip": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'heading1' WHEN 1 THEN 'caption' END AS mapping FROM part",
     "docx_blocks": f"WITH {_LINES} SELECT doc_id, ord::BIGINT AS ord, 'paragraph' AS type, text FROM lines",
-    "docx_metadata": f"""WITH {_LINES}, firsts AS (SELECT doc_id, 'title' AS field, '' || doc_id AS value, 'file-name' AS source, 7 AS priority, 'low' AS confidence FROM documents
-      UNION ALL SELECT doc_id, 'identifier', 'urn:vellum:' || doc_id, 'file-name', 7, 'low' FROM documents) SELECT * FROM firsts""",
+    "docx_metadata": f"""WITH {_LINES}, firsts AS (SELECT doc_id, 'title' AS field, '' || doc_id AS value, 'filename' AS source, 7 AS priority, 'low' AS confidence FROM documents
+      UNION ALL SELECT doc_id, 'identifier', 'urn:vellum:' || doc_id, 'filename', 7, 'low' FROM documents) SELECT * FROM firsts""",
     "docx_html": f"""WITH {_LINES} SELECT doc_id, '<main><h1 class="document-title">Document ' || doc_id || '</h1>' || string_agg('<p>' || {_ESC.format("text")} || '</p>', '' ORDER BY ord) || '</main>' AS html FROM lines GROUP BY doc_id""",
     "docx_markdown": f"""WITH {_LINES} SELECT doc_id, '# Document ' || doc_id || coalesce(chr(10) || chr(10) || string_agg({_MD.format("text")}, chr(10) || chr(10) ORDER BY ord) FILTER (WHERE text <> ''), '') || chr(10) AS markdown FROM lines GROUP BY doc_id""",
     "docx_epub_files": """SELECT doc_id, i AS position, ['mimetype', 'META-INF/container.xml', 'EPUB/package.opf', 'EPUB/nav.xhtml', 'EPUB/styles.css', 'EPUB/title.xhtml', 'EPUB/chapter-001.xhtml'][i] AS name FROM documents, range(1, 8) AS r(i)""",
-    "docx_styles": "SELECT doc_id, NULL::VARCHAR AS error, 'document.md' AS files FROM documents",
+    "docx_styles": f"""WITH {_LINES} SELECT doc_id, 'document.md' AS name, '# ' || doc_id || coalesce(chr(10) || chr(10) || string_agg({_MD.format("text")}, chr(10) || chr(10) ORDER BY ord) FILTER (WHERE text <> ''), '') || chr(10) AS markdown FROM lines GROUP BY doc_id""",
     "omml_convert": r"""SELECT o_orderkey, '\frac{' || o_orderkey || '}{x^{' || o_custkey || '}}' AS tex,
-      '<math xmlns="http://www.w3.org/1998/Math/MathML"><mrow><mfrac><mrow><mn>' || o_orderkey || '</mn></mrow><mrow><msup><mrow><mi>x</mi></mrow><mrow><mn>' || o_custkey || '</mn></mrow></msup></mrow></mfrac></mrow></math>' AS mathml,
+      '<math xmlns="http://www.w3.org/1998/Math/MathML"><mfrac><mn>' || o_orderkey || '</mn><msup><mi>x</mi><mn>' || o_custkey || '</mn></msup></mfrac></math>' AS mathml,
       true AS complete, o_orderkey || '/x ' || o_custkey AS fallback FROM orders""",
     "model_validate": """SELECT event_id, i.path, i.code FROM (SELECT event_id, unnest(CASE event_id % 4 WHEN 2 THEN [{'path': '$', 'code': 'not-object'}] WHEN 3 THEN [{'path': '$.version', 'code': 'version'}, {'path': '$.assets.a.data', 'code': 'not-binary'}]
       WHEN 1 THEN list_concat([{'path': '$.schema', 'code': 'schema'}, {'path': '$.version', 'code': 'version'}], list_concat(list_transform(['metadata', 'assets', 'equations', 'notes'], lambda k: {'path': '$.' || k, 'code': 'not-record'}), list_transform(['blocks', 'styles', 'warnings'], lambda k: {'path': '$.' || k, 'code': 'not-list'}))) ELSE [] END) AS i FROM events)""",

@@ -8,8 +8,8 @@ from vellum.functions import text as T
 from vellum.operators.structure import hrefs
 
 LCID_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in T.LCIDS.items())
-PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f\x0B]+', ' ', 'g'))"""
+PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\n\r\f\x0B]+', ' ', 'g'))"""
 HREFS = """(SELECT page_id, unnest(regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1), 1) - 1 AS ord FROM pages)"""
 BASE = r"coalesce(nullif(trim(regexp_replace(list_extract(string_split_regex({}, '[/\\]'), -1), '\.[^.]*$', '')), ''), 'document')"
 PATH = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/$', '')"
@@ -138,15 +138,15 @@ SQL = {
     "safe_hrefs": f"""SELECT page_id, ord::BIGINT AS ord, CASE WHEN regexp_matches(trim(href), '{T.HTML_HREF}') THEN trim(href) END AS html,
       CASE WHEN regexp_matches(trim(href), '{T.MARKDOWN_HREF}') THEN trim(href) END AS markdown, CASE WHEN regexp_matches(trim(href), '{T.EPUB_HREF}') THEN trim(href) END AS epub,
       coalesce(nullif(lower(regexp_extract(trim(href), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)), ''), 'relative') AS scheme FROM {HREFS}""",
-    "media_admission": f"SELECT p_partkey, media_type, {_IMAGES}[media_type] AS embedded, {_ALL}[media_type] AS packed FROM (SELECT p_partkey, {_KINDS}[p_partkey % 12 + 1] AS media_type FROM part)",
+    "media_admission": f"SELECT p_partkey, media_type, {_IMAGES}[media_type] AS embedded, {_ALL}[media_type] AS packed FROM (SELECT p_partkey, {_KINDS}[p_partkey % {len([*T.IMAGE_TYPES, *T.FONT_TYPES]) + 3} + 1] AS media_type FROM part)",
     "language_lcid": f"""SELECT doc_id, stated, CASE WHEN regexp_matches(stated, '{T.LANGUAGE_TAG}') THEN stated WHEN regexp_matches(stated, '^[0-9]{{3,5}}$') THEN coalesce(tag, stated) ELSE stated END AS tag,
       CASE WHEN regexp_matches(stated, '{T.LANGUAGE_TAG}') THEN stated ELSE 'en' END AS html_tag
       FROM (SELECT doc_id, ['1031', 'en', '3082', '9999', 'fr-FR', '01033', 'x'][doc_id % 7 + 1] AS stated FROM documents)
       LEFT JOIN (VALUES {LCID_ROWS}) AS l(code, tag) ON code = ltrim(stated, '0')""",
     "output_names": f"SELECT page_id, base, base || '.html' AS html_single, base || '-html.zip' AS html_zip, base || '.md' AS markdown_single, base || '-markdown.zip' AS markdown_zip, base || '.epub' AS epub_single FROM (SELECT page_id, {BASE.format(PATH)} AS base FROM pages)",
     "code_fence": r"SELECT conv_id, turn, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(repeat('`', (turn % 5)::INT) || chr(10) || text || chr(10) || '``', '`+'), lambda x: length(x))), 0) + 1)) AS fence FROM conversations",
-    "math_tokens": r"""SELECT doc_id, CASE WHEN regexp_matches(word, '^[0-9]+([.,][0-9]+)?$') THEN 'number' WHEN regexp_matches(word, '^[-+*/=<>(){}\[\]|,;:!±×÷∑∏∫√∞≤≥≠≈→←∈∉⊂⊃∪∩]+$') THEN 'operator'
-      WHEN regexp_matches(word, '^[A-Za-zÀ-ÖØ-öø-ÿ]$') THEN 'identifier' ELSE 'text' END AS kind, count(*) AS tokens FROM (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL""",
+    "math_tokens": r"""SELECT doc_id, CASE WHEN regexp_matches(word, '^\p{N}+([.,]\p{N}+)?$') THEN 'number' WHEN regexp_matches(word, '^[+\-−=<>≤≥×÷±∓∞∫∑∏√∂∇≈≠∈∉∪∩]+$') THEN 'operator'
+      WHEN regexp_matches(word, '^[\p{L}\p{Nl}]+$') THEN 'identifier' ELSE 'text' END AS kind, count(*) AS tokens FROM (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL""",
     "json_get": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "date_stamps": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS stamp FROM orders",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -12,7 +14,10 @@ from .scalar import PLAIN, _read
 BLOCKS_SQL = rf"""blocks AS (SELECT page_id, generate_subscripts(tags, 1) - 1 AS ord, lower(unnest(tags)) AS tag, unnest(inners) AS inner_html FROM (
   SELECT page_id, regexp_extract_all(html, '{S.HEADING_OR_PARAGRAPH}', 1) AS tags, regexp_extract_all(html, '{S.HEADING_OR_PARAGRAPH}', 2) AS inners FROM pages))"""
 INNER = PLAIN.replace("(html,", "(inner_html,")
-SLUG = "coalesce(nullif(regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'section')"
+#: Letters with marks fall apart into a letter and a mark, which is no letter of an anchor.
+_APART = {c: unicodedata.normalize("NFKD", c) for c in map(chr, range(0xA0, 0x180)) if any("0" <= x.lower() <= "9" or "a" <= x.lower() <= "z" for x in unicodedata.normalize("NFKD", c))}
+_MAP = "MAP {" + ", ".join(f"'{c}': '{x}'" for c, x in _APART.items()) + "}"
+SLUG = "coalesce(nullif(regexp_replace(regexp_replace(lower(array_to_string(list_transform(string_split({}, ''), lambda c: coalesce(" + _MAP.replace("{", "{{").replace("}", "}}") + "[c], c)), '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'section')"
 
 
 def blocks_scan(spark, sf_dir):
@@ -50,14 +55,14 @@ def note_numbering(spark, sf_dir):
 
 def heading_slugs(spark, sf_dir):
     rows = S.page_blocks(_read(spark, sf_dir, "pages")).withColumn("text", T.plain_text(F.col("inner")))
-    return S.unique_slugs(rows, "page_id", "ord", F.substring("text", 1, 4)).select("page_id", "ord", "anchor")
+    return S.unique_slugs(rows, "page_id", "ord", F.col("text")).select("page_id", "ord", "anchor")
 
 
 def asset_registry(spark, sf_dir):
     kinds = ["image/png", "font/woff2", "image/svg+xml", "image/jpeg"]
     media = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    rows = _read(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("asset-"), F.col("p_partkey").cast("string")).alias("asset_id"), media.alias("media_type"))
-    return S.asset_paths(rows, "p_brand", "asset_id", T.media_extension(F.col("media_type"), True), F.col("media_type").startswith("font/")).select("asset_id", "path")
+    rows = _read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 40).alias("doc_id"), F.concat(F.lit("asset-"), F.col("p_partkey").cast("string")).alias("asset_id"), media.alias("media_type"))
+    return S.asset_paths(rows, "doc_id", "asset_id", T.media_extension(F.col("media_type"), True), F.col("media_type").startswith("font/")).select("asset_id", "path")
 
 
 def ignore_blocks(spark, sf_dir):
@@ -108,12 +113,12 @@ SQL = {
     "note_numbering": """WITH f AS (SELECT l_orderkey, l_suppkey AS note, min(l_linenumber) AS first FROM lineitem GROUP BY ALL),
       n AS (SELECT l_orderkey, note, row_number() OVER (PARTITION BY l_orderkey ORDER BY first, note) AS number FROM f)
       SELECT l.l_orderkey, l_linenumber, note, number FROM lineitem l JOIN n ON l.l_orderkey = n.l_orderkey AND l_suppkey = note""",
-    "heading_slugs": f"""WITH {BLOCKS_SQL}, s AS (SELECT page_id, ord, {SLUG.format(f"substr({INNER}, 1, 4)")} AS slug FROM blocks),
+    "heading_slugs": f"""WITH {BLOCKS_SQL}, s AS (SELECT page_id, ord, {SLUG.format(INNER)} AS slug FROM blocks),
       n AS (SELECT *, row_number() OVER (PARTITION BY page_id, slug ORDER BY ord) AS n FROM s)
       SELECT page_id, ord::BIGINT AS ord, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS anchor FROM n""",
-    "asset_registry": """WITH a AS (SELECT p_brand, 'asset-' || p_partkey AS asset_id, ['image/png', 'font/woff2', 'image/svg+xml', 'image/jpeg'][p_partkey % 4 + 1] AS t FROM part),
+    "asset_registry": """WITH a AS (SELECT p_partkey // 40 AS doc_id, 'asset-' || p_partkey AS asset_id, ['image/png', 'font/woff2', 'image/svg+xml', 'image/jpeg'][p_partkey % 4 + 1] AS t FROM part),
       e AS (SELECT *, MAP {'image/png': 'png', 'font/woff2': 'woff2', 'image/jpeg': 'jpg'}[t] AS ext, t = 'font/woff2' AS font FROM a),
-      n AS (SELECT *, lpad((row_number() OVER (PARTITION BY p_brand, font, ext IS NULL ORDER BY asset_id))::VARCHAR, 3, '0') AS n FROM e)
+      n AS (SELECT *, lpad((row_number() OVER (PARTITION BY doc_id, font, ext IS NULL ORDER BY asset_id))::VARCHAR, 3, '0') AS n FROM e)
       SELECT asset_id, CASE WHEN font THEN 'fonts/font-' ELSE 'images/image-' END || n || '.' || ext AS path FROM n""",
     "ignore_blocks": f"""WITH {_LINES}, p AS (SELECT doc_id, text, lpad((ord // 4)::VARCHAR, 5, '0') || CASE WHEN ord % 4 > 0 THEN '.' || lpad((ord % 4)::VARCHAR, 5, '0') ELSE '' END AS path FROM lines)
       SELECT doc_id, path FROM p WHERE NOT EXISTS (SELECT 1 FROM p d WHERE d.doc_id = p.doc_id AND length(d.text) < 30 AND (d.path = p.path OR starts_with(p.path, d.path || '.')))""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 from collections.abc import Iterator
 from dataclasses import asdict
 
@@ -17,17 +18,18 @@ from pyspark.sql import functions as F
 
 from vellum.functions.formula import convert
 
-from .package import Limits, PackageError, open_package
+from .package import MAGIC, Limits, PackageError, open_package
 from .xml import Element
 
 # Media types of images by extension.
 IMAGES = {"gif": "image/gif", "jpeg": "image/jpeg", "jpg": "image/jpeg", "png": "image/png", "svg": "image/svg+xml", "webp": "image/webp"}
-CUSTOM_FIELDS = {"title": "title", "subtitle": "subtitle", "author": "authors", "authors": "authors", "publisher": "publisher", "language": "language", "identifier": "identifier", "description": "description"}
+CUSTOM_FIELDS = {"version": "version", "publicationdate": "publicationDate", "publisher": "publisher", "rights": "rights", "identifier": "identifier", "subtitle": "subtitle", "description": "description", "language": "language"}
 MARKS = (("b", "bold"), ("i", "italic"), ("u", "underline"))
 FALSE = {"0", "false", "off", "none"}
 
-_STYLE = "struct<style_id:string,name:string,kind:string,based_on:string,font_size:double,bold:boolean,outline_level:int,space_before:double,numbered:boolean>"
-_USAGE = "struct<style_id:string,kind:string,text:string,position:long,bold:boolean,numbered:boolean,nearby:string,font_size:double>"
+_FORMATS = "font_family:string,font_size:double,bold:boolean,italic:boolean,outline_level:int,space_before:double,space_after:double,indent_left:double,indent_right:double,indent_first:double,numbering:string"
+_STYLE = f"struct<style_id:string,name:string,kind:string,based_on:string,{_FORMATS}>"
+_USAGE = "struct<style_id:string,kind:string,text:string,position:long,bold:boolean,space_before:double,numbered:boolean,nearby:string,font_size:double>"
 _CANDIDATE = "struct<field:string,value:string,source:string,priority:int,confidence:string,method:string,ord:long>"
 _WARNING = "struct<code:string,severity:string,message:string,ord:long>"
 _ASSET = "struct<asset_id:string,media_type:string,filename:string,data:binary>"
@@ -53,6 +55,28 @@ def _number(node: Element | None, name: str, per: float) -> float | None:
         return None
 
 
+def formats(node: Element) -> dict:
+    """The formats that a style, a paragraph or a run states itself; sizes and distances in points."""
+    run, par = node.first("rPr"), node.first("pPr")
+    of = lambda parent, tag: parent.first(tag) if parent is not None else None
+    fonts, spacing, indent, numbers = of(run, "rFonts"), of(par, "spacing"), of(par, "ind"), of(par, "numPr")
+    level = _number(of(par, "outlineLvl"), "val", 1)
+    number = lambda tag, default: (of(numbers, tag).get("val") if of(numbers, tag) is not None else None) or default
+    return {
+        "font_family": (fonts.get("ascii") or fonts.get("hAnsi")) if fonts is not None else None,
+        "font_size": _number(of(run, "sz"), "val", 2),
+        "bold": _on(run, "b") if of(run, "b") is not None else None,
+        "italic": _on(run, "i") if of(run, "i") is not None else None,
+        "outline_level": int(level) if level is not None else None,
+        "space_before": _number(spacing, "before", 20),
+        "space_after": _number(spacing, "after", 20),
+        "indent_left": _number(indent, "left", 20),
+        "indent_right": _number(indent, "right", 20),
+        "indent_first": _number(indent, "firstLine", 20),
+        "numbering": f"{number('numId', '')}:{number('ilvl', '0')}" if numbers is not None else None,
+    }
+
+
 class _Reader:
     def __init__(self, data: bytes, limits: Limits, filename: str):
         self.limits, self.filename = limits, filename
@@ -96,24 +120,13 @@ class _Reader:
 
     def styles(self) -> list[dict]:
         root, out = self.package.xml("word/styles.xml"), []
-        self.default_style, self.sizes = None, {}
+        self.default_style = None
         for s in root.elements("style") if root is not None else ():
             if s.get("type") not in ("paragraph", "character") or not s.get("styleId"):
                 continue
-            run, par = s.first("rPr"), s.first("pPr")
-            outline = par.at("outlineLvl") if par is not None else None
-            row = {
-                "style_id": s.get("styleId"),
-                "name": (s.first("name").get("val") if s.first("name") is not None else None) or s.get("styleId"),
-                "kind": s.get("type"),
-                "based_on": s.first("basedOn").get("val") if s.first("basedOn") is not None else None,
-                "font_size": _number(run.first("sz") if run is not None else None, "val", 2),
-                "bold": _on(run, "b") if run is not None and run.first("b") is not None else None,
-                "outline_level": int(_number(outline, "val", 1)) if _number(outline, "val", 1) is not None else None,
-                "space_before": _number(par.first("spacing") if par is not None else None, "before", 20),
-                "numbered": True if par is not None and par.first("numPr") is not None else None,
-            }
-            if s.get("type") == "paragraph" and s.get("default") == "1":
+            named = lambda tag: s.first(tag).get("val") if s.first(tag) is not None else None  # noqa: E731, B023
+            row = {"style_id": s.get("styleId"), "name": named("name"), "kind": s.get("type"), "based_on": named("basedOn"), **formats(s)}
+            if s.get("type") == "paragraph" and s.get("default") == "1" and self.default_style is None:
                 self.default_style = row["style_id"]
             out.append(row)
         return out
@@ -129,17 +142,20 @@ class _Reader:
             if c.local == "p":
                 near[id(c)] = (kinds[i - 1] if i else None) or (kinds[i + 1] if i + 1 < len(kinds) else None)
         out: list[dict] = []
+
+        def add(node: Element, style: str, kind: str, numbered: bool, nearby: str | None) -> None:
+            own = formats(node)
+            out.append({"style_id": style, "kind": kind, "text": _visible(node).strip(), "position": len(out), "bold": own["bold"], "space_before": own["space_before"], "numbered": numbered, "nearby": nearby, "font_size": own["font_size"]})
+
         for p in body.descendants("p"):
             par = p.first("pPr")
             style = par.first("pStyle").get("val") if par is not None and par.first("pStyle") is not None else self.default_style
-            numbered = par is not None and par.first("numPr") is not None
-            common = {"bold": None, "numbered": numbered, "nearby": near.get(id(p)), "font_size": None}
             if style:
-                out.append({"style_id": style, "kind": "paragraph", "text": _visible(p).strip(), "position": len(out), **common})
+                add(p, style, "paragraph", par is not None and par.first("numPr") is not None, near.get(id(p)))
             for r in p.descendants("r"):
                 named = r.at("rPr", "rStyle")
                 if named is not None and named.get("val"):
-                    out.append({"style_id": named.get("val"), "kind": "character", "text": _visible(r).strip(), "position": len(out), **common})
+                    add(r, named.get("val"), "character", False, None)
         return out
 
     # blocks
@@ -206,7 +222,8 @@ class _Reader:
         text = lambda value: {"type": "text", "text": value, **({"marks": marks} if marks else {})}
         for c in run.elements():
             if c.local in ("t", "delText"):
-                out.append(text(c.text()))
+                if c.text():
+                    out.append(text(c.text()))
             elif c.local == "tab":
                 out.append(text("\t"))
             elif c.local == "br":
@@ -325,32 +342,34 @@ class _Reader:
             return found.text().strip() if found is not None else None
 
         core = "docProps/core.xml"
-        many = lambda text: [x for x in (text or "").replace("\n", ";").split(";") if x.strip()]
         add("title", said(core, "title"), core, 1)
-        for name in many(said(core, "creator")):
+        for name in (said(core, "creator") or "").replace("\n", ";").split(";"):
             add("authors", name, core, 1)
         add("language", _language(said(core, "language")), core, 1)
         add("description", said(core, "description"), core, 1)
-        for subject in [*many(said(core, "subject")), *many((said(core, "keywords") or "").replace(",", ";"))]:
-            add("subjects", subject, core, 1)
-        add("created", said(core, "created"), core, 1)
-        add("modified", said(core, "modified"), core, 1)
+        add("subjects", said(core, "subject"), core, 1)
+        add("subjects", said(core, "keywords"), core, 1)
+        add("sourceCreatedAt", said(core, "created"), core, 1)
+        add("sourceModifiedAt", said(core, "modified"), core, 1)
         add("publisher", said("docProps/app.xml", "Company"), "docProps/app.xml", 2)
         custom = self.package.xml("docProps/custom.xml")
         for p in custom.elements("property") if custom is not None else ():
             field = CUSTOM_FIELDS.get("".join(c for c in (p.get("name") or "").lower() if "a" <= c <= "z"))
             if field:
-                add(field, p.text(), "docProps/custom.xml", 3)
-        paragraphs = [u for u in usages if u["kind"] == "paragraph"]
-        for u in paragraphs:
-            if u["style_id"].lower() in ("title", "subtitle", "author"):
-                add({"author": "authors"}.get(u["style_id"].lower(), u["style_id"].lower()), u["text"], "styles", 4, "high", "inferred")
-        add("title", next((u["text"] for u in paragraphs if u["text"]), None), "first-page", 5, "medium", "inferred")
-        base = posixpath.basename(self.filename)
+                add(field, p.text(), f"docProps/custom.xml:{p.get('name')}", 3)
+        for u in usages:
+            named = u["style_id"].lower()
+            if named in ("title", "subtitle"):
+                add(named, u["text"], f"{named.capitalize()} style", 4)
+            elif named == "author":
+                add("authors", u["text"], "Author style", 4, "high", "inferred")
+        add("title", next((u["text"] for u in usages if u["kind"] == "paragraph" and u["text"]), None), "first-page structure", 5, "low", "inferred")
+        base = posixpath.basename(self.filename.replace("\\", "/"))
         base = base[: -len(".docx")] if base.lower().endswith(".docx") else base
-        add("title", base, "file-name", 7, "low", "inferred")
-        slug = "-".join(filter(None, "".join(c if c.isascii() and c.isalnum() else " " for c in base.lower()).split()))
-        add("identifier", f"urn:vellum:{slug or 'document'}", "file-name", 7, "low", "default")
+        add("title", base, "filename", 7, "low", "inferred")
+        if base.strip():
+            slug = re.sub("^-|-$", "", re.sub("[^a-z0-9]+", "-", base.strip().lower()))
+            add("identifier", f"urn:vellum:{slug or 'document'}", "filename", 7, "low", "inferred")
         return out
 
     def read(self) -> dict:
@@ -396,12 +415,12 @@ def inline_text(nodes: list[dict]) -> str:
 def flatten(root: str, blocks: list[dict], above: str = "", depth: int = 0) -> Iterator[dict]:
     """Blocks in document order with paths that sort as the document does."""
     for i, b in enumerate(blocks):
-        path = f"{above}{i:05d}"
+        path = f"{above}{i:08d}"
         text = inline_text(b.get("children", [])) if "children" in b else b.get("text")
         yield {"root": root, "path": path, "depth": depth, "type": b["type"], "level": b.get("level"), "style_id": b.get("styleId"), "text": text}
         inner = [x["blocks"] for x in b.get("items", [])] + [c["blocks"] for r in b.get("rows", []) for c in r["cells"]] + ([b["blocks"]] if "blocks" in b else [])
         for k, part in enumerate(inner):
-            yield from flatten(root, part, f"{path}.{k:05d}.", depth + 1)
+            yield from flatten(root, part, f"{path}.{k:08d}.", depth + 1)
 
 
 def read_package(data: bytes, filename: str, limits: Limits = Limits()) -> dict:
@@ -422,7 +441,8 @@ def read_docx(spark: SparkSession, path: str, limits: Limits = Limits()) -> Data
 
 
 def parse_packages(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The same for a table (doc_id, path, content). Content without the magic number is refused before it goes to Python."""
+    """The same for a table (doc_id, path, content). Of content without the magic number, which is refused anyway, and of content
+    that is too large, only as much goes to Python as shows it."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -434,7 +454,9 @@ def parse_packages(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 row = {"doc_id": doc_id, "path": path, **read_package(content or b"", path or "", Limits(**asdict(limits)))}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    return files.select("doc_id", "path", "content").mapInArrow(read, SCHEMA)
+    content = F.col("content")
+    content = F.when(F.substring(content, 1, 4) != F.lit(MAGIC), F.substring(content, 1, 4)).when(F.octet_length(content) > limits.compressed, F.substring(content, 1, limits.compressed + 1)).otherwise(content)
+    return files.select("doc_id", "path", content.alias("content")).mapInArrow(read, SCHEMA)
 
 
 def relation(packages: DataFrame, name: str) -> DataFrame:

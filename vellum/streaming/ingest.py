@@ -1,4 +1,5 @@
-"""Streams of packages: files that arrive are read by the same stateless operators, exactly once by their checkpoint."""
+"""Streams of packages: files that arrive are read by the same stateless operators. Each file is in one batch, by the checkpoint; a
+batch that was under way when a stream failed is given to the sink again, with the same number."""
 
 from __future__ import annotations
 
@@ -19,5 +20,9 @@ def stream_packages(spark: SparkSession, path: str, files_at_once: int = 1000) -
 
 
 def sink(packages: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Run `write` on each batch of what has arrived, then stop; started anew with the same checkpoint, it goes on."""
+    """Run `write` on each batch of what has arrived, then stop; started anew with the same checkpoint, it goes on.
+
+    A batch may come twice, so `write` should replace what it wrote under the batch's number before, as a table does that is
+    overwritten partition by partition.
+    """
     return packages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
