@@ -67,18 +67,37 @@ def token(text: Column) -> Column:
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("unknown"))
 
 
+def _class(chars: list[str]) -> str:
+    """A regular expression's class of those characters, as ranges."""
+    ranges: list[list[int]] = []
+    for c in map(ord, chars):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+
+
 @functools.cache
-def _decomposed() -> str:
-    """Characters whose compatibility decomposition holds an ASCII letter or digit, with that decomposition, as JSON."""
+def _decomposed() -> tuple[str, str, str, str, dict[str, str]]:
+    """What compatibility decomposition makes letters and digits of, by kind: the class of characters that are one with marks after
+    it, characters that are one (with or without marks) and these, the class and the decomposition of all others."""
+    plain = lambda x: x.isascii() and x.isalnum()
     apart = {c: unicodedata.normalize("NFKD", c) for c in map(chr, (*range(0xA0, 0xD800), *range(0xF900, 0x1F252)))}
-    return json.dumps({c: x for c, x in apart.items() if x != c and any(y.isascii() and y.isalnum() for y in x)}, ensure_ascii=False)
+    apart = {c: x for c, x in apart.items() if any(map(plain, x)) and c != x}
+    marked = [c for c, x in apart.items() if len(x) > 1 and plain(x[0]) and not any(map(plain, x[1:]))]
+    single = [c for c, x in apart.items() if len(x) == 1]
+    others = {c: x for c, x in apart.items() if c not in set(marked) | set(single)}
+    return _class(marked), "".join([*marked, *single]), "".join(apart[c][0] for c in [*marked, *single]), _class(list(others)), others
 
 
 def slug(text: Column) -> Column:
     """An anchor of ASCII letters and digits of the compatibility decomposition with `-` between; `section` if none is left."""
-    parts = F.from_json(F.lit(_decomposed()), "map<string,string>")
-    letters = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(parts, c), c))
-    plain = F.when(text.rlike("[^\\x00-\\x9f]"), F.array_join(letters, "")).otherwise(text)
+    marked, chars, letters, several, parts = _decomposed()
+    table = F.from_json(F.lit(json.dumps(parts, ensure_ascii=False)), "map<string,string>")
+    rare = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    plain = F.when(text.rlike(f"(?=[^\\x00-\\x7f]){several}"), rare).otherwise(text)
+    plain = F.translate(F.regexp_replace(plain, f"(?=[^\\x00-\\x7f])({marked})", "$1-"), chars, letters)
     cleaned = F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-|-$", "")
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("section"))
 
