@@ -150,3 +150,18 @@ def drawn_cover(title: Column, authors: Column, light: Column) -> Column:
         return pd.Series([cover_svg(t or "", list(a), **settings[bool(x)]) for t, a, x in zip(title, authors, light, strict=True)])
 
     return F.pandas_udf(drawn, "string")(title, authors, light)
+
+
+def cleaned_svg(svg: Column) -> Column:
+    """clean_svg() of each text; null where it is no SVG."""
+
+    def clean(svg: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return clean_svg(text)
+            except (TypeError, ValueError):
+                return None
+
+        return svg.map(one)
+
+    return F.pandas_udf(clean, "string")(svg)

@@ -198,3 +198,12 @@ def omml_to_struct(omml: Column) -> Column:
         return made(omml)
 
     return F.pandas_udf(struct, RESULT)(omml)
+
+
+def shown(omml: Column, mode: str) -> Column:
+    """Markup of formulas in a mode; null is an equation that is missing."""
+
+    def markup(omml: pd.Series) -> pd.Series:
+        return pd.Series([render({"source": {"format": "omml", "value": x}} if x is not None else None, mode, False) for x in omml])
+
+    return F.pandas_udf(markup, "string")(omml)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -199,3 +201,29 @@ def publication_issues(title: Column, identifier: Column, language: Column) -> C
     """Names of the fields that an EPUB requires and that are blank or not well formed, in that order."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     return F.array_compact(F.array(F.when(blank(title), "title"), F.when(blank(identifier), "identifier"), F.when(~F.coalesce(language, F.lit("")).rlike(LANGUAGE_TAG), "language")))
+
+
+# The entities of XML.
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def decoded(text: str) -> str:
+    """A text with its named and numeric entities decoded, once; what is no entity or no character stays."""
+
+    def char(m: re.Match) -> str:
+        name = m[1].lower()
+        if name in NAMED:
+            return NAMED[name]
+        code = int(name[2:], 16) if name[1] == "x" else int(name[1:])
+        return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+
+    return re.sub(r"&(#x[0-9a-f]{1,8}|#[0-9]{1,9}|amp|lt|gt|quot|apos);", char, text, flags=re.IGNORECASE)
+
+
+def decode_entities(text: Column) -> Column:
+    """decoded() in Arrow batches; null stays null."""
+
+    def decode(text: pd.Series) -> pd.Series:
+        return text.map(decoded, na_action="ignore")
+
+    return F.pandas_udf(decode, "string")(text)

@@ -14,7 +14,6 @@ PRESET = "vellum/style-preset"
 MAPPINGS = ("body", "title", "subtitle", "author", "heading1", "heading2", "heading3", "heading4", "heading5", "heading6", "caption", "blockquote", "code", "footnote", "ignore")
 ERRORS = ("cancelled", "invalid-input", "unsupported-format", "encrypted-document", "resource-limit", "invalid-model", "conversion-failed")
 RECORDS, LISTS = ("metadata", "assets", "equations", "notes"), ("blocks", "styles", "warnings")
-EXTENSIONS = {("epub", "single"): ".epub", ("html", "single"): ".html", ("html", "standalone"): ".html", ("html", "fragment"): ".html", ("markdown", "single"): ".md"}
 
 
 def to_json(value) -> str:
@@ -119,5 +118,20 @@ def preset_mappings(text: Column) -> Column:
     return F.when((p["schema"] == PRESET) & (p["version"] == VERSION) & known, p["mappings"])
 
 
-def extension(format: str, mode: str) -> str:
-    return ".zip" if mode == "zip" and format != "epub" else EXTENSIONS[format, "single" if format == "epub" else mode]
+#: What a conversion does where its settings say nothing.
+DEFAULTS = {"format": "html", "html_mode": "standalone", "markdown_mode": "single", "formula": "mathml", "assets": "embedded", "cover": True}
+
+
+def output_settings(format: Column, html_mode: Column, markdown_mode: Column) -> Column:
+    """(format, mode) that settings choose, with DEFAULTS where they are null."""
+    of = F.coalesce(format, F.lit(DEFAULTS["format"]))
+    mode = F.when(of == "html", F.coalesce(html_mode, F.lit(DEFAULTS["html_mode"]))).when(of == "markdown", F.coalesce(markdown_mode, F.lit(DEFAULTS["markdown_mode"]))).otherwise("epub")
+    return F.struct(of.alias("format"), mode.alias("mode"))
+
+
+def output_extension(format: Column, mode: Column) -> Column:
+    return F.when(format == "epub", ".epub").when(mode == "zip", ".zip").when(format == "html", ".html").otherwise(".md")
+
+
+def media_type(format: Column, mode: Column) -> Column:
+    return F.when(mode == "zip", "application/zip").when(format == "epub", "application/epub+zip").when(format == "html", "text/html;charset=utf-8").otherwise("text/markdown;charset=utf-8")

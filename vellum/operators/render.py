@@ -310,7 +310,8 @@ class Markdown:
         if kind == "blockquote":
             return "\n".join(f"> {x}" if x else ">" for x in self.blocks(b["blocks"]).split("\n"))
         if kind == "list":
-            return "\n".join(self.item(i, f"{(b.get('start') or 1) + k}. " if b.get("ordered") else "- ") for k, i in enumerate(b["items"]))
+            first = 1 if b.get("start") is None else b["start"]
+            return "\n".join(self.item(i, f"{first + k}. " if b.get("ordered") else "- ") for k, i in enumerate(b["items"]))
         if kind == "table":
             return self.table(b)
         if kind == "codeBlock":

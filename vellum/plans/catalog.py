@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, documents, packages, scalar, structure
+from . import analysis, content, documents, packages, scalar, structure
 
-QUERIES = scalar.QUERIES | structure.QUERIES | analysis.QUERIES | documents.QUERIES | packages.QUERIES
-SQL = scalar.SQL | structure.SQL | analysis.SQL | documents.SQL | packages.SQL
+QUERIES = scalar.QUERIES | structure.QUERIES | analysis.QUERIES | documents.QUERIES | packages.QUERIES | content.QUERIES
+SQL = scalar.SQL | structure.SQL | analysis.SQL | documents.SQL | packages.SQL | content.SQL
