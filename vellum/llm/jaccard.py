@@ -28,7 +28,7 @@ from .graph import components
 #: Documents of a block have about so many words together.
 BLOCK_TOKENS = 1_500_000
 #: N-grams and sets that one part of a group holds; groups of candidates with more are searched part by part.
-CELL, CELL_SETS = 200_000, 400
+CELL, CELL_SETS = 200_000, 200
 #: DivideSkip leaves about T / (MU log2(longest list) + 1) lists to be probed.
 MU = 0.0085
 #: Long lists are probed so many at once, with binary search in one array.
