@@ -182,6 +182,11 @@ def test_rules_are_filed_under_whole_pieces_of_any_segment():
     assert urlfilter.Rule("block", "a.*", "/x*y/z/").tokens() == {".a", "/z"}
 
 
+def test_very_long_urls_are_read_whole(spark):
+    url = "http://u.bad.com/" + "a/" * 200_000 + "es/x1y/"
+    assert [r[3] for r in judged(spark, [url, url + "?q"], [urlfilter.Rule("block", "bad.com", "*/es/x*y/")])] == ["block", "block"]
+
+
 def test_many_rules_in_several_indexes(spark, monkeypatch):
     urls = ["http://example.org/es/a", "http://u.bad.com/q/x1y/", "http://x.org/"]
     one = judged(spark, urls)
@@ -317,3 +322,28 @@ def test_the_pipeline_on_empty_tables(spark, tmp_path):
 def test_mixing_of_very_long_texts_and_clashing_names(spark):
     rows = mixed(spark, ["w " * 2_000_000, "w"], ["a", "b"])
     assert {r["size"] for r in rows} == {2_000_000, 1}
+
+
+def test_a_cluster_must_name_its_shared_folder(tmp_path):
+    from types import SimpleNamespace
+
+    from vellum.llm.common import shared_dir
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d), set=lambda k, v: conf.update({k.replace(".", "_"): v})), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("spark://x", spark_checkpoint_dir="hdfs:///a/")) == "hdfs:///a"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(session("spark://x"))
+    assert shared_dir(session("local[2]")).startswith("file:///")
+
+
+def test_tables_live_in_the_applications_part_of_the_folder(spark):
+    from vellum.llm.common import drop_table, new_path, write_table
+
+    path = new_path(spark, "t")
+    assert spark.sparkContext.applicationId in path
+    assert write_table(spark.range(3), path).count() == 3
+    drop_table(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

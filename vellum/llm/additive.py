@@ -26,8 +26,9 @@ RERANK, MARGIN, RECALL = 256, 0.02, 0.97
 #: measured with so many queries among so many others, which the codebooks have not seen.
 SAMPLE, TRIED, TRIED_QUERIES = 12_000, 8192, 200
 BOOKS, WORDS, BEAM = 16, 256, 4
-#: Vectors and queries that one group scores against each other.
-BLOCK, QUERIES = 8192, 4096
+#: Vectors and queries that one group scores against each other, at most, and the numbers that they hold together; queries whose
+#: tables are made at once.
+BLOCK, QUERIES, NUMBERS, TABLES = 16_384, 16_384, 2_000_000, 256
 FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
@@ -190,7 +191,8 @@ def _scan(books: Codebooks, k: int, share: float):
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             q = _matrix(queries.column("query"))
             exactly = max(RERANK, int(np.ceil(share * len(ids))))
-            for table, row, name, query in zip(tables(books, q), queries.column("query_row").to_pylist(), queries.column("query_id").to_pylist(), levelled(q), strict=True):
+            made = (t for lo in range(0, len(q), TABLES) for t in tables(books, q[lo : lo + TABLES]))
+            for table, row, name, query in zip(made, queries.column("query_row").to_pylist(), queries.column("query_id").to_pylist(), levelled(q), strict=True):
                 score = code_scores(books, codes, norm, table)
                 score[own == row] = -np.inf
                 least = np.partition(score, len(ids) - exactly)[len(ids) - exactly] - MARGIN if len(ids) > exactly else -np.inf
@@ -226,11 +228,15 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
 
 def _of_length(rows: DataFrame, is_query, k: int) -> DataFrame:
+    """search() among vectors of one length."""
     index, books, share = build_index(rows, k)
     index = materialise(index, "additive-index")
     n = index.count()
     queries = index.filter(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    blocks, parts = math.ceil(n / BLOCK), max(1, math.ceil(queries.count() / QUERIES))
+    d = index.select(F.size("embedding")).first()[0]
+    most = lambda rows: max(1, min(rows, NUMBERS // d))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks, parts = max(math.ceil(n / most(BLOCK)), min(2 * cores, math.ceil(n / most(2048)))), max(1, math.ceil(queries.count() / most(QUERIES)))
     deal = lambda c, m: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(m)).cast("int")
     left = index.select("*", deal("row", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     right = queries.select("*", deal("query_row", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
