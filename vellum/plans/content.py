@@ -275,7 +275,7 @@ SQL = {
     "package_content": f"SELECT p_partkey AS doc_id, NULL::VARCHAR AS error, {_pick([p[1] for p in PARTS])}::INT AS images, {_pick([p[2] for p in PARTS])} AS warned FROM part",
     "style_formats": """SELECT p_partkey AS doc_id, 'Mine' AS style_id, 'Other' AS font_family, (p_partkey % 90 + 2) / 2::DOUBLE AS font_size, true AS bold, false AS italic, (p_partkey % 12)::INT AS outline_level, p_partkey / 20::DOUBLE AS space_before, 2.0::DOUBLE AS space_after,
       p_partkey::DOUBLE AS indent_left, 3.0::DOUBLE AS indent_right, 1.0::DOUBLE AS indent_first, '3:0' AS numbering, CASE WHEN p_partkey % 12 <= 5 THEN 'heading' || (p_partkey % 12 + 1) WHEN p_partkey % 90 >= 62 THEN 'title' WHEN p_partkey > 0 THEN 'heading1' ELSE 'body' END AS mapping FROM part""",
-    "rich_sheet": "SELECT doc_id, 8 AS styles, 2 AS characters, 'Kop 1|Normal|true' AS kop, 1 AS sized FROM documents",
+    "rich_sheet": "SELECT doc_id, 8::BIGINT AS styles, 2::BIGINT AS characters, 'Kop 1|Normal|true' AS kop, 1::BIGINT AS sized FROM documents",
     "rich_usages": """WITH u AS (SELECT doc_id, unnest([{'p': 0, 's': 'Title', 'k': 'paragraph', 't': 'Styled ' || doc_id, 'n': NULL}, {'p': 1, 's': 'Kop1', 'k': 'paragraph', 't': 'Report ' || doc_id, 'n': NULL}, {'p': 3, 's': 'Strong', 'k': 'character', 't': 'st', 'n': NULL},
         {'p': 10, 's': 'Same', 'k': 'paragraph', 't': 'Beside ' || doc_id || ' run', 'n': 'table'}, {'p': 11, 's': 'Same', 'k': 'character', 't': 'run', 'n': NULL}, {'p': 12, 's': 'Level', 'k': 'paragraph', 't': 'Below', 'n': NULL}]) AS u FROM documents)
       SELECT doc_id, u.p - 1 + doc_id % 2 AS position, u.s AS style_id, u.k AS kind, u.t AS text, u.n AS nearby FROM u WHERE doc_id % 2 = 1 OR u.s <> 'Title'""",
@@ -290,7 +290,7 @@ SQL = {
       SELECT *, CASE WHEN format = 'epub' THEN '.epub' WHEN mode = 'zip' THEN '.zip' WHEN format = 'html' THEN '.html' ELSE '.md' END AS extension,
         CASE WHEN mode = 'zip' THEN 'application/zip' WHEN format = 'epub' THEN 'application/epub+zip' WHEN format = 'html' THEN 'text/html;charset=utf-8' ELSE 'text/markdown;charset=utf-8' END AS media_type FROM t""",
     "entity_text": """SELECT p_partkey, '<' || p_partkey || '> &lt; ABC "'' &nope; &#xD83D; & ' || p_name AS text FROM part""",
-    "stream_files": """SELECT s_suppkey || '.docx' AS name, NULL::VARCHAR AS error, 19 + s_suppkey % 2 AS blocks FROM supplier UNION ALL SELECT 'n' || n_nationkey || '.DOCX', 'unsupported-format', 0 FROM nation""",
+    "stream_files": """SELECT s_suppkey || '.docx' AS name, NULL::VARCHAR AS error, (19 + s_suppkey % 2)::INT AS blocks FROM supplier UNION ALL SELECT 'n' || n_nationkey || '.DOCX', 'unsupported-format', 0 FROM nation""",
     "job_messages": """SELECT i - 1 AS ord, ['a', 'a', 'a', 'b', 'b', 'c', 'c', 'd', 'd'][i] AS operation, ['progress', 'progress', 'analysed', 'progress', 'output', 'progress', 'error', 'progress', 'error'][i] AS type,
       ['inspect', 'read', NULL, 'write', 'application/zip', 'write', 'conversion-failed', 'inspect', 'cancelled'][i] AS about, CASE WHEN i = 3 THEN (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) END AS packages, CASE WHEN i = 3 THEN (SELECT count(*) FROM nation) END AS refused FROM range(1, 10) AS r(i)""",
 }

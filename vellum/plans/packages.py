@@ -263,8 +263,8 @@ SQL = {
       || chr(10) || chr(10) || '[^footnote-1]: Note ' || doc_id || '.' || chr(10) AS markdown FROM lines GROUP BY doc_id""",
     "rich_warnings": """SELECT doc_id, i - 1 AS ord, ['active-content-disabled', 'decorative-furniture-omitted', 'comments-omitted', 'tracked-deletion-omitted', 'formula-conversion-incomplete', 'markdown-unsupported-style-mark', 'markdown-table-span'][i] AS code,
       ['warning', 'info', 'info', 'info', 'warning', 'info', 'warning'][i] AS severity FROM documents, range(1, 8) AS r(i)""",
-    "rich_zip_entries": """SELECT doc_id, 'markdown' AS format, i AS position, ['document.md', 'images/image-001.png'][i + 1] AS name, CASE WHEN i = 1 THEN 3 + length(doc_id::VARCHAR) END AS image_bytes FROM documents, range(2) AS r(i)
-      UNION ALL SELECT doc_id, 'html', i, ['document.html', 'images/image-001.png', 'styles.css'][i + 1], CASE WHEN i = 1 THEN 3 + length(doc_id::VARCHAR) END FROM documents, range(3) AS r(i)""",
+    "rich_zip_entries": """SELECT doc_id, 'markdown' AS format, i::INT AS position, ['document.md', 'images/image-001.png'][i + 1] AS name, (CASE WHEN i = 1 THEN 3 + length(doc_id::VARCHAR) END)::INT AS image_bytes FROM documents, range(2) AS r(i)
+      UNION ALL SELECT doc_id, 'html', i::INT, ['document.html', 'images/image-001.png', 'styles.css'][i + 1], (CASE WHEN i = 1 THEN 3 + length(doc_id::VARCHAR) END)::INT FROM documents, range(3) AS r(i)""",
     "rich_epub": f"""WITH {_LINES}, bodies AS (SELECT doc_id, {_CHAPTER} AS whole FROM lines GROUP BY doc_id),
       d AS (SELECT *, {_TITLE} AS title, CASE WHEN doc_id % 3 = 0 THEN 'de-DE' ELSE 'en' END AS lang FROM bodies)
       SELECT doc_id, 0 AS position, 'mimetype' AS name, 'application/epub+zip' AS text FROM d

@@ -92,16 +92,42 @@ def passive_svg(data: bytes) -> bool:
     return root.local == "svg" and passive(root)
 
 
+class Parts:
+    """The parts of an archive by name; one is inflated when it is first asked for."""
+
+    def __init__(self, archive: zipfile.ZipFile):
+        self.archive = archive
+        self.held: dict[str, bytes | None] = {i.filename: None for i in archive.infolist() if not i.is_dir()}
+
+    def __iter__(self):
+        return iter(self.held)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.held
+
+    def drop(self, name: str) -> None:
+        del self.held[name]
+
+    def get(self, name: str) -> bytes | None:
+        if name in self.held and self.held[name] is None:
+            try:
+                self.held[name] = self.archive.read(name)
+            except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, RuntimeError):
+                raise PackageError("invalid-input", "The package can't be unpacked.") from None
+        return self.held.get(name)
+
+
 @dataclass
 class Package:
-    parts: dict[str, bytes]
+    parts: Parts
     quarantined: bool
 
     def xml(self, name: str) -> Element | None:
-        if name not in self.parts:
+        data = self.parts.get(name)
+        if data is None:
             return None
         try:
-            return parse(self.parts[name])
+            return parse(data)
         except XmlError:
             raise PackageError("invalid-input", "A part of the package is not well formed.") from None
 
@@ -115,26 +141,27 @@ def _media_type(name: str, types: Element) -> str | None:
 
 
 def open_package(data: bytes, limits: Limits) -> Package:
-    """The parts of a package, without those that could run."""
+    """The parts of a package, without those that could run. Only parts that are read are inflated."""
     names = inspect(data, limits)
     if {"EncryptedPackage", "EncryptionInfo"} & set(names):
         raise PackageError("encrypted-document", "The package is encrypted.")
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            parts = {i.filename: z.read(i) for i in z.infolist() if not i.is_dir()}
-    except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, RuntimeError):
+        parts = Parts(zipfile.ZipFile(io.BytesIO(data)))
+    except (zipfile.BadZipFile, NotImplementedError, EOFError, RuntimeError):
         raise PackageError("invalid-input", "The package can't be unpacked.") from None
-    safe = {n: d for n, d in parts.items() if not AUTOMATION.fullmatch(n)}
-    package = Package(safe, len(safe) < len(parts))
+    package = Package(parts, False)
+    for name in [n for n in parts if AUTOMATION.fullmatch(n)]:
+        parts.drop(name)
+        package.quarantined = True
     types = package.xml("[Content_Types].xml")
     if types is None:
         raise PackageError("invalid-input", "The package has no content types.")
     if _media_type("word/document.xml", types) not in (MAIN, MACRO):
         raise PackageError("unsupported-format", "The package holds no text document.")
-    for name in list(package.parts):
+    for name in list(parts):
         media = (_media_type(name, types) or "").lower()
         active = media in ("text/html", "application/xhtml+xml") or name.lower().endswith((".html", ".xhtml", ".htm"))
-        if active or (media == "image/svg+xml" or name.lower().endswith(".svg")) and not passive_svg(package.parts[name]):
-            del package.parts[name]
+        if active or (media == "image/svg+xml" or name.lower().endswith(".svg")) and not passive_svg(parts.get(name) or b""):
+            parts.drop(name)
             package.quarantined = True
     return package
