@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from html import unescape
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.sources.xml import Element, XmlError, parse
+from vellum.functions.text import decoded
+from vellum.sources.xml import Element, XmlError, parse_lenient
 
 ROWS = {"oMath", "oMathPara", "e", "num", "den", "deg", "sub", "sup"}
 # Characters that make an operator.
@@ -143,13 +143,13 @@ def unsupported(tree) -> list[str]:
 
 def _parsed(omml: str):
     try:
-        return normal(parse(omml))
+        return normal(parse_lenient(omml))
     except XmlError:
         return ("bad", "malformed-omml", _without_tags(omml))
 
 
 def _without_tags(markup: str) -> str:
-    return " ".join(unescape(re.sub("<[^>]*>", " ", markup)).split())
+    return " ".join(decoded(re.sub("<[^>]*>", " ", markup)).split())
 
 
 def _fallback(tree) -> str:

@@ -153,7 +153,7 @@ def body_of(html: Column) -> Column:
 
 def base_name(path: Column) -> Column:
     """Last segment of a path of either slash, without its last extension; `document` if nothing is left."""
-    name = F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"\.[^.]*$", "")
+    name = F.regexp_replace(F.trim(F.element_at(F.split(path, r"[/\\]"), -1)), r"\.[^.]+$", "")
     return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("document"))
 
 
@@ -181,7 +181,7 @@ def math_kind(text: Column) -> Column:
 
 def title_in_name(title: Column, name: Column, share: float = 0.6) -> Column:
     """Whether a name already says the title: of two or more words of three letters or digits, that share is in it."""
-    words = F.regexp_extract_all(F.lower(title), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))
     held = F.filter(words, lambda w: F.contains(F.lower(name), w))
     return (F.size(words) >= 2) & (F.size(held) >= F.size(words) * share)
 

@@ -11,7 +11,7 @@ LCID_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in T.LCIDS.items())
 PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\n\r\f\x0B]+', ' ', 'g'))"""
 HREFS = """(SELECT page_id, unnest(regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1), 1) - 1 AS ord FROM pages)"""
-BASE = r"coalesce(nullif(trim(regexp_replace(list_extract(string_split_regex({}, '[/\\]'), -1), '\.[^.]*$', '')), ''), 'document')"
+BASE = r"coalesce(nullif(trim(regexp_replace(trim(list_extract(string_split_regex({}, '[/\\]'), -1)), '\.[^.]+$', '')), ''), 'document')"
 PATH = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/$', '')"
 
 
@@ -117,7 +117,7 @@ QUERIES = {
 _IMAGES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.IMAGE_TYPES.items()) + "}"
 _ALL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (T.IMAGE_TYPES | T.FONT_TYPES).items()) + "}"
 _KINDS = "[" + ", ".join(f"'{k}'" for k in [*T.IMAGE_TYPES, *T.FONT_TYPES, "image/svg+xml", "text/html", "application/pdf"]) + "]"
-_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]{{3,}}')"
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]{{3,}}')"
 _NAMED = "len({w}) >= 2 AND len(list_filter({w}, lambda x: contains(lower({n}), x))) >= len({w}) * 0.6"
 _TITLE = "regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"
 

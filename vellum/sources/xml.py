@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
+from vellum.functions.text import decoded
+
 
 class XmlError(ValueError):
     pass
@@ -80,3 +83,31 @@ def parse(data: bytes | str) -> Element:
     except expat.ExpatError as e:
         raise XmlError(str(e)) from None
     return top.elements()[0]
+
+
+_TOKEN = re.compile(r"<(?P<tag>[^>]+)>|(?P<text>[^<]+)")
+
+
+def parse_lenient(text: str) -> Element:
+    """The first element of a text whose tags match each other. Attributes are not read, entities that are none stay, and what
+    comes beside that element is ignored; document types and tags that don't match are errors."""
+    if re.search("<!DOCTYPE|<!ENTITY", text, re.IGNORECASE):
+        raise XmlError("a document type is not allowed")
+    open_ = [Element("", {})]
+    for m in _TOKEN.finditer(text):
+        tag = (m["tag"] or "").strip()
+        if m["text"]:
+            open_[-1].children.append(decoded(m["text"]))
+        elif not tag or tag[0] in "?!":
+            continue
+        elif tag[0] == "/":
+            if len(open_) == 1 or open_.pop().local != tag[1:].strip().rpartition(":")[2]:
+                raise XmlError("the tags don't match")
+        else:
+            node = Element(tag.rstrip("/").split()[0] if tag.rstrip("/").split() else "", {})
+            open_[-1].children.append(node)
+            if not tag.endswith("/"):
+                open_.append(node)
+    if len(open_) > 1 or not open_[0].elements():
+        raise XmlError("an element is not closed, or there is none")
+    return open_[0].elements()[0]
