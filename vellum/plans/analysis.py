@@ -182,13 +182,14 @@ def warnings_merged(spark, sf_dir):
 
 
 def edited_authors(spark, sf_dir):
-    """Customers of a nation as its authors, one renamed, one removed and one added."""
+    """Customers in groups of forty as authors of a document, one renamed, one removed and one added."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    people = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page_id"), (F.row_number().over(order) - 1).alias("ord"), F.col("c_name").alias("name"))
-    nations = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page_id"), "n_name")
-    edits = nations.select("page_id", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), n.alias("name")) for i, n in ((0, F.concat(F.lit(" Prof. "), "n_name")), (1, F.lit(" ")), (100000, F.lit("Anon")))])).alias("e"))
+    customers = _read(spark, sf_dir, "customer").withColumn("page_id", F.floor(F.col("c_custkey") / 40))
+    order = Window.partitionBy("page_id").orderBy("c_custkey")
+    people = customers.select("page_id", (F.row_number().over(order) - 1).alias("ord"), F.col("c_name").alias("name"))
+    changes = ((0, F.concat(F.lit(" Prof. "), F.col("page_id").cast("string"))), (1, F.lit(" ")), (100000, F.lit("Anon")))
+    edits = customers.select("page_id").distinct().select("page_id", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), n.alias("name")) for i, n in changes])).alias("e"))
     found = M.edit_people(people, edits.select("page_id", "e.*"))
     return found.select("page_id", F.col("ord").cast("long").alias("ord"), "name")
 
@@ -264,8 +265,8 @@ SQL = {
     "warning_route": f"""WITH {_WARN} SELECT doc_id, CASE code WHEN 'style-unknown' THEN 'styles' WHEN 'long-line' THEN 'none' ELSE 'formula' END AS part, count(*) AS warnings FROM warned GROUP BY ALL""",
     "warning_style_names": f"WITH {_WARN} SELECT doc_id, ord::BIGINT AS ord, CASE WHEN style_id = 'shout' AND doc_id % 2 = 0 THEN 'Loud Lines' ELSE style_id END AS style_name FROM warned",
     "warnings_merged": f"WITH {_WARN} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY code <> 'long-line', ord) - 1 AS ord, code, message FROM warned",
-    "edited_authors": """WITH p AS (SELECT c_nationkey AS page_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ord, c_name AS name FROM customer),
-      e AS (SELECT n_nationkey AS page_id, 0 AS ord, 'Prof. ' || n_name AS edit FROM nation UNION ALL SELECT n_nationkey, 1, '' FROM nation UNION ALL SELECT n_nationkey, 100000, 'Anon' FROM nation),
+    "edited_authors": """WITH p AS (SELECT c_custkey // 40 AS page_id, row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) - 1 AS ord, c_name AS name FROM customer),
+      d AS (SELECT DISTINCT page_id FROM p), e AS (SELECT page_id, 0 AS ord, 'Prof. ' || page_id AS edit FROM d UNION ALL SELECT page_id, 1, '' FROM d UNION ALL SELECT page_id, 100000, 'Anon' FROM d),
       b AS (SELECT coalesce(p.page_id, e.page_id) AS page_id, coalesce(p.ord, e.ord) AS ord, coalesce(edit, name) AS name FROM p FULL JOIN e ON p.page_id = e.page_id AND p.ord = e.ord)
       SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS ord, name FROM b WHERE name <> ''""",
     "validate_model": """SELECT * FROM (
