@@ -132,6 +132,15 @@ def test_language_model_of_nothing(spark):
     assert all(r["train_tokens"] == 0 and r["score"] == pytest.approx(r["base_score"]) for r in scored(spark, only_held))
 
 
+def test_very_long_texts_are_scored_whole_and_repeated_rows_alike(spark):
+    rng = random.Random(13)
+    long = " ".join(rng.choice(TONGUES["de"]) for _ in range(150_000))
+    rows = [r[:5] for r in texts(80, 14)] + [(700, long, "", "", ""), (700, long, "", "", ""), (701, "the of", "", "", ""), (708, "the of", "", "", "")]
+    found = [r for r in scored(spark, rows) if r["doc_id"] >= 700]
+    assert sorted(r["n_tokens"] for r in found) == [3, 3, 150_001, 150_001]
+    assert len({r["score"] for r in found}) == 2 and all(math.isfinite(r["score"]) for r in found)
+
+
 def test_blocks_do_not_change_the_counts(spark, monkeypatch):
     rows = [r[:5] for r in texts(120, 4)]
     one = {r["doc_id"]: r["base_score"] for r in scored(spark, rows)}

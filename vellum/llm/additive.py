@@ -23,8 +23,8 @@ from .common import materialise
 #: vectors however many they are.
 RERANK, MARGIN, RECALL = 256, 0.02, 0.97
 #: The codebooks are fitted on so many vectors at most, those with the smallest hashes of their ids; the share to score exactly is
-#: measured with so many queries among so many others, which the codebooks have not seen.
-SAMPLE, TRIED, TRIED_QUERIES = 12_000, 8192, 200
+#: measured with so many queries among so many others, which the codebooks have not seen. All of them hold so many numbers at most.
+SAMPLE, TRIED, TRIED_QUERIES, SAMPLED_NUMBERS = 12_000, 8192, 200, 20_000_000
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors and queries that one group scores against each other, at most, and the numbers that they hold together; queries whose
 #: tables are made at once.
@@ -155,13 +155,14 @@ def needed_share(books: Codebooks, x: np.ndarray, k: int, recall: float) -> floa
     return float(np.quantile(depth, recall, method="higher")) / len(x)
 
 
-def build_index(rows: DataFrame, k: int) -> tuple[DataFrame, Codebooks, float]:
+def build_index(rows: DataFrame, d: int, k: int) -> tuple[DataFrame, Codebooks, float]:
     """Every row with its code and the norm of what its code stands for; the codebooks; the share to score exactly."""
     salted = F.xxhash64("vec_id", "embedding")
-    cut = rows.select(salted.alias("h")).orderBy("h").limit(SAMPLE + TRIED).agg(F.max("h")).first()[0]
-    sample = rows.filter(salted <= F.lit(cut)).select(salted.alias("h"), "embedding").orderBy("h").limit(SAMPLE + TRIED).toArrow()
+    most = max(2, min(SAMPLE + TRIED, SAMPLED_NUMBERS // d))
+    cut = rows.select(salted.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    sample = rows.filter(salted <= F.lit(cut)).select(salted.alias("h"), "embedding").orderBy("h").limit(most).toArrow()
     x = _matrix(sample.column("embedding"))
-    fitted = min(SAMPLE, max(1, len(x) * 3 // 4))
+    fitted = max(1, len(x) * SAMPLE // (SAMPLE + TRIED))
     books = fit(unit(x[:fitted]))
     share = needed_share(books, x[fitted:], k, RECALL)
     kind = rows.schema["embedding"].dataType.simpleString()
@@ -223,17 +224,16 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     rows = usable(vectors)
     out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for d in sorted(r["d"] for r in rows.select(F.size("embedding").alias("d")).distinct().collect()):
-        out = out.unionByName(_of_length(rows.filter(F.size("embedding") == d), is_query, k))
+        out = out.unionByName(_of_length(rows.filter(F.size("embedding") == d), d, is_query, k))
     return out
 
 
-def _of_length(rows: DataFrame, is_query, k: int) -> DataFrame:
+def _of_length(rows: DataFrame, d: int, is_query, k: int) -> DataFrame:
     """search() among vectors of one length."""
-    index, books, share = build_index(rows, k)
+    index, books, share = build_index(rows, d, k)
     index = materialise(index, "additive-index")
     n = index.count()
     queries = index.filter(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    d = index.select(F.size("embedding")).first()[0]
     most = lambda rows: max(1, min(rows, NUMBERS // d))
     cores = rows.sparkSession.sparkContext.defaultParallelism
     blocks, parts = max(math.ceil(n / most(BLOCK)), min(2 * cores, math.ceil(n / most(2048)))), max(1, math.ceil(queries.count() / most(QUERIES)))
