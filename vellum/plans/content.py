@@ -76,22 +76,26 @@ def rich_usages(spark, sf_dir):
     return _number(rows.select("doc_id", "position", "style_id", "kind", "text", "nearby"))
 
 
-#: Paragraphs by level and kind (o: numbered, u: bullets, -: no list), and the lists that they make.
+#: Paragraphs by level and kind (o: numbered at level 0, d: at all levels, u: bullets, n: without a number, -: no list), and the
+#: lists that they make.
 LISTS = (
     ("0o 0o 0u", "<ol><li>{p}</li><li>{p}</li></ol><ul><li>{p}</li></ul>"),
     ("0o 1u 2u 0o", "<ol><li>{p}<ul><li>{p}<ul><li>{p}</li></ul></li></ul></li><li>{p}</li></ol>"),
     ("0u - 0u", "<ul><li>{p}</li></ul>{p}<ul><li>{p}</li></ul>"),
     ("1u 0u", "<ul><li><ul><li>{p}</li></ul></li><li>{p}</li></ul>"),
+    ("0o 1u 1d 1d 0o 0d", "<ol><li>{p}<ul><li>{p}</li></ul><ol><li>{p}</li><li>{p}</li></ol></li><li>{p}</li><li>{p}</li></ol>"),
+    ("0u 0n 2d", "<ul><li>{p}</li></ul>{p}<ul><li><ul><li><ol><li>{p}</li></ol></li></ul></li></ul>"),
     ("0o 1u 1u - 1u", "<ol><li>{p}<ul><li>{p}</li><li>{p}</li></ul></li></ol>{p}<ul><li><ul><li>{p}</li></ul></li></ul>"),
 )
 
 
 def _with_lists(number: int, text: str) -> bytes:
-    bullets = '<w:abstractNum w:abstractNumId="9"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum>'
-    numbering = NUMBERING.replace("<w:num ", f'{bullets}<w:num w:numId="2"><w:abstractNumId w:val="9"/></w:num><w:num ', 1)
-    body = ""
+    more = '<w:abstractNum w:abstractNumId="9"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum>'
+    more += '<w:abstractNum w:abstractNumId="8">' + "".join(f'<w:lvl w:ilvl="{k}"><w:numFmt w:val="lowerRoman"/></w:lvl>' for k in range(3)) + "</w:abstractNum>"
+    numbering = NUMBERING.replace("<w:num ", f'{more}<w:num w:numId="2"><w:abstractNumId w:val="9"/></w:num><w:num w:numId="3"><w:abstractNumId w:val="8"/></w:num><w:num ', 1)
+    body, named = "", {k: f'<w:numId w:val="{n}"/>' for k, n in (("o", 1), ("u", 2), ("d", 3))}
     for x in LISTS[number % len(LISTS)][0].split():
-        listed = f'<w:pPr><w:numPr><w:ilvl w:val="{x[0]}"/><w:numId w:val="{1 if x[1:] == "o" else 2}"/></w:numPr></w:pPr>' if x != "-" else ""
+        listed = f'<w:pPr><w:numPr><w:ilvl w:val="{x[0]}"/>{named.get(x[1:], "")}</w:numPr></w:pPr>' if x != "-" else ""
         body += f"<w:p>{listed}<w:r><w:t>i{number}</w:t></w:r></w:p>"
     return package(body, {"word/numbering.xml": numbering})
 
@@ -102,6 +106,22 @@ def list_shapes(spark, sf_dir):
     return _number(made.select("doc_id", F.regexp_replace(F.decode("data", "UTF-8"), "^.*</h1>|</main>$", "").alias("html")))
 
 
+#: Runs of paragraphs with fields (b: begin, s: separate, e: end, p: a page reference, c: another code, digits: text), and what is read.
+FIELDS = (("1 b p s 2 e 3", "13"), ("b c s 2 e 3", "23"), ("b p s 1 b c s 2 e 3 e 4", "4"), ("b c s 1 b p s 2 e 3 e 4", "1234"), ("1 e b p 2 s 3", "12"), ("b p e 1", "1"))
+
+
+def _with_fields(number: int, text: str) -> bytes:
+    marks = {k: f'<w:fldChar w:fldCharType="{v}"/>' for k, v in (("b", "begin"), ("s", "separate"), ("e", "end"))} | {"p": "<w:instrText> pageref _x \\h</w:instrText>", "c": "<w:instrText>TOC</w:instrText>"}
+    runs = "".join(f"<w:r>{marks.get(x) or f'<w:t>{x}</w:t>'}</w:r>" for x in FIELDS[number % len(FIELDS)][0].split())
+    return package(f"<w:p>{runs}</w:p><w:p><w:ins><w:r><w:t>in</w:t></w:r></w:ins><w:del><w:r><w:delText>out</w:delText></w:r></w:del><w:smartTag><w:r><w:t>side</w:t></w:r></w:smartTag></w:p>")
+
+
+def field_results(spark, sf_dir):
+    """Texts of paragraphs with fields, nested and open ones too, and with tracked changes."""
+    rows = relation(parse_packages(made_packages(_parts(spark, sf_dir), _with_fields)), "blocks")
+    return _number(rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda b: b["text"]), "|").alias("texts")))
+
+
 def _models(spark, sf_dir, model):
     """Documents of one model each, a JSON with the part's number for `#`."""
     text = F.replace(F.lit(model), F.lit("#"), F.col("p_partkey").cast("string"))
@@ -250,7 +270,7 @@ def job_messages(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        package_content, style_formats, rich_sheet, rich_usages, list_shapes, missing_targets, block_kinds, formula_modes, cover_images, output_settings, entity_text,
+        package_content, style_formats, rich_sheet, rich_usages, list_shapes, field_results, missing_targets, block_kinds, formula_modes, cover_images, output_settings, entity_text,
         stream_files, job_messages,
     )
 }
@@ -280,6 +300,7 @@ SQL = {
         {'p': 10, 's': 'Same', 'k': 'paragraph', 't': 'Beside ' || doc_id || ' run', 'n': 'table'}, {'p': 11, 's': 'Same', 'k': 'character', 't': 'run', 'n': NULL}, {'p': 12, 's': 'Level', 'k': 'paragraph', 't': 'Below', 'n': NULL}]) AS u FROM documents)
       SELECT doc_id, u.p - 1 + doc_id % 2 AS position, u.s AS style_id, u.k AS kind, u.t AS text, u.n AS nearby FROM u WHERE doc_id % 2 = 1 OR u.s <> 'Title'""",
     "list_shapes": f"SELECT p_partkey AS doc_id, replace({_pick([x[1] for x in LISTS])}, '{{p}}', '<p>i' || p_partkey || '</p>') AS html FROM part",
+    "field_results": f"SELECT p_partkey AS doc_id, {_pick([x[1] for x in FIELDS])} || '|inside' AS texts FROM part",
     "missing_targets": f"SELECT p_partkey AS doc_id, {_filled(_GONE_MARKDOWN)} AS markdown, 'markdown-missing-asset,markdown-missing-equation,markdown-unsafe-link,markdown-missing-note' AS codes, {_filled(_GONE_HTML)} AS html FROM part",
     "block_kinds": f"SELECT p_partkey AS doc_id, {_filled(_KIND_MARKDOWN)} AS markdown, {_filled(_KIND_HTML)} AS html FROM part",
     "formula_modes": """WITH m AS (SELECT o_orderkey, '<span class="formula-mathml" role="math" aria-label="' || o_orderkey || '"><math xmlns="http://www.w3.org/1998/Math/MathML"><mn>' || o_orderkey || '</mn></math></span>' AS mathml FROM orders)

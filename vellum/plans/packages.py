@@ -110,9 +110,12 @@ def _broken(spark, sf_dir):
 
 
 def package_errors(spark, sf_dir):
-    """Error codes of packages, each of which has another fault; one row for each that is refused."""
-    rows = errors(_broken(spark, sf_dir))
-    return _number(rows.select("doc_id", "error"))
+    """Error codes of packages, each of which has another fault: whether the code is one of the seven, and whether the message
+    holds nothing of the document."""
+    named = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), "p_name")
+    rows = errors(_broken(spark, sf_dir)).join(named, "doc_id")
+    held = F.exists(F.split(F.concat_ws(" ", "p_name", F.lit("big.bin dot.bmp document.xml styles.xml javascript")), " "), lambda w: F.contains("message", w))
+    return _number(rows.select("doc_id", "error", F.col("error").isin(*O.ERRORS).alias("known"), (~held).alias("private")))
 
 
 def package_outputs(spark, sf_dir):
@@ -288,7 +291,7 @@ SQL = {
       CASE WHEN doc_id % 4 = 0 THEN '2020-01-02' ELSE '{DATE}' END AS "publicationDate", '{DATE}' AS "conversionDate", NULL::VARCHAR AS subtitle, 'Ada ' || doc_id || '|Bo' AS authors, 'Topics ' || doc_id || '|k1, k2' AS subjects FROM documents""",
     "rich_edits": """SELECT doc_id, 'Mine' AS title, NULL::VARCHAR AS publisher, '1999' AS "publicationDate", 'Cy' AS authors, 'a|b' AS subjects FROM documents""",
     "rich_assets": "SELECT doc_id, 'asset-1' AS asset_id, 'image/png' AS media_type, 'dot.png' AS filename, 'png' || doc_id AS data FROM documents",
-    "package_errors": f"SELECT p_partkey AS doc_id, {_CODE} AS error FROM part WHERE p_partkey % 20 < {len(_CODES)}",
+    "package_errors": f"SELECT p_partkey AS doc_id, {_CODE} AS error, true AS known, true AS private FROM part WHERE p_partkey % 20 < {len(_CODES)}",
     "package_outputs": f"SELECT p_partkey AS doc_id, {_CODE} AS error, CASE WHEN p_partkey % 20 >= {len(_CODES)} THEN '# File ' || p_partkey || chr(10) || chr(10) || {_MD.format('p_name')} || chr(10) END AS markdown FROM part",
     "formula_forms": f"""WITH f AS (SELECT o_orderkey, {_chosen('tex', 1)}, {_chosen('body', 2)}, {_chosen('unsupported', 3)}, {_chosen('fallback', 4)} FROM orders)
       SELECT o_orderkey, tex, '<math xmlns="http://www.w3.org/1998/Math/MathML">' || body || '</math>' AS mathml, unsupported = '' AS complete, unsupported, fallback FROM f""",

@@ -161,39 +161,36 @@ class _Reader:
     # blocks
 
     def inlines(self, parent: Element) -> list[dict]:
+        """What a paragraph, a link or an insertion holds. Of a field, its result is read; of a page reference not even that.
+
+        Only fields at the top count: what stands in a field within the result of another is part of that result.
+        """
         out: list[dict] = []
-        depth, page_refs = 0, []  # fields that are open; for each whether it is a page reference past its separator
-
-        def walk(node: Element) -> None:
-            nonlocal depth
-            for c in node.elements():
-                if c.local == "r":
-                    change = c.first("fldChar")
-                    code = "".join(t.text() for t in c.elements("instrText"))
-                    if code and page_refs and page_refs[-1] is None and code.strip():
-                        page_refs[-1] = ["PAGEREF" in code.upper().split()[:1], False]
-                    if change is not None:
-                        kind = change.get("fldCharType")
-                        if kind == "begin":
-                            page_refs.append(None)
-                        elif kind == "separate" and page_refs and page_refs[-1]:
-                            page_refs[-1][1] = True
-                        elif kind == "end" and page_refs:
-                            page_refs.pop()
-                        continue
-                    if any(p and p[0] and p[1] for p in page_refs):
-                        continue
-                    out.extend(self._run(c))
-                elif c.local == "hyperlink":
-                    out.extend(self._link(c))
-                elif c.local in ("ins", "smartTag", "sdt", "sdtContent"):
-                    walk(c)
-                elif c.local == "del":
-                    self._warn("tracked-deletion-omitted", "info", "A tracked deletion was left out.")
-                elif c.local in ("oMath", "oMathPara"):
-                    out.append({"type": "equation", "equationId": self._equation(c), "display": c.local == "oMathPara"})
-
-        walk(parent)
+        depth, page_ref, skipped = 0, False, False
+        for c in parent.elements():
+            if c.local == "r":
+                for e in c.elements():
+                    kind = e.get("fldCharType") if e.local == "fldChar" else None
+                    if kind == "begin":
+                        depth += 1
+                    elif kind == "end":
+                        depth = max(0, depth - 1)
+                    if kind in ("begin", "end") and depth == (kind == "begin"):
+                        page_ref = skipped = False
+                    elif kind == "separate" and depth == 1:
+                        skipped = page_ref
+                    elif e.local == "instrText" and depth == 1:
+                        page_ref = page_ref or re.search(r"\bPAGEREF\b", e.text(), re.IGNORECASE) is not None
+                if not skipped:
+                    out += self._run(c)
+            elif c.local == "hyperlink":
+                out += self._link(c)
+            elif c.local in ("ins", "smartTag", "sdt", "sdtContent"):
+                out += self.inlines(c)
+            elif c.local == "del":
+                self._warn("tracked-deletion-omitted", "info", "A tracked deletion was left out.")
+            elif c.local in ("oMath", "oMathPara"):
+                out.append({"type": "equation", "equationId": self._equation(c), "display": c.local == "oMathPara"})
         return out
 
     def _equation(self, node: Element) -> str:
@@ -266,45 +263,23 @@ class _Reader:
 
     def blocks(self, parent: Element) -> list[dict]:
         out: list[dict] = []
-        lists: list[dict] = []  # the open list of each level
         for c in parent.elements():
             if c.local == "sdt":
                 content = c.first("sdtContent")
                 out += self.blocks(content if content is not None else c)
-                lists = []
             elif c.local == "tbl":
                 rows = [{"cells": [self._cell(t) for t in r.elements("tc")]} for r in c.elements("tr")]
                 out.append({"type": "table", "rows": rows})
-                lists = []
             elif c.local == "p":
                 block, number = self._paragraph(c), c.at("pPr", "numPr")
-                if number is None:
-                    out.append(block)
-                    lists = []
+                named = lambda tag: number.first(tag).get("val") if number is not None and number.first(tag) is not None else None  # noqa: B023, E731
+                if named("numId"):
+                    level = int(named("ilvl")) if (named("ilvl") or "").isdigit() else 0
+                    _listed(out, block, self.ordered.get((named("numId"), str(level)), False), level)
                 else:
-                    self._listed(out, lists, block, number)
+                    out.append(block)
         return out
 
-    def _listed(self, out: list[dict], lists: list[dict], block: dict, number: Element) -> None:
-        """Put a list paragraph into the lists that are open: a level 0 item of the other kind opens a new list, a deeper one
-        goes into the last item above, and a list that opens below level 0 has an unordered one around it."""
-        level_node, num = number.first("ilvl"), number.first("numId")
-        level = int(level_node.get("val") or 0) if level_node is not None and (level_node.get("val") or "0").isdigit() else 0
-        ordered = self.ordered.get((num.get("val") if num is not None else None, str(level)), False)
-        if lists and level == 0 and lists[0]["ordered"] != ordered:
-            lists.clear()
-        del lists[level + 1 :]
-        while len(lists) <= level:
-            new = {"type": "list", "ordered": ordered if len(lists) == level else False, "items": []}
-            if lists:
-                if not lists[-1]["items"]:
-                    lists[-1]["items"].append({"blocks": []})
-                lists[-1]["items"][-1]["blocks"].append(new)
-            else:
-                out.append(new)
-            lists.append(new)
-        lists[level]["items"].append({"blocks": [block]})
-
     def _cell(self, cell: Element) -> dict:
         span = cell.at("tcPr", "gridSpan")
         value = span.get("val") if span is not None else None
@@ -398,6 +373,21 @@ class _Reader:
         }
 
 
+def _listed(blocks: list[dict], block: dict, ordered: bool, level: int) -> None:
+    """Put a list paragraph of some level at the end of blocks. It goes on with a list that ends them, unless that is its own
+    level's and of the other kind; deeper ones go into the last item. A list around deeper ones is unordered."""
+    last = blocks[-1] if blocks and blocks[-1]["type"] == "list" else None
+    if last is None or level == 0 and last["ordered"] != ordered:
+        last = {"type": "list", "ordered": ordered and level == 0, "items": []}
+        blocks.append(last)
+    if level == 0:
+        last["items"].append({"blocks": [block]})
+        return
+    if not last["items"]:
+        last["items"].append({"blocks": []})
+    _listed(last["items"][-1]["blocks"], block, ordered, level - 1)
+
+
 def _language(value: str | None) -> str | None:
     from vellum.functions.text import LCIDS
 
