@@ -204,6 +204,8 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     kept = jaccard.keep_one(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(r["component_id"] for r in kept) == ["p", "r", "u", "v", "x"]
     assert jaccard.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+    clash = spark.createDataFrame([(1, "x y z u v w", 1, "a", 2, 3), (2, "x y z u v w", 1, "b", 2, 3), (2, "x y z u v w", 1, "b", 2, 3)], "doc_id long, text string, c int, row string, root int, node int")
+    assert [tuple(r) for r in jaccard.keep_one(clash).collect()] == [(1, "x y z u v w", 1, "a", 2, 3)]
 
 
 # decontamination

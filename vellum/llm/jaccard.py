@@ -439,10 +439,11 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = found.filter("n_shingles > 0").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("c")).groupBy("root").agg(F.min(F.struct(*[key[c].alias(c) for c in ("none", "doc_id", "text_hash")], "c")).alias("k"))
     wordless = found.filter("n_shingles = 0").select("doc_id", "text_hash", F.lit(1).alias("c"))
     stay = rows.select("k.doc_id", "k.text_hash", "k.c").unionByName(wordless).distinct()
-    stay = materialise(stay.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "c"), "jaccard-stay")
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")))
-    once = kept.filter("c = 1").select(docs["*"])
-    again = kept.filter("c > 1").groupBy("_id", "_hash").agg(F.min(F.struct(docs["*"])).alias("row")).select("row.*")
+    names = {"doc_id": "_stay_id", "text_hash": "_stay_hash", "c": "_stay_count"}  # none of a table's own columns
+    stay = materialise(stay.select(*[F.col(c).alias(n) for c, n in names.items()]), "jaccard-stay")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay_id")) & (F.xxhash64(docs["text"]) == F.col("_stay_hash")))
+    once = kept.filter(F.col("_stay_count") == 1).select(docs["*"])
+    again = kept.filter(F.col("_stay_count") > 1).groupBy("_stay_id", "_stay_hash").agg(F.min(F.struct(docs["*"])).alias("_row")).select("_row.*")
     return once.unionByName(again)
 
 
