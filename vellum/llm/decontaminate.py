@@ -60,8 +60,11 @@ def cgk_samples(hashes: np.ndarray, start: np.ndarray, n: int, walk: int, places
         for j in row:
             tables_at.setdefault(int(j), []).append(t)
     for j in range(max(tables_at) + 1):
-        word = hashes[np.minimum(at, end - 1)]
-        word[at >= end] = 0
+        if j < n:  # the pointer has made fewer steps than the window has words
+            word = hashes[at]
+        else:
+            word = hashes[np.minimum(at, end - 1)]
+            word[at >= end] = 0
         for t in tables_at.get(j, ()):
             out[:, t] = (out[:, t] ^ word) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
         at += ((word * odd[j]) >> np.uint64(63)).astype(np.int64)
@@ -77,29 +80,25 @@ def sample_places(n: int, walk: int, tables: int, z: int) -> np.ndarray:
 def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Least edit distance of each row of a to any prefix of the row of b, where it is at most `most` (else more).
 
-    Only the diagonals within `most` of the main one are filled, for all rows at once.
+    Only the diagonals within `most` of the main one are filled, for all rows and diagonals at once: insertions, which go
+    along a line of the table, are a running minimum.
     """
     rows, n = a.shape
-    width = 2 * most + 1
-    far = np.int32(n + width)
-    band = np.full((rows, width), far, np.int32)
-    band[:, most:] = np.arange(most + 1)
+    width, far = 2 * most + 1, n + 2 * most + 1
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    step = np.arange(width, dtype=np.int32)[:, None]
+    band = np.full((width + 1, rows), far, np.int32)  # the last line stays far
+    band[most:width] = step[: most + 1]
     for i in range(1, n + 1):
+        lo, hi = max(0, most - i + 1), min(width, len(b) - i + most + 1)  # diagonals with a word of b
         new = np.full_like(band, far)
-        for k in range(width):
-            j = i + k - most
-            if 0 <= j <= b.shape[1]:
-                if j:
-                    best = band[:, k] + (a[:, i - 1] != b[:, j - 1])
-                else:
-                    best = np.full(rows, i, np.int32)
-                if k + 1 < width:
-                    best = np.minimum(best, band[:, k + 1] + 1)
-                if k and j:
-                    best = np.minimum(best, new[:, k - 1] + 1)
-                new[:, k] = best
+        if lo:
+            new[lo - 1] = i
+        np.minimum(band[lo:hi] + (b[i + lo - most - 1 : i + hi - most - 1] != a[i - 1]), band[lo + 1 : hi + 1] + 1, out=new[lo:hi])
+        first = max(0, lo - 1)
+        new[first:hi] = np.minimum.accumulate(new[first:hi] - step[first:hi]) + step[first:hi]
         band = new
-    return band.min(axis=1)
+    return band.min(axis=0)
 
 
 def best_run(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
