@@ -198,13 +198,18 @@ def entity_text(spark, sf_dir):
 
 
 def _place(spark, name: str) -> str:
-    """A folder of its own in the shared folder; in a temporary one where no cluster needs it."""
+    """A folder of its own in the shared folder, in a temporary one where no cluster needs it; it goes when the driver ends."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
-    return f"{top.rstrip('/')}/vellum-{name}-{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/vellum-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return folder
 
 
 def _written(rows, folder: str):
@@ -225,12 +230,12 @@ def _written(rows, folder: str):
 
 
 def _supplier_files(spark, sf_dir, name: str) -> str:
-    """A folder with a rich package of each supplier and a file that is none of each nation."""
+    """A folder whose `in` holds a rich package of each supplier and a file that is none of each nation."""
     folder = _place(spark, name)
     made = rich_packages(_read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("text")))
     files = made.select(F.concat("doc_id", F.lit(".docx")).alias("name"), "content")
     broken = _read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".DOCX")).alias("name"), F.encode("n_name", "UTF-8").alias("content"))
-    _written(files.unionByName(broken), folder)
+    _written(files.unionByName(broken), f"{folder}/in")
     return folder
 
 
@@ -241,10 +246,10 @@ def stream_files(spark, sf_dir):
     folder = _supplier_files(spark, sf_dir, "stream")
 
     def write(batch, number: int) -> None:
-        batch.select("path", "error", F.size("blocks").alias("blocks")).write.mode("overwrite").parquet(f"{folder}-out/batch={number}")
+        batch.select("path", "error", F.size("blocks").alias("blocks")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    sink(stream_packages(spark, folder, 40), write, f"{folder}-state").awaitTermination()
-    found = spark.read.parquet(f"{folder}-out")
+    sink(stream_packages(spark, f"{folder}/in", 40), write, f"{folder}/state").awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
     return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "error", "blocks")
 
 
@@ -255,8 +260,8 @@ def job_messages(spark, sf_dir):
     folder, said = _supplier_files(spark, sf_dir, "jobs"), []
     runtime = Runtime(spark, said.append)
     requests = [
-        {"type": "analyse", "operation": "a", "path": folder, "table": f"{folder}-table"}, {"type": "convert", "operation": "b", "table": f"{folder}-table", "output": f"{folder}-out", "format": "markdown", "mode": "zip", "date": DATE},
-        {"type": "convert", "operation": "c", "table": f"{folder}-none", "output": f"{folder}-no", "format": "html", "date": DATE}, {"type": "analyse", "operation": "d", "path": folder, "table": f"{folder}-again"},
+        {"type": "analyse", "operation": "a", "path": f"{folder}/in", "table": f"{folder}/table"}, {"type": "convert", "operation": "b", "table": f"{folder}/table", "output": f"{folder}/out", "format": "markdown", "mode": "zip", "date": DATE},
+        {"type": "convert", "operation": "c", "table": f"{folder}/none", "output": f"{folder}/no", "format": "html", "date": DATE}, {"type": "analyse", "operation": "d", "path": f"{folder}/in", "table": f"{folder}/again"},
     ]
     for request in requests:
         if request["operation"] == "d":
