@@ -124,11 +124,16 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def code_scores(books: Codebooks, codes: np.ndarray, norm: np.ndarray, table: np.ndarray) -> np.ndarray:
+def by_book(codes: np.ndarray) -> np.ndarray:
+    """Codes [n, book] as places to look up, book by book."""
+    return np.ascontiguousarray(codes.T).astype(np.intp)
+
+
+def code_scores(places: np.ndarray, norm: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Score of each row by its code, for a query with that table [book, word] of products."""
-    score = table[0][codes[:, 0]]
-    for m in range(1, codes.shape[1]):
-        score = score + table[m][codes[:, m]]
+    score = table[0].take(places[0])
+    for words, at in zip(table[1:], places[1:], strict=True):
+        score += words.take(at)
     return score / np.maximum(norm, 1e-12)
 
 
@@ -145,10 +150,10 @@ def needed_share(books: Codebooks, x: np.ndarray, k: int, recall: float) -> floa
     if len(x) < 2:
         return 1.0
     codes = books.encode(unit(x))
-    norm, whole = np.sqrt((books.decode(codes) ** 2).sum(axis=1)), levelled(x)
+    norm, whole, places = np.sqrt((books.decode(codes) ** 2).sum(axis=1)), levelled(x), by_book(codes)
     depth = []
     for i, table in enumerate(tables(books, x[:TRIED_QUERIES])):
-        score, exact = code_scores(books, codes, norm, table), cosine(whole[i], whole)
+        score, exact = code_scores(places, norm, table), cosine(whole[i], whole)
         score[i] = exact[i] = -np.inf
         best = np.argsort(-exact, kind="stable")[: min(k, len(x) - 1)]
         depth += [int((score > score[b]).sum()) + 1 for b in best]
@@ -189,12 +194,12 @@ def _scan(books: Codebooks, k: int, share: float):
             rows = rows.sort_by([("vec_id", "ascending"), ("row", "ascending")])
             ids, own, x = rows.column("vec_id").to_numpy(), rows.column("row").to_numpy(), levelled(_matrix(rows.column("embedding")))
             norm = rows.column("norm").to_numpy()
-            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+            places = by_book(np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1))
             q = _matrix(queries.column("query"))
             exactly = max(RERANK, int(np.ceil(share * len(ids))))
             made = (t for lo in range(0, len(q), TABLES) for t in tables(books, q[lo : lo + TABLES]))
             for table, row, name, query in zip(made, queries.column("query_row").to_pylist(), queries.column("query_id").to_pylist(), levelled(q), strict=True):
-                score = code_scores(books, codes, norm, table)
+                score = code_scores(places, norm, table)
                 score[own == row] = -np.inf
                 least = np.partition(score, len(ids) - exactly)[len(ids) - exactly] - MARGIN if len(ids) > exactly else -np.inf
                 near = np.flatnonzero(score >= least)
