@@ -96,6 +96,15 @@ def test_hostile_packages_have_an_error_code(data, code):
     assert found["error"] == code and found["model"] is None
 
 
+def test_literal_reading_is_what_simple_readers_do():
+    body = '<w:p><w:r><w:rPr><w:b w:val="0"/></w:rPr><w:t>t</w:t></w:r><w:del><w:r><w:delText>gone</w:delText></w:r></w:del></w:p><w:sdt><w:sdtContent>' + paragraph("inside") + "</w:sdtContent></w:sdt>"
+    data = package(body, {"word/styles.xml": SHEET})
+    for literal, marks, texts, used in ((False, None, ["t", "inside"], "t"), (True, [{"type": "bold"}], ["t"], "tgone")):
+        found = read_package(data, "x.docx", literal=literal)
+        assert json.loads(found["model"])["blocks"][0]["children"][0].get("marks") == marks
+        assert [b["text"] for b in found["blocks"]] == texts and found["usages"][0]["text"] == used
+
+
 def test_limits_can_be_set():
     assert read_package(FULL, "x.docx", Limits(entries=3))["error"] == "resource-limit"
     assert read_package(FULL, "x.docx", Limits(image=2))["error"] == "resource-limit"
@@ -176,6 +185,7 @@ def test_formulas():
     odd = convert(wrap_(f"<m:nary>{run('&lt;')}</m:nary>"))
     assert odd["unsupported"] == ["nary"] and not odd["complete"] and "<" not in odd["fallback"]
     assert convert("<broken")["unsupported"] == ["malformed-omml"]
+    assert convert(wrap_(run("x_1 50%\\")))["tex"] == r"\text{x\_1 50\%\textbackslash{}}"
 
 
 def test_cover_text_fits_its_lines():

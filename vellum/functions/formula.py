@@ -74,7 +74,8 @@ def _diagnostic(text: str) -> str:
 
 
 def _tex_text(text: str) -> str:
-    return re.sub("[<>]", "", re.sub(r"([#$%&_{}])", r"\\\1", text.replace("\\", r"\textbackslash{}")))
+    """Text for TeX, each special character by its own command; angle brackets go."""
+    return re.sub(r"[#$%&_{}]|\\", lambda m: r"\textbackslash{}" if m[0] == "\\" else f"\\{m[0]}", re.sub("[<>]", "", text))
 
 
 def tex(tree) -> str:

@@ -278,10 +278,10 @@ def write_html(doc: Doc, mode: str = "standalone", formula: str = "mathml") -> b
         fragment = html_fragment(doc, embedded, formula)
         if mode == "fragment":
             return fragment.encode()
-        held = [doc.assets[a] for a in sorted(doc.assets)]
+        held = [doc.assets[a] for a in sorted(doc.assets) if doc.assets[a]["media_type"].lower() in FONT_TYPES]
         fonts = "".join(
             f'@font-face{{font-family:"{GENERATOR} {i}";src:url("data:{a["media_type"].lower()};base64,{base64.b64encode(a["data"]).decode()}")}}'
-            for i, a in enumerate(held, 1) if a["media_type"].lower() in FONT_TYPES
+            for i, a in enumerate(held, 1)
         )
         return _page(doc, fragment, f"<style>{fonts}{STYLES}</style>").encode()
     paths = asset_files(doc)

@@ -41,10 +41,10 @@ SCHEMA = (
 RELATIONS = ("styles", "usages", "candidates", "warnings", "assets", "blocks")
 
 
-def _on(properties: Element | None, name: str) -> bool:
-    """Whether a switch is there and not switched off."""
+def _on(properties: Element | None, name: str, literal: bool = False) -> bool:
+    """Whether a switch is there and not switched off; if `literal`, whether it is there."""
     found = properties.first(name) if properties is not None else None
-    return found is not None and (found.get("val") or "1").lower() not in FALSE
+    return found is not None and (literal or (found.get("val") or "1").lower() not in FALSE)
 
 
 def _number(node: Element | None, name: str, per: float) -> float | None:
@@ -55,7 +55,7 @@ def _number(node: Element | None, name: str, per: float) -> float | None:
         return None
 
 
-def formats(node: Element) -> dict:
+def formats(node: Element, literal: bool = False) -> dict:
     """The formats that a style, a paragraph or a run states itself; sizes and distances in points."""
     run, par = node.first("rPr"), node.first("pPr")
     of = lambda parent, tag: parent.first(tag) if parent is not None else None
@@ -65,8 +65,8 @@ def formats(node: Element) -> dict:
     return {
         "font_family": (fonts.get("ascii") or fonts.get("hAnsi")) if fonts is not None else None,
         "font_size": _number(of(run, "sz"), "val", 2),
-        "bold": _on(run, "b") if of(run, "b") is not None else None,
-        "italic": _on(run, "i") if of(run, "i") is not None else None,
+        "bold": _on(run, "b", literal) if of(run, "b") is not None else None,
+        "italic": _on(run, "i", literal) if of(run, "i") is not None else None,
         "outline_level": int(level) if level is not None else None,
         "space_before": _number(spacing, "before", 20),
         "space_after": _number(spacing, "after", 20),
@@ -78,8 +78,8 @@ def formats(node: Element) -> dict:
 
 
 class _Reader:
-    def __init__(self, data: bytes, limits: Limits, filename: str):
-        self.limits, self.filename = limits, filename
+    def __init__(self, data: bytes, limits: Limits, filename: str, literal: bool = False):
+        self.limits, self.filename, self.literal = limits, filename, literal
         self.package = open_package(data, limits)
         self.warnings: list[dict] = []
         self.assets: list[dict] = []
@@ -125,7 +125,7 @@ class _Reader:
             if s.get("type") not in ("paragraph", "character") or not s.get("styleId"):
                 continue
             named = lambda tag: s.first(tag).get("val") if s.first(tag) is not None else None  # noqa: E731, B023
-            row = {"style_id": s.get("styleId"), "name": named("name"), "kind": s.get("type"), "based_on": named("basedOn"), **formats(s)}
+            row = {"style_id": s.get("styleId"), "name": named("name"), "kind": s.get("type"), "based_on": named("basedOn"), **formats(s, self.literal)}
             if s.get("type") == "paragraph" and s.get("default") == "1" and self.default_style is None:
                 self.default_style = row["style_id"]
             out.append(row)
@@ -144,8 +144,8 @@ class _Reader:
         out: list[dict] = []
 
         def add(node: Element, style: str, kind: str, numbered: bool, nearby: str | None) -> None:
-            own = formats(node)
-            out.append({"style_id": style, "kind": kind, "text": _visible(node).strip(), "position": len(out), "bold": own["bold"], "space_before": own["space_before"], "numbered": numbered, "nearby": nearby, "font_size": own["font_size"]})
+            own, text = formats(node, self.literal), node.text() if self.literal else _visible(node)
+            out.append({"style_id": style, "kind": kind, "text": text.strip(), "position": len(out), "bold": own["bold"], "space_before": own["space_before"], "numbered": numbered, "nearby": nearby, "font_size": own["font_size"]})
 
         for p in body.descendants("p"):
             par = p.first("pPr")
@@ -185,7 +185,7 @@ class _Reader:
                     out += self._run(c)
             elif c.local == "hyperlink":
                 out += self._link(c)
-            elif c.local in ("ins", "smartTag", "sdt", "sdtContent"):
+            elif c.local in ("ins", "smartTag", "sdt") or c.local == "sdtContent" and not self.literal:
                 out += self.inlines(c)
             elif c.local == "del":
                 self._warn("tracked-deletion-omitted", "info", "A tracked deletion was left out.")
@@ -203,8 +203,8 @@ class _Reader:
         return name
 
     def _marks(self, properties: Element | None) -> list[dict]:
-        marks = [{"type": kind} for name, kind in MARKS if _on(properties, name)]
-        if _on(properties, "strike") or _on(properties, "dstrike"):
+        marks = [{"type": kind} for name, kind in MARKS if _on(properties, name, self.literal)]
+        if _on(properties, "strike", self.literal) or _on(properties, "dstrike", self.literal):
             marks.append({"type": "strikethrough"})
         place = properties.first("vertAlign").get("val") if properties is not None and properties.first("vertAlign") is not None else None
         if place in ("subscript", "superscript"):
@@ -265,7 +265,7 @@ class _Reader:
         out: list[dict] = []
         for c in parent.elements():
             if c.local == "sdt":
-                content = c.first("sdtContent")
+                content = c.first("sdtContent") if not self.literal else None
                 out += self.blocks(content if content is not None else c)
             elif c.local == "tbl":
                 rows = [{"cells": [self._cell(t) for t in r.elements("tc")]} for r in c.elements("tr")]
@@ -413,24 +413,28 @@ def flatten(root: str, blocks: list[dict], above: str = "", depth: int = 0) -> I
             yield from flatten(root, part, f"{path}.{k:08d}.", depth + 1)
 
 
-def read_package(data: bytes, filename: str, limits: Limits = Limits()) -> dict:
-    """All relations of one package; `error` and `message` where it can't be read."""
+def read_package(data: bytes, filename: str, limits: Limits = Limits(), literal: bool = False) -> dict:
+    """All relations of one package; `error` and `message` where it can't be read.
+
+    `literal` takes packages as simple readers do: a switch is on wherever it stands, even with a value that says off; content
+    controls are not entered; the text of a style's use holds deleted text and field codes too.
+    """
     nothing = {"model": None, **{r: [] for r in RELATIONS}}
     try:
-        return {"error": None, "message": None, **_Reader(data, limits, filename).read()}
+        return {"error": None, "message": None, **_Reader(data, limits, filename, literal).read()}
     except PackageError as e:
         return {"error": e.code, "message": str(e), **nothing}
     except Exception as e:  # noqa: BLE001  a document must not fail the job, and its content must not be in the message
         return {"error": "conversion-failed", "message": type(e).__name__, **nothing}
 
 
-def read_docx(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """Packages below a path, one row each (SCHEMA). Files of other names are not read."""
+def read_docx(spark: SparkSession, path: str, limits: Limits = Limits(), literal: bool = False) -> DataFrame:
+    """Packages below a path, one row each (SCHEMA). Files of other names are not read. `literal`: see read_package()."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][oO][cC][xX]").option("recursiveFileLookup", "true").load(path)
-    return parse_packages(files.select(F.col("path").alias("doc_id"), "path", "content"), limits)
+    return parse_packages(files.select(F.col("path").alias("doc_id"), "path", "content"), limits, literal)
 
 
-def parse_packages(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def parse_packages(files: DataFrame, limits: Limits = Limits(), literal: bool = False) -> DataFrame:
     """The same for a table (doc_id, path, content). Of content without the magic number, which is refused anyway, and of content
     that is too large, only as much goes to Python as shows it."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -441,7 +445,7 @@ def parse_packages(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = {"doc_id": doc_id, "path": path, **read_package(content or b"", path or "", Limits(**asdict(limits)))}
+                row = {"doc_id": doc_id, "path": path, **read_package(content or b"", path or "", Limits(**asdict(limits)), literal)}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     content = F.col("content")
