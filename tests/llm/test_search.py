@@ -156,6 +156,7 @@ def test_groups_in_parts_give_the_same(spark, monkeypatch):
     rows = corpus(4)
     monkeypatch.setattr(jaccard, "CELL", 500)
     monkeypatch.setattr(jaccard, "CELL_SETS", 5)
+    monkeypatch.setattr(jaccard, "PARTS", 2)
     assert linked(spark, rows) == brute_link(rows, 3, 90)
     assert linked(spark, rows, 3, 75) == brute_link(rows, 3, 75)
 

@@ -27,8 +27,9 @@ from .graph import components
 
 #: Documents of a block have about so many words together.
 BLOCK_TOKENS = 1_500_000
-#: N-grams and sets that one part of a group holds; groups of candidates with more are searched part by part.
-CELL, CELL_SETS = 200_000, 200
+#: N-grams and sets that one part of a group holds; groups of candidates with more are searched part by part. Beyond PARTS parts,
+#: parts hold up to ten times as many sets, as there are tasks enough.
+CELL, CELL_SETS, PARTS = 200_000, 200, 64
 #: DivideSkip leaves about T / (MU log2(longest list) + 1) lists to be probed.
 MU = 0.0085
 #: Long lists are probed so many at once, with binary search in one array.
@@ -349,7 +350,8 @@ def _cells(grouped: DataFrame, percent: int) -> DataFrame:
     """
     wide = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
     band = F.floor(F.log("n") / wide).cast("long")
-    parts = F.ceil(F.greatest(F.sum("n") / CELL, F.count("*") / CELL_SETS)).cast("int")
+    sets = F.count("*") / CELL_SETS
+    parts = F.ceil(F.greatest(F.sum("n") / CELL, F.least(sets, PARTS + sets / 10))).cast("int")
     bands = grouped.groupBy("root", band.alias("band")).agg(parts.alias("parts"), F.sum("n").alias("n"), F.count("*").alias("sets"))
     whole = bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("bands"), F.sum("n").alias("grams"), F.sum("sets").alias("sets"))
     large = materialise(whole.filter((F.col("grams") > CELL) | (F.col("sets") > CELL_SETS)).select("root", "bands"), "jaccard-large")
