@@ -192,3 +192,15 @@ def tidy_groups(task: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.
             _release()
 
     return run
+
+
+def tidy_table(task: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for functions of groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return task(table)
+        finally:
+            _release()
+
+    return run

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy, tidy_table
+
 BUCKET_KEYS = 500_000
 
 
@@ -51,7 +53,7 @@ def requests(blocks: DataFrame, buckets: int, unpack: Callable[[dict], tuple[int
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return blocks.select(*columns).mapInArrow(pack, "bucket int, block long, " + ", ".join(f"{n} binary" for n in names))
+    return blocks.select(*columns).mapInArrow(tidy(pack), "bucket int, block long, " + ", ".join(f"{n} binary" for n in names))
 
 
 def answer(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, list[list[bytes]]], list[np.ndarray]], payloads: int, answers: int) -> DataFrame:
@@ -73,7 +75,7 @@ def answer(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, list[list
         rows = [(b, bucket, *[f[number[lo:hi]].tobytes() for f in found]) for b, lo, hi in zip(blocks, cuts[:-1], cuts[1:], strict=True)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return asked.groupBy("bucket").applyInArrow(meet, "block long, bucket int, " + ", ".join(f"{n} binary" for n in names))
+    return asked.groupBy("bucket").applyInArrow(tidy_table(meet), "block long, bucket int, " + ", ".join(f"{n} binary" for n in names))
 
 
 def aligned(answers: pa.Table, keys: np.ndarray, buckets: int, column: str, dtype: type, width: int = 1) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, new_path, small_batches, tidy, tidy_groups, words_of, write_table
+from .common import drop_table, materialise, new_path, small_batches, tidy, tidy_groups, tidy_table, words_of, write_table
 from .exchange import bucket_count, buckets_of, pack_ids, unpack_ids
 from .graph import components
 
@@ -383,17 +383,17 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     classes = materialise(classes, "jaccard-classes")
 
     asked = table.select(*BLOCKS.names).mapInArrow(tidy(_ask(n, buckets)), "bucket int, block long, low binary, sets binary")
-    answers = asked.groupBy("bucket").applyInArrow(_rarity, "block long, bucket int, rarity binary")
+    answers = asked.groupBy("bucket").applyInArrow(tidy_table(_rarity), "block long, bucket int, rarity binary")
     left = table.select("block", "sizes", "h1", "h2", "lengths", "ids", "keys")
     kept = left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_groups(_survivors(n, percent, buckets)), "node long, n int, shared binary")
     kept = materialise(kept.join(classes.select("node", "copies"), "node"), "jaccard-kept")
     drop_table(docs.sparkSession, path)
 
-    postings = kept.select("node", "n", "shared").mapInArrow(_prefixes(percent), "gram long, node long")
+    postings = kept.select("node", "n", "shared").mapInArrow(tidy(_prefixes(percent)), "gram long, node long")
     stars = postings.groupBy("gram").agg(F.min("node").alias("star"), F.count("*").alias("c")).filter("c > 1").select("gram", "star")
     edges = postings.join(stars, "gram").filter("node != star").select(F.col("node").alias("a"), F.col("star").alias("b"))
     cells = _cells(kept.join(components(edges, "jaccard-groups"), "node"), percent)
-    links = materialise(cells.groupBy(*CELL_KEY).applyInArrow(_cell(percent), "a long, b long, links long"), "jaccard-links")
+    links = materialise(cells.groupBy(*CELL_KEY).applyInArrow(tidy_table(_cell(percent)), "a long, b long, links long"), "jaccard-links")
     joined = components(links.filter("b IS NOT NULL").select("a", "b"), "jaccard-joined")
 
     counted = links.filter("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
