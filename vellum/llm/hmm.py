@@ -32,7 +32,7 @@ BLOCK_TOKENS = 3_000_000
 #: Each state's emissions are smoothed with the unigram model, as if it had dealt so many words for each distinct word.
 SMOOTHING = 2.0
 #: A pass of forward-backward takes documents of about so many words together.
-PASS_TOKENS = 400_000
+PASS_TOKENS = 200_000
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, known_mass double, score_mass double"
 END = b""
 
@@ -120,13 +120,14 @@ def _block(rows: list[tuple[int | None, bool, str | None]], start: Start, block:
     number: dict[bytes, int] = {END: 0}
     coded = []
     for _, _, text in rows:
-        coded.append(np.array([number.setdefault(w, len(number)) for w in words_of(text)] + [0], np.int64))
+        coded.append(np.array([number.setdefault(w, len(number)) for w in words_of(text)] + [0], np.int32))
     lengths = np.array([len(c) for c in coded])
     emission = np.ones((len(number), len(start.start)))
     for i, w in enumerate(number):
         if (r := start.relative.get(w)) is not None:
             emission[i] = r
     held, ids = [h for _, h, _ in rows], np.concatenate(coded)
+    del coded
     return {
         "block": block,
         "doc_ids": [i for i, _, _ in rows],
