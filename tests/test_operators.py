@@ -129,6 +129,11 @@ def test_presets_with_unknown_meanings_are_refused(spark):
     assert one(spark, O.preset_mappings(O.preset_json(F.create_map(F.lit("__proto__"), F.lit("title"))))) is None
 
 
+def test_preview_keeps_references_as_they_stand():
+    """One that no semicolon ends gets none, wherever it is; one that has it keeps it."""
+    assert P.clean("<!-- \n --><h1>a &amp</h1>\n&amp; &#38 &#x26;<script>\n&lt</script>\n&am</p>&copy=1 &lt") == "<h1>a &amp</h1>\n&amp; &#38 &#x26;\n&am</p>&copy=1 &lt"
+
+
 def test_preview_has_nothing_active(spark):
     html = '<p onclick="x()" style="a">Hi<script>alert(1)</script><a href="javascript:x">l</a><iframe src="y"></iframe></p>'
     assert one(spark, P.sanitise(F.lit(html))) == "<p>Hi<a>l</a></p>"
