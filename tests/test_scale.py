@@ -48,6 +48,11 @@ def test_packages_are_read_in_batches_of_several_rows_and_few_bytes(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
 
 
+def test_more_files_do_not_make_more_batches():
+    assert content.files_at_once(125) == 40
+    assert all(-(-n // content.files_at_once(n)) <= 8 for n in (1025, 60_025, 360_025))
+
+
 def test_parts_are_parsed_and_inflated_once(monkeypatch):
     from vellum.sources import package as P
 

@@ -239,6 +239,12 @@ def _supplier_files(spark, sf_dir, name: str) -> str:
     return folder
 
 
+def files_at_once(files: int) -> int:
+    """Files of a batch where so many have come. Each batch lists the folder anew and has its fixed cost, so more files make larger
+    batches, which are dealt to more tasks, and not more of them."""
+    return max(40, -(-files // 8))
+
+
 def stream_files(spark, sf_dir):
     """Packages that arrive as files, read as a stream in several batches, written by batch; then what all batches hold."""
     from vellum.streaming.ingest import sink, stream_packages
@@ -248,7 +254,8 @@ def stream_files(spark, sf_dir):
     def write(batch, number: int) -> None:
         batch.select("path", "error", F.size("blocks").alias("blocks")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    sink(stream_packages(spark, f"{folder}/in", 40), write, f"{folder}/state").awaitTermination()
+    files = _read(spark, sf_dir, "supplier").count() + _read(spark, sf_dir, "nation").count()
+    sink(stream_packages(spark, f"{folder}/in", files_at_once(files)), write, f"{folder}/state").awaitTermination()
     found = spark.read.parquet(f"{folder}/out")
     return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "error", "blocks")
 
