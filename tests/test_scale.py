@@ -48,6 +48,15 @@ def test_packages_are_read_in_batches_of_several_rows_and_few_bytes(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
 
 
+def test_only_the_wanted_package_is_made(monkeypatch):
+    made = []
+    monkeypatch.setattr(make_docx, "package", lambda *a, **k: made.append(a) or b"")
+    for k in range(20):
+        made.clear()
+        make_docx.broken_package(k, "text")
+        assert len(made) == (k > 2)
+
+
 def test_more_files_do_not_make_more_batches():
     assert content.files_at_once(125) == 40
     assert all(-(-n // content.files_at_once(n)) <= 8 for n in (1025, 60_025, 360_025))
