@@ -62,6 +62,12 @@ def test_more_files_do_not_make_more_batches():
     assert all(-(-n // content.files_at_once(n)) <= 8 for n in (1025, 60_025, 360_025))
 
 
+@pytest.mark.parametrize(("name", "steps"), [("rich_zip_entries", 4)])
+def test_packages_are_made_and_read_once(spark, name, steps):
+    told = plan(entry.queries()[name](spark, SMALL))
+    assert told.count("MapInArrow") == steps and "Join" not in told and "Union" not in told
+
+
 def test_parts_are_parsed_and_inflated_once(monkeypatch):
     from vellum.sources import package as P
 
@@ -78,3 +84,11 @@ def test_entries_that_are_damaged_are_refused():
     assert open_package(whole, Limits()).parts.get("word/document.xml").endswith(b"</w:document>")
     for broken in (whole[: at + 9] + bytes([whole[at + 9] ^ 64]) + whole[at + 10 :], whole.replace(b"word/document.xml", b"word/documenu.xml", 1)):
         assert docx.read_package(broken, "a.docx")["error"] == "invalid-input"
+
+
+def test_outputs_of_one_pass_are_those_of_several(spark):
+    rows = content._models(spark, SMALL, content.KINDS).limit(20)
+    both = {r["doc_id"]: r["outputs"] for r in R.convert_each(rows, [("markdown", "zip"), ("html", "standalone")]).collect()}
+    for k, (format, mode) in enumerate([("markdown", "zip"), ("html", "standalone")]):
+        for r in R.convert(rows, format, mode).collect():
+            assert r.asDict() == {"doc_id": r["doc_id"], **both[r["doc_id"]][k].asDict()}

@@ -59,9 +59,8 @@ def rich_warnings(spark, sf_dir):
 
 def rich_zip_entries(spark, sf_dir):
     """Entries of Markdown and HTML archives, with the sizes of the images."""
-    packages = _rich(spark, sf_dir)
-    rows = R.entries(corpus.convert(packages, "markdown", "zip", DATE)).withColumn("format", F.lit("markdown"))
-    rows = rows.unionByName(R.entries(corpus.convert(packages, "html", "zip", DATE)).withColumn("format", F.lit("html")))
+    made = R.convert_each(corpus.ready(_rich(spark, sf_dir), DATE), [("markdown", "zip"), ("html", "zip")])
+    rows = R.entries(made.select("doc_id", F.inline("outputs")), "format")
     return _number(rows.select("doc_id", "format", "position", "name", F.when(F.col("name").startswith("images/"), F.octet_length("data")).alias("image_bytes")))
 
 
