@@ -80,8 +80,9 @@ def model_issues(text: Column) -> Column:
 _ASSETS = "array<struct<asset_id:string,media_type:string,filename:string,data:binary>>"
 
 
-def model_rows(packages: DataFrame) -> DataFrame:
+def model_rows(packages: DataFrame, *kept: str) -> DataFrame:
     """(doc_id, json): the model of each package that could be read as an envelope, for any sink of text: `write.text`, JSON lines.
+    Columns `kept` come after them.
 
     Bytes are `{"$binary": "uint8-array", "bytes": [..]}`.
     """
@@ -92,18 +93,19 @@ def model_rows(packages: DataFrame) -> DataFrame:
     lists = {"styles": F.to_json("styles"), "warnings": F.to_json("warnings"), "assets": F.to_json(assets), "metadata": F.lit("{}")} | {k: part(f"$.{k}") for k in ("blocks", "notes", "equations")}
     pieces = [F.concat(F.lit(f'"{k}":'), F.coalesce(c, F.lit("{}"))) for k, c in lists.items()]
     text = F.concat(F.lit(f'{{"schema":"{SCHEMA}","version":{VERSION},'), F.concat_ws(",", *pieces), F.lit("}"))
-    return packages.filter("error IS NULL").select("doc_id", text.alias("json"))
+    return packages.filter("error IS NULL").select("doc_id", text.alias("json"), *kept)
 
 
-def read_models(rows: DataFrame) -> DataFrame:
-    """(doc_id, model, assets, issues) of envelopes (doc_id, json) as model_rows() makes them; with issues, nothing else."""
+def read_models(rows: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, model, assets, issues) of envelopes (doc_id, json) as model_rows() makes them; with issues, nothing else. Columns
+    `kept` come after them."""
     v = F.try_parse_json("json")
     held = F.map_entries(F.coalesce(F.try_variant_get(v, "$.assets", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
     data = lambda a: F.unhex(F.array_join(F.transform(F.try_variant_get(a, "$.data.bytes", "array<int>"), lambda b: F.lpad(F.hex(b), 2, "0")), ""))
     assets = F.transform(held, lambda e: F.struct(e["key"].alias("asset_id"), F.try_variant_get(e["value"], "$.mediaType", "string").alias("media_type"), F.try_variant_get(e["value"], "$.filename", "string").alias("filename"), data(e["value"]).alias("data")))
     found = rows.withColumn("issues", model_issues(F.col("json")))
     good = F.size("issues") == 0
-    return found.select("doc_id", F.when(good, F.col("json")).alias("model"), F.when(good, assets.cast(_ASSETS)).alias("assets"), "issues")
+    return found.select("doc_id", F.when(good, F.col("json")).alias("model"), F.when(good, assets.cast(_ASSETS)).alias("assets"), "issues", *kept)
 
 
 def preset_json(mappings: Column) -> Column:

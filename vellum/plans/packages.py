@@ -167,9 +167,7 @@ def cover_files(spark, sf_dir):
 
 def model_round_trip(spark, sf_dir):
     """Models as JSON rows and back: the envelope has no issue, and blocks and assets are what they were."""
-    packages = _rich(spark, sf_dir)
-    kept = O.read_models(O.model_rows(packages))
-    rows = kept.join(packages.select("doc_id", F.col("model").alias("told")), "doc_id")
+    rows = O.read_models(O.model_rows(_rich(spark, sf_dir).withColumn("told", F.col("model")), "told"), "told")
     same = F.get_json_object("model", "$.blocks") == F.get_json_object("told", "$.blocks")
     return _number(rows.select("doc_id", same.alias("same_blocks"), F.size("issues").alias("issues"), F.decode(F.col("assets")[0]["data"], "UTF-8").alias("image")))
 
