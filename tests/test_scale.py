@@ -68,6 +68,10 @@ def test_packages_are_made_and_read_once(spark, name, steps):
     assert told.count("MapInArrow") == steps and "Join" not in told and "Union" not in told
 
 
+def test_blocks_are_ordered_within_their_row(spark):
+    assert "Aggregate" not in plan(entry.queries()["rich_blocks"](spark, SMALL))
+
+
 def test_parts_are_parsed_and_inflated_once(monkeypatch):
     from vellum.sources import package as P
 

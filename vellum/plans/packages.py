@@ -29,8 +29,10 @@ def _rich(spark, sf_dir):
 
 def rich_blocks(spark, sf_dir):
     """Blocks of bodies and notes in document order."""
-    rows = relation(_rich(spark, sf_dir), "blocks").groupBy("doc_id", "root").agg(F.array_sort(F.collect_list(F.struct("path", "depth", "type", "style_id", "text"))).alias("b"))
-    rows = rows.select("doc_id", "root", F.posexplode("b").alias("ord", "x"))
+    roots = F.array_distinct(F.transform("blocks", lambda b: b["root"]))
+    rows = _rich(spark, sf_dir).select("doc_id", "blocks", F.explode(roots).alias("root"))
+    own = F.transform(F.filter("blocks", lambda b: b["root"] == F.col("root")), lambda b: F.struct(*[b[c].alias(c) for c in ("path", "depth", "type", "style_id", "text")]))
+    rows = rows.select("doc_id", "root", F.posexplode(F.array_sort(own)).alias("ord", "x"))
     return _number(rows.select("doc_id", "root", F.col("ord").cast("long").alias("ord"), "x.depth", "x.type", "x.style_id", "x.text"))
 
 
