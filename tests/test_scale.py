@@ -62,7 +62,7 @@ def test_more_files_do_not_make_more_batches():
     assert all(-(-n // content.files_at_once(n)) <= 8 for n in (1025, 60_025, 360_025))
 
 
-@pytest.mark.parametrize(("name", "steps"), [("rich_zip_entries", 4), ("model_round_trip", 2)])
+@pytest.mark.parametrize(("name", "steps"), [("rich_zip_entries", 4), ("model_round_trip", 2), ("missing_targets", 1), ("block_kinds", 1)])
 def test_packages_are_made_and_read_once(spark, name, steps):
     told = plan(entry.queries()[name](spark, SMALL))
     assert told.count("MapInArrow") == steps and "Join" not in told and "Union" not in told

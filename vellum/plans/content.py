@@ -16,7 +16,7 @@ from vellum.functions import text as T
 from vellum.operators import model as O
 from vellum.operators import render as R
 from vellum.sources.docx import parse_packages, relation
-from vellum.sources.make_docx import NUMBERING, RELATIONS, made_packages, package, paragraph, rich_packages
+from vellum.sources.make_docx import NUMBERING, RELATIONS, made_packages, package, paragraph, rich_packages, spread
 
 from . import corpus
 from .packages import LIMITS, _number, _rich
@@ -126,7 +126,7 @@ def _models(spark, sf_dir, model):
     """Documents of one model each, a JSON with the part's number for `#`."""
     text = F.replace(F.lit(model), F.lit("#"), F.col("p_partkey").cast("string"))
     none = F.lit(None)
-    return _read(spark, sf_dir, "part").select(
+    return spread(_read(spark, sf_dir, "part").select("p_partkey")).select(
         F.col("p_partkey").cast("string").alias("doc_id"), none.cast("string").alias("error"), text.alias("model"), none.cast("map<string,string>").alias("mapping"), F.lit('{"title":"T"}').alias("metadata"),
         none.cast("array<struct<asset_id:string,media_type:string,filename:string,data:binary>>").alias("assets"), none.cast("array<struct<code:string,severity:string,message:string,ord:long>>").alias("warnings"), F.lit(DATE).alias("modified"),
     )
@@ -147,20 +147,22 @@ KINDS = (
 )
 
 
+def _both(rows):
+    """(doc_id, markdown, warnings, html) of models, written in one pass."""
+    made = R.convert_each(rows, [("markdown", "single"), ("html", "fragment")])
+    text = lambda k: F.decode(F.col("outputs")[k]["data"], "UTF-8")
+    return made.select("doc_id", text(0).alias("markdown"), F.col("outputs")[0]["warnings"].alias("warnings"), text(1).alias("html"))
+
+
 def missing_targets(spark, sf_dir):
     """Markdown and HTML of a model whose references lead nowhere, with the writer's warnings."""
-    rows = _models(spark, sf_dir, MISSING)
-    markdown = R.convert(rows, "markdown", "single").select("doc_id", F.decode("data", "UTF-8").alias("markdown"), F.array_join(F.transform("warnings", lambda w: w["code"]), ",").alias("codes"))
-    html = R.convert(rows, "html", "fragment").select("doc_id", F.decode("data", "UTF-8").alias("html"))
-    return _number(markdown.join(html, "doc_id"))
+    rows = _both(_models(spark, sf_dir, MISSING))
+    return _number(rows.select("doc_id", "markdown", F.array_join(F.transform("warnings", lambda w: w["code"]), ",").alias("codes"), "html"))
 
 
 def block_kinds(spark, sf_dir):
     """Code, quotes, breaks, captions, headers, starts and marks in HTML and Markdown."""
-    rows = _models(spark, sf_dir, KINDS)
-    markdown = R.convert(rows, "markdown", "single").select("doc_id", F.decode("data", "UTF-8").alias("markdown"))
-    html = R.convert(rows, "html", "fragment").select("doc_id", F.decode("data", "UTF-8").alias("html"))
-    return _number(markdown.join(html, "doc_id"))
+    return _number(_both(_models(spark, sf_dir, KINDS)).select("doc_id", "markdown", "html"))
 
 
 def formula_modes(spark, sf_dir):
