@@ -96,3 +96,30 @@ def test_outputs_of_one_pass_are_those_of_several(spark):
     for k, (format, mode) in enumerate([("markdown", "zip"), ("html", "standalone")]):
         for r in R.convert(rows, format, mode).collect():
             assert r.asDict() == {"doc_id": r["doc_id"], **both[r["doc_id"]][k].asDict()}
+
+
+def test_archives_are_those_of_zipfile():
+    import io
+    import random
+    import zipfile
+
+    from vellum.sources.archive import zip_of
+
+    noise = random.Random(3)
+    files = [("mimetype", b"x"), ("a/b.xml", "<a>" + "text é " * 900 + "</a>"), ("empty", b""), ("big.bin", bytes(noise.choices(range(9), k=200_000)))]
+    for more, level in (([], -1), ([], 9), ([("\u00e9.txt", b"y")], 9)):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in files + more:
+                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED, level)
+        assert zip_of(files + more, level, ("mimetype",)) == out.getvalue()
+
+
+def test_regular_packages_need_no_zip_reader(monkeypatch):
+    data = make_docx.rich_package(4, ["one", "two"])
+    found = docx.read_package(data, "a.docx")
+    damaged = bytearray(data)
+    damaged[data.index(b"word/document.xml") + 30] ^= 255
+    assert found["error"] is None and docx.read_package(bytes(damaged), "a.docx")["error"] == "invalid-input"
+    monkeypatch.setattr("zipfile.ZipFile", None)
+    assert docx.read_package(data, "a.docx") == found
