@@ -123,3 +123,16 @@ def test_regular_packages_need_no_zip_reader(monkeypatch):
     assert found["error"] is None and docx.read_package(bytes(damaged), "a.docx")["error"] == "invalid-input"
     monkeypatch.setattr("zipfile.ZipFile", None)
     assert docx.read_package(data, "a.docx") == found
+
+
+def test_texts_unlike_captions_are_not_normalised(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.operators import styles as Y
+
+    texts = ["Figure 1", " - FIG. 2", "figures", "The figure", "", None, "F\u00edgure 3", "f\u0301igure", "\u212aop", "\u00e9 figure", "**tabel*", "t\u00e1bel 1", "1 figure", "ph\u00f6to", "Photo", "afbeelding", "\u201cimage\u201d", "fo to", "\U0001d405 foto", "\nfoto"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = Y.normal_name(F.col("text")).rlike(rf"^({'|'.join(Y.CAPTION_STARTS)})\b")
+    assert rows.filter(~F.equal_null(Y.is_caption(F.col("text")), whole)).count() == 0
+    assert rows.filter(Y.is_caption(F.col("text"))).count() == 12
+    assert rows.filter(F.col("text").rlike(Y._LIKE_CAPTION) & F.col("text").isin("The figure", "1 figure", "")).count() == 0
