@@ -136,3 +136,28 @@ def test_texts_unlike_captions_are_not_normalised(spark):
     assert rows.filter(~F.equal_null(Y.is_caption(F.col("text")), whole)).count() == 0
     assert rows.filter(Y.is_caption(F.col("text"))).count() == 12
     assert rows.filter(F.col("text").rlike(Y._LIKE_CAPTION) & F.col("text").isin("The figure", "1 figure", "")).count() == 0
+
+
+def test_only_the_wanted_relations_are_kept(spark):
+    data = make_docx.rich_package(7, ["one", "two"])
+    whole = docx.read_package(data, "a.docx")
+    for only in (("styles", "usages"), ("candidates",), ("model", "assets"), ("blocks",), ()):
+        assert docx.read_package(data, "a.docx", only=only) == {k: whole[k] for k in ("error", "message", *only)}
+    unsafe = make_docx.broken_package(12, "")
+    assert docx.read_package(unsafe, "a.docx", only=("styles",)) == {"error": "unsupported-format", "message": docx.read_package(unsafe, "a.docx")["message"], "styles": []}
+    queries = entry.queries()
+    for name, absent in (("rich_styles", ("model#", "blocks#", "candidates#")), ("rich_edits", ("model#", "blocks#", "usages#")), ("rich_page", ("blocks#",)), ("rich_html", ("blocks#",)), ("docx_styles", ("blocks#",))):
+        shown = plan(queries[name](spark, SMALL))
+        assert "MapInArrow" in shown and not any(a in shown for a in absent), name
+
+
+def test_rows_with_long_texts_make_small_batches(monkeypatch, spark):
+    """Without the model too, what is held of packages has a bound."""
+    weights = []
+    monkeypatch.setattr(docx, "batches_of", lambda rows, schema: iter([weights.append(w) for _, w in rows]))
+    held = {}
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, run, schema: held.update(run=run))
+    docx.parse_packages(spark.createDataFrame([], "doc_id string, path string, content binary"), Limits(ratio=2000), only=("usages",))
+    styled = make_docx.package(make_docx.paragraph("x" * 50_000, "Kop1"))
+    list(held["run"]([pa.RecordBatch.from_pylist([{"doc_id": "1", "path": "a", "content": styled}])]))
+    assert weights == [50_000]

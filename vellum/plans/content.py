@@ -66,13 +66,13 @@ def style_formats(spark, sf_dir):
 
 def rich_sheet(spark, sf_dir):
     """The styles of packages as they state them themselves."""
-    rows = relation(_rich(spark, sf_dir), "styles")
+    rows = relation(_rich(spark, sf_dir, ["styles"]), "styles")
     return _number(rows.groupBy("doc_id").agg(F.count("*").alias("styles"), F.count_if(F.col("kind") == "character").alias("characters"), F.max(F.when(F.col("style_id") == "Kop1", F.concat_ws("|", "name", "based_on", F.col("bold").cast("string")))).alias("kop"), F.count("font_size").alias("sized")))
 
 
 def rich_usages(spark, sf_dir):
     """Uses of other styles than the default one, in their order."""
-    rows = relation(_rich(spark, sf_dir), "usages").filter("style_id <> 'Normal'")
+    rows = relation(_rich(spark, sf_dir, ["usages"]), "usages").filter("style_id <> 'Normal'")
     return _number(rows.select("doc_id", "position", "style_id", "kind", "text", "nearby"))
 
 

@@ -23,69 +23,69 @@ def _number(rows):
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _rich(spark, sf_dir):
-    return parse_packages(rich_packages(_read(spark, sf_dir, "documents")), LIMITS)
+def _rich(spark, sf_dir, only=None):
+    return parse_packages(rich_packages(_read(spark, sf_dir, "documents")), LIMITS, only=only)
 
 
 def rich_blocks(spark, sf_dir):
     """Blocks of bodies and notes in document order."""
     roots = F.array_distinct(F.transform("blocks", lambda b: b["root"]))
-    rows = _rich(spark, sf_dir).select("doc_id", "blocks", F.explode(roots).alias("root"))
+    rows = _rich(spark, sf_dir, ["blocks"]).select("doc_id", "blocks", F.explode(roots).alias("root"))
     own = F.transform(F.filter("blocks", lambda b: b["root"] == F.col("root")), lambda b: F.struct(*[b[c].alias(c) for c in ("path", "depth", "type", "style_id", "text")]))
     rows = rows.select("doc_id", "root", F.posexplode(F.array_sort(own)).alias("ord", "x"))
     return _number(rows.select("doc_id", "root", F.col("ord").cast("long").alias("ord"), "x.depth", "x.type", "x.style_id", "x.text"))
 
 
 def rich_html(spark, sf_dir):
-    made = corpus.convert(_rich(spark, sf_dir), "html", "fragment", DATE)
+    made = corpus.convert(_rich(spark, sf_dir, corpus.CONVERTED), "html", "fragment", DATE)
     return _number(made.select("doc_id", F.decode("data", "UTF-8").alias("html")))
 
 
 def rich_page(spark, sf_dir):
     """Heads of standalone pages, and what follows the style sheet."""
-    made = corpus.convert(_rich(spark, sf_dir), "html", "standalone", DATE).select("doc_id", F.decode("data", "UTF-8").alias("html"))
+    made = corpus.convert(_rich(spark, sf_dir, corpus.CONVERTED), "html", "standalone", DATE).select("doc_id", F.decode("data", "UTF-8").alias("html"))
     return _number(made.select("doc_id", F.substring_index("html", "<style>", 1).alias("head"), F.startswith(F.element_at(F.split("html", "</style>"), -1), F.lit("</head><body><main>")).alias("has_body")))
 
 
 def rich_markdown(spark, sf_dir):
-    made = corpus.convert(_rich(spark, sf_dir), "markdown", "single", DATE, formula="source")
+    made = corpus.convert(_rich(spark, sf_dir, corpus.CONVERTED), "markdown", "single", DATE, formula="source")
     return _number(made.select("doc_id", F.decode("data", "UTF-8").alias("markdown")))
 
 
 def rich_warnings(spark, sf_dir):
     """Warnings of the reader, then those of the Markdown writer; a style that the user has mapped is no reason for one."""
-    made = corpus.convert(_rich(spark, sf_dir), "markdown", "single", DATE, mappings={"Same": "body"})
+    made = corpus.convert(_rich(spark, sf_dir, corpus.CONVERTED), "markdown", "single", DATE, mappings={"Same": "body"})
     rows = made.select("doc_id", F.inline("warnings"))
     return _number(rows.select("doc_id", "ord", "code", "severity"))
 
 
 def rich_zip_entries(spark, sf_dir):
     """Entries of Markdown and HTML archives, with the sizes of the images."""
-    made = R.convert_each(corpus.ready(_rich(spark, sf_dir), DATE), [("markdown", "zip"), ("html", "zip")])
+    made = R.convert_each(corpus.ready(_rich(spark, sf_dir, corpus.CONVERTED), DATE), [("markdown", "zip"), ("html", "zip")])
     rows = R.entries(made.select("doc_id", F.inline("outputs")), "format")
     return _number(rows.select("doc_id", "format", "position", "name", F.when(F.col("name").startswith("images/"), F.octet_length("data")).alias("image_bytes")))
 
 
 def rich_epub(spark, sf_dir):
     """Container, package, contents, title page and first chapter of publications with a generated cover."""
-    made = corpus.convert(_rich(spark, sf_dir), "epub", "single", DATE, cover=C.cover_settings("generated"))
+    made = corpus.convert(_rich(spark, sf_dir, corpus.CONVERTED), "epub", "single", DATE, cover=C.cover_settings("generated"))
     rows = R.entries(made).filter("name RLIKE 'mimetype|container|package|nav|title|cover.xhtml|chapter-001'")
     return _number(rows.select("doc_id", "position", "name", F.decode("data", "UTF-8").alias("text")))
 
 
 def rich_styles(spark, sf_dir):
     """Styles that are used, with their use, what they mean and why; one id is that of two styles."""
-    rows = corpus.analyse(_rich(spark, sf_dir), mappings={"Kop1": "heading4"}, preset={"Strong": "code"})
+    rows = corpus.analyse(_rich(spark, sf_dir, corpus.ANALYSED), mappings={"Kop1": "heading4"}, preset={"Strong": "code"})
     return _number(rows.select("doc_id", "style_id", "kind", "usages", F.array_join("examples", "|").alias("examples"), "font_size", "bold", "outline_level", "mapping", "confidence", "evidence"))
 
 
 def rich_candidates(spark, sf_dir):
-    rows = relation(_rich(spark, sf_dir), "candidates")
+    rows = relation(_rich(spark, sf_dir, ["candidates"]), "candidates")
     return _number(rows.select("doc_id", "ord", "field", "value", "source", "priority", "confidence", "method"))
 
 
 def rich_metadata(spark, sf_dir):
-    found = corpus.resolved_metadata(_rich(spark, sf_dir), DATE)
+    found = corpus.resolved_metadata(_rich(spark, sf_dir, corpus.RESOLVED), DATE)
     fields = ("title", "language", "publisher", "version", "identifier", "publicationDate", "conversionDate", "subtitle")
     value = F.from_json("metadata", ", ".join(f"{f} string" for f in fields) + ", authors array<string>, subjects array<string>")
     rows = found.select("doc_id", value.alias("m"))
@@ -94,14 +94,14 @@ def rich_metadata(spark, sf_dir):
 
 def rich_edits(spark, sf_dir):
     """The same after edits: a title set, the publisher deleted, other authors and subjects."""
-    found = corpus.resolved_metadata(_rich(spark, sf_dir), DATE, edits={"title": "Mine", "publisher": " ", "publicationDate": "1999"}, authors=["Cy", " "], subjects=[" a ", "b"])
+    found = corpus.resolved_metadata(_rich(spark, sf_dir, corpus.RESOLVED), DATE, edits={"title": "Mine", "publisher": " ", "publicationDate": "1999"}, authors=["Cy", " "], subjects=[" a ", "b"])
     value = F.from_json("metadata", "title string, publisher string, publicationDate string, authors array<string>, subjects array<string>")
     rows = found.select("doc_id", value.alias("m"))
     return _number(rows.select("doc_id", "m.title", "m.publisher", "m.publicationDate", F.array_join("m.authors", "|").alias("authors"), F.array_join("m.subjects", "|").alias("subjects")))
 
 
 def rich_assets(spark, sf_dir):
-    rows = relation(_rich(spark, sf_dir), "assets")
+    rows = relation(_rich(spark, sf_dir, ["assets"]), "assets")
     return _number(rows.select("doc_id", "asset_id", "media_type", "filename", F.decode("data", "UTF-8").alias("data")))
 
 
